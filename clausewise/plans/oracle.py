@@ -1,0 +1,99 @@
+"""DuckDB SQL that independently states what each registered query computes.
+
+The driver runs these against the same parquet files (views named after the
+tables). Counts and positions are cast to BIGINT, floats are compared after
+the same rounding on both sides.
+"""
+
+from __future__ import annotations
+
+from clausewise.functions.ratio import percent_sql
+
+# The same 29 whitespace code points as WS_CLASS, in RE2 syntax
+# (RE2's \s lacks \v, so \x{0b} is listed explicitly).
+WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+PERSONA_SQL = "(['alice','bob','charlie'])[doc_id % 3 + 1]"
+
+
+def clause_list(text: str) -> str:
+    return f"list_filter(string_split({text}, chr(10)), lambda x: NOT regexp_full_match(x, '{WS}*'))"
+
+
+def token_list(clause: str) -> str:
+    norm = clause
+    for s in (".", ",", "eg", "(", ")"):
+        norm = f"replace({norm}, '{s}', '')"
+    return f"list_filter(regexp_split_to_array({norm}, '{WS}+'), lambda w: w <> '')"
+
+
+# clauses(doc_id, clause_no, clause) for every document
+CLAUSES = f"""
+clause_arrays AS (
+  SELECT doc_id, {clause_list('text')} AS arr FROM documents
+),
+clauses AS (
+  SELECT doc_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS clause_no, unnest(arr) AS clause
+  FROM clause_arrays
+)"""
+
+# labelled(persona, doc_id, clause_no, clause, class)
+LABELLED = f"""
+labelled_docs AS (
+  SELECT d.doc_id, l.quality, l.toxic, {clause_list('d.text')} AS arr
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+labelled_clauses AS (
+  SELECT doc_id, quality, toxic, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS clause_no,
+         unnest(arr) AS clause
+  FROM labelled_docs
+),
+labelled AS (
+  SELECT 'alice' AS persona, doc_id, clause_no, clause,
+         CASE WHEN quality = 1 THEN 'worth_reading' ELSE 'standard_trivial' END AS class
+  FROM labelled_clauses
+  UNION ALL
+  SELECT 'bob', doc_id, clause_no, clause,
+         CASE WHEN toxic = 1 THEN 'worth_reading' ELSE 'standard_trivial' END
+  FROM labelled_clauses
+  UNION ALL
+  SELECT 'charlie', doc_id, clause_no, clause,
+         CASE WHEN quality = 1 AND toxic = 0 THEN 'worth_reading' ELSE 'standard_trivial' END
+  FROM labelled_clauses
+)"""
+
+
+def ratio_cols(std: str = "standard_n", worth: str = "worth_n") -> str:
+    n = f"({std} + {worth})"
+    return (f"{percent_sql(std, n)} AS standard_ratio, "
+            f"{percent_sql(worth, n)} AS worth_ratio")
+
+
+def _persona_source_ratios() -> str:
+    return f"""
+WITH src_docs AS (
+  SELECT d.doc_id, d.source, l.quality, l.toxic, {clause_list('d.text')} AS arr
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+c AS (SELECT source, quality, toxic, unnest(arr) AS clause FROM src_docs),
+p AS (
+  SELECT 'alice' AS persona, source, CASE WHEN quality = 1 THEN 'worth_reading' ELSE 'standard_trivial' END AS class FROM c
+  UNION ALL
+  SELECT 'bob', source, CASE WHEN toxic = 1 THEN 'worth_reading' ELSE 'standard_trivial' END FROM c
+  UNION ALL
+  SELECT 'charlie', source, CASE WHEN quality = 1 AND toxic = 0 THEN 'worth_reading' ELSE 'standard_trivial' END FROM c
+),
+g AS (
+  SELECT persona, source,
+         CAST(count(*) FILTER (WHERE class = 'standard_trivial') AS BIGINT) AS standard_n,
+         CAST(count(*) FILTER (WHERE class = 'worth_reading') AS BIGINT) AS worth_n
+  FROM p GROUP BY persona, source
+)
+SELECT persona, source, standard_n, worth_n, {ratio_cols()} FROM g
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "persona_source_ratios": _persona_source_ratios(),
+    }

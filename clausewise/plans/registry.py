@@ -1,0 +1,21 @@
+"""Registered queries: name -> callable(spark, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from clausewise.plans import corpus_reports
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_reports.persona_source_ratios(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "persona_source_ratios": corpus_reports.persona_source_ratios,
+    }
