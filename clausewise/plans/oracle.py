@@ -93,7 +93,220 @@ SELECT persona, source, standard_n, worth_n, {ratio_cols()} FROM g
 """
 
 
+
+def _segment_clauses() -> str:
+    return f"WITH {CLAUSES} SELECT doc_id, clause_no, clause FROM clauses"
+
+
+TOKENS = f"""
+tok_arrays AS (SELECT doc_id, clause_no, {token_list('clause')} AS arr FROM clauses),
+tokens AS (
+  SELECT doc_id, clause_no, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS pos, unnest(arr) AS word
+  FROM tok_arrays
+)"""
+
+
+def _tokenise_clauses() -> str:
+    return f"WITH {CLAUSES}, {TOKENS} SELECT doc_id, clause_no, pos, word FROM tokens"
+
+
+def _labelled_clauses() -> str:
+    return f"WITH {LABELLED} SELECT persona, doc_id, clause_no, clause, class FROM labelled"
+
+
+REQUESTS = f"""
+raw_requests AS (
+  SELECT doc_id AS request_id,
+         to_json({{'alertness': {PERSONA_SQL}, 'title': source, 'text': text}}) AS body
+  FROM documents
+),
+parsed AS (
+  SELECT request_id,
+         json_extract_string(body, '$.alertness') AS alertness,
+         json_extract_string(body, '$.title') AS title,
+         json_extract_string(body, '$.text') AS text
+  FROM raw_requests
+),
+checked AS (
+  SELECT *, CASE WHEN alertness IS NULL THEN 'missing_alertness'
+                 WHEN alertness NOT IN ('alice', 'bob', 'charlie') THEN 'invalid_alertness'
+                 WHEN text IS NULL THEN 'missing_text'
+                 WHEN text = '' THEN 'empty_text' END AS reason
+  FROM parsed
+)"""
+
+
+def _parse_requests() -> str:
+    return f"WITH {REQUESTS} SELECT request_id, alertness, title, text FROM checked WHERE reason IS NULL"
+
+
+def _rejected_requests() -> str:
+    return f"WITH {REQUESTS} SELECT request_id, reason FROM checked WHERE reason IS NOT NULL"
+
+
+def _decode_case(mode: str, s0: str, s1: str | None) -> str:
+    if mode == "bert":
+        bad = f"({s0} IS NULL OR isnan({s0}))"
+        lo, hi = f"{s0} < 0.5", f"{s0} > 0.5"
+    else:
+        a, b = (f"abs({s0})", f"abs({s1})") if mode == "tfm" else (s0, s1)
+        bad = f"({s0} IS NULL OR isnan({s0}) OR {s1} IS NULL OR isnan({s1}))"
+        lo, hi = f"{a} > {b}", f"{a} < {b}"
+    cls = (f"CASE WHEN {bad} THEN NULL WHEN {lo} THEN 'standard_trivial' "
+           f"WHEN {hi} THEN 'worth_reading' END")
+    err = f"CASE WHEN {bad} THEN 'nan_score' WHEN NOT ({lo}) AND NOT ({hi}) THEN 'tie' END"
+    return f"{cls} AS class, {err} AS decode_error"
+
+
+EMB_SCORES = """
+emb AS (
+  SELECT CAST(label AS BIGINT) AS doc_id, vec_id AS clause_no,
+         CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DOUBLE) AS e2
+  FROM embeddings
+)"""
+
+
+def _decode(mode: str) -> str:
+    s0 = "((e1 + 1.0) / 2.0)" if mode == "bert" else "e1"
+    return f"WITH {EMB_SCORES} SELECT doc_id, clause_no, {_decode_case(mode, s0, 'e2')} FROM emb"
+
+
+def _decoded_all() -> str:
+    parts = []
+    for m in ("bow", "bert", "tfm"):
+        s0 = "((e1 + 1.0) / 2.0)" if m == "bert" else "e1"
+        parts.append(f"SELECT '{m}' AS mode, doc_id, clause_no, {_decode_case(m, s0, 'e2')} FROM emb")
+    return f"WITH {EMB_SCORES}, decoded AS ({' UNION ALL '.join(parts)})"
+
+
+def _doc_class_counts() -> str:
+    return f"""{_decoded_all()}
+SELECT mode, doc_id,
+       CAST(count(*) FILTER (WHERE class = 'standard_trivial') AS BIGINT) AS standard_n,
+       CAST(count(*) FILTER (WHERE class = 'worth_reading') AS BIGINT) AS worth_n
+FROM decoded GROUP BY mode, doc_id"""
+
+
+def _doc_ratios() -> str:
+    return f"SELECT *, {ratio_cols()} FROM ({_doc_class_counts()})"
+
+
+def _encode_first_seen() -> str:
+    return f"""WITH {LABELLED},
+firsts AS (
+  SELECT persona, class, min(doc_id) AS d0
+  FROM labelled GROUP BY persona, class
+),
+firsts2 AS (
+  SELECT l.persona, l.class, min(l.clause_no) AS c0, f.d0
+  FROM labelled l JOIN firsts f ON l.persona = f.persona AND l.class = f.class AND l.doc_id = f.d0
+  GROUP BY l.persona, l.class, f.d0
+),
+ranked AS (
+  SELECT persona, class, row_number() OVER (PARTITION BY persona ORDER BY d0, c0) - 1 AS rk FROM firsts2
+)
+SELECT l.persona, l.doc_id, l.clause_no, l.class,
+       CAST(CASE WHEN r.rk <= 1 THEN r.rk END AS INTEGER) AS label,
+       CASE WHEN r.rk > 1 THEN 'third_label' END AS encode_error
+FROM labelled l LEFT JOIN ranked r ON l.persona = r.persona AND l.class = r.class"""
+
+
+def _encode_fixed() -> str:
+    return f"""WITH {LABELLED}
+SELECT persona, doc_id, clause_no, CAST(CASE WHEN class = 'worth_reading' THEN 1 ELSE 0 END AS INTEGER) AS label
+FROM labelled"""
+
+
+def _one_hot() -> str:
+    return f"""SELECT *, CASE WHEN label = 0 THEN [0, 1] WHEN label = 1 THEN [1, 0] END AS one_hot,
+       CAST(CASE WHEN label = 0 THEN 1 WHEN label = 1 THEN 0 END AS INTEGER) AS argmax
+FROM ({_encode_fixed()})"""
+
+
+# request clauses classified by the stand-in model in tfm mode
+CLASSIFIED = f"""
+{REQUESTS},
+req_arrays AS (
+  SELECT request_id AS doc_id, alertness, title, {clause_list('text')} AS arr FROM checked WHERE reason IS NULL
+),
+req_clauses AS (
+  SELECT doc_id, alertness, title, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS clause_no,
+         unnest(arr) AS clause
+  FROM req_arrays
+),
+req_scored AS (
+  SELECT *, CAST(len(toks) AS DOUBLE) * 0.5 + 0.25 AS s0,
+         CAST(len(list_filter(toks, lambda w: length(w) >= 7)) AS DOUBLE) AS s1
+  FROM (SELECT *, {token_list('clause')} AS toks FROM req_clauses)
+),
+classified AS (
+  SELECT doc_id, alertness, title, clause_no, clause, {_decode_case('tfm', 's0', 's1')}
+  FROM req_scored
+)"""
+
+
+def _classified_clauses() -> str:
+    return f"""WITH {CLASSIFIED}
+SELECT doc_id, clause_no, clause, class, decode_error, 'tfm' AS mode, replace(title, ' ', '') AS title
+FROM classified"""
+
+
+def _marked_clauses() -> str:
+    return f"""WITH {CLASSIFIED}
+SELECT doc_id, clause_no, class,
+       CASE WHEN class = 'worth_reading' THEN '***' || clause ELSE clause END AS marked_clause
+FROM classified"""
+
+
+REPORT = f"""
+{CLASSIFIED},
+report_counts AS (
+  SELECT doc_id, alertness, title,
+         CAST(count(*) FILTER (WHERE class = 'standard_trivial') AS BIGINT) AS standard_n,
+         CAST(count(*) FILTER (WHERE class = 'worth_reading') AS BIGINT) AS worth_n,
+         CAST(count(*) FILTER (WHERE class IS NULL) AS BIGINT) AS error_n,
+         coalesce(list_sort(list(clause_no) FILTER (WHERE class = 'worth_reading')), CAST([] AS BIGINT[]))
+           AS worth_indices
+  FROM classified GROUP BY doc_id, alertness, title
+),
+report AS (SELECT *, {ratio_cols()} FROM report_counts)"""
+
+
+def _worth_indices() -> str:
+    return f"WITH {REPORT} SELECT doc_id, worth_indices FROM report"
+
+
+def _analyse_requests() -> str:
+    return f"""WITH {REPORT}
+SELECT doc_id, alertness, title, standard_n, worth_n, error_n, standard_ratio, worth_indices FROM report"""
+
+
+def _annotated_documents() -> str:
+    return f"""WITH {REPORT}
+SELECT c.doc_id, r.standard_ratio, CAST(c.clause_no AS VARCHAR) AS clause_key,
+       CASE WHEN c.class = 'worth_reading' THEN '***' || c.clause ELSE c.clause END AS clause
+FROM classified c JOIN report r ON c.doc_id = r.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "persona_source_ratios": _persona_source_ratios(),
+        "segment_clauses": _segment_clauses(),
+        "tokenise_clauses": _tokenise_clauses(),
+        "labelled_clauses": _labelled_clauses(),
+        "parse_requests": _parse_requests(),
+        "rejected_requests": _rejected_requests(),
+        "decode_bow": _decode("bow"),
+        "decode_bert": _decode("bert"),
+        "decode_tfm": _decode("tfm"),
+        "doc_class_counts": _doc_class_counts(),
+        "doc_ratios": _doc_ratios(),
+        "encode_first_seen": _encode_first_seen(),
+        "encode_fixed": _encode_fixed(),
+        "one_hot": _one_hot(),
+        "classified_clauses": _classified_clauses(),
+        "marked_clauses": _marked_clauses(),
+        "worth_indices": _worth_indices(),
+        "annotated_documents": _annotated_documents(),
+        "analyse_requests": _analyse_requests(),
     }

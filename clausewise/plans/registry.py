@@ -3,19 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.plans import corpus_reports
+from clausewise.plans import analyse, corpus_reports, features, scores
+from clausewise.sources import corpus, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_reports.persona_source_ratios(spark, sf_dir)
+    return analyse.analyse_requests(spark, sf_dir)
+
+
+def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.valid(requests.parse(corpus.raw_requests(spark, sf_dir)))
+
+
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.rejected(requests.parse(corpus.raw_requests(spark, sf_dir)))
 
 
 def queries() -> dict[str, Query]:
     return {
         "persona_source_ratios": corpus_reports.persona_source_ratios,
+        "segment_clauses": corpus.clauses,
+        "tokenise_clauses": features.all_tokens,
+        "labelled_clauses": corpus.labelled_clauses,
+        "parse_requests": _parse,
+        "rejected_requests": _rejected,
+        "decode_bow": partial(scores.decoded, mode="bow"),
+        "decode_bert": partial(scores.decoded, mode="bert"),
+        "decode_tfm": partial(scores.decoded, mode="tfm"),
+        "doc_class_counts": scores.doc_class_counts,
+        "doc_ratios": scores.doc_ratios,
+        "encode_first_seen": features.first_seen_labels,
+        "encode_fixed": features.fixed_labels,
+        "one_hot": features.one_hot_labels,
+        "classified_clauses": analyse.classified_sink_rows,
+        "marked_clauses": analyse.marked_clauses,
+        "worth_indices": analyse.worth_indices,
+        "annotated_documents": analyse.annotated_documents,
+        "analyse_requests": analyse.analyse_requests,
     }
