@@ -288,6 +288,137 @@ SELECT c.doc_id, r.standard_ratio, CAST(c.clause_no AS VARCHAR) AS clause_key,
 FROM classified c JOIN report r ON c.doc_id = r.doc_id"""
 
 
+
+# labelled token arrays, distinct tokens with first-seen positions, vocabulary
+LTA = f"""
+{LABELLED},
+lta AS (
+  SELECT persona, doc_id, clause_no, class, CASE WHEN class = 'worth_reading' THEN 1 ELSE 0 END AS label,
+         {token_list('clause')} AS toks
+  FROM labelled
+),
+lt AS (
+  SELECT persona, doc_id, clause_no, label, generate_subscripts(toks, 1) AS i, unnest(toks) AS word FROM lta
+),
+dt AS (
+  SELECT persona, doc_id, clause_no, word AS term, min(i) AS i0 FROM lt GROUP BY persona, doc_id, clause_no, word
+),
+dtp AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY persona, doc_id, clause_no ORDER BY i0) - 1 AS BIGINT) AS dpos
+  FROM dt
+),
+vocab AS (
+  SELECT persona, term, CAST(count(*) AS BIGINT) AS multiplicity,
+         min({{'d': doc_id, 'c': clause_no, 'p': dpos}}) AS f, max({{'d': doc_id, 'c': clause_no, 'p': dpos}}) AS l
+  FROM dtp GROUP BY persona, term
+),
+sizes AS (
+  SELECT persona, CAST(count(*) AS BIGINT) AS n_units,
+         CAST(count(*) FILTER (WHERE label = 0) AS BIGINT) AS n0,
+         CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS n1
+  FROM lta GROUP BY persona
+)"""
+
+# containment cells by the plain definition: contains(word, term)
+CELLS = f"""
+{LTA},
+words AS (SELECT DISTINCT word FROM lt),
+terms AS (SELECT DISTINCT term FROM vocab),
+wt AS (SELECT w.word, t.term FROM words w JOIN terms t ON contains(w.word, t.term)),
+pw AS (
+  SELECT persona, doc_id, clause_no, label, word, count(*) AS k FROM lt GROUP BY persona, doc_id, clause_no, label, word
+),
+cells AS (
+  SELECT pw.persona, pw.doc_id, pw.clause_no, pw.label, wt.term, CAST(sum(pw.k) AS BIGINT) AS n
+  FROM pw JOIN wt ON pw.word = wt.word
+          JOIN vocab v ON v.persona = pw.persona AND v.term = wt.term
+  GROUP BY pw.persona, pw.doc_id, pw.clause_no, pw.label, wt.term
+),
+term_sums AS (
+  SELECT persona, term, CAST(sum(n) AS BIGINT) AS total, CAST(sum(n * n) AS BIGINT) AS total_sq
+  FROM cells GROUP BY persona, term
+),
+tstats AS (
+  SELECT s.persona, s.term, s.total, s.total_sq, z.n_units,
+         CAST(s.total AS DOUBLE) / CAST(z.n_units AS DOUBLE) AS mean,
+         CASE WHEN CAST(z.n_units AS HUGEINT) * s.total_sq - CAST(s.total AS HUGEINT) * s.total = 0 THEN 1.0
+              ELSE sqrt(CAST(CAST(z.n_units AS HUGEINT) * s.total_sq - CAST(s.total AS HUGEINT) * s.total AS DOUBLE))
+                   / CAST(z.n_units AS DOUBLE) END AS std
+  FROM term_sums s JOIN sizes z ON s.persona = z.persona
+),
+anova_sums AS (
+  SELECT persona, term,
+         CAST(sum(CASE WHEN label = 0 THEN n ELSE 0 END) AS BIGINT) AS s0,
+         CAST(sum(CASE WHEN label = 1 THEN n ELSE 0 END) AS BIGINT) AS s1,
+         CAST(sum(n * n) AS BIGINT) AS q
+  FROM cells GROUP BY persona, term
+),
+anova_dw AS (
+  SELECT a.*, z.n0, z.n1,
+         CAST(a.s0 AS HUGEINT) * z.n1 - CAST(a.s1 AS HUGEINT) * z.n0 AS d,
+         CAST(a.q AS HUGEINT) * z.n0 * z.n1 - CAST(a.s0 AS HUGEINT) * a.s0 * z.n1
+           - CAST(a.s1 AS HUGEINT) * a.s1 * z.n0 AS w
+  FROM anova_sums a JOIN sizes z ON a.persona = z.persona
+),
+anova AS (
+  SELECT persona, term, s0, s1, q,
+         CASE WHEN n0 = 0 OR n1 = 0 THEN NULL
+              WHEN w = 0 AND d = 0 THEN NULL
+              WHEN w = 0 THEN CAST('inf' AS DOUBLE)
+              ELSE (CAST(d AS DOUBLE) * CAST(d AS DOUBLE) * (CAST(n0 + n1 AS DOUBLE) - 2.0))
+                   / (CAST(n0 + n1 AS DOUBLE) * CAST(w AS DOUBLE)) END AS f
+  FROM anova_dw
+)"""
+
+
+def _vocabulary() -> str:
+    return f"""WITH {LTA}
+SELECT persona, term, multiplicity, f.d AS first_doc_id, f.c AS first_clause_no, f.p AS first_pos,
+       l.d AS last_doc_id, l.c AS last_clause_no, l.p AS last_pos
+FROM vocab"""
+
+
+def _bow_exists() -> str:
+    return f"""WITH {LTA}
+SELECT dt.persona, dt.doc_id, dt.clause_no, dt.term, CAST(1 AS BIGINT) AS n
+FROM dt WHERE EXISTS (SELECT 1 FROM vocab v WHERE v.persona = dt.persona AND v.term = dt.term)"""
+
+
+def _bow_contains() -> str:
+    return f"WITH {CELLS} SELECT persona, doc_id, clause_no, term, n FROM cells"
+
+
+def _term_stats() -> str:
+    return f"WITH {CELLS} SELECT *, -mean / std AS z0 FROM tstats"
+
+
+def _standardise() -> str:
+    return f"""WITH {CELLS}
+SELECT c.persona, c.doc_id, c.clause_no, c.term, c.n, (CAST(c.n AS DOUBLE) - t.mean) / t.std AS z
+FROM cells c JOIN tstats t ON c.persona = t.persona AND c.term = t.term"""
+
+
+def _anova_f() -> str:
+    return f"WITH {CELLS} SELECT persona, term, s0, s1, q, f FROM anova"
+
+
+def _select_top_k(k: int = 12000) -> str:
+    return f"""WITH {CELLS},
+scored AS (
+  SELECT v.persona, v.term, a.f, v.multiplicity, v.l.d AS ld, v.l.c AS lc, v.l.p AS lp
+  FROM vocab v LEFT JOIN anova a ON a.persona = v.persona AND a.term = v.term
+),
+ranked AS (
+  SELECT *, row_number() OVER w AS rk,
+         sum(multiplicity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - multiplicity AS before
+  FROM scored
+  WINDOW w AS (PARTITION BY persona ORDER BY f DESC NULLS LAST, ld DESC, lc DESC, lp DESC, term DESC)
+)
+SELECT persona, term, f, multiplicity,
+       CAST(least(multiplicity, {k} - before) AS BIGINT) AS selected_multiplicity, CAST(rk AS BIGINT) AS rank
+FROM ranked WHERE rk <= {k} AND before < {k}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "persona_source_ratios": _persona_source_ratios(),
@@ -309,4 +440,11 @@ def oracle_sql() -> dict[str, str]:
         "worth_indices": _worth_indices(),
         "annotated_documents": _annotated_documents(),
         "analyse_requests": _analyse_requests(),
+        "vocabulary": _vocabulary(),
+        "bow_exists": _bow_exists(),
+        "bow_contains": _bow_contains(),
+        "term_stats": _term_stats(),
+        "standardise": _standardise(),
+        "anova_f": _anova_f(),
+        "select_top_k": _select_top_k(),
     }

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.plans import analyse, corpus_reports, features, scores
+from clausewise.plans import analyse, bow, corpus_reports, features, scores
 from clausewise.sources import corpus, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,4 +46,11 @@ def queries() -> dict[str, Query]:
         "worth_indices": analyse.worth_indices,
         "annotated_documents": analyse.annotated_documents,
         "analyse_requests": analyse.analyse_requests,
+        "vocabulary": bow.vocabulary_table,
+        "bow_exists": bow.bow_exists,
+        "bow_contains": bow.bow_contains,
+        "term_stats": bow.term_stats_table,
+        "standardise": bow.standardised,
+        "anova_f": bow.anova_table,
+        "select_top_k": bow.selection,
     }
