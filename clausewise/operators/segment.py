@@ -24,11 +24,15 @@ def segment_clauses(docs: DataFrame, text_col: str = "text",
 
 
 def tokenise(clauses: DataFrame, keep: Sequence[str], clause_col: str = "clause",
-             lower: bool = False) -> DataFrame:
-    """One row per token: ``keep..., pos BIGINT (0-based), word``."""
+             lower: bool = False, outer: bool = False) -> DataFrame:
+    """One row per token: ``keep..., pos BIGINT (0-based), word``.
+
+    ``outer=True`` keeps clauses without tokens as one row with NULL pos/word.
+    """
     arr = lower_token_array(F.col(clause_col)) if lower else token_array(F.col(clause_col))
+    gen = F.posexplode_outer(arr) if outer else F.posexplode(arr)
     return (clauses
-            .select(*keep, F.posexplode(arr).alias("pos", "word"))
+            .select(*keep, gen.alias("pos", "word"))
             .withColumn("pos", F.col("pos").cast("long")))
 
 

@@ -419,6 +419,97 @@ SELECT persona, term, f, multiplicity,
 FROM ranked WHERE rk <= {k} AND before < {k}"""
 
 
+
+# labelled distinct clauses, their tokens and the capped corpus dictionary
+def _seq(special: bool, dict_size: int = 30000) -> str:
+    src = "'[CLS] ' || clause || ' [SEP]'" if special else "clause"
+    return f"""
+ldocs AS (
+  SELECT d.doc_id, {clause_list('d.text')} AS arr FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+ldc AS (
+  SELECT doc_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS clause_no, unnest(arr) AS clause FROM ldocs
+),
+ltok AS (
+  SELECT doc_id, clause_no, unnest(t) AS word FROM (SELECT doc_id, clause_no, {token_list('clause')} AS t FROM ldc)
+),
+wcounts AS (
+  SELECT lower(word) AS term, count(*) AS freq FROM ltok WHERE lower(word) NOT IN ('[cls]', '[sep]') GROUP BY 1
+),
+dict AS (
+  SELECT term, CAST(rn + 3 AS INTEGER) AS id
+  FROM (SELECT term, row_number() OVER (ORDER BY freq DESC, term ASC) AS rn FROM wcounts)
+  WHERE rn <= {dict_size - 4}
+),
+ids_src AS (SELECT doc_id, clause_no, {token_list(src)} AS t FROM ldc),
+ids_rows AS (
+  SELECT doc_id, clause_no, generate_subscripts(t, 1) AS pos, unnest(t) AS word FROM ids_src
+),
+ids_agg AS (
+  SELECT r.doc_id, r.clause_no,
+         list(CAST(CASE WHEN r.word = '[CLS]' THEN 2 WHEN r.word = '[SEP]' THEN 3 ELSE coalesce(d.id, 1) END
+                   AS INTEGER) ORDER BY r.pos) AS input_ids
+  FROM ids_rows r LEFT JOIN dict d ON lower(r.word) = d.term
+  GROUP BY r.doc_id, r.clause_no
+),
+ids AS (
+  SELECT s.doc_id, s.clause_no, coalesce(a.input_ids, CAST([] AS INTEGER[])) AS input_ids
+  FROM ids_src s LEFT JOIN ids_agg a ON s.doc_id = a.doc_id AND s.clause_no = a.clause_no
+),
+{LABELLED.strip()},
+pids AS (
+  SELECT l.persona, l.doc_id, l.clause_no, l.class, i.input_ids
+  FROM labelled l JOIN ids i ON l.doc_id = i.doc_id AND l.clause_no = i.clause_no
+),
+maxlen AS (SELECT persona, CAST(max(len(input_ids)) AS BIGINT) AS max_length FROM pids GROUP BY persona)"""
+
+
+def _zeros(n: str, value: int = 0) -> str:
+    return f"CAST(list_transform(range(CAST(greatest({n}, 0) AS BIGINT)), lambda x: {value}) AS INTEGER[])"
+
+
+def _special_tokens() -> str:
+    return f"WITH {_seq(True)} SELECT doc_id, clause_no, '[CLS] ' || clause || ' [SEP]' AS clause FROM ldc"
+
+
+def _encode_ids() -> str:
+    return f"WITH {_seq(False)} SELECT doc_id, clause_no, input_ids FROM ids"
+
+
+def _max_length_by_persona() -> str:
+    return f"WITH {_seq(False)} SELECT persona, max_length FROM maxlen"
+
+
+PADDED = """
+padded AS (
+  SELECT p.persona, p.doc_id, p.clause_no,
+         list_concat(p.input_ids, {zeros}) AS input_ids
+  FROM pids p JOIN maxlen m ON p.persona = m.persona
+)"""
+
+
+def _pad_ids() -> str:
+    pad = PADDED.format(zeros=_zeros("m.max_length - len(p.input_ids)"))
+    return f"WITH {_seq(False)}, {pad} SELECT persona, doc_id, clause_no, input_ids FROM padded"
+
+
+def _shape_check() -> str:
+    pad = PADDED.format(zeros=_zeros("m.max_length - len(p.input_ids)"))
+    return f"""WITH {_seq(False)}, {pad}
+SELECT persona, count(DISTINCT len(input_ids)) <= 1 AS equal_length, CAST(count(*) AS BIGINT) AS n_rows
+FROM padded GROUP BY persona"""
+
+
+def _model_input(max_len: int = 250) -> str:
+    return f"""WITH {_seq(True)}
+SELECT persona, doc_id, clause_no,
+       list_concat(input_ids, {_zeros(f'{max_len} - len(input_ids)')}) AS input_ids,
+       {_zeros(str(max_len))} AS token_type_ids,
+       list_concat({_zeros('len(input_ids)', 1)}, {_zeros(f'{max_len} - len(input_ids)')}) AS attention_mask,
+       [CAST(CASE WHEN class = 'worth_reading' THEN 1 ELSE 0 END AS INTEGER)] AS label
+FROM pids"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "persona_source_ratios": _persona_source_ratios(),
@@ -447,4 +538,10 @@ def oracle_sql() -> dict[str, str]:
         "standardise": _standardise(),
         "anova_f": _anova_f(),
         "select_top_k": _select_top_k(),
+        "special_tokens": _special_tokens(),
+        "encode_ids": _encode_ids(),
+        "max_length_by_persona": _max_length_by_persona(),
+        "pad_ids": _pad_ids(),
+        "shape_check": _shape_check(),
+        "model_input": _model_input(),
     }

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.plans import analyse, bow, corpus_reports, features, scores
+from clausewise.plans import analyse, bow, corpus_reports, features, scores, sequence
 from clausewise.sources import corpus, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,4 +53,10 @@ def queries() -> dict[str, Query]:
         "standardise": bow.standardised,
         "anova_f": bow.anova_table,
         "select_top_k": bow.selection,
+        "special_tokens": sequence.special_token_clauses,
+        "encode_ids": sequence.clause_ids,
+        "max_length_by_persona": sequence.max_length_by_persona,
+        "pad_ids": sequence.padded_ids,
+        "shape_check": sequence.shape_report,
+        "model_input": sequence.transformer_inputs,
     }
