@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.plans import analyse, bow, corpus_reports, features, scores, sequence
+from clausewise.plans import analyse, bow, corpus_reports, features, resample, scores, sequence
 from clausewise.sources import corpus, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,4 +59,7 @@ def queries() -> dict[str, Query]:
         "pad_ids": sequence.padded_ids,
         "shape_check": sequence.shape_report,
         "model_input": sequence.transformer_inputs,
+        "train_test_split": resample.split_labelled,
+        "smote_neighbours": resample.smote_neighbours,
+        "smote_samples": resample.smote_samples,
     }
