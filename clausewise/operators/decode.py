@@ -25,11 +25,13 @@ def decode_columns(score: Column, mode: str) -> tuple[Column, Column]:
     """(class, decode_error) for an ARRAY<DOUBLE> score column."""
     if mode not in MODES:
         raise ValueError(f"Wrong mode selection: {mode!r}")
-    s0 = F.try_element_at(score, F.lit(1)).cast("double")
+    # get() is NULL out of range; try_element_at inside a filtered CASE hit a
+    # whole-stage codegen compile error in Spark 4.1 (interpreted fallback)
+    s0 = F.get(score, F.lit(0)).cast("double")
     if mode == "bert":
         lo, hi, bad = s0 < F.lit(0.5), s0 > F.lit(0.5), _bad(s0)
     else:
-        s1 = F.try_element_at(score, F.lit(2)).cast("double")
+        s1 = F.get(score, F.lit(1)).cast("double")
         if mode == "tfm":
             s0, s1 = F.abs(s0), F.abs(s1)
         lo, hi, bad = s0 > s1, s0 < s1, _bad(s0) | _bad(s1)

@@ -577,6 +577,50 @@ FROM picked p JOIN knn k ON p.id = k.id AND p.nb_rank = k.nb_rank
               JOIN pts q ON q.id = k.nb_id"""
 
 
+
+EVAL = f"""
+{CLASSIFIED},
+eval_rows AS (
+  SELECT c.alertness AS persona, c.doc_id, c.clause_no,
+         CASE WHEN (c.alertness = 'alice' AND l.quality = 1) OR (c.alertness = 'bob' AND l.toxic = 1)
+                   OR (c.alertness = 'charlie' AND l.quality = 1 AND l.toxic = 0) THEN 1 ELSE 0 END AS label,
+         CASE WHEN c.class = 'worth_reading' THEN 1 ELSE 0 END AS prediction,
+         CASE WHEN s.s0 - s.s1 > 700.0 THEN 0.0 ELSE 1.0 / (1.0 + exp(s.s0 - s.s1)) END AS p1
+  FROM classified c
+  JOIN req_scored s ON c.doc_id = s.doc_id AND c.clause_no = s.clause_no
+  JOIN labels l ON c.doc_id = l.doc_id
+  WHERE c.class IS NOT NULL
+),
+cm AS (
+  SELECT persona,
+         CAST(count(*) FILTER (WHERE label = 1 AND prediction = 1) AS BIGINT) AS c00,
+         CAST(count(*) FILTER (WHERE label = 1 AND prediction = 0) AS BIGINT) AS c01,
+         CAST(count(*) FILTER (WHERE label = 0 AND prediction = 1) AS BIGINT) AS c10,
+         CAST(count(*) FILTER (WHERE label = 0 AND prediction = 0) AS BIGINT) AS c11
+  FROM eval_rows GROUP BY persona
+)"""
+
+
+def _confusion_matrix() -> str:
+    return f"WITH {EVAL} SELECT * FROM cm"
+
+
+def _sens_spec() -> str:
+    return f"""WITH {EVAL}
+SELECT *, CASE WHEN c00 + c01 > 0 THEN CAST(c00 AS DOUBLE) / CAST(c00 + c01 AS DOUBLE) END AS sensitivity,
+          CASE WHEN c11 + c10 > 0 THEN CAST(c11 AS DOUBLE) / CAST(c11 + c10 AS DOUBLE) END AS specificity
+FROM cm"""
+
+
+def _holdout_metrics() -> str:
+    return f"""WITH {EVAL}
+SELECT persona, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy,
+       avg(-ln(CASE WHEN label = 1 THEN least(greatest(p1, 1e-7), 1.0 - 1e-7)
+                    ELSE 1.0 - least(greatest(p1, 1e-7), 1.0 - 1e-7) END)) AS loss,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM eval_rows GROUP BY persona"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "persona_source_ratios": _persona_source_ratios(),
@@ -614,4 +658,7 @@ def oracle_sql() -> dict[str, str]:
         "train_test_split": _train_test_split(),
         "smote_neighbours": _smote_neighbours(),
         "smote_samples": _smote_samples(),
+        "confusion_matrix": _confusion_matrix(),
+        "sens_spec": _sens_spec(),
+        "holdout_metrics": _holdout_metrics(),
     }

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.plans import analyse, bow, corpus_reports, features, resample, scores, sequence
+from clausewise.plans import analyse, bow, corpus_reports, evaluate, features, resample, scores, sequence
 from clausewise.sources import corpus, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,4 +62,7 @@ def queries() -> dict[str, Query]:
         "train_test_split": resample.split_labelled,
         "smote_neighbours": resample.smote_neighbours,
         "smote_samples": resample.smote_samples,
+        "confusion_matrix": evaluate.confusion,
+        "sens_spec": evaluate.sens_spec,
+        "holdout_metrics": evaluate.holdout,
     }
