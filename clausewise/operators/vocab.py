@@ -74,9 +74,18 @@ def word_term_map(words: DataFrame, vocab: DataFrame, scope: Sequence[str] = ())
 
     ``words`` has one column ``word`` (distinct); ``vocab`` has ``scope..., term``
     (distinct per scope). The scope is resolved here, on the distinct-word
-    side, so the much larger cell table never needs a semi-join per scope.
+    side, so the much larger token/cell side needs no semi-join per scope.
+    (Carrying a scope set per term and filtering inside each token row was
+    measured slower: the per-row arrays of structs cost more than the
+    per-scope rows of this map.)
     """
     lengths = vocab.select(F.array_sort(F.collect_set(F.length("term"))).alias("l")).scalar()
+    # The distinct words are small on disk but each becomes dozens of
+    # substrings; AQE sizes partitions by input bytes and would put them all
+    # in one task. An explicit round-robin to the configured shuffle width
+    # (which AQE does not coalesce) spreads the expansion over the cluster.
+    width = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = words.repartition(width)
     # the subquery result is projected into a column first: Spark does not
     # allow a subquery inside the lambda of a higher-order function
     starts = (words.select("word", F.length("word").alias("wlen"), lengths.alias("lens"))
@@ -91,17 +100,33 @@ def word_term_map(words: DataFrame, vocab: DataFrame, scope: Sequence[str] = ())
 
 
 def containment_vectors(token_rows: DataFrame, vocab: DataFrame, scope: Sequence[str],
-                        keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+                        keys: Sequence[str], carry: Sequence[str] = (),
+                        vocab_from_same_tokens: bool = False) -> DataFrame:
     """O-12: ``scope..., keys..., carry..., term, n``.
 
     ``token_rows`` holds one row per token (``scope, keys, carry, word``);
     ``carry`` columns are functionally dependent on ``keys`` (e.g. the class)
     and ride along so later statistics need no join back.
+
+    ``vocab_from_same_tokens``: the vocabulary was built from these very
+    tokens (training), so the distinct words are exactly its terms; taking
+    them from the vocabulary avoids another pass over the tokens. When
+    scoring new text against a stored vocabulary, leave it False.
+
+    Shuffles: tokens and the word map meet by (word, scope) (AQE splits a hot
+    word); the matched rows then move ONCE by clause, still carrying the term
+    array (far fewer bytes than exploded pairs), and the explode and the
+    final count run inside that partitioning without another exchange.
     """
     group = [*scope, *keys, *carry]
-    per_word = token_rows.groupBy(*group, "word").agg(F.count(F.lit(1)).cast("long").alias("k"))
-    words = token_rows.select("word").distinct()
+    if vocab_from_same_tokens:
+        words = vocab.select(F.col("term").alias("word")).distinct()
+    else:
+        words = token_rows.select("word").distinct()
     wmap = word_term_map(words, vocab.select(*scope, "term"), scope)
-    cells = (per_word.join(wmap, ["word", *scope])
-             .select(*group, "k", F.explode("terms").alias("term")))
-    return cells.groupBy(*group, "term").agg(F.sum("k").cast("long").alias("n"))
+    width = int(token_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matched = (token_rows.join(wmap, ["word", *scope])
+               .select(*group, "terms")
+               .repartition(width, *scope, *keys))
+    return (matched.select(*group, F.explode("terms").alias("term"))
+                   .groupBy(*group, "term").agg(F.count(F.lit(1)).alias("n")))

@@ -15,6 +15,7 @@ from clausewise.operators.labels import encode_fixed
 from clausewise.operators.segment import segment_clauses
 from clausewise.operators.stats import TOP_K, anova_f, scope_sizes, select_top_k, standardise, term_stats
 from clausewise.operators.vocab import containment_vectors, existence_vectors, vocabulary
+from clausewise.session import checkpoint_dir
 from clausewise.sources import tables
 from clausewise.sources.corpus import PERSONAS, class_rules
 
@@ -50,8 +51,15 @@ def bow_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(lta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    # The token arrays feed three branches (vocabulary, word map, cells).
+    # A reliable checkpoint in the session's checkpoint folder cuts the
+    # lineage once, so the regex work is not repeated per branch and a lost
+    # executor does not send the job back to the raw text.
+    checkpoint_dir(lta.sparkSession)
+    lta = lta.checkpoint(eager=True)
     vocab = vocabulary(lta, SCOPE, KEYS)
-    cells = containment_vectors(labelled_token_rows(lta), vocab, SCOPE, KEYS, carry=["label"])
+    cells = containment_vectors(labelled_token_rows(lta), vocab, SCOPE, KEYS, carry=["label"],
+                                vocab_from_same_tokens=True)
     return cells, vocab
 
 
