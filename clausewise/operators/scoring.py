@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values (our choices): iteration cap of the solvers, hashing width.
-MAX_ITER = 50
+MAX_ITER = 30
 NGRAM_FEATURES = 1 << 18
 
 
@@ -72,11 +72,17 @@ def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def batch_scorer(fn: Callable[..., np.ndarray], n_inputs: int, batch_size: int = 4096) -> Callable[..., Column]:
-    """O-33c: wrap a caller's NumPy batch function (inputs -> (batch, 2)) as a
-    vectorised UDF; Spark sends Arrow batches, the function sees arrays."""
+    """O-33c: wrap a caller's NumPy batch function ``fn(col_1, ..., col_n) ->
+    (batch, 2)`` as a vectorised UDF. The inputs travel as one (batch, n)
+    tensor in Arrow batches; the function sees one array per input column."""
     def make_predict_fn():
-        def predict(*cols: np.ndarray) -> np.ndarray:
-            return fn(*cols)
+        def predict(x: np.ndarray) -> np.ndarray:
+            x = np.asarray(x, dtype=np.float64).reshape(-1, n_inputs)
+            return fn(*[x[:, i] for i in range(n_inputs)])
         return predict
-    return predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()),
-                             batch_size=batch_size)
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()),
+                            batch_size=batch_size, input_tensor_shapes=[[n_inputs]])
+
+    def apply(*cols: Column) -> Column:
+        return udf(F.array(*[c.cast("double") for c in cols]))
+    return apply

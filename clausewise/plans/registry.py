@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.plans import analyse, bow, corpus_reports, evaluate, features, resample, scores, sequence
+from clausewise.plans import analyse, bow, corpus_reports, evaluate, features, models, resample, scores, sequence
 from clausewise.sources import corpus, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,4 +65,9 @@ def queries() -> dict[str, Query]:
         "confusion_matrix": evaluate.confusion,
         "sens_spec": evaluate.sens_spec,
         "holdout_metrics": evaluate.holdout,
+        # model fitting/scoring: rows-only checks (no SQL oracle)
+        "score_bow": models.score_bow,
+        "score_sequence": models.score_sequence,
+        "score_external": models.score_external,
+        "best_run": models.best_run,
     }
