@@ -40,58 +40,105 @@ def labelled_token_rows(lta: DataFrame) -> DataFrame:
     return lta.select(*SCOPE, *KEYS, "label", F.explode("tokens").alias("word"))
 
 
+# --- shared-corpus plan -----------------------------------------------------
+# In the labelled corpus the three personas read the SAME clauses and differ
+# only in their labels. Tokens, vocabulary and containment cells are
+# therefore computed once per clause, with the three labels carried as
+# columns, and fanned out to the personas only where an output needs the
+# persona (a narrow inline). This is exact: each persona's vocabulary is the
+# corpus vocabulary. The per-scope operators stay generic for corpora whose
+# personas hold different clauses.
+
+LABEL_COLS = [f"label_{p}" for p in PERSONAS]
+
+
+def corpus_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, clause_no, tokens, label_alice, label_bob, label_charlie``,
+    checkpointed once (reliable, in the session's checkpoint folder)."""
+    docs = tables.documents(spark, sf_dir).select("doc_id", "text")
+    lab = tables.labels(spark, sf_dir).select("doc_id", "quality", "toxic")
+    seg = segment_clauses(docs.join(lab, "doc_id"), keep=("doc_id", "quality", "toxic"))
+    rules = class_rules(F.col("quality"), F.col("toxic"))
+    units = seg.select(*KEYS, token_array(F.col("clause")).alias("tokens"),
+                       *[encode_fixed(rules[p]).alias(f"label_{p}") for p in PERSONAS])
+    checkpoint_dir(spark)
+    return units.checkpoint(eager=True)
+
+
+def _fan_out() -> F.Column:
+    return F.inline(F.array(*[F.struct(F.lit(p).alias("persona"), F.col(f"label_{p}").alias("label"))
+                              for p in PERSONAS]))
+
+
+def _personas() -> F.Column:
+    return F.explode(F.array(*[F.lit(p) for p in PERSONAS])).alias("persona")
+
+
+def corpus_cells(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    vocab = vocabulary(units, [], KEYS)
+    rows = units.select(*KEYS, *LABEL_COLS, F.explode("tokens").alias("word"))
+    cells = containment_vectors(rows, vocab, [], KEYS, carry=LABEL_COLS, vocab_from_same_tokens=True)
+    return cells, vocab
+
+
+def corpus_sizes(units: DataFrame) -> DataFrame:
+    return scope_sizes(units.select(_fan_out()), SCOPE, "label")
+
+
 def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary(labelled_token_arrays(spark, sf_dir), SCOPE, KEYS)
+    vocab = vocabulary(corpus_units(spark, sf_dir), [], KEYS)
+    return vocab.select(_personas(), *vocab.columns)
 
 
 def bow_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lta = labelled_token_arrays(spark, sf_dir)
-    vocab = vocabulary(lta, SCOPE, KEYS)
-    return existence_vectors(lta, vocab, SCOPE, KEYS)
-
-
-def _cells(lta: DataFrame) -> tuple[DataFrame, DataFrame]:
-    # The token arrays feed three branches (vocabulary, word map, cells).
-    # A reliable checkpoint in the session's checkpoint folder cuts the
-    # lineage once, so the regex work is not repeated per branch and a lost
-    # executor does not send the job back to the raw text.
-    checkpoint_dir(lta.sparkSession)
-    lta = lta.checkpoint(eager=True)
-    vocab = vocabulary(lta, SCOPE, KEYS)
-    cells = containment_vectors(labelled_token_rows(lta), vocab, SCOPE, KEYS, carry=["label"],
-                                vocab_from_same_tokens=True)
-    return cells, vocab
+    units = corpus_units(spark, sf_dir)
+    vocab = vocabulary(units, [], KEYS)
+    ex = existence_vectors(units, vocab, [], KEYS)
+    return ex.select(_personas(), *KEYS, "term", "n")
 
 
 def bow_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, _ = _cells(labelled_token_arrays(spark, sf_dir))
-    return cells.select(*SCOPE, *KEYS, "term", "n")
+    cells, _ = corpus_cells(corpus_units(spark, sf_dir))
+    return cells.select(_personas(), *KEYS, "term", "n")
+
+
+def _corpus_stats(units: DataFrame, cells: DataFrame) -> DataFrame:
+    one = F.lit(0).alias("_corpus")
+    sizes = units.groupBy(one).agg(F.count(F.lit(1)).cast("long").alias("n_units"))
+    return term_stats(cells.withColumn("_corpus", F.lit(0)), sizes, ["_corpus"]).drop("_corpus")
 
 
 def term_stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lta = labelled_token_arrays(spark, sf_dir)
-    cells, _ = _cells(lta)
-    return term_stats(cells, scope_sizes(lta, SCOPE), SCOPE)
+    units = corpus_units(spark, sf_dir)
+    cells, _ = corpus_cells(units)
+    st = _corpus_stats(units, cells)
+    return st.select(_personas(), *st.columns)
 
 
 def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lta = labelled_token_arrays(spark, sf_dir)
-    cells, _ = _cells(lta)
-    stats = term_stats(cells, scope_sizes(lta, SCOPE), SCOPE)
-    return standardise(cells, stats, SCOPE).select(*SCOPE, *KEYS, "term", "n", "z")
+    units = corpus_units(spark, sf_dir)
+    cells, _ = corpus_cells(units)
+    z = standardise(cells, _corpus_stats(units, cells), [])
+    return z.select(_personas(), *KEYS, "term", "n", "z")
+
+
+def _anova(units: DataFrame, cells: DataFrame) -> DataFrame:
+    per_persona = cells.select(*KEYS, "term", "n", _fan_out())
+    return anova_f(per_persona, corpus_sizes(units), SCOPE)
 
 
 def anova_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lta = labelled_token_arrays(spark, sf_dir)
-    cells, _ = _cells(lta)
-    return anova_f(cells, scope_sizes(lta, SCOPE, "label"), SCOPE)
+    units = corpus_units(spark, sf_dir)
+    cells, _ = corpus_cells(units)
+    return _anova(units, cells)
 
 
 def selection(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
-    lta = labelled_token_arrays(spark, sf_dir)
-    cells, vocab = _cells(lta)
-    f = anova_f(cells, scope_sizes(lta, SCOPE, "label"), SCOPE)
-    scored = f.join(vocab, [*SCOPE, "term"], "right").select(
+    units = corpus_units(spark, sf_dir)
+    cells, vocab = corpus_cells(units)
+    f = _anova(units, cells)
+    per_persona_vocab = vocab.select(_personas(), *vocab.columns)
+    scored = f.join(per_persona_vocab, [*SCOPE, "term"], "right").select(
         *SCOPE, "term", "f", "multiplicity", "last_doc_id", "last_clause_no", "last_pos")
     top = select_top_k(scored, SCOPE, k, tie_cols=["last_doc_id", "last_clause_no", "last_pos"])
     return top.select(*SCOPE, "term", "f", "multiplicity", "selected_multiplicity", "rank")
