@@ -136,9 +136,32 @@ def anova_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selection(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
     units = corpus_units(spark, sf_dir)
     cells, vocab = corpus_cells(units)
+    top = _selected_terms(units, cells, vocab, k)
+    return top.select(*SCOPE, "term", "f", "multiplicity", "selected_multiplicity", "rank")
+
+
+def _selected_terms(units: DataFrame, cells: DataFrame, vocab: DataFrame, k: int = TOP_K) -> DataFrame:
     f = _anova(units, cells)
     per_persona_vocab = vocab.select(_personas(), *vocab.columns)
     scored = f.join(per_persona_vocab, [*SCOPE, "term"], "right").select(
         *SCOPE, "term", "f", "multiplicity", "last_doc_id", "last_clause_no", "last_pos")
-    top = select_top_k(scored, SCOPE, k, tie_cols=["last_doc_id", "last_clause_no", "last_pos"])
-    return top.select(*SCOPE, "term", "f", "multiplicity", "selected_multiplicity", "rank")
+    return select_top_k(scored, SCOPE, k, tie_cols=["last_doc_id", "last_clause_no", "last_pos"])
+
+
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 feature step for new documents (requests): containment counts
+    against the request persona's selected terms (O-12 + the O-29 mask), and
+    the scaler re-fitted on each document as the reference does (O-28,
+    scope = document; N = the document's clauses)."""
+    from clausewise.plans import analyse
+
+    units = corpus_units(spark, sf_dir)
+    cells, vocab = corpus_cells(units)
+    selected = _selected_terms(units, cells, vocab).select(*SCOPE, "term")
+    rc = analyse.request_clauses(spark, sf_dir).withColumnRenamed("alertness", "persona")
+    rows = rc.select("persona", *KEYS, F.explode(token_array(F.col("clause"))).alias("word"))
+    dcells = containment_vectors(rows, selected, SCOPE, KEYS)
+    sizes = rc.groupBy("persona", "doc_id").agg(F.count(F.lit(1)).cast("long").alias("n_units"))
+    stats = term_stats(dcells, sizes, ["persona", "doc_id"])
+    z = standardise(dcells, stats, ["persona", "doc_id"])
+    return z.select("persona", *KEYS, "term", "n", "z")

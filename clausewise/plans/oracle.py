@@ -402,8 +402,8 @@ def _anova_f() -> str:
     return f"WITH {CELLS} SELECT persona, term, s0, s1, q, f FROM anova"
 
 
-def _select_top_k(k: int = 12000) -> str:
-    return f"""WITH {CELLS},
+def _selection_ctes(k: int = 12000) -> str:
+    return f"""
 scored AS (
   SELECT v.persona, v.term, a.f, v.multiplicity, v.l.d AS ld, v.l.c AS lc, v.l.p AS lp
   FROM vocab v LEFT JOIN anova a ON a.persona = v.persona AND a.term = v.term
@@ -413,10 +413,53 @@ ranked AS (
          sum(multiplicity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - multiplicity AS before
   FROM scored
   WINDOW w AS (PARTITION BY persona ORDER BY f DESC NULLS LAST, ld DESC, lc DESC, lp DESC, term DESC)
+),
+selected AS (
+  SELECT persona, term, f, multiplicity,
+         CAST(least(multiplicity, {k} - before) AS BIGINT) AS selected_multiplicity, CAST(rk AS BIGINT) AS rank
+  FROM ranked WHERE rk <= {k} AND before < {k}
+)"""
+
+
+def _select_top_k(k: int = 12000) -> str:
+    return f"WITH {CELLS}, {_selection_ctes(k)} SELECT * FROM selected"
+
+
+def _document_features() -> str:
+    return f"""WITH {CELLS}, {_selection_ctes()}, {REQUESTS.strip()},
+doc_arrays AS (
+  SELECT request_id AS doc_id, alertness AS persona, {clause_list('text')} AS arr FROM checked WHERE reason IS NULL
+),
+doc_clauses AS (
+  SELECT doc_id, persona, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS clause_no, unnest(arr) AS clause
+  FROM doc_arrays
+),
+doc_tokens AS (
+  SELECT persona, doc_id, clause_no, unnest({token_list('clause')}) AS word FROM doc_clauses
+),
+doc_words AS (SELECT DISTINCT persona, word FROM doc_tokens),
+doc_word_terms AS (
+  SELECT w.persona, w.word, s.term FROM doc_words w JOIN selected s ON s.persona = w.persona AND contains(w.word, s.term)
+),
+doc_cells AS (
+  SELECT t.persona, t.doc_id, t.clause_no, m.term, CAST(count(*) AS BIGINT) AS n
+  FROM doc_tokens t JOIN doc_word_terms m ON t.persona = m.persona AND t.word = m.word
+  GROUP BY t.persona, t.doc_id, t.clause_no, m.term
+),
+doc_sizes AS (SELECT persona, doc_id, CAST(count(*) AS BIGINT) AS n_units FROM doc_clauses GROUP BY persona, doc_id),
+doc_sums AS (
+  SELECT persona, doc_id, term, CAST(sum(n) AS BIGINT) AS total, CAST(sum(n * n) AS BIGINT) AS total_sq
+  FROM doc_cells GROUP BY persona, doc_id, term
+),
+doc_stats AS (
+  SELECT s.persona, s.doc_id, s.term, CAST(s.total AS DOUBLE) / CAST(z.n_units AS DOUBLE) AS mean,
+         CASE WHEN CAST(z.n_units AS HUGEINT) * s.total_sq - CAST(s.total AS HUGEINT) * s.total = 0 THEN 1.0
+              ELSE sqrt(CAST(CAST(z.n_units AS HUGEINT) * s.total_sq - CAST(s.total AS HUGEINT) * s.total AS DOUBLE))
+                   / CAST(z.n_units AS DOUBLE) END AS std
+  FROM doc_sums s JOIN doc_sizes z ON s.persona = z.persona AND s.doc_id = z.doc_id
 )
-SELECT persona, term, f, multiplicity,
-       CAST(least(multiplicity, {k} - before) AS BIGINT) AS selected_multiplicity, CAST(rk AS BIGINT) AS rank
-FROM ranked WHERE rk <= {k} AND before < {k}"""
+SELECT c.persona, c.doc_id, c.clause_no, c.term, c.n, (CAST(c.n AS DOUBLE) - t.mean) / t.std AS z
+FROM doc_cells c JOIN doc_stats t ON c.persona = t.persona AND c.doc_id = t.doc_id AND c.term = t.term"""
 
 
 
@@ -649,6 +692,7 @@ def oracle_sql() -> dict[str, str]:
         "standardise": _standardise(),
         "anova_f": _anova_f(),
         "select_top_k": _select_top_k(),
+        "document_features": _document_features(),
         "special_tokens": _special_tokens(),
         "encode_ids": _encode_ids(),
         "max_length_by_persona": _max_length_by_persona(),

@@ -53,6 +53,7 @@ def queries() -> dict[str, Query]:
         "standardise": bow.standardised,
         "anova_f": bow.anova_table,
         "select_top_k": bow.selection,
+        "document_features": bow.document_features,
         "special_tokens": sequence.special_token_clauses,
         "encode_ids": sequence.clause_ids,
         "max_length_by_persona": sequence.max_length_by_persona,
