@@ -104,6 +104,12 @@ def select_top_k(scored: DataFrame, scope: Sequence[str], k: int = TOP_K,
     WindowGroupLimit, which keeps only k rows per scope in every map task
     before the shuffle; the running sum then runs on at most k rows per scope.
     """
+    # WindowGroupLimit is only planned for limits up to this threshold (default
+    # 1000); below k the whole vocabulary of a scope would be sorted in one task
+    conf = scored.sparkSession.conf
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(conf.get(key, "1000")) < k:
+        conf.set(key, str(k))
     order = [F.col("f").desc_nulls_last(), *[F.col(c).desc() for c in tie_cols], F.col("term").desc()]
     w = Window.partitionBy(*scope).orderBy(*order)
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
