@@ -3,7 +3,7 @@
 Split (O-31). The reference takes an exact ``ceil(0.2 * n)`` test rows. We
 order rows by ``md5(key:seed)`` and take the first ``n_test`` per scope
 without a global sort: a histogram over the first four hex digits (at most
-65,536 buckets per scope, a proven bound, so it is broadcast), a running sum
+65,536 buckets per scope; AQE broadcasts it once it has measured it), a running sum
 over that small table, and a rank only inside the one boundary bucket of each
 scope (about n / 65,536 rows). Membership is independent of partitioning,
 unlike ``randomSplit``.
@@ -60,8 +60,10 @@ def first_by_hash(df: DataFrame, scope: Sequence[str], keys: Sequence[str], n_ta
     w = Window.partitionBy(*scope).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     info = (hist.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt"))
                 .join(n_take, list(scope)))
-    # at most 65,536 rows per scope: broadcast is size-checked by construction
-    t = tagged.join(F.broadcast(info), [*scope, "_b"])
+    # at most 65,536 rows per scope; the table comes out of an aggregate, so
+    # AQE sees its real size and broadcasts it only when it is small (a few
+    # scopes), otherwise the join stays a shuffle join
+    t = tagged.join(info, [*scope, "_b"])
     whole_in = F.col("_before") + F.col("_cnt") <= F.col("n_take")
     whole_out = F.col("_before") >= F.col("n_take")
     settled = t.where(whole_in | whole_out).withColumn("in_head", whole_in)

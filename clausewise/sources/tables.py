@@ -21,21 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that arrives in fewer splits than the cluster has
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Redistribute a scan that arrives in fewer splits than the cluster has
     cores (e.g. one large single-row-group file), so the narrow text work
-    after it (segmentation, tokenising) runs on every core. At scale a scan
-    already has far more splits than cores and this is a no-op; the check
-    only plans the scan, it runs no job.
+    after it (segmentation, tokenising) runs on every core. With ``key`` the
+    rows are hash-partitioned on it, which costs the same shuffle and lets
+    later per-document / per-clause groupings (reports, id regrouping) run
+    without another exchange. At scale a scan already has far more splits
+    than cores and nothing is added; the check only plans the scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores, key) if key else df.repartition(cores)
     return df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,17 @@ def test_existence_vectors(spark):
     got = existence_vectors(df, voc, ["scope"], ["doc_id", "clause_no"]).collect()
     assert {(r.scope, r.clause_no, r.term) for r in got} == exist
     assert all(r.n == 1 for r in got)
+
+
+def test_results_independent_of_partitioning(spark):
+    """Property from SURVEY §5: the same cells whatever the input partitioning."""
+    from clausewise.plans import bow
+
+    from conftest import SF_SMALL
+
+    units = bow.corpus_units(spark, SF_SMALL)
+    a = bow.corpus_cells(units)[0].select("doc_id", "clause_no", "term", "n")
+    b = bow.corpus_cells(units.repartition(7, "clause_no"))[0].select("doc_id", "clause_no", "term", "n")
+    c = bow.corpus_cells(units.coalesce(1))[0].select("doc_id", "clause_no", "term", "n")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
