@@ -25,3 +25,23 @@ def persona_source_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
                             for p in PERSONAS])
     classified = seg.select("source", F.inline(per_persona))
     return with_ratios(class_counts(classified, ["persona", "source"]))
+
+
+def doc_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-03 over the shared tables: every document is written as a text file
+    (one folder per doc_id, in the session's shared checkpoint folder) and
+    read back with the text-file source: ``doc_id, clause_no, clause`` where a
+    clause keeps its line end, as a file iterated line by line gives it. The
+    text writer ends each file with a newline."""
+    import os
+    import uuid
+
+    from clausewise.session import checkpoint_dir
+    from clausewise.sources.files import read_text_clauses
+
+    root = os.path.join(checkpoint_dir(spark), f"doc_text_{uuid.uuid4().hex}")
+    (tables.documents(spark, sf_dir).select("doc_id", "text")
+     .write.mode("overwrite").partitionBy("doc_id").text(root))
+    clauses = read_text_clauses(spark, root)
+    doc_id = F.regexp_extract(F.col("source_file"), r"doc_id=(-?\d+)", 1).cast("long")
+    return clauses.select(doc_id.alias("doc_id"), "clause_no", "clause")

@@ -664,10 +664,26 @@ SELECT persona, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accur
 FROM eval_rows GROUP BY persona"""
 
 
+def _doc_clauses() -> str:
+    # the file holds text + '\n'; every line keeps its '\n' (the file ends with one)
+    return f"""
+WITH file_lines AS (
+  SELECT doc_id, string_split(text || chr(10), chr(10)) AS parts FROM documents
+),
+kept AS (
+  SELECT doc_id,
+         list_filter(list_transform(parts[1:len(parts) - 1], lambda x: x || chr(10)),
+                     lambda x: NOT regexp_full_match(x, '{WS}*')) AS arr
+  FROM file_lines
+)
+SELECT doc_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS clause_no, unnest(arr) AS clause FROM kept"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "persona_source_ratios": _persona_source_ratios(),
         "segment_clauses": _segment_clauses(),
+        "doc_clauses": _doc_clauses(),
         "tokenise_clauses": _tokenise_clauses(),
         "labelled_clauses": _labelled_clauses(),
         "parse_requests": _parse_requests(),

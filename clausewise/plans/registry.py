@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
     return {
         "persona_source_ratios": corpus_reports.persona_source_ratios,
         "segment_clauses": corpus.clauses,
+        "doc_clauses": corpus_reports.doc_clauses,
         "tokenise_clauses": features.all_tokens,
         "labelled_clauses": corpus.labelled_clauses,
         "parse_requests": _parse,
