@@ -51,7 +51,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     (a shared file system). Only when it is unset (local tests) do we make a
     scratch folder of our own.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -30,8 +30,12 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     without another exchange. At scale a scan already has far more splits
     than cores and nothing is added; the check only plans the scan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no driver-side context (e.g. a Spark Connect client)
+        return df
+    if splits < cores:
         return df.repartition(cores, key) if key else df.repartition(cores)
     return df
 
