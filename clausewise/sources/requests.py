@@ -28,10 +28,16 @@ def parse(raw: DataFrame, body_col: str = "body", id_col: str = "request_id") ->
     """``request_id, alertness, title, text, reason``."""
     req = F.from_json(F.col(body_col), REQUEST_SCHEMA,
                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    p = raw.select(F.col(id_col).alias("request_id"), req.alias("r"), F.col(body_col).alias("_body"))
+    # The parsed struct is the single input row of an inline(): the optimizer
+    # would otherwise inline from_json into every later reference (each check
+    # of the reason, each field, and the pushed-down validity filter), i.e.
+    # parse every document several times. A generator is not collapsed into
+    # its consumers, so each body is parsed exactly once.
+    parsed = F.inline(F.array(F.struct(req.alias("r"), F.col(body_col).isNull().alias("_no_body"))))
+    p = raw.select(F.col(id_col).alias("request_id"), parsed)
     alert = F.col("r.alertness")
     text = F.col("r.text")
-    reason = (F.when(F.col("_body").isNull() | F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull(),
+    reason = (F.when(F.col("_no_body") | F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull(),
                      F.lit("invalid_json"))
               .when(alert.isNull(), F.lit("missing_alertness"))
               .when(~alert.isin(*PERSONAS), F.lit("invalid_alertness"))

@@ -1,7 +1,6 @@
 """C2 decoding ties/NaN per mode, request validation and rejects."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from clausewise.operators.decode import decode
 from clausewise.sources import requests

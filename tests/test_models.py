@@ -3,7 +3,6 @@ external batch scorer equals the built-in expression version."""
 
 import math
 
-from pyspark.sql import functions as F
 
 from clausewise.plans import analyse, models
 from clausewise.sources import corpus

@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from clausewise.operators.stats import anova_f, scope_sizes, select_top_k, standardise, term_stats
 
