@@ -145,7 +145,7 @@ def smote(minority: DataFrame, n_majority: Column, k: int = K_NEIGHBOURS, seed:
     g = F.greatest(n_majority.cast("long") - n_min, F.lit(0).cast("long"))
     with_n = pts.withColumn("_n_min", n_min).withColumn("_g", g).withColumn("_scope", F.lit(0))
     n_take = with_n.select(F.lit(0).alias("_scope"),
-                           F.pmod(F.col("_g"), F.greatest(F.col("_n_min"), F.lit(1))).alias("n_take")).limit(1)
+                           F.pmod(F.col("_g"), F.greatest(F.col("_n_min"), F.lit(1))).alias("n_take")).distinct()
     headed = first_by_hash(with_n, ["_scope"], ["id"], n_take, seed)
     per_row = (F.floor(F.col("_g") / F.greatest(F.col("_n_min"), F.lit(1))).cast("long")
                + F.col("in_head").cast("long"))
