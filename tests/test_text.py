@@ -49,3 +49,17 @@ def test_segmentation_matches_python(spark):
     got = {r.i: r.c for r in df.select("i", clause_array(F.col("t")).alias("c")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == reference_clauses(t), repr(t)
+
+
+def test_random_strings_match_python(spark):
+    """Property."""
+    import random
+
+    rng = random.Random(7)
+    alphabet = list("abcdegE.,()  xyz") + PY_WS + ["\n", "\r\n", chr(0x200b)]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", token_array(F.col("t")).alias("tok"), clause_array(F.col("t")).alias("cl")).collect()
+    for r in got:
+        assert r.tok == reference_tokens(texts[r.i]), repr(texts[r.i])
+        assert r.cl == reference_clauses(texts[r.i]), repr(texts[r.i])
