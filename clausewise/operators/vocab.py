@@ -34,7 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,17 +45,49 @@ def distinct_token_rows(token_arrays: DataFrame, keys: Sequence[str], tokens_col
             .withColumn("dpos", F.col("dpos").cast("long")))
 
 
+# Position packing for the first/last column of a term. min/max over a struct
+# forces a sort-based aggregate; one DECIMAL(38,0) with the same order keeps
+# the (much cheaper) hash aggregate. Layout, 38 digits: doc key + 2^63 (20
+# digits), clause number (9 digits), position in the clause (9 digits). A
+# clause number or in-clause position is bounded by one row of text, far
+# below 10^9.
+_DEC = "decimal(38,0)"
+_OFFSET = str(2 ** 63)
+
+
+def _pack(o1: Column, o2: Column, pos: Column) -> Column:
+    return ((o1.cast(_DEC) + F.lit(_OFFSET).cast(_DEC)) * F.lit(10 ** 18).cast(_DEC)
+            + o2.cast(_DEC) * F.lit(10 ** 9).cast(_DEC) + pos.cast(_DEC))
+
+
+def _unpack(v: Column) -> tuple[Column, Column, Column]:
+    s = F.lpad(v.cast("string"), 38, "0")
+    o1 = (F.substring(s, 1, 20).cast(_DEC) - F.lit(_OFFSET).cast(_DEC)).cast("long")
+    return o1, F.substring(s, 21, 9).cast("long"), F.substring(s, 30, 9).cast("long")
+
+
 def vocabulary(token_arrays: DataFrame, scope: Sequence[str], order: Sequence[str],
                tokens_col: str = "tokens") -> DataFrame:
     """O-11: ``scope..., term, multiplicity, first_*, last_*`` (positions in ``order`` + dpos)."""
     rows = distinct_token_rows(token_arrays, [*scope, *order], tokens_col)
+    names = [*order, "dpos"]
+    if len(order) == 2:
+        pos = _pack(F.col(order[0]), F.col(order[1]), F.col("dpos"))
+        agg = rows.groupBy(*scope, "term").agg(
+            F.count(F.lit(1)).cast("long").alias("multiplicity"),
+            F.min(pos).alias("_first"), F.max(pos).alias("_last"))
+        cols = [*scope, "term", "multiplicity"]
+        for side in ("first", "last"):
+            for c, e in zip(names, _unpack(F.col(f"_{side}"))):
+                cols.append(e.alias(f"{side}_{'pos' if c == 'dpos' else c}"))
+        return agg.select(*cols)
     pos = F.struct(*[F.col(c) for c in order], F.col("dpos"))
     agg = rows.groupBy(*scope, "term").agg(
         F.count(F.lit(1)).cast("long").alias("multiplicity"),
         F.min(pos).alias("_first"), F.max(pos).alias("_last"))
     cols = [*scope, "term", "multiplicity"]
     for side in ("first", "last"):
-        for c in [*order, "dpos"]:
+        for c in names:
             cols.append(F.col(f"_{side}.{c}").alias(f"{side}_{'pos' if c == 'dpos' else c}"))
     return agg.select(*cols)
 

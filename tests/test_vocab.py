@@ -99,3 +99,14 @@ def test_results_independent_of_partitioning(spark):
     c = bow.corpus_cells(units.coalesce(1))[0].select("doc_id", "clause_no", "term", "n")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
+
+
+def test_position_packing_round_trip_and_order(spark):
+    from clausewise.operators.vocab import _pack, _unpack
+
+    vals = [(-(2 ** 63), 0, 0), (2 ** 63 - 1, 999_999_999, 999_999_999), (0, 5, 7), (-1, 3, 2), (7, 0, 1)]
+    df = spark.createDataFrame(vals, "a long, b long, c long").withColumn("v", _pack(F.col("a"), F.col("b"), F.col("c")))
+    out = df.select("a", "b", "c", "v", *[e.alias(n) for n, e in zip("xyz", _unpack(F.col("v")))]).collect()
+    for r in out:
+        assert (r.x, r.y, r.z) == (r.a, r.b, r.c)
+    assert [(r.a, r.b, r.c) for r in sorted(out, key=lambda r: r.v)] == sorted(vals)
