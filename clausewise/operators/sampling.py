@@ -50,16 +50,22 @@ def hash_fraction(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
 
 
-def first_by_hash(df: DataFrame, scope: Sequence[str], keys: Sequence[str], n_take: DataFrame,
+def first_by_hash(df: DataFrame, scope: Sequence[str], keys: Sequence[str], n_take,
                   seed: int = SEED) -> DataFrame:
     """Adds ``in_head``: true for the first ``n_take`` rows of each scope in
-    md5(keys:seed) order. ``n_take`` is a table ``scope..., n_take``."""
+    md5(keys:seed) order. ``n_take`` is a table ``scope..., n_take``, or with
+    an empty scope a scalar column."""
     h = order_hash(keys, seed)
     tagged = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     hist = tagged.groupBy(*scope, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    # without a scope the window runs over at most 65,536 histogram rows
     w = Window.partitionBy(*scope).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    info = (hist.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt"))
-                .join(n_take, list(scope)))
+    info = hist.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt"))
+    if scope:
+        info = info.join(n_take, list(scope))
+    else:
+        # a scalar column, never a join on a constant key (cartesian product)
+        info = info.withColumn("n_take", n_take)
     # at most 65,536 rows per scope; the table comes out of an aggregate, so
     # AQE sees its real size and broadcasts it only when it is small (a few
     # scopes), otherwise the join stays a shuffle join
@@ -143,10 +149,9 @@ def smote(minority: DataFrame, n_majority: Column, k: int = K_NEIGHBOURS, seed:
     stats = pts.select(F.count(F.lit(1)).cast("long").alias("n_min"))
     n_min = stats.scalar()
     g = F.greatest(n_majority.cast("long") - n_min, F.lit(0).cast("long"))
-    with_n = pts.withColumn("_n_min", n_min).withColumn("_g", g).withColumn("_scope", F.lit(0))
-    n_take = with_n.select(F.lit(0).alias("_scope"),
-                           F.pmod(F.col("_g"), F.greatest(F.col("_n_min"), F.lit(1))).alias("n_take")).distinct()
-    headed = first_by_hash(with_n, ["_scope"], ["id"], n_take, seed)
+    with_n = pts.withColumn("_n_min", n_min).withColumn("_g", g)
+    n_take = F.pmod(g, F.greatest(n_min, F.lit(1).cast("long")))
+    headed = first_by_hash(with_n, [], ["id"], n_take, seed)
     per_row = (F.floor(F.col("_g") / F.greatest(F.col("_n_min"), F.lit(1))).cast("long")
                + F.col("in_head").cast("long"))
     samples = (headed.where(F.col("_n_min") >= 2)

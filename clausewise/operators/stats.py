@@ -38,17 +38,23 @@ def scope_sizes(units: DataFrame, scope: Sequence[str], label_col: str | None =
     return units.groupBy(*scope).agg(*aggs)
 
 
-def term_stats(cells: DataFrame, sizes: DataFrame, scope: Sequence[str]) -> DataFrame:
+def term_stats(cells: DataFrame, sizes, scope: Sequence[str]) -> DataFrame:
     """O-20: ``scope..., term, total, total_sq, n_units, mean, std, z0``.
 
+    ``sizes``: a table ``scope..., n_units``, or with an empty scope a scalar
+    column holding the number of units.
+
     Population deviation (divide by N); a zero deviation is replaced by 1.
     """
     sums = cells.groupBy(*scope, "term").agg(
         F.sum("n").cast("long").alias("total"),
         F.sum(F.col("n") * F.col("n")).cast("long").alias("total_sq"))
-    if not scope:
-        raise ValueError("term_stats needs a scope column (e.g. persona or doc_id)")
-    s = sums.join(sizes.select(*scope, "n_units"), list(scope))
+    if scope:
+        s = sums.join(sizes.select(*scope, "n_units"), list(scope))
+    else:
+        # one corpus-wide N: a scalar subquery column, never a join on a
+        # constant key (which the optimizer turns into a cartesian product)
+        s = sums.withColumn("n_units", sizes)
     n = F.col("n_units").cast(DEC)
     spread = n * F.col("total_sq").cast(DEC) - F.col("total").cast(DEC) * F.col("total").cast(DEC)
     nd = F.col("n_units").cast("double")

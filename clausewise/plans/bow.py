@@ -103,9 +103,8 @@ def bow_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpus_stats(units: DataFrame, cells: DataFrame) -> DataFrame:
-    one = F.lit(0).alias("_corpus")
-    sizes = units.groupBy(one).agg(F.count(F.lit(1)).cast("long").alias("n_units"))
-    return term_stats(cells.withColumn("_corpus", F.lit(0)), sizes, ["_corpus"]).drop("_corpus")
+    n_units = units.select(F.count(F.lit(1)).cast("long")).scalar()
+    return term_stats(cells, n_units, [])
 
 
 def term_stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
