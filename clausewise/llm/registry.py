@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_rows
+from . import queries_corpus, queries_rows
 
-MODULES = (queries_rows,)
+MODULES = (queries_rows, queries_corpus)
 
 
 def queries() -> dict:
