@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, ngram_join
+from . import bpe, mixing, ngram_join
 from .common import table
 
 
@@ -17,8 +19,21 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def digests(docs: DataFrame, *keep: str) -> DataFrame:
+    """Encodes and decodes ``text``; ids and bytes as digests beside the columns ``keep``."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    return both.select(*keep, F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join}
+    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_bpe": op3_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

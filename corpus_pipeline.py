@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.llm import pii, quality_rules
+from clausewise.llm import mixing, ngram_join, pii, quality_rules, queries_corpus
 from clausewise.llm.common import stored, table
 
 
@@ -24,7 +24,28 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.mask_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("personal data", personal_data)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 or more, the smallest id stays."""
+    return ngram_join.deduplicate(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; those of small sources are repeated to the target weights."""
+    return mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes, one row per reading of a document."""
+    return queries_corpus.digests(docs.select("doc_id", "source", "text"), "doc_id", "source")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("mixing", mix),
+    ("byte-level BPE", encode),
+]
 
 # Mixing and byte-level BPE have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
