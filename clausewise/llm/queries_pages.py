@@ -1,11 +1,11 @@
-"""Page and vector queries: op4 (WARC), op9 (exact top-k)."""
+"""Page and vector queries: op4 (WARC), op9 (exact top-k), op10 (main text)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import topk, warc
+from . import html_blocks, topk, warc
 from .common import table
 
 
@@ -19,8 +19,12 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict:
-    return {"op4_warc": op4_warc, "op9_topk": op9_topk}
+    return {"op4_warc": op4_warc, "op9_topk": op9_topk, "op10_html": op10_html}
 
 
 OP4_SQL = f"""
