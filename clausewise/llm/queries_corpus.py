@@ -1,4 +1,4 @@
-"""Corpus queries: op1 (mixing), op2 (n-gram join), op3 (byte-level BPE)."""
+"""Corpus queries: op1 (mixing), op2 (n-gram join), op3 (byte-level BPE), op6 (toxicity)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join
+from . import bpe, mixing, ngram_join, toxicity
 from .common import table
 
 
@@ -32,8 +32,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_bpe": op3_bpe}
+    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_bpe": op3_bpe,
+            "op6_toxicity": op6_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
