@@ -1,4 +1,5 @@
-"""Corpus queries: op1 (mixing), op2 (n-gram join), op3 (byte-level BPE), op6 (toxicity)."""
+"""Corpus queries: op1 (mixing), op2 (n-gram join), op3 (byte-level BPE),
+op5 (repeated passages), op6 (toxicity)."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, toxicity
+from . import bpe, mixing, ngram_join, substring_dedup, toxicity
 from .common import table
 
 
@@ -32,6 +33,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_dedup.passages(found)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
@@ -39,7 +45,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_bpe": op3_bpe,
-            "op6_toxicity": op6_toxicity}
+            "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
