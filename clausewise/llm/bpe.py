@@ -38,9 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from .common import fresh, row_slices
+
 LONG = 256  # bytes
 CHUNK = 20_000  # words in one recursive query
-CACHED_WORDS = 500_000  # per Python worker; emptied when full
+CACHED_WORDS = 250_000  # per Python worker; emptied when full
 SLICE_CHARS = 2_000_000
 MEMORY = "500MB"
 
@@ -100,24 +102,33 @@ class Codec:
         import regex
 
         self.ranks = read_ranks(path)
+        if sorted(self.ranks.values()) != list(range(len(self.ranks))):
+            raise ValueError("the ranks must be 0, 1, 2, ..")
         self.split = regex.compile(pattern).findall
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
-        ids = self.ranks
-        cuts = [(ids[t[:k]] * 16777216 + ids[t[k:]], r) for t, r in ids.items() for k in range(1, len(t))
-                if t[:k] in ids and t[k:] in ids]
-        self._load("cuts", pa.table({"pair": pa.array([c[0] for c in cuts], pa.int64()),
-                                     "rank": pa.array([c[1] for c in cuts], pa.int64())}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM cuts")
-        by_id = {r: t for t, r in ids.items()}
-        if sorted(by_id) != list(range(len(by_id))):
-            raise ValueError("the ranks must be 0, 1, 2, ..")
-        self._load("tokens", pa.table({"id": pa.array(range(len(by_id)), pa.int32()),
-                                       "hex": [by_id[i].hex() for i in range(len(by_id))]}))
-        self.db.execute("CREATE TABLE vocabulary AS SELECT list(hex ORDER BY id) AS hexes FROM tokens")
-        self.byte = np.array([ids[bytes([b])] for b in range(256)], np.int32)
-        self.reach = 2 * max(map(len, ids))
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.reach = 2 * max(map(len, self.ranks))
+        self.loaded: set[str] = set()
         self._empty()
 
+    def _need(self, table: str) -> None:
+        """Loads a table on first use: a worker that only decodes has no merges."""
+        if table in self.loaded:
+            return
+        self.loaded.add(table)
+        ids = self.ranks
+        if table == "merges":
+            cuts = np.array([(ids[t[:k]] * 16777216 + ids[t[k:]], r) for t, r in ids.items() for k in range(1, len(t))
+                             if t[:k] in ids and t[k:] in ids], np.int64).reshape(-1, 2)
+            self._load("cuts", pa.table({"pair": cuts[:, 0].copy(), "rank": cuts[:, 1].copy()}))
+            self.db.execute("CREATE TABLE merges AS SELECT * FROM cuts")
+            self.db.unregister("cuts")
+        else:
+            ordered = sorted(ids, key=ids.__getitem__)
+            self._load("tokens", pa.table({"id": pa.array(range(len(ordered)), pa.int32()), "hex": [t.hex() for t in ordered]}))
+            self.db.execute("CREATE TABLE vocabulary AS SELECT list(hex ORDER BY id) AS hexes FROM tokens")
+            self.db.unregister("tokens")
+
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register(name, table)
 
@@ -133,6 +144,7 @@ class Codec:
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in lists])])
 
     def _learn(self, words: list[str]) -> None:
+        self._need("merges")
         short, longs, encoded, lists = [], [], [], []
         for w in words:
             b = w.encode()
@@ -191,6 +203,7 @@ class Codec:
         return ids, stop[np.cumsum([len(ws) for ws in words])]
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
+        self._need("vocabulary")
         self._load("docs", pa.table({"n": pa.array(np.arange(len(ids))), "ids": ids}))
         return self.db.sql(_DECODE).to_arrow_table()["bytes"].combine_chunks().cast(pa.binary())
 
@@ -205,15 +218,6 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _row_slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    at = 0
-    step = np.concatenate([[0], np.cumsum(sizes)])
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(step, step[at] + most, "right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the array column ``ids`` instead of ``text``."""
     keep = [c for c in docs.columns if c not in (text, ids)]
@@ -222,14 +226,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            sizes = np.array([len(x) for x in batch.column("_text").to_pylist()], np.int64)
-            for part in _row_slices(batch, sizes, SLICE_CHARS):
-                flat, ends = own.encode(part.column("_text").to_pylist())
+            for part in row_slices(batch, batch.column(0), SLICE_CHARS):
+                flat, ends = own.encode(part.column(0).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [lists], [*keep, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], lists], [*keep, ids])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    return rows.mapInArrow(run, schema)
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(fresh(keep, "_text")[0])
+    return docs.select(raw, *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -240,9 +243,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            sizes = batch.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            for part in _row_slices(batch, sizes, SLICE_CHARS // 2):
+            for part in row_slices(batch, batch.column(ids), SLICE_CHARS // 2):
                 got = own.decode(part.column(ids))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [got], [*keep, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, got], [*keep, out])
 
     return encoded.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

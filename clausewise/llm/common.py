@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` bound once: the optimiser cannot copy ``value``
     into a lambda of ``body``, where it would run again for every element."""
@@ -103,6 +115,17 @@ def shingle_hashes(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return h
 
 
+def row_slices(batch: pa.RecordBatch, sized: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``most`` characters (or list items) of ``sized``."""
+    measure = pc.utf8_length if pa.types.is_string(sized.type) or pa.types.is_large_string(sized.type) else pc.list_value_length
+    step = np.concatenate([[0], np.cumsum(measure(sized).fill_null(0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(step, step[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 # --- pairs inside sorted groups ---------------------------------------------
 
 def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:

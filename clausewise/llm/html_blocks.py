@@ -29,16 +29,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, row_slices
+
 SAMPLE = 300
 SAMPLE_CHARS = 100_000  # longer pages do not train
 VARIANTS = 4
 HIDDEN, EPOCHS, SEED = 24, 14, 5
 PATH_DIM, WORD_DIM, BUCKETS = 32, 16, 4096
 PATH_DEPTH = 6
+SLICE_CHARS = 3_000_000
 BATCH_CELLS = 60_000  # padded blocks in one pass
 
 _TOKEN = re.compile(
@@ -372,13 +375,15 @@ def extract(pages: DataFrame, page: str = "html", ident: str = "page_id") -> Dat
         .orderBy(F.xxhash64(F.col("html")), "html").limit(SAMPLE).collect()
     model = fit([r["html"] for r in sample])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for pdf in batches:
-            size = (pdf["_html"].str.len().cumsum() // 3_000_000).astype(int)
-            for _, part in pdf.groupby(size, sort=True):
-                texts = main_texts(model, features, list(part["_html"]))
-                yield part[keep].assign(text=texts, n_chars=[len(t) for t in texts])
-
-    schema = pages.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
-    return pages.select(*[F.col(f"`{c}`") for c in keep], raw.alias("_html")).mapInPandas(run, schema)
+        for batch in batches:
+            for part in row_slices(batch, batch.column(0), SLICE_CHARS):
+                texts = main_texts(model, features, part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    [*keep, "text", "n_chars"])
+
+    kept = [F.col(f"`{c}`") for c in keep]
+    schema = pages.select(*kept, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    return pages.select(raw.alias(fresh(keep, "_html")[0]), *kept).mapInArrow(run, schema)

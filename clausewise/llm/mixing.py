@@ -19,7 +19,7 @@ blocks first, then, in the block where the budget ends, documents by a hash as
 long as they fit. Only that block is ranked by document, so no task sorts a
 source.
 
-Defined cases: a null source is a source; null texts have no tokens; a source
+Defined cases: a null source is a source, a null id an id; null texts have no tokens; a source
 without tokens has no weight and is read once; repeated rows share the fate of
 their id; an empty table gives an empty plan; extra columns are ignored.
 """
@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 ENTROPY_SHARE = 0.95
 MAX_REPEAT = 4.0
@@ -174,8 +174,9 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with every row repeated as often as the plan reads it."""
     times = plan(docs, **params).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
     cols = docs.columns
-    held = docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.col("source").alias("_src"))
-    both = held.join(times.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), "_copies"),
-                     (F.col("_id") == F.col("_i")) & F.col("_src").eqNullSafe(F.col("_s")))
-    return both.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))) \
+    ident, src, i, s, n, k = fresh(cols, "_id", "_src", "_i", "_s", "_n", "_k")
+    held = docs.withColumn(ident, F.col("doc_id").cast("long")).withColumn(src, F.col("source"))
+    read = times.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("_copies").alias(n))
+    both = held.join(read, F.col(ident).eqNullSafe(F.col(i)) & F.col(src).eqNullSafe(F.col(s)))
+    return both.where(F.col(n) > 0).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))) \
         .select(*[F.col(f"`{c}`") for c in cols])

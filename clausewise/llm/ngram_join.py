@@ -23,7 +23,7 @@ Probability to lose a pair of similarity exactly 0.8: below 1e-5 (bands), plus
 ``tolerance`` per pruning round; pairs in one cluster are verified whatever
 the pruning said.
 
-Defined cases: null and empty texts have no shingle, are a class of their own
+Defined cases: a null id links to nothing and has no class; null and empty texts have no shingle, are a class of their own
 and link to nothing; a text of one to four words is one shingle of all its
 words; repeated rows (same id twice) count as copies of themselves and keep
 their own output rows; different texts under one id count as one document;
@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (WordHasher, blocked, components, forest, group_pairs, mix64, shingle_hashes, stored,
+from .common import (WordHasher, blocked, components, forest, fresh, group_pairs, mix64, shingle_hashes, stored,
                      whole_groups)
 
 THRESHOLD = 0.8
@@ -203,7 +203,8 @@ def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", tolerance:
     """One row per row of ``docs``: ``doc_id``, ``class_id`` (smallest id of the
     documents connected by links of similarity >= 0.8), ``copy_id`` (smallest id
     with the same shingle set), ``n_links`` (other documents linked to it)."""
-    src = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    every = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    src = every.where("doc_id is not null")
     sketches = stored(src.mapInPandas(_sketch, _SKETCH), "ngram-sketch")
     some = sketches.where("n_shingles > 0")
     classes = some.groupBy("set_a", "set_b", "n_shingles").agg(
@@ -241,7 +242,9 @@ def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", tolerance:
     empty = sketches.where("n_shingles = 0").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"),
         F.lit(0).cast("long").alias("n_links"))
-    return full.unionByName(empty)
+    nameless = every.where("doc_id is null").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    return full.unionByName(empty).unionByName(nameless)
 
 
 def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -250,5 +253,6 @@ def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> D
     found = join(docs, text, ident)
     gone = found.where("doc_id <> class_id").select("doc_id").distinct()
     cols = docs.columns
-    held = docs.withColumn("_id", F.col(f"`{ident}`").cast("long"))
-    return held.join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    key, = fresh(cols, "_id")
+    held = docs.withColumn(key, F.col(f"`{ident}`").cast("long"))
+    return held.join(gone.withColumnRenamed("doc_id", key), key, "left_anti").select(*[F.col(f"`{c}`") for c in cols])

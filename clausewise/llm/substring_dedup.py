@@ -19,7 +19,7 @@ count once they reach ``MIN_PASSAGE`` words; spans are code points, end exclusiv
 Hot keys: equal units meet in aggregates only; large buckets are cut into blocks
 (``blocked``) and tasks report forest edges, not pairs.
 
-Defined cases: null text is empty text; texts without long enough units have no
+Defined cases: documents without an id are not compared; null text is empty text; texts without long enough units have no
 rows; a unit repeated inside one document only is a repeat as well; repeated rows
 count as one document read twice (same spans, one row); extra columns are
 ignored; an empty table gives an empty result.
@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (WordHasher, blocked, components, forest, group_pairs, mix64, shingle_hashes, stored,
+from .common import (WordHasher, blocked, components, forest, fresh, group_pairs, mix64, shingle_hashes, stored,
                      whole_groups)
 from .ngram_join import minhash
 
@@ -167,7 +167,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_units(docs: DataFrame, text: str = "text", ident: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """Every unit that repeats: doc_id, kind, pos, start, end, n_words, class_id, first_doc, n_docs, keep."""
     src = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"),
-                      F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+                      F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
     rows = stored(src.mapInPandas(_unit_rows, _UNIT), "dedup-units")
     bands = band_count()
     sketches = stored(src.mapInPandas(_band_rows(bands), "unit long, bands array<long>, shingles binary")
@@ -224,14 +224,16 @@ def passages(found: DataFrame, min_words: int = MIN_PASSAGE) -> DataFrame:
 def remove(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """``docs`` without the repeated passages that are not first occurrences."""
     gone = passages(repeated_units(docs, text, ident)).where("not keep")
-    spans = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")) \
-        .withColumnRenamed("doc_id", "_id")
+    spans = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    key, found = fresh(docs.columns, "_id", "_spans")
+    spans = spans.select(F.col("doc_id").alias(key), F.col("_spans").alias(found))
     t = F.col(f"`{text}`")
     # Merge sorted spans on the way: keep the gaps between the furthest end so far and the next start.
-    gaps = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
+    gaps = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
                        lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(
                            s["start"] > a["at"], F.concat(a["kept"], F.array(F.substring(t, a["at"] + 1, s["start"] - a["at"]))))
                            .otherwise(a["kept"]).alias("kept")))
     rest = F.concat(F.array_join(gaps["kept"], ""), F.substring(t, gaps["at"] + 1, F.length(t)))
-    held = docs.withColumn("_id", F.col(f"`{ident}`").cast("long")).join(spans, "_id", "left")
-    return held.withColumn(text, F.when(F.col("_spans").isNull(), t).otherwise(rest)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.withColumn(key, F.col(f"`{ident}`").cast("long")).join(spans, key, "left")
+    return held.withColumn(text, F.when(F.col(found).isNull(), t).otherwise(rest)) \
+        .select(*[F.col(f"`{c}`") for c in docs.columns])

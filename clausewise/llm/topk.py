@@ -13,7 +13,7 @@ Rows are replicated by the number of blocks of the other side, never paired.
 Pivots are chosen by farthest-first traversal from a bounded sample
 (``PIVOT_SAMPLE`` rows by hash); any choice gives exact results.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite
+Defined cases: rows without an id and vectors that are null, empty, or hold null or non-finite
 components, or components beyond +-2^31 after scaling, take no part; only
 vectors of equal length are compared; of rows with one id the smallest vector
 counts, so repeated rows count once; ties go to the smaller id; extra columns
@@ -43,7 +43,7 @@ def integer_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
     fine = F.forall("scaled", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < _LIMIT))
     ok = vectors.select(F.col(f"`{ident}`").cast("long").alias("vec_id"), scaled.alias("scaled")) \
         .where(F.col("scaled").isNotNull() & (F.size("scaled") > 0) & fine)
-    return ok.groupBy("vec_id").agg(F.min(F.transform("scaled", lambda x: F.floor(x).cast("long"))).alias("v"))
+    return ok.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.transform("scaled", lambda x: F.floor(x).cast("long"))).alias("v"))
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:

@@ -12,7 +12,7 @@ zero. ``labels`` say toxic or not; grades 1 to 3 split the toxic documents at th
 terciles of their number of toxic features (grade 0: not toxic).
 Scoring covers all documents and whole texts.
 
-Defined cases: null text is empty text; without labelled rows of both kinds every
+Defined cases: a null id keeps its row; null text is empty text; without labelled rows of both kinds every
 severity is the sample's mean (0 without labels); repeated rows stay; extra
 columns are ignored.
 """
@@ -180,8 +180,10 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
             for part in _slices(pdf):
                 above = model.above(model.scores(list(part["text"])))
                 p = -np.diff(np.c_[np.ones(len(part)), above, np.zeros(len(part))], axis=1)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "severity": above.sum(1).round(6),
+                yield pd.DataFrame({"doc_id": part["doc_id"], "severity": above.sum(1).round(6),
                                     "grade": p.argmax(1), "toxic": (above[:, 0] >= 0.5).astype(int)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
-        .mapInPandas(run, "doc_id long, severity double, grade int, toxic int")
+    # Ids travel as strings: pandas has no null integers.
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
+        .mapInPandas(run, "doc_id string, severity double, grade int, toxic int") \
+        .withColumn("doc_id", F.col("doc_id").cast("long"))

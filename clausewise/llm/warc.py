@@ -17,7 +17,8 @@ Reading takes the files a manifest names, verifies their digests, regenerates
 every record's payload digest, and fails on a difference.
 
 Defined cases: null payload is empty; null url is an empty header; repeated rows
-(same key and payload) are repeated records of one type; a null key is refused;
+(same key and payload) are repeated records of one type; a null key is an empty
+key header, never referred to and never a revisit;
 extra columns are ignored; an empty table gives an empty manifest.
 """
 
@@ -48,16 +49,16 @@ RECORD = ("page_id long, url string, record_type string, payload binary, payload
           "payload_digest string, refers_to long, file string")
 
 
-def record_id(key: int, digest: str) -> str:
+def record_id(key: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'record:{key}:{digest}')}>"
 
 
-def build_record(key: int, url: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def build_record(key: int | None, url: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
     """One record, header lines and block; a revisit has an empty block."""
     clean = " ".join((url or "").split())
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
             f"WARC-Record-ID: {record_id(key, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {clean}",
-            f"WARC-Payload-Digest: sha1:{digest}", f"X-Record-Key: {key}", f"X-Payload-Length: {size}",
+            f"WARC-Payload-Digest: sha1:{digest}", f"X-Record-Key: {'' if key is None else key}", f"X-Payload-Length: {size}",
             "Content-Type: text/html;charset=utf-8"]
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}",
@@ -112,7 +113,8 @@ def _write_shards(folder: str):
                     done.append(files.close() if files else None)
                     files = _ShardFiles(folder, r.shard)
                 refers = None if pd.isna(r.refers_to) else int(r.refers_to)
-                done.append(files.add(build_record(int(r.key), r.url, r.payload, r.digest, int(r.size), refers)))
+                key = None if r.key is None else int(r.key)
+                done.append(files.add(build_record(key, r.url, r.payload, r.digest, int(r.size), refers)))
             if done := [x for x in done if x]:
                 yield pd.DataFrame(done)
                 done = []
@@ -125,7 +127,7 @@ def shard_ranges(sizes: DataFrame, key: str = "key") -> DataFrame:
     """(range, shard) from (key, size): key ranges of equal width, cut by bytes."""
     low, high = sizes.agg(F.min(key), F.max(key)).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
-    at = F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)).cast("int")
+    at = F.coalesce(F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)), F.lit(0)).cast("int")
     per = sizes.withColumn("range", at).groupBy("range").agg(F.sum("size").alias("bytes"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
     cut = per.withColumn("shard", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / SHARD_BYTES).cast("int"))
@@ -136,8 +138,7 @@ def write(pages: DataFrame, folder: str, ident: str = "page_id", url: str = "url
     """Writes the archive to ``folder`` (a URI all executors reach) and returns its manifest."""
     spark = pages.sparkSession
     rows = pages.select(
-        F.when(F.col(f"`{ident}`").isNull(), F.raise_error(F.lit("a record needs a key")))
-        .otherwise(F.col(f"`{ident}`").cast("long")).alias("key"),
+        F.col(f"`{ident}`").cast("long").alias("key"),
         F.col(f"`{url}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("payload"))
     small = stored(rows.select("key", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")),
@@ -157,9 +158,10 @@ def write(pages: DataFrame, folder: str, ident: str = "page_id", url: str = "url
         .repartition("shard")  # cuts: at most RANGES rows
     mine = Window.partitionBy("shard", "key", "digest")
     ready = dealt.withColumn("refers_to", F.max("refers_to").over(mine)).where("payload is not null") \
-        .select("shard", "key", "url", "digest", "size", "refers_to",
+        .select("shard", F.col("key").cast("string").alias("key"), "url", "digest", "size", "refers_to",
+                F.col("key").alias("number"),
                 F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload")) \
-        .sortWithinPartitions("shard", "key", "digest", "url")
+        .sortWithinPartitions("shard", "number", "digest", "url").drop("number")
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
     ready.mapInPandas(_write_shards(folder), MANIFEST).write.json(f"{folder}/manifest")
@@ -184,7 +186,7 @@ def parse(data: bytes, name: str) -> Iterator[dict]:
         digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
         if rest[len(payload):] != b"\r\n\r\n" or not revisit and hashlib.sha1(payload).hexdigest() != digest:
             raise ValueError(f"{name}: damaged record {f.get('WARC-Record-ID')}")
-        yield {"page_id": int(f["X-Record-Key"]), "url": f["WARC-Target-URI"], "record_type": f["WARC-Type"],
+        yield {"page_id": int(f["X-Record-Key"]) if f["X-Record-Key"] else None, "url": f["WARC-Target-URI"], "record_type": f["WARC-Type"],
                "payload": payload, "payload_bytes": int(f["X-Payload-Length"]), "payload_digest": digest,
                "refers_to": int(f["X-Refers-To-Key"]) if revisit else None, "file": name}
 
@@ -212,7 +214,8 @@ def _read_files(folder: str):
 
 def _records(rows: list[dict]) -> pd.DataFrame:
     out = pd.DataFrame(rows)
-    out["refers_to"] = pd.array([r["refers_to"] for r in rows], "Int64")
+    for c in ("page_id", "refers_to"):
+        out[c] = pd.array([r[c] for r in rows], "Int64")
     return out
 
 
