@@ -77,7 +77,8 @@ def _filesystem(path: str):
 class _ShardFiles:
     """The files of one shard: temporary names until closed, rolled by compressed size."""
 
-    def __init__(self, folder: str, shard: int):
+    def __init__(self, folder: str, shard: int, limit: int):
+        self.limit = limit
         self.fs, self.root = _filesystem(folder)
         self.shard, self.seq, self.out = shard, 0, None
 
@@ -91,7 +92,7 @@ class _ShardFiles:
         self.out.write(member)
         self.sha.update(member)
         self.records, self.bytes = self.records + 1, self.bytes + len(member)
-        return self.close() if self.bytes >= FILE_BYTES else None
+        return self.close() if self.bytes >= self.limit else None
 
     def close(self) -> dict | None:
         if self.out is None:
@@ -104,14 +105,14 @@ class _ShardFiles:
         return row
 
 
-def _write_shards(folder: str):
+def _write_shards(folder: str, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, done = None, []
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if files is None or files.shard != r.shard:
                     done.append(files.close() if files else None)
-                    files = _ShardFiles(folder, r.shard)
+                    files = _ShardFiles(folder, r.shard, limit)
                 refers = None if pd.isna(r.refers_to) else int(r.refers_to)
                 key = None if r.key is None else int(r.key)
                 done.append(files.add(build_record(key, r.url, r.payload, r.digest, int(r.size), refers)))
@@ -123,18 +124,20 @@ def _write_shards(folder: str):
     return run
 
 
-def shard_ranges(sizes: DataFrame, key: str = "key") -> DataFrame:
-    """(range, shard) from (key, size): key ranges of equal width, cut by bytes."""
+def shard_ranges(sizes: DataFrame, shard_bytes: int, key: str = "key"):
+    """(range, shard) from (key, size), and the range of a key as a column: key
+    ranges of equal width, cut by bytes."""
     low, high = sizes.agg(F.min(key), F.max(key)).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
     at = F.coalesce(F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)), F.lit(0)).cast("int")
     per = sizes.withColumn("range", at).groupBy("range").agg(F.sum("size").alias("bytes"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
-    cut = per.withColumn("shard", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / SHARD_BYTES).cast("int"))
+    cut = per.withColumn("shard", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / shard_bytes).cast("int"))
     return cut.select("range", "shard"), at
 
 
-def write(pages: DataFrame, folder: str, ident: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+def write(pages: DataFrame, folder: str, ident: str = "page_id", url: str = "url", payload: str = "html",
+          shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archive to ``folder`` (a URI all executors reach) and returns its manifest."""
     spark = pages.sparkSession
     rows = pages.select(
@@ -146,7 +149,7 @@ def write(pages: DataFrame, folder: str, ident: str = "page_id", url: str = "url
     same = small.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(
         F.max("key").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     revisits = small.join(same, "digest").where("key < refers_to").select("key", "digest", "refers_to").distinct()
-    cuts, at = shard_ranges(small.select("key", F.col("size").cast("long").alias("size")))
+    cuts, at = shard_ranges(small.select("key", F.col("size").cast("long").alias("size")), shard_bytes)
     cuts = stored(cuts, "warc-shards")
 
     # Pages and the few facts about revisits meet in the one exchange that the shards need anyway.
@@ -164,7 +167,7 @@ def write(pages: DataFrame, folder: str, ident: str = "page_id", url: str = "url
         .sortWithinPartitions("shard", "number", "digest", "url").drop("number")
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
-    ready.mapInPandas(_write_shards(folder), MANIFEST).write.json(f"{folder}/manifest")
+    ready.mapInPandas(_write_shards(folder, file_bytes), MANIFEST).write.json(f"{folder}/manifest")
     return manifest(spark, folder)
 
 
