@@ -24,7 +24,7 @@ def _bad(x: Column) -> Column:
 def decode_columns(score: Column, mode: str) -> tuple[Column, Column]:
     """(class, decode_error) for an ARRAY<DOUBLE> score column."""
     if mode not in MODES:
-        raise ValueError(f"Wrong mode selection: {mode!r}")
+        raise ValueError(f"unknown decoding mode {mode!r}; one of {MODES}")
     # get() is NULL out of range; try_element_at inside a filtered CASE hit a
     # whole-stage codegen compile error in Spark 4.1 (interpreted fallback)
     s0 = F.get(score, F.lit(0)).cast("double")
@@ -45,6 +45,6 @@ def decode(scores: DataFrame, mode: str, score_col: str = "score", strict: bool
     out = scores.withColumn("class", cls).withColumn("decode_error", err)
     if strict:
         out = out.withColumn("class", F.when(F.col("decode_error").isNull(), F.col("class"))
-                             .otherwise(F.raise_error(F.concat(F.lit("Wrong input suspected: "),
+                             .otherwise(F.raise_error(F.concat(F.lit("clause cannot be decoded: "),
                                                                F.col("decode_error")))))
     return out

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEC = "decimal(38,0)"
@@ -98,6 +98,25 @@ def anova_f(cells: DataFrame, sizes: DataFrame, scope: Sequence[str], label_col:
              .select(*scope, "term", "s0", "s1", "q", "f"))
 
 
+F_BUCKETS = 4096
+
+
+def _f_cell(f: Column) -> Column:
+    """A cell number that grows with F: linear in log2(F), NULL lowest, infinity highest."""
+    c = F.floor((F.log2(F.greatest(f, F.lit(2.0 ** -64))) + 64) * (F_BUCKETS / 192)).cast("int")
+    return (F.when(f.isNull(), F.lit(-1)).when(f == F.lit(float("inf")), F.lit(F_BUCKETS))
+            .otherwise(F.least(F.greatest(c, F.lit(0)), F.lit(F_BUCKETS - 1))))
+
+
+def _above_threshold(scored: DataFrame, scope: Sequence[str], k: int) -> DataFrame:
+    tagged = scored.withColumn("_cell", _f_cell(F.col("f")))
+    hist = tagged.groupBy(*scope, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    down = Window.partitionBy(*scope).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = (hist.withColumn("_above", F.coalesce(F.sum("_n").over(down), F.lit(0))).where(F.col("_above") < k)
+             .groupBy(*scope).agg(F.min("_cell").alias("_least")))
+    return tagged.join(least, list(scope)).where(F.col("_cell") >= F.col("_least")).drop("_cell", "_least")
+
+
 def select_top_k(scored: DataFrame, scope: Sequence[str], k: int = TOP_K,
                  tie_cols: Sequence[str] = ()) -> DataFrame:
     """O-29: keep the best columns by F until their multiplicity reaches k.
@@ -106,18 +125,15 @@ def select_top_k(scored: DataFrame, scope: Sequence[str], k: int = TOP_K,
     descending (NULL last), then the later column first (``tie_cols``
     descending). The last kept term may be cut: ``selected_multiplicity``.
 
-    ``row_number() <= k`` over the scope window is planned as a
-    WindowGroupLimit, which keeps only k rows per scope in every map task
-    before the shuffle; the running sum then runs on at most k rows per scope.
+    Before the window, a histogram of F (in F's own order, at most
+    ``F_BUCKETS`` cells per scope) gives the cell in which the k-th row lies, and
+    only rows at or above that cell go on: the window of a scope receives k rows
+    and that cell's, not k rows from every map task.
     """
-    # WindowGroupLimit is only planned for limits up to this threshold (default
-    # 1000); below k the whole vocabulary of a scope would be sorted in one task
-    conf = scored.sparkSession.conf
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(conf.get(key, "1000")) < k:
-        conf.set(key, str(k))
     order = [F.col("f").desc_nulls_last(), *[F.col(c).desc() for c in tie_cols], F.col("term").desc()]
     w = Window.partitionBy(*scope).orderBy(*order)
+    if scope:
+        scored = _above_threshold(scored, scope, k)
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     cum = F.sum("multiplicity").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (top.withColumn("_before", cum - F.col("multiplicity"))

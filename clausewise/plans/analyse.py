@@ -1,11 +1,9 @@
 """O-40: whole-request analysis over many requests at once.
 
-requests (JSON) -> parse/validate (narrow) -> segment (narrow) -> tokens and
-scores (narrow, built-in expressions) -> decode (narrow) -> one groupBy(doc_id)
-for counts, ratio, worth positions and the annotated map.
-
-The only shuffle is that per-document aggregate. Rejected requests go to a
-separate output instead of aborting the run.
+requests (JSON) -> parse/validate -> segment -> tokens and scores -> decode ->
+counts, ratio, worth positions and the annotated map. Everything is narrow: a
+request is one row and the reports are built from arrays in that row. Rejected
+requests go to a separate output instead of aborting the run.
 """
 
 from __future__ import annotations
@@ -16,18 +14,22 @@ from pyspark.sql import functions as F
 from clausewise.functions.scorer import rule_logits
 from clausewise.functions.text import token_array
 from clausewise.operators.decode import decode
-from clausewise.operators.report import document_report, marked
+from clausewise.operators.report import classified_array, document_report, marked
 from clausewise.operators.segment import segment_clauses
 from clausewise.sources import corpus, requests
 
 REQUEST_KEYS = ("doc_id", "alertness", "title")
 
 
+def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, alertness, title, text``."""
+    parsed = requests.parse(corpus.raw_requests(spark, sf_dir))
+    return requests.valid(parsed).withColumnRenamed("request_id", "doc_id")
+
+
 def request_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid requests split into clauses: ``doc_id, alertness, title, clause_no, clause``."""
-    parsed = requests.parse(corpus.raw_requests(spark, sf_dir))
-    ok = requests.valid(parsed).withColumnRenamed("request_id", "doc_id")
-    return segment_clauses(ok, keep=REQUEST_KEYS)
+    return segment_clauses(valid_requests(spark, sf_dir), keep=REQUEST_KEYS)
 
 
 def classify_with_rule(clauses: DataFrame, mode: str = "tfm") -> DataFrame:
@@ -52,8 +54,13 @@ def marked_clauses(spark: SparkSession, sf_dir: str, mode: str = "tfm") -> DataF
     return c.select("doc_id", "clause_no", "class", marked(F.col("clause"), F.col("class")).alias("marked_clause"))
 
 
+def rule_report(valid: DataFrame, mode: str = "tfm") -> DataFrame:
+    """Reports of valid requests under the stand-in model, one row each."""
+    return document_report(valid, REQUEST_KEYS, classified_array(F.col("text"), rule_logits, mode))
+
+
 def request_reports(spark: SparkSession, sf_dir: str, mode: str = "tfm") -> DataFrame:
-    return document_report(classified_requests(spark, sf_dir, mode), keys=REQUEST_KEYS)
+    return rule_report(valid_requests(spark, sf_dir), mode)
 
 
 def analyse_requests(spark: SparkSession, sf_dir: str, mode: str = "tfm") -> DataFrame:

@@ -9,6 +9,7 @@ from clausewise.operators.aggregates import class_counts, with_ratios
 from clausewise.operators.segment import segment_clauses
 from clausewise.sources import tables
 from clausewise.sources.corpus import PERSONAS, class_rules
+from clausewise.sources.files import file_lines
 
 
 def persona_source_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,20 +29,11 @@ def persona_source_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-03 over the shared tables: every document is written as a text file
-    (one folder per doc_id, in the session's shared checkpoint folder) and
-    read back with the text-file source: ``doc_id, clause_no, clause`` where a
-    clause keeps its line end, as a file iterated line by line gives it. The
-    text writer ends each file with a newline."""
-    import os
-    import uuid
-
-    from clausewise.session import checkpoint_dir
-    from clausewise.sources.files import read_text_clauses
-
-    root = os.path.join(checkpoint_dir(spark), f"doc_text_{uuid.uuid4().hex}")
-    (tables.documents(spark, sf_dir).select("doc_id", "text")
-     .write.mode("overwrite").partitionBy("doc_id").text(root))
-    clauses = read_text_clauses(spark, root)
-    doc_id = F.regexp_extract(F.col("source_file"), r"doc_id=(-?\d+)", 1).cast("long")
-    return clauses.select(doc_id.alias("doc_id"), "clause_no", "clause")
+    """O-03 over the shared tables: ``doc_id, clause_no, clause`` where a clause
+    keeps its line end, as a text file iterated line by line gives it (the file
+    of a document is its text and a newline). The expression is the one the
+    text-file source applies to whole files; nothing is written."""
+    docs = tables.documents(spark, sf_dir)
+    lines = file_lines(F.concat(F.col("text"), F.lit("\n")))
+    return docs.select("doc_id", F.posexplode(lines).alias("clause_no", "clause")) \
+        .withColumn("clause_no", F.col("clause_no").cast("long"))

@@ -115,23 +115,38 @@ def _labelled_clauses() -> str:
 
 
 REQUESTS = f"""
-raw_requests AS (
-  SELECT doc_id AS request_id,
-         to_json({{'alertness': {PERSONA_SQL}, 'title': source, 'text': text}}) AS body
+whole_requests AS (
+  SELECT doc_id AS request_id, doc_id % 50 AS slot, CAST(CASE doc_id % 50
+           WHEN 17 THEN to_json({{'alertness': 'dave', 'title': source, 'text': text}})
+           WHEN 22 THEN to_json({{'title': source, 'text': text}})
+           WHEN 27 THEN to_json({{'alertness': {PERSONA_SQL}, 'title': source, 'text': ''}})
+           WHEN 32 THEN to_json({{'alertness': {PERSONA_SQL}, 'title': source}})
+           WHEN 37 THEN to_json({{'alertness': {PERSONA_SQL}, 'text': text}})
+           WHEN 42 THEN to_json({{'alertness': {PERSONA_SQL}, 'title': source, 'text': ' ' || chr(10) || chr(9)}})
+           ELSE to_json({{'alertness': {PERSONA_SQL}, 'title': source, 'text': text}}) END AS VARCHAR) AS body
   FROM documents
 ),
+raw_requests AS (
+  SELECT request_id, CASE slot WHEN 7 THEN left(body, length(body) - 1) WHEN 12 THEN body || ' and more'
+                               ELSE body END AS body
+  FROM whole_requests
+),
+sound AS (SELECT request_id, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS body
+          FROM raw_requests),
 parsed AS (
-  SELECT request_id,
+  SELECT request_id, ok,
          json_extract_string(body, '$.alertness') AS alertness,
          json_extract_string(body, '$.title') AS title,
          json_extract_string(body, '$.text') AS text
-  FROM raw_requests
+  FROM sound
 ),
 checked AS (
-  SELECT *, CASE WHEN alertness IS NULL THEN 'missing_alertness'
+  SELECT *, CASE WHEN NOT ok THEN 'invalid_json'
+                 WHEN alertness IS NULL THEN 'missing_alertness'
                  WHEN alertness NOT IN ('alice', 'bob', 'charlie') THEN 'invalid_alertness'
                  WHEN text IS NULL THEN 'missing_text'
-                 WHEN text = '' THEN 'empty_text' END AS reason
+                 WHEN text = '' THEN 'empty_text'
+                 WHEN title IS NULL THEN 'missing_title' END AS reason
   FROM parsed
 )"""
 
@@ -261,13 +276,14 @@ FROM classified"""
 REPORT = f"""
 {CLASSIFIED},
 report_counts AS (
-  SELECT doc_id, alertness, title,
+  SELECT r.request_id AS doc_id, r.alertness, r.title,
          CAST(count(*) FILTER (WHERE class = 'standard_trivial') AS BIGINT) AS standard_n,
          CAST(count(*) FILTER (WHERE class = 'worth_reading') AS BIGINT) AS worth_n,
-         CAST(count(*) FILTER (WHERE class IS NULL) AS BIGINT) AS error_n,
+         CAST(count(*) FILTER (WHERE class IS NULL AND c.clause_no IS NOT NULL) AS BIGINT) AS error_n,
          coalesce(list_sort(list(clause_no) FILTER (WHERE class = 'worth_reading')), CAST([] AS BIGINT[]))
            AS worth_indices
-  FROM classified GROUP BY doc_id, alertness, title
+  FROM checked r LEFT JOIN classified c ON c.doc_id = r.request_id
+  WHERE r.reason IS NULL GROUP BY r.request_id, r.alertness, r.title
 ),
 report AS (SELECT *, {ratio_cols()} FROM report_counts)"""
 
@@ -463,8 +479,8 @@ FROM doc_cells c JOIN doc_stats t ON c.persona = t.persona AND c.doc_id = t.doc_
 
 
 
-# labelled distinct clauses, their tokens and the capped corpus dictionary
-def _seq(special: bool, dict_size: int = 30000) -> str:
+# labelled distinct clauses, their tokens and the corpus dictionary
+def _seq(special: bool) -> str:
     src = "'[CLS] ' || clause || ' [SEP]'" if special else "clause"
     return f"""
 ldocs AS (
@@ -482,7 +498,6 @@ wcounts AS (
 dict AS (
   SELECT term, CAST(rn + 3 AS INTEGER) AS id
   FROM (SELECT term, row_number() OVER (ORDER BY freq DESC, term ASC) AS rn FROM wcounts)
-  WHERE rn <= {dict_size - 4}
 ),
 ids_src AS (SELECT doc_id, clause_no, {token_list(src)} AS t FROM ldc),
 ids_rows AS (

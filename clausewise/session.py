@@ -8,13 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
-
-# Window-group-limit pushdown (per-partition top-k before the shuffle) is only
-# inferred for limits up to this threshold; feature selection keeps 12000.
-WINDOW_GROUP_LIMIT = 20000
-
+from pyspark.sql import DataFrame, SparkSession
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "clausewise", driver_memory: str = "16g",
@@ -31,7 +27,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         # small-in-bytes shuffles here are often CPU-heavy (substring and term
         # expansion); let AQE keep more than one task per MB of shuffle data
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
-        .config("spark.sql.optimizer.windowGroupLimitThreshold", str(WINDOW_GROUP_LIMIT))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", driver_memory)
@@ -45,21 +40,27 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts and intermediate tables.
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    On a cluster this is whatever the deployment put in ``spark.checkpoint.dir``
-    (a shared file system). Only when it is unset (local tests) do we make a
-    scratch folder of our own.
+    On a cluster it must be set (a file system all executors share); a folder
+    of one machine would be a different disk for every executor, so an unset
+    value is an error there. Only a session that runs in one process (master
+    ``local[..]``: tests, bench) gets a scratch folder.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: the server owns the checkpoint folder
-        return spark.conf.get("spark.checkpoint.dir", "")
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not d:
-        d = tempfile.mkdtemp(prefix="clausewise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        return d
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="clausewise-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return sc.getCheckpointDir()
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: computed once,
+    prunable by column, and safe from lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from clausewise.operators.segment import segment_clauses
 from clausewise.sources import tables
 
-# The three reader personas, in the order used by doc_id % 3.
+# The three reader personas, in the order used by doc_id % 3, and
+# the two classes.
 PERSONAS = ("alice", "bob", "charlie")
 WORTH = "worth_reading"
 STANDARD = "standard_trivial"
@@ -60,10 +61,24 @@ def labelled_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("persona", "doc_id", "clause_no", "clause", "class"))
 
 
+# doc_id % DEFECT_CYCLE -> the defect of that document's request.
+DEFECT_CYCLE = 50
+DEFECTS = {7: "truncated", 12: "trailing_text", 17: "unknown_persona", 22: "no_persona", 27: "empty_text",
+           32: "no_text", 37: "no_title", 42: "blank_text"}
+
+
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``request_id, body``: the JSON request each document stands for."""
+    """``request_id, body``: the JSON request each document stands for. One in
+    ``DEFECT_CYCLE`` documents each stands for a defective body, and one for a
+    valid request without any clause (``blank_text``)."""
     docs = tables.documents(spark, sf_dir).select("doc_id", "source", "text")
-    body = F.to_json(F.struct(persona_of(F.col("doc_id")).alias("alertness"),
-                              F.col("source").alias("title"),
-                              F.col("text").alias("text")))
+    slot = {v: F.col("doc_id") % DEFECT_CYCLE == k for k, v in DEFECTS.items()}
+    persona = F.when(slot["unknown_persona"], F.lit("dave")).when(~slot["no_persona"], persona_of(F.col("doc_id")))
+    text = (F.when(slot["empty_text"], F.lit("")).when(slot["blank_text"], F.lit(" \n\t"))
+            .when(~slot["no_text"], F.col("text")))
+    # to_json leaves null fields out
+    body = F.to_json(F.struct(persona.alias("alertness"), F.when(~slot["no_title"], F.col("source")).alias("title"),
+                              text.alias("text")))
+    body = (F.when(slot["truncated"], F.substring(body, F.lit(1), F.length(body) - 1))
+            .when(slot["trailing_text"], F.concat(body, F.lit(" and more"))).otherwise(body))
     return docs.select(F.col("doc_id").alias("request_id"), body.alias("body"))

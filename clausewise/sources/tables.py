@@ -21,27 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Redistribute a scan that arrives in fewer splits than the cluster has
-    cores (e.g. one large single-row-group file), so the narrow text work
-    after it (segmentation, tokenising) runs on every core. With ``key`` the
-    rows are hash-partitioned on it, which costs the same shuffle and lets
-    later per-document / per-clause groupings (reports, id regrouping) run
-    without another exchange. At scale a scan already has far more splits
-    than cores and nothing is added; the check only plans the scan.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no driver-side context (e.g. a Spark Connect client)
-        return df
-    if splits < cores:
-        return df.repartition(cores, key) if key else df.repartition(cores)
-    return df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    """The documents as scanned. A caller whose files have fewer splits than the
+    cluster has cores may ask for a round-robin spread by setting
+    ``spark.clausewise.scanPartitions`` (unset: none); it carries no key, so it
+    never stands in for a shuffle that a query needs."""
+    docs = table(spark, sf_dir, "documents")
+    n = spark.conf.get("spark.clausewise.scanPartitions", None)
+    return docs.repartition(int(n)) if n else docs
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

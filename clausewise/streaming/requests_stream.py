@@ -2,8 +2,8 @@
 
 Requests arrive as JSON-lines files (``request_id, body``) in a folder. Every
 request is one row and carries its whole document, so all work up to the
-classified clauses is narrow and stateless; the per-document report is a
-``groupBy`` inside ``foreachBatch`` (a document never spans micro-batches).
+report is narrow and stateless. ``foreachBatch`` keeps the parsed batch while it
+writes the reports (with the annotated map) and the rejects from it.
 Each batch is written to its own ``batch_id=N`` folder in overwrite mode, so
 a batch replayed after a failure replaces its own output: exactly-once
 results from an at-least-once trigger. Rejected requests go to a quarantine
@@ -18,9 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from clausewise.operators.report import document_report
-from clausewise.operators.segment import segment_clauses
-from clausewise.plans.analyse import REQUEST_KEYS, classify_with_rule
+from clausewise.plans.analyse import rule_report
 from clausewise.sources import requests
 
 RAW_SCHEMA = T.StructType([
@@ -40,14 +38,14 @@ def start(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
     parsed = requests.parse(stream)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        ok = requests.valid(batch).withColumnRenamed("request_id", "doc_id")
-        classified = classify_with_rule(segment_clauses(ok, keep=REQUEST_KEYS), mode)
-        report = document_report(classified, keys=REQUEST_KEYS)
+        batch = batch.persist()
+        report = rule_report(requests.valid(batch).withColumnRenamed("request_id", "doc_id"), mode)
         (report.select("doc_id", "alertness", "title", "standard_n", "worth_n", "error_n",
-                       "standard_ratio", "worth_indices")
+                       "standard_ratio", "worth_indices", "clause_map")
                .write.mode("overwrite").parquet(os.path.join(out_dir, "reports", f"batch_id={batch_id}")))
         (requests.rejected(batch)
                .write.mode("overwrite").parquet(os.path.join(out_dir, "rejected", f"batch_id={batch_id}")))
+        batch.unpersist()
 
     writer = (parsed.writeStream.foreachBatch(per_batch)
               .option("checkpointLocation", checkpoint))
