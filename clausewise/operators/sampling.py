@@ -3,20 +3,24 @@
 Split (O-31). The reference takes an exact ``ceil(0.2 * n)`` test rows. We
 order rows by ``md5(key:seed)`` and take the first ``n_test`` per scope
 without a global sort: a histogram over the first four hex digits (at most
-65,536 buckets per scope; AQE broadcasts it once it has measured it), a running sum
-over that small table, and a rank only inside the one boundary bucket of each
-scope (about n / 65,536 rows). Membership is independent of partitioning,
+65,536 buckets per scope), a running sum over that small table, and a rank only
+inside the one bucket of each scope in which the cut lies (about n / 65,536 rows)
+give the scope's cut-off hash; all rows are then tagged by comparing with it.
+Membership is independent of partitioning,
 unlike ``randomSplit``.
 
 SMOTE (O-30). Nearest neighbours are exact. High-dimensional exact k-NN has
 to compare every minority pair, so the pairs are never materialised as rows:
-minority rows are cut into B blocks of at most ``block_rows`` rows, each
-block pair (q, r) is one cogroup task that computes the distance matrix with
-NumPy and returns only the k best candidates per query row; a last window per
-query row (B * k rows) keeps the k best overall. Memory per task is bounded
-by two blocks; rows out of each task are bounded by k per query row.
-
-Synthetic rows follow a seeded, partition-independent rule: the G = N_maj -
+the rows of a scope (a class to be enlarged) are cut into blocks of about
+``block_rows`` rows by hash, each block pair (q, r) is one cogroup task that
+computes the distance matrix with NumPy and returns the k best per query row; a
+last window per query row (B * k rows) keeps the k best overall. The fast
+distances (after subtracting the block's mean) only discard: every row whose
+fast distance is within rounding of the k-th smallest is measured again as
+sqrt(sum of squared differences), and (distance, id) decides, so ties and
+repeated points are right whatever their number.
+
+Synthetic rows follow a seeded, partition-independent rule: a class's G = N_maj -
 N_min samples are spread over the minority rows (G div N_min each, one more
 for the first G mod N_min rows in hash order, found with the split machinery
 above); sample j of base row b takes neighbour ``h1 mod min(5, N_min - 1)``
@@ -66,17 +70,20 @@ def first_by_hash(df: DataFrame, scope: Sequence[str], keys: Sequence[str], n_ta
     else:
         # a scalar column, never a join on a constant key (cartesian product)
         info = info.withColumn("n_take", n_take)
-    # at most 65,536 rows per scope; the table comes out of an aggregate, so
-    # AQE sees its real size and broadcasts it only when it is small (a few
-    # scopes), otherwise the join stays a shuffle join
-    t = tagged.join(info, [*scope, "_b"])
-    whole_in = F.col("_before") + F.col("_cnt") <= F.col("n_take")
-    whole_out = F.col("_before") >= F.col("n_take")
-    settled = t.where(whole_in | whole_out).withColumn("in_head", whole_in)
-    boundary = t.where(~(whole_in | whole_out))
+    # the cell in which the cut lies, and how many of its rows are in: one row per scope
+    cut = info.where((F.col("_before") < F.col("n_take")) & (F.col("_before") + F.col("_cnt") >= F.col("n_take"))) \
+        .select(*scope, F.col("_b").alias("_cut_b"), (F.col("n_take") - F.col("_before")).alias("_room"))
+    # the cut-off hash: the n-th smallest of that one cell (about n / 65,536 rows)
+    inside = tagged.join(cut, list(scope)).where(F.col("_b") == F.col("_cut_b")) if scope else \
+        tagged.withColumn("_cut_b", cut.select("_cut_b").scalar()).withColumn("_room", cut.select("_room").scalar()) \
+        .where(F.col("_b") == F.col("_cut_b"))
     rk = F.row_number().over(Window.partitionBy(*scope, "_b").orderBy("_h"))
-    boundary = boundary.withColumn("in_head", F.col("_before") + rk <= F.col("n_take"))
-    return settled.unionByName(boundary).drop("_h", "_b", "_cnt", "_before", "n_take")
+    last = inside.withColumn("_rk", rk).where(F.col("_rk") == F.col("_room")).select(*scope, F.col("_h").alias("_last"))
+    if scope:
+        out = tagged.join(last, list(scope), "left")
+    else:
+        out = tagged.withColumn("_last", last.select("_last").scalar())
+    return out.withColumn("in_head", F.coalesce(F.col("_h") <= F.col("_last"), F.lit(False))).drop("_h", "_b", "_last")
 
 
 def train_test_split(df: DataFrame, scope: Sequence[str], keys: Sequence[str],
@@ -91,80 +98,85 @@ def train_test_split(df: DataFrame, scope: Sequence[str], keys: Sequence[str],
 
 def _knn_block(k: int):
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "nb_id": pd.Series([], dtype="int64"),
-                              "dist": pd.Series([], dtype="float64")})
-        if len(q) == 0 or len(r) == 0:
-            return empty
-        qa = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        ra = np.stack(r["vec"].to_numpy()).astype(np.float64)
-        qid = q["id"].to_numpy(dtype=np.int64)
-        rid = r["id"].to_numpy(dtype=np.int64)
-        # fast squared distances for candidate choice, exact ones for the answer
-        d2 = (qa * qa).sum(1)[:, None] + (ra * ra).sum(1)[None, :] - 2.0 * qa @ ra.T
-        d2[qid[:, None] == rid[None, :]] = np.inf
-        m = min(k + 8, ra.shape[0])
-        cand = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < ra.shape[0] else \
-            np.tile(np.arange(ra.shape[0]), (qa.shape[0], 1))
-        rows_q = np.repeat(np.arange(qa.shape[0]), cand.shape[1])
-        rows_r = cand.ravel()
-        keep = qid[rows_q] != rid[rows_r]
-        rows_q, rows_r = rows_q[keep], rows_r[keep]
-        diff = qa[rows_q] - ra[rows_r]
-        dist = np.sqrt((diff * diff).sum(1))
-        out = pd.DataFrame({"id": qid[rows_q], "nb_id": rid[rows_r], "dist": dist})
-        out = out.sort_values(["id", "dist", "nb_id"]).groupby("id", sort=False).head(k)
-        return out.reset_index(drop=True)
+        found: dict[str, list] = {"scope": [], "id": [], "nb_id": [], "dist": []}
+        if len(q) and len(r):
+            r = r.sort_values("id")
+            qa = np.stack(q["vec"].to_numpy()).astype(np.float64)
+            ra = np.stack(r["vec"].to_numpy()).astype(np.float64)
+            qid, rid = q["id"].to_numpy(dtype=np.int64), r["id"].to_numpy(dtype=np.int64)
+            centre = ra.mean(0)
+            qc, rc = qa - centre, ra - centre
+            qn, rn = (qc * qc).sum(1), (rc * rc).sum(1)
+            # rounding of the fast distance grows with the norms and the length
+            slack = 8 * np.finfo(np.float64).eps * (qa.shape[1] + 8) * ((qa * qa).sum(1).max() + (ra * ra).sum(1).max())
+            for at in range(0, len(qa), 256):
+                part = slice(at, at + 256)
+                d2 = qn[part, None] + rn - 2.0 * qc[part] @ rc.T
+                d2[qid[part, None] == rid] = np.inf
+                kth = np.partition(d2, min(k, len(rid)) - 1, axis=1)[:, min(k, len(rid)) - 1]
+                for i in range(len(d2)):
+                    near = np.flatnonzero(d2[i] <= kth[i] + slack)
+                    near = near[rid[near] != qid[at + i]]
+                    diff = qa[at + i] - ra[near]
+                    dist = np.sqrt((diff * diff).sum(1))
+                    best = np.argsort(dist, kind="stable")[:k]  # rows are in id order
+                    found["id"].append(np.full(len(best), qid[at + i]))
+                    found["nb_id"].append(rid[near[best]])
+                    found["dist"].append(dist[best])
+            found["scope"] = [np.full(sum(map(len, found["id"])), q["scope"].iloc[0])]
+        kinds = {"scope": "int64", "id": "int64", "nb_id": "int64", "dist": "float64"}
+        return pd.DataFrame({c: np.concatenate(v).astype(kinds[c]) if v else np.empty(0, kinds[c])
+                             for c, v in found.items()})
     return run
 
 
 def exact_knn(points: DataFrame, k: int = K_NEIGHBOURS, block_rows: int = 4096,
-              id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """``id, nb_id, dist, nb_rank`` (1-based): the k nearest other points.
+              id_col: str = "id", vec_col: str = "vec", scope_col: str | None = None) -> DataFrame:
+    """``[scope,] id, nb_id, dist, nb_rank`` (1-based): the k nearest other
+    points of the same scope (a BIGINT column; none: all points).
 
     Ties are broken by neighbour id. See the module notes for the blocking.
     """
-    p = points.select(F.col(id_col).cast("long").alias("id"),
+    scope = F.col(scope_col).cast("long") if scope_col else F.lit(0).cast("long")
+    p = points.select(scope.alias("scope"), F.col(id_col).cast("long").alias("id"),
                       F.col(vec_col).cast("array<double>").alias("vec"))
-    n_blocks = p.select(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))), F.lit(1))
-                        .cast("int").alias("b")).scalar()
-    blk = F.pmod(F.xxhash64("id"), n_blocks.cast("long")).cast("int")
-    p = p.withColumn("_blk", blk).withColumn("_nb", n_blocks)
+    sizes = p.groupBy("scope").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))), F.lit(1))
+                                   .cast("int").alias("_nb"))
+    p = p.join(sizes, "scope").withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb").cast("long")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-    query = p.select(F.col("_blk").alias("qb"), others.alias("rb"), "id", "vec")
-    ref = p.select(others.alias("qb"), F.col("_blk").alias("rb"), "id", "vec")
-    cand = (query.groupBy("qb", "rb").cogroup(ref.groupBy("qb", "rb"))
-            .applyInPandas(_knn_block(k), schema="id long, nb_id long, dist double"))
-    w = Window.partitionBy("id").orderBy("dist", "nb_id")
-    return (cand.withColumn("nb_rank", F.row_number().over(w).cast("long"))
-                .where(F.col("nb_rank") <= k))
+    own = [F.col(c).alias(c) for c in ("scope", "id", "vec")]  # new columns: both sides come from one frame
+    query = p.select(F.col("_blk").alias("qb"), others.alias("rb"), *own)
+    ref = p.select(others.alias("qb"), F.col("_blk").alias("rb"), *own)
+    cand = (query.groupBy("scope", "qb", "rb").cogroup(ref.groupBy("scope", "qb", "rb"))
+            .applyInPandas(_knn_block(k), schema="scope long, id long, nb_id long, dist double"))
+    w = Window.partitionBy("scope", "id").orderBy("dist", "nb_id")
+    best = cand.withColumn("nb_rank", F.row_number().over(w).cast("long")).where(F.col("nb_rank") <= k)
+    return best.withColumnRenamed("scope", scope_col) if scope_col else best.drop("scope")
 
 
-def smote(minority: DataFrame, n_majority: Column, k: int = K_NEIGHBOURS, seed: int = SEED,
+def smote(points: DataFrame, label_col: str = "label", k: int = K_NEIGHBOURS, seed: int = SEED,
           block_rows: int = 4096) -> DataFrame:
-    """Synthetic minority rows: ``base_id, sample_no, nb_id, lam, vec``.
-
-    ``minority``: ``id, vec``; ``n_majority``: a scalar column (subquery).
-    """
-    pts = minority.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    stats = pts.select(F.count(F.lit(1)).cast("long").alias("n_min"))
-    n_min = stats.scalar()
-    g = F.greatest(n_majority.cast("long") - n_min, F.lit(0).cast("long"))
-    with_n = pts.withColumn("_n_min", n_min).withColumn("_g", g)
-    n_take = F.pmod(g, F.greatest(n_min, F.lit(1).cast("long")))
-    headed = first_by_hash(with_n, [], ["id"], n_take, seed)
-    per_row = (F.floor(F.col("_g") / F.greatest(F.col("_n_min"), F.lit(1))).cast("long")
-               + F.col("in_head").cast("long"))
-    samples = (headed.where(F.col("_n_min") >= 2)
-               .withColumn("_m", per_row)
-               .where(F.col("_m") > 0)
-               .select("id", "vec", "_n_min", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))).alias("sample_no")))
+    """Synthetic rows for every class below the largest one: ``label, base_id,
+    sample_no, nb_id, lam, vec``. ``points``: ``label`` (BIGINT), ``id, vec``. A
+    class of one row has no neighbour and gets none."""
+    pts = points.select(F.col(label_col).cast("long").alias("label"), F.col("id").cast("long").alias("id"),
+                        F.col("vec").cast("array<double>").alias("vec"))
+    counts = pts.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.select(F.max("_n")).scalar()
+    need = counts.withColumn("_g", most - F.col("_n")).where("_g > 0 and _n > 1")
+    small = pts.join(need, "label")
+    headed = first_by_hash(small, ["label"], ["id"], need.select("label", F.pmod("_g", "_n").alias("n_take")), seed)
+    per_row = F.floor(F.col("_g") / F.col("_n")).cast("long") + F.col("in_head").cast("long")
+    samples = (headed.withColumn("_m", per_row).where(F.col("_m") > 0)
+               .select("label", "id", "vec", "_n",
+                       F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))).alias("sample_no")))
     h_nb = hash_fraction(order_hash(["id", "sample_no"], seed, "nb"))
     h_lam = hash_fraction(order_hash(["id", "sample_no"], seed, "lam"))
-    k_eff = F.least(F.lit(k), F.col("_n_min") - 1).cast("long")
+    k_eff = F.least(F.lit(k), F.col("_n") - 1).cast("long")
     samples = (samples.withColumn("nb_rank", F.pmod(h_nb, k_eff) + 1)
                       .withColumn("lam", h_lam.cast("double") / F.lit(float(2 ** 32))))
-    nbs = exact_knn(pts, k=k, block_rows=block_rows).select("id", "nb_rank", "nb_id")
-    nb_vec = pts.select(F.col("id").alias("nb_id"), F.col("vec").alias("nb_vec"))
-    joined = samples.join(nbs, ["id", "nb_rank"]).join(nb_vec, "nb_id")
+    nbs = exact_knn(small, k, block_rows, scope_col="label").select("label", "id", "nb_rank", "nb_id")
+    nb_vec = pts.select("label", F.col("id").alias("nb_id"), F.col("vec").alias("nb_vec"))
+    joined = samples.join(nbs, ["label", "id", "nb_rank"]).join(nb_vec, ["label", "nb_id"])
     synth = F.zip_with("vec", "nb_vec", lambda a, b: a + F.col("lam") * (b - a))
-    return joined.select(F.col("id").alias("base_id"), "sample_no", "nb_id", "lam", synth.alias("vec"))
+    return joined.select("label", F.col("id").alias("base_id"), "sample_no", "nb_id", "lam", synth.alias("vec"))

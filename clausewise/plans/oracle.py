@@ -583,25 +583,27 @@ FROM ranked"""
 
 
 SMOTE_BASE = """
-label_counts AS (SELECT label, count(*) AS cnt FROM embeddings GROUP BY label),
-minority_label AS (SELECT label FROM label_counts ORDER BY cnt ASC, label ASC LIMIT 1),
-majority_label AS (SELECT cnt FROM label_counts ORDER BY cnt DESC, label ASC LIMIT 1),
+label_counts AS (SELECT label, CAST(count(*) AS BIGINT) AS n FROM embeddings GROUP BY label),
+below AS (
+  SELECT CAST(label AS BIGINT) AS label, n, (SELECT max(n) FROM label_counts) - n AS g FROM label_counts
+  WHERE n < (SELECT max(n) FROM label_counts)
+),
 pts AS (
-  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings
-  WHERE label = (SELECT label FROM minority_label)
+  SELECT b.label, b.n, b.g, e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS vec FROM embeddings e JOIN below b USING (label)
 ),
 pairs AS (
-  SELECT a.id, b.id AS nb_id, list_distance(a.vec, b.vec) AS dist FROM pts a JOIN pts b ON a.id <> b.id
+  SELECT a.label, a.id, b.id AS nb_id, list_distance(a.vec, b.vec) AS dist
+  FROM pts a JOIN pts b ON a.label = b.label AND a.id <> b.id
 ),
 knn AS (
-  SELECT id, nb_id, dist, CAST(nb_rank AS BIGINT) AS nb_rank
-  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb_id) AS nb_rank FROM pairs)
+  SELECT label, id, nb_id, dist, CAST(nb_rank AS BIGINT) AS nb_rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY label, id ORDER BY dist, nb_id) AS nb_rank FROM pairs)
   WHERE nb_rank <= 5
 )"""
 
 
 def _smote_neighbours() -> str:
-    return f"WITH {SMOTE_BASE} SELECT id, nb_id, dist, nb_rank FROM knn"
+    return f"WITH {SMOTE_BASE} SELECT label, id, nb_id, dist, nb_rank FROM knn"
 
 
 def _hash8(expr: str) -> str:
@@ -610,29 +612,23 @@ def _hash8(expr: str) -> str:
 
 def _smote_samples() -> str:
     return f"""WITH {SMOTE_BASE},
-sizes AS (
-  SELECT CAST(count(*) AS BIGINT) AS n,
-         greatest((SELECT cnt FROM majority_label) - count(*), 0) AS g
-  FROM pts
-),
-ranked AS (SELECT p.*, row_number() OVER (ORDER BY md5(concat_ws(':', id, 42))) AS rk FROM pts p),
-per_row AS (
-  SELECT r.id, r.vec, s.n, (s.g // s.n) + CASE WHEN r.rk <= s.g % s.n THEN 1 ELSE 0 END AS m
-  FROM ranked r, sizes s WHERE s.n >= 2
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', id, 42))) AS rk FROM pts WHERE n > 1
 ),
+per_row AS (SELECT label, id, vec, n, (g // n) + CASE WHEN rk <= g % n THEN 1 ELSE 0 END AS m FROM ranked),
 samples AS (
-  SELECT id, vec, n, CAST(unnest(range(1, m + 1)) AS BIGINT) AS sample_no FROM per_row WHERE m > 0
+  SELECT label, id, vec, n, CAST(unnest(range(1, m + 1)) AS BIGINT) AS sample_no FROM per_row WHERE m > 0
 ),
 picked AS (
-  SELECT id, vec, sample_no,
+  SELECT label, id, vec, sample_no,
          ({_hash8("concat_ws(':', id, sample_no, 'nb', 42)")} % least(5, n - 1)) + 1 AS nb_rank,
          CAST({_hash8("concat_ws(':', id, sample_no, 'lam', 42)")} AS DOUBLE) / 4294967296.0 AS lam
   FROM samples
 )
-SELECT p.id AS base_id, p.sample_no, k.nb_id, p.lam,
+SELECT p.label, p.id AS base_id, p.sample_no, k.nb_id, p.lam,
        list_transform(list_zip(p.vec, q.vec), lambda x: x[1] + p.lam * (x[2] - x[1])) AS vec
-FROM picked p JOIN knn k ON p.id = k.id AND p.nb_rank = k.nb_rank
-              JOIN pts q ON q.id = k.nb_id"""
+FROM picked p JOIN knn k ON p.label = k.label AND p.id = k.id AND p.nb_rank = k.nb_rank
+              JOIN pts q ON q.label = k.label AND q.id = k.nb_id"""
 
 
 

@@ -1,8 +1,7 @@
 """Sampling queries: exact split of the labelled corpus, SMOTE on embeddings.
 
-For SMOTE the two labels are chosen by count (SURVEY §5): the smallest
-label group is the minority, the largest the majority (ties: lower label).
-Both choices are scalar subqueries over a per-label count, not driver loops.
+SMOTE enlarges every label of ``embeddings`` that has fewer rows than the
+largest one; neighbours are searched within the label.
 """
 
 from __future__ import annotations
@@ -19,25 +18,18 @@ def split_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_test_split(lab, ["persona"], ["doc_id", "clause_no"])
 
 
-def _label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.embeddings(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def minority_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, F.Column]:
-    counts = _label_counts(spark, sf_dir)
-    minority_label = counts.select(F.min(F.struct("cnt", "label"))["label"]).scalar()
-    n_majority = counts.select(F.max(F.struct("cnt", -F.col("label")))["cnt"]).scalar()
+def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.embeddings(spark, sf_dir)
-    pts = e.where(F.col("label") == minority_label).select(F.col("vec_id").alias("id"),
-                                                           F.col("embedding").alias("vec"))
-    return pts, n_majority
+    return e.select(F.col("label").cast("long").alias("label"), F.col("vec_id").alias("id"),
+                    F.col("embedding").alias("vec"))
 
 
 def smote_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts, _ = minority_points(spark, sf_dir)
-    return exact_knn(pts).select("id", "nb_id", "dist", "nb_rank")
+    pts = labelled_points(spark, sf_dir)
+    counts = pts.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    below = counts.where(F.col("n") < counts.select(F.max("n")).scalar()).select("label")
+    return exact_knn(pts.join(below, "label"), scope_col="label").select("label", "id", "nb_id", "dist", "nb_rank")
 
 
 def smote_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts, n_majority = minority_points(spark, sf_dir)
-    return smote(pts, n_majority)
+    return smote(labelled_points(spark, sf_dir))

@@ -49,12 +49,19 @@ def test_request_validation(spark):
         '{"alertness": "charlie", "title": "t"}',
         'not json at all',
         None,
+        '{"alertness": "alice", "title": "t", "text": "x"} and more',
+        '{"alertness": "alice", "title": "t", "text": "x"}, {"alertness": "bob", "title": "t", "text": "y"}',
+        '{"alertness": "alice", "text": "x"}',
+        '{"alertness": "alice", "title": "t", "text": "x"',
+        '',
+        'null',
     ]
     raw = spark.createDataFrame(list(enumerate(bodies)), "request_id long, body string")
     parsed = requests.parse(raw)
     reasons = {r.request_id: r.reason for r in parsed.collect()}
     assert reasons == {0: None, 1: "invalid_alertness", 2: "empty_text", 3: "missing_alertness",
-                       4: "missing_text", 5: "invalid_json", 6: "invalid_json"}
+                       4: "missing_text", 5: "invalid_json", 6: "invalid_json", 7: "invalid_json", 8: "invalid_json",
+                       9: "missing_title", 10: "invalid_json", 11: "invalid_json", 12: "invalid_json"}
     ok = requests.valid(parsed).collect()
     assert [(r.request_id, r.alertness, r.text) for r in ok] == [(0, "alice", "x\ny")]
-    assert requests.rejected(parsed).count() == 6
+    assert requests.rejected(parsed).count() == 12

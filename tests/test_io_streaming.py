@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausewise.plans import analyse
@@ -18,8 +19,24 @@ def test_labelled_csv_roundtrip_with_quotes_and_newlines(spark, scratch):
     root = os.path.join(scratch, "labelled")
     files.write_labelled_csv(df, root)
     back = files.read_labelled_csv(spark, root)
-    got = {(r.persona, r.clause, r["class"]) for r in back.collect()}
+    got = {(r.persona, r.clause, r["class"]) for r in files.good_rows(back).collect()}
     assert got == set(rows[:3])
+    bad = files.quarantined(back).collect()
+    assert [(r.persona, r.clause, r.reason) for r in bad] == [("dave", "not a persona", "unknown_persona")]
+
+
+def test_sinks_replace_only_what_they_write(spark, scratch):
+    make = lambda persona: spark.createDataFrame([(persona, 1)], "persona string, n int")
+    files.save_stage(make("alice"), scratch, "lengths")
+    files.save_stage(make("bob"), scratch, "lengths")
+    assert {r.persona for r in files.load_stage(spark, scratch, "lengths").collect()} == {"alice", "bob"}
+    schema = "doc_id long, clause_no long, clause string, class string, mode string, title string"
+    root = os.path.join(scratch, "sink")
+    for mode, title in (("bow", "a b"), ("bert", "a b"), ("bow", "c")):
+        files.write_classified(spark.createDataFrame([(1, 0, "x", "worth_reading", mode, title)], schema), root)
+    assert {(r["mode"], r.title) for r in spark.read.parquet(root).collect()} == {("bow", "ab"), ("bert", "ab"), ("bow", "c")}
+    with pytest.raises(ValueError):
+        files.write_classified(spark.read.parquet(root), root)
 
 
 def test_text_files_keep_line_ends_and_drop_blanks(spark, scratch):

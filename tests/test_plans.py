@@ -15,12 +15,29 @@ from conftest import SF_SMALL
 SKIP = {"score_bow", "score_sequence", "best_run"}
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(queries()) - SKIP))
 def test_plan_has_no_pairwise_join_and_prunes_columns(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan):
         # documents carry 5 columns, none of our queries needs lang or n_chars
         assert "n_chars" not in schema and "lang:" not in schema, schema
+
+
+def _executed(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name", ["analyse_requests", "annotated_documents", "worth_indices"])
+def test_reports_need_no_exchange(spark, name):
+    plan = _executed(queries()[name](spark, SF_SMALL))
+    assert "Exchange" not in plan, plan
+
+
+def test_rejects_have_every_reason(spark):
+    got = {r.reason for r in queries()["rejected_requests"](spark, SF_SMALL).collect()}
+    assert got == {"invalid_json", "missing_alertness", "invalid_alertness", "missing_text", "empty_text", "missing_title"}

@@ -39,9 +39,11 @@ def test_knn_matches_brute_force_and_blocking(spark):
 
 
 def test_smote_rows_lie_on_segments(spark):
-    df, pts = _points(spark, n=23)
-    out = smote(df, F.lit(40)).collect()
-    assert len(out) == 40 - 23
+    small, pts = _points(spark, n=23)
+    large, _ = _points(spark, n=40, seed=4)
+    both = small.withColumn("label", F.lit(1)).unionByName(large.selectExpr("id + 100 as id", "vec", "0 as label"))
+    out = smote(both).collect()
+    assert len(out) == 40 - 23 and {r.label for r in out} == {1}
     for r in out:
         base, nb, v = pts[r.base_id], pts[r.nb_id], np.array(r.vec)
         assert 0.0 <= r.lam < 1.0
@@ -50,4 +52,48 @@ def test_smote_rows_lie_on_segments(spark):
 
 def test_smote_tiny_minority(spark):
     df, _ = _points(spark, n=1)
-    assert smote(df, F.lit(10)).count() == 0
+    large, _ = _points(spark, n=10, seed=5)
+    both = df.withColumn("label", F.lit(1)).unionByName(large.selectExpr("id + 100 as id", "vec", "0 as label"))
+    assert smote(both).count() == 0
+
+
+def _brute_knn(rows, k):
+    out = {}
+    for i, v in rows:
+        d = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in rows if j != i)
+        out[i] = [j for _, j in d[:k]]
+    return out
+
+
+def _knn_lists(df, **kw):
+    got = {}
+    for r in exact_knn(df, **kw).orderBy("id", "nb_rank").collect():
+        got.setdefault(r.id, []).append(r.nb_id)
+    return got
+
+
+def test_knn_of_identical_points_and_duplicates_across_blocks(spark):
+    same = [(i, [1.0, 2.0, 3.0]) for i in range(60)]
+    df = spark.createDataFrame(same, "id long, vec array<double>")
+    assert _knn_lists(df) == _brute_knn(same, 5) == _knn_lists(df, block_rows=7)
+    rng = np.random.default_rng(2)
+    mixed = [(i, [float(x) for x in rng.integers(0, 2, 3)]) for i in range(80)]
+    df = spark.createDataFrame(mixed, "id long, vec array<double>")
+    assert _knn_lists(df, block_rows=9) == _brute_knn(mixed, 5)
+
+
+def test_knn_with_a_large_common_offset(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in 1e6 + rng.normal(size=6)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    assert _knn_lists(df, block_rows=64) == _brute_knn(rows, 5)
+
+
+def test_knn_within_scopes(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 3, i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "g long, id long, vec array<double>")
+    got = _knn_lists(df, scope_col="g", block_rows=6)
+    for g in range(3):
+        mine = [(i, v) for x, i, v in rows if x == g]
+        assert {i: got[i] for i, _ in mine} == _brute_knn(mine, 5)
