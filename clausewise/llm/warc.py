@@ -175,12 +175,24 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(f"{folder}/manifest")
 
 
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members of ``data``, fed in steps, so that what follows a member is
+    never copied as a whole."""
+    at = 0
+    while at < len(data):
+        one, parts = zlib.decompressobj(wbits=31), []
+        while not one.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            piece = data[at:at + step]
+            parts.append(one.decompress(piece))
+            at += len(piece) - len(one.unused_data)
+        yield b"".join(parts)
+
+
 def parse(data: bytes, name: str) -> Iterator[dict]:
     """The records of a gzip-per-record file; wrong lengths or digests fail."""
-    while data:
-        member = zlib.decompressobj(wbits=31)
-        raw = member.decompress(data) + member.flush()
-        data = member.unused_data
+    for raw in members(data):
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         f = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
