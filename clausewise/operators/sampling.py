@@ -91,6 +91,8 @@ def train_test_split(df: DataFrame, scope: Sequence[str], keys: Sequence[str],
     """Adds ``split`` ('test' / 'train'); n_test = ceil(fraction * n) in DOUBLE."""
     n = df.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
     n_take = n.select(*scope, F.ceil(F.lit(float(test_fraction)) * F.col("_n")).cast("long").alias("n_take"))
+    if not scope:
+        n_take = n_take.scalar()
     out = first_by_hash(df, scope, keys, n_take, seed)
     return (out.withColumn("split", F.when(F.col("in_head"), F.lit("test")).otherwise(F.lit("train")))
                .drop("in_head"))

@@ -15,15 +15,16 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, HashingTF, NGram, SQLTransformer
+from pyspark.ml.feature import CountVectorizer, NGram, SQLTransformer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values (our choices): iteration cap of the solvers, hashing width.
+# Default iterations of the solvers (our choice); every pipeline takes ``max_iter``.
 MAX_ITER = 30
-NGRAM_FEATURES = 1 << 18
+# Above any real vocabulary: the index holds every term or n-gram of the training rows.
+EVERY_TERM = 2 ** 31 - 1
 
 
 def term_bags(units: DataFrame, cells: DataFrame, selected: DataFrame, scope: Sequence[str],
@@ -31,18 +32,18 @@ def term_bags(units: DataFrame, cells: DataFrame, selected: DataFrame, scope: Se
     """``units`` + ``terms ARRAY<STRING>``: each selected term repeated n times,
     so a CountVectorizer reproduces the containment counts as a sparse vector.
 
-    ``selected`` holds at most k terms per scope, so it is broadcast.
     """
-    kept = cells.join(F.broadcast(selected.select(*scope, "term")), [*scope, "term"], "left_semi")
+    kept = cells.join(selected.select(*scope, "term"), [*scope, "term"], "left_semi")
     bags = (kept.groupBy(*scope, *keys)
                 .agg(F.flatten(F.collect_list(F.array_repeat(F.col("term"), F.col("n").cast("int")))).alias("terms")))
     return (units.join(bags, [*scope, *keys], "left")
                  .withColumn("terms", F.coalesce(F.col("terms"), F.array().cast("array<string>"))))
 
 
-def bow_pipeline(reg_param: float = 0.0, vocab_size: int = 1 << 20) -> Pipeline:
-    cv = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocab_size, minDF=1.0)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=MAX_ITER,
+def bow_pipeline(reg_param: float = 0.0, max_iter: int = MAX_ITER) -> Pipeline:
+    """Selected containment counts, standardised inside the solver (O-41)."""
+    cv = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=EVERY_TERM, minDF=1.0)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
                             regParam=reg_param, standardization=True)
     return Pipeline(stages=[cv, lr])
 
@@ -51,18 +52,15 @@ def id_ngrams(ids: Column) -> Column:
     return F.transform(ids, lambda x: x.cast("string"))
 
 
-def sequence_pipeline(reg_param: float = 0.0) -> Pipeline:
+def sequence_pipeline(reg_param: float = 0.0, max_iter: int = MAX_ITER) -> Pipeline:
+    """Presence of the id n-grams of the training rows, each with its own column."""
     grams = [NGram(n=n, inputCol="id_tokens", outputCol=f"g{n}") for n in (2, 3, 4)]
-    tf = HashingTF(inputCol="grams", outputCol="features", numFeatures=NGRAM_FEATURES, binary=True)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=MAX_ITER, regParam=reg_param)
+    tf = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=EVERY_TERM, minDF=1.0, binary=True)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg_param)
     concat = SQLTransformer(statement="SELECT *, concat(g2, g3, g4) AS grams FROM __THIS__")
     return Pipeline(stages=[*grams, concat, tf, lr])
 
 
-def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    return pipeline.fit(train)
-
-
 def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Adds ``score`` = [P(label 0), P(label 1)] as ARRAY<DOUBLE> and ``p1``."""
     out = model.transform(rows)

@@ -73,16 +73,26 @@ def standardise(cells: DataFrame, stats: DataFrame, scope: Sequence[str]) -> Dat
                  .drop("mean", "std"))
 
 
+def label_sums(cells: DataFrame, scope: Sequence[str], label_cols: Sequence[str]) -> DataFrame:
+    """``scope..., term, total, q, s1_<label>...``: sums of n, n^2, and n where the
+    label is 1, for several labels of the same cells in one aggregate."""
+    return cells.groupBy(*scope, "term").agg(
+        F.sum("n").cast("long").alias("total"), F.sum(F.col("n") * F.col("n")).cast("long").alias("q"),
+        *[F.sum(F.when(F.col(c) == 1, F.col("n")).otherwise(0)).cast("long").alias(f"s1_{c}") for c in label_cols])
+
+
 def anova_f(cells: DataFrame, sizes: DataFrame, scope: Sequence[str], label_col: str = "label") -> DataFrame:
     """O-21: one-way ANOVA F of each term's column against a 0/1 label.
 
     ``cells`` must carry the label of its clause; ``sizes`` gives n0, n1.
     """
-    y = F.col(label_col)
-    sums = cells.groupBy(*scope, "term").agg(
-        F.sum(F.when(y == 0, F.col("n")).otherwise(0)).cast("long").alias("s0"),
-        F.sum(F.when(y == 1, F.col("n")).otherwise(0)).cast("long").alias("s1"),
-        F.sum(F.col("n") * F.col("n")).cast("long").alias("q"))
+    s1 = F.col(f"s1_{label_col}")
+    sums = label_sums(cells, scope, [label_col]).select(*scope, "term", (F.col("total") - s1).alias("s0"), s1.alias("s1"), "q")
+    return anova_from_sums(sums, sizes, scope)
+
+
+def anova_from_sums(sums: DataFrame, sizes: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """F from ``scope..., term, s0, s1, q`` (sums by label and of squares)."""
     s = sums.join(sizes.select(*scope, "n0", "n1"), list(scope))
     n0, n1 = F.col("n0").cast(DEC), F.col("n1").cast(DEC)
     s0, s1, q = F.col("s0").cast(DEC), F.col("s1").cast(DEC), F.col("q").cast(DEC)

@@ -15,14 +15,15 @@ as a substring. Spark plans a ``contains`` join as a cartesian product, so we
 turn the theta join into equi-joins:
 
 1. distinct words of the corpus (partial distinct before the shuffle);
-2. every substring of each word whose length is one of the vocabulary's term
-   lengths (a scalar subquery; the set is at most as large as the longest
-   term), one row per start position, so even a very long word streams as
-   ``len(word) * |lengths|`` short rows, never one giant array;
-3. equi-join substring = term, then collect the matched terms per word (a
+2. for every start position of a word the lengths of those vocabulary terms
+   that begin with the same three characters (an equi-join on the beginning;
+   terms of one or two characters are their own, tiny case), hence one candidate
+   substring per (start, length) that some term could match. Rows are made per
+   start, so even a very long word streams as short rows, never as one array;
+3. equi-join candidate = term, then collect the matched terms per word (a
    word that contains a term twice still counts once);
-4. join tokens (pre-counted per clause and word) to that map by word, explode,
-   sum per (keys, term).
+4. join the clauses' words, counted inside the clause's row, to that map by
+   word, explode, sum per (keys, term).
 
 Every step is exact: no word or term is capped or skipped. The map join in 4
 is keyed by word; a very frequent word ("the" in a third of all clauses) is a
@@ -92,15 +93,22 @@ def vocabulary(token_arrays: DataFrame, scope: Sequence[str], order: Sequence[st
     return agg.select(*cols)
 
 
-def existence_vectors(token_arrays: DataFrame, vocab: DataFrame, scope: Sequence[str],
+def existence_vectors(token_arrays: DataFrame, vocab: DataFrame | None, scope: Sequence[str],
                       keys: Sequence[str], tokens_col: str = "tokens") -> DataFrame:
-    """O-13: ``scope..., keys..., term, n=1`` where a token equals a vocabulary term."""
+    """O-13: ``scope..., keys..., term, n=1`` where a token equals a vocabulary term.
+    ``vocab=None``: the vocabulary was built from these tokens, so all of them do."""
     rows = token_arrays.select(*scope, *keys, F.explode(F.array_distinct(F.col(tokens_col))).alias("term"))
+    if vocab is None:
+        return rows.withColumn("n", F.lit(1).cast("long"))
     terms = vocab.select(*scope, "term")
     return (rows.join(terms, [*scope, "term"], "left_semi")
             .withColumn("n", F.lit(1).cast("long")))
 
 
+# Characters of a term's beginning by which candidate lengths are looked up.
+BEGIN = 3
+
+
 def word_term_map(words: DataFrame, vocab: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """``word, scope..., terms ARRAY<STRING>``: the scope's terms each word contains.
 
@@ -111,23 +119,27 @@ def word_term_map(words: DataFrame, vocab: DataFrame, scope: Sequence[str] = ())
     measured slower: the per-row arrays of structs cost more than the
     per-scope rows of this map.)
     """
-    lengths = vocab.select(F.array_sort(F.collect_set(F.length("term"))).alias("l")).scalar()
+    terms = vocab.select("term").distinct()
     # The distinct words are small on disk but each becomes dozens of
-    # substrings; AQE sizes partitions by input bytes and would put them all
+    # candidates; AQE sizes partitions by input bytes and would put them all
     # in one task. An explicit round-robin to the configured shuffle width
     # (which AQE does not coalesce) spreads the expansion over the cluster.
     width = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = words.repartition(width)
-    # the subquery result is projected into a column first: Spark does not
-    # allow a subquery inside the lambda of a higher-order function
-    starts = (words.select("word", F.length("word").alias("wlen"), lengths.alias("lens"))
-              .select("word", "wlen", "lens",
-                      F.explode(F.sequence(F.lit(1), F.greatest(F.col("wlen"), F.lit(1)))).alias("i")))
-    subs = (starts
-            .select("word", "i",
-                    F.explode(F.filter("lens", lambda x: x <= F.col("wlen") - F.col("i") + 1)).alias("sub_len"))
-            .select("word", F.substring(F.col("word"), F.col("i"), F.col("sub_len")).alias("term")))
-    matched = subs.join(vocab.select(*scope, "term"), "term")
+    starts = (words.repartition(width)
+              .select("word", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))).alias("i"))
+              .select("word", "i", F.substring("word", F.col("i"), F.lit(BEGIN)).alias("begin")))
+    lengths = (terms.where(F.length("term") >= BEGIN)
+               .groupBy(F.substring("term", 1, BEGIN).alias("begin"))
+               .agg(F.collect_set(F.length("term")).alias("lens")))
+    left = F.length("word") - F.col("i") + 1
+    long = (starts.where(F.length("begin") == BEGIN).join(lengths, "begin")
+            .select("word", "i", F.explode(F.filter("lens", lambda x: x <= left)).alias("n"))
+            .select("word", F.substring("word", F.col("i"), F.col("n")).alias("term")))
+    short = (starts.select("word", F.explode(F.sequence(F.lit(1), F.least(F.length("begin"), F.lit(BEGIN - 1)))).alias("n"),
+                           "begin")
+             .select("word", F.substring("begin", F.lit(1), F.col("n")).alias("term")))
+    matched = long.join(vocab.select(*scope, "term"), "term").unionByName(
+        short.distinct().join(vocab.where(F.length("term") < BEGIN).select(*scope, "term"), "term"))
     return matched.groupBy("word", *scope).agg(F.collect_set("term").alias("terms"))
 
 
@@ -136,7 +148,8 @@ def containment_vectors(token_rows: DataFrame, vocab: DataFrame, scope: Sequence
                         vocab_from_same_tokens: bool = False) -> DataFrame:
     """O-12: ``scope..., keys..., carry..., term, n``.
 
-    ``token_rows`` holds one row per token (``scope, keys, carry, word``);
+    ``token_rows`` holds one row per token (``scope, keys, carry, word``) or per
+    counted word (with ``k``);
     ``carry`` columns are functionally dependent on ``keys`` (e.g. the class)
     and ride along so later statistics need no join back.
 
@@ -145,10 +158,10 @@ def containment_vectors(token_rows: DataFrame, vocab: DataFrame, scope: Sequence
     them from the vocabulary avoids another pass over the tokens. When
     scoring new text against a stored vocabulary, leave it False.
 
-    Shuffles: tokens and the word map meet by (word, scope) (AQE splits a hot
-    word); the matched rows then move ONCE by clause, still carrying the term
-    array (far fewer bytes than exploded pairs), and the explode and the
-    final count run inside that partitioning without another exchange.
+    Shuffles: words counted per row and the word map meet by (word, scope) (AQE
+    splits a hot word); the matched rows then move ONCE by clause, still carrying
+    the term array (far fewer bytes than exploded pairs), and the explode and the
+    final sum run inside that partitioning without another exchange.
     """
     group = [*scope, *keys, *carry]
     if vocab_from_same_tokens:
@@ -157,8 +170,22 @@ def containment_vectors(token_rows: DataFrame, vocab: DataFrame, scope: Sequence
         words = token_rows.select("word").distinct()
     wmap = word_term_map(words, vocab.select(*scope, "term"), scope)
     width = int(token_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = F.col("k") if "k" in token_rows.columns else F.lit(1).cast("long")
     matched = (token_rows.join(wmap, ["word", *scope])
-               .select(*group, "terms")
+               .select(*group, k.alias("k"), "terms")
                .repartition(width, *scope, *keys))
-    return (matched.select(*group, F.explode("terms").alias("term"))
-                   .groupBy(*group, "term").agg(F.count(F.lit(1)).alias("n")))
+    return (matched.select(*group, "k", F.explode("terms").alias("term"))
+                   .groupBy(*group, "term").agg(F.sum("k").alias("n")))
+
+
+def counted_words(token_arrays: DataFrame, keep: Sequence[str], tokens_col: str = "tokens") -> DataFrame:
+    """``keep..., word, k``: a clause's words with their counts, from the array in
+    its row (sorted, then runs of equal words), without a shuffle."""
+    # generators keep the sorted array and the run heads from being recomputed per element
+    rows = token_arrays.select(*keep, F.explode(F.array(F.sort_array(F.col(tokens_col)))).alias("_s"))
+    heads = F.filter(F.transform("_s", lambda x, i: F.struct(x.alias("word"), i.alias("at"))),
+                     lambda x: (x["at"] == 0) | (F.get("_s", x["at"] - 1) != x["word"]))
+    rows = rows.select(*keep, F.explode(F.array(heads)).alias("_h"), F.size("_s").alias("_n"))
+    counted = F.transform("_h", lambda x, i: F.struct(
+        x["word"].alias("word"), (F.coalesce(F.get("_h", i + 1)["at"], F.col("_n")) - x["at"]).cast("long").alias("k")))
+    return rows.select(*keep, F.inline(counted))

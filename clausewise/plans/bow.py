@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from clausewise.functions.text import token_array
 from clausewise.operators.labels import encode_fixed
 from clausewise.operators.segment import segment_clauses
-from clausewise.operators.stats import TOP_K, anova_f, scope_sizes, select_top_k, standardise, term_stats
-from clausewise.operators.vocab import containment_vectors, existence_vectors, vocabulary
-from clausewise.session import checkpoint_dir
+from clausewise.operators.stats import (TOP_K, anova_from_sums, label_sums, scope_sizes, select_top_k, standardise,
+                                        term_stats)
+from clausewise.operators.vocab import containment_vectors, counted_words, existence_vectors, vocabulary
+from clausewise.session import stage
 from clausewise.sources import tables
-from clausewise.sources.corpus import PERSONAS, class_rules
+from clausewise.sources.corpus import PERSONAS, class_rules, persona_of
 
 SCOPE = ["persona"]
 KEYS = ["doc_id", "clause_no"]
@@ -53,16 +54,18 @@ LABEL_COLS = [f"label_{p}" for p in PERSONAS]
 
 
 def corpus_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, clause_no, tokens, label_alice, label_bob, label_charlie``,
-    checkpointed once (reliable, in the session's checkpoint folder)."""
+    """``doc_id, clause_no, tokens, label_alice, label_bob, label_charlie``."""
     docs = tables.documents(spark, sf_dir).select("doc_id", "text")
     lab = tables.labels(spark, sf_dir).select("doc_id", "quality", "toxic")
     seg = segment_clauses(docs.join(lab, "doc_id"), keep=("doc_id", "quality", "toxic"))
     rules = class_rules(F.col("quality"), F.col("toxic"))
-    units = seg.select(*KEYS, token_array(F.col("clause")).alias("tokens"),
-                       *[encode_fixed(rules[p]).alias(f"label_{p}") for p in PERSONAS])
-    checkpoint_dir(spark)
-    return units.checkpoint(eager=True)
+    return seg.select(*KEYS, token_array(F.col("clause")).alias("tokens"),
+                      *[encode_fixed(rules[p]).alias(f"label_{p}") for p in PERSONAS])
+
+
+def staged_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``corpus_units`` as a Parquet stage, for queries that read it several times."""
+    return stage(corpus_units(spark, sf_dir), "units")
 
 
 def _fan_out() -> F.Column:
@@ -75,8 +78,8 @@ def _personas() -> F.Column:
 
 
 def corpus_cells(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    vocab = vocabulary(units, [], KEYS)
-    rows = units.select(*KEYS, *LABEL_COLS, F.explode("tokens").alias("word"))
+    vocab = stage(vocabulary(units, [], KEYS), "vocabulary")
+    rows = counted_words(units, [*KEYS, *LABEL_COLS])
     cells = containment_vectors(rows, vocab, [], KEYS, carry=LABEL_COLS, vocab_from_same_tokens=True)
     return cells, vocab
 
@@ -91,14 +94,13 @@ def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bow_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = corpus_units(spark, sf_dir)
-    vocab = vocabulary(units, [], KEYS)
-    ex = existence_vectors(units, vocab, [], KEYS)
+    """In training every token is a vocabulary term, so no join is needed."""
+    ex = existence_vectors(corpus_units(spark, sf_dir), None, [], KEYS)
     return ex.select(_personas(), *KEYS, "term", "n")
 
 
 def bow_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, _ = corpus_cells(corpus_units(spark, sf_dir))
+    cells, _ = corpus_cells(staged_units(spark, sf_dir))
     return cells.select(_personas(), *KEYS, "term", "n")
 
 
@@ -108,32 +110,37 @@ def _corpus_stats(units: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def term_stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = corpus_units(spark, sf_dir)
+    units = staged_units(spark, sf_dir)
     cells, _ = corpus_cells(units)
     st = _corpus_stats(units, cells)
     return st.select(_personas(), *st.columns)
 
 
 def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = corpus_units(spark, sf_dir)
+    units = staged_units(spark, sf_dir)
     cells, _ = corpus_cells(units)
     z = standardise(cells, _corpus_stats(units, cells), [])
     return z.select(_personas(), *KEYS, "term", "n", "z")
 
 
 def _anova(units: DataFrame, cells: DataFrame) -> DataFrame:
-    per_persona = cells.select(*KEYS, "term", "n", _fan_out())
-    return anova_f(per_persona, corpus_sizes(units), SCOPE)
+    """One aggregate per term with a conditional sum per persona's label; only the
+    aggregated rows are fanned out to the personas."""
+    sums = label_sums(cells, [], LABEL_COLS)
+    per_persona = F.inline(F.array(*[
+        F.struct(F.lit(p).alias("persona"), (F.col("total") - F.col(f"s1_label_{p}")).alias("s0"),
+                 F.col(f"s1_label_{p}").alias("s1")) for p in PERSONAS]))
+    return anova_from_sums(sums.select("term", "q", per_persona), corpus_sizes(units), SCOPE)
 
 
 def anova_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = corpus_units(spark, sf_dir)
+    units = staged_units(spark, sf_dir)
     cells, _ = corpus_cells(units)
     return _anova(units, cells)
 
 
 def selection(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
-    units = corpus_units(spark, sf_dir)
+    units = staged_units(spark, sf_dir)
     cells, vocab = corpus_cells(units)
     top = _selected_terms(units, cells, vocab, k)
     return top.select(*SCOPE, "term", "f", "multiplicity", "selected_multiplicity", "rank")
@@ -154,13 +161,26 @@ def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = document; N = the document's clauses)."""
     from clausewise.plans import analyse
 
-    units = corpus_units(spark, sf_dir)
+    units = staged_units(spark, sf_dir)
     cells, vocab = corpus_cells(units)
     selected = _selected_terms(units, cells, vocab).select(*SCOPE, "term")
     rc = analyse.request_clauses(spark, sf_dir).withColumnRenamed("alertness", "persona")
-    rows = rc.select("persona", *KEYS, F.explode(token_array(F.col("clause"))).alias("word"))
+    rows = counted_words(rc.withColumn("tokens", token_array(F.col("clause"))), ["persona", *KEYS])
     dcells = containment_vectors(rows, selected, SCOPE, KEYS)
     sizes = rc.groupBy("persona", "doc_id").agg(F.count(F.lit(1)).cast("long").alias("n_units"))
     stats = term_stats(dcells, sizes, ["persona", "doc_id"])
     z = standardise(dcells, stats, ["persona", "doc_id"])
     return z.select("persona", *KEYS, "term", "n", "z")
+
+
+def bow_by_persona(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-11/O-12 with a corpus of its own per persona, as the reference has them:
+    a persona holds the clauses of its own documents (``doc_id`` modulo three),
+    so vocabulary and containment run per scope."""
+    docs = tables.documents(spark, sf_dir).select("doc_id", "text")
+    lab = tables.labels(spark, sf_dir).select("doc_id")
+    seg = segment_clauses(docs.join(lab, "doc_id"))
+    units = stage(seg.select(persona_of(F.col("doc_id")).alias("persona"), *KEYS,
+                             token_array(F.col("clause")).alias("tokens")), "persona-units")
+    vocab = stage(vocabulary(units, SCOPE, KEYS), "persona-vocabulary")
+    return containment_vectors(counted_words(units, ["persona", *KEYS]), vocab, SCOPE, KEYS)

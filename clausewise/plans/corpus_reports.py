@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.operators.aggregates import class_counts, with_ratios
 from clausewise.operators.segment import segment_clauses
+from clausewise.session import checkpoint_dir
 from clausewise.sources import tables
-from clausewise.sources.corpus import PERSONAS, class_rules
-from clausewise.sources.files import file_lines
+from clausewise.sources.corpus import PERSONAS, class_rules, labelled_clauses
+from clausewise.sources.files import file_lines, good_rows, read_labelled_csv, write_labelled_csv
 
 
 def persona_source_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,3 +40,11 @@ def doc_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = file_lines(F.concat(F.col("text"), F.lit("\n")))
     return docs.select("doc_id", F.posexplode(lines).alias("clause_no", "clause")) \
         .withColumn("clause_no", F.col("clause_no").cast("long"))
+
+
+def labelled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-01/O-05: the labelled clauses written as CSV files per persona (in the
+    shared folder) and read back with validation: ``persona, clause, class``."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/labelled-{uuid.uuid4().hex[:12]}"
+    write_labelled_csv(labelled_clauses(spark, sf_dir), root)
+    return good_rows(read_labelled_csv(spark, root)).select("persona", "clause", "class")

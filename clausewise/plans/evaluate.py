@@ -1,7 +1,9 @@
 """O-22..O-24: evaluation of a scorer against labelled clauses.
 
-Rows: request clauses of labelled documents, scored by the stand-in model
-(tfm mode), truth from the request persona's class rule. The confusion
+Rows: the held-out clauses (``split = 'test'`` of the exact hash-ordered split,
+per persona) of labelled documents' requests, scored by the stand-in model (tfm
+mode), truth from the request persona's class rule. Labels are joined before
+anything is segmented, and only held-out clauses are scored. The confusion
 matrix is indexed like the reference's: class index = argmax of the one-hot
 pair, so index 0 is worth_reading (label 1) and index 1 standard_trivial.
 """
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from clausewise.operators.aggregates import confusion_matrix, holdout_metrics, sensitivity_specificity
 from clausewise.operators.labels import argmax, encode_fixed, one_hot
+from clausewise.operators.sampling import train_test_split
+from clausewise.operators.segment import segment_clauses
 from clausewise.plans import analyse
 from clausewise.sources import tables
 from clausewise.sources.corpus import PERSONAS, WORTH, class_rules
@@ -28,15 +32,18 @@ def worth_probability(score: F.Column) -> F.Column:
 
 
 def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = analyse.classified_requests(spark, sf_dir).where(F.col("decode_error").isNull())
     lab = tables.labels(spark, sf_dir).select("doc_id", "quality", "toxic")
+    labelled = analyse.valid_requests(spark, sf_dir).join(lab, "doc_id")
+    clauses = segment_clauses(labelled, keep=(*analyse.REQUEST_KEYS, "quality", "toxic"))
+    held = train_test_split(clauses, ["alertness"], ["doc_id", "clause_no"]).where(F.col("split") == "test")
+    c = analyse.classify_with_rule(held).where(F.col("decode_error").isNull())
     rules = class_rules(F.col("quality"), F.col("toxic"))
     # truth: the request persona's own class rule
     worth = None
     for p in PERSONAS:
         cond = (F.col("alertness") == p) & (rules[p] == F.lit(WORTH))
         worth = cond if worth is None else (worth | cond)
-    return (c.join(lab, "doc_id")
+    return (c
              .select(F.col("alertness").alias("persona"), "doc_id", "clause_no",
                      worth.cast("int").alias("label"), encode_fixed(F.col("class")).alias("prediction"),
                      worth_probability(F.col("score")).alias("p1")))

@@ -634,6 +634,13 @@ FROM picked p JOIN knn k ON p.label = k.label AND p.id = k.id AND p.nb_rank = k.
 
 EVAL = f"""
 {CLASSIFIED},
+held_out AS (
+  SELECT alertness, doc_id, clause_no FROM (
+    SELECT c.alertness, c.doc_id, c.clause_no, count(*) OVER (PARTITION BY alertness) AS n,
+           row_number() OVER (PARTITION BY alertness ORDER BY md5(concat_ws(':', c.doc_id, c.clause_no, 42))) AS rk
+    FROM req_clauses c JOIN labels l ON c.doc_id = l.doc_id)
+  WHERE rk <= ceil(CAST(0.2 AS DOUBLE) * n)
+),
 eval_rows AS (
   SELECT c.alertness AS persona, c.doc_id, c.clause_no,
          CASE WHEN (c.alertness = 'alice' AND l.quality = 1) OR (c.alertness = 'bob' AND l.toxic = 1)
@@ -643,6 +650,7 @@ eval_rows AS (
   FROM classified c
   JOIN req_scored s ON c.doc_id = s.doc_id AND c.clause_no = s.clause_no
   JOIN labels l ON c.doc_id = l.doc_id
+  JOIN held_out h ON c.doc_id = h.doc_id AND c.clause_no = h.clause_no
   WHERE c.class IS NOT NULL
 ),
 cm AS (
@@ -690,8 +698,110 @@ kept AS (
 SELECT doc_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS clause_no, unnest(arr) AS clause FROM kept"""
 
 
+def _md5_weight(*parts: str) -> str:
+    return f"(CAST(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 6)) AS BIGINT) % 201 - 100)"
+
+
+def _margin_report(mode: str, s0: str, s1: str) -> str:
+    """Per-request report from clause_margins(doc_id, clause_no, margin) and req_clauses."""
+    return f"""
+scored_clauses AS (
+  SELECT c.doc_id, c.alertness, c.title, c.clause_no,
+         CAST({_md5_weight("c.alertness", "'intercept'")} + coalesce(m.margin, 0) AS DOUBLE) AS m
+  FROM req_clauses c LEFT JOIN clause_margins m ON m.doc_id = c.doc_id AND m.clause_no = c.clause_no
+),
+decoded_clauses AS (SELECT *, {_decode_case(mode, s0, s1)} FROM scored_clauses),
+counted AS (
+  SELECT r.request_id AS doc_id, r.alertness, r.title,
+         CAST(count(*) FILTER (WHERE class = 'standard_trivial') AS BIGINT) AS standard_n,
+         CAST(count(*) FILTER (WHERE class = 'worth_reading') AS BIGINT) AS worth_n,
+         CAST(count(*) FILTER (WHERE class IS NULL AND c.clause_no IS NOT NULL) AS BIGINT) AS error_n,
+         coalesce(list_sort(list(clause_no) FILTER (WHERE class = 'worth_reading')), CAST([] AS BIGINT[])) AS worth_indices
+  FROM checked r LEFT JOIN decoded_clauses c ON c.doc_id = r.request_id
+  WHERE r.reason IS NULL GROUP BY r.request_id, r.alertness, r.title
+)
+SELECT doc_id, alertness, title, standard_n, worth_n, error_n,
+       {percent_sql('standard_n', '(standard_n + worth_n)')} AS standard_ratio, worth_indices FROM counted"""
+
+
+def _analyse_requests_bow() -> str:
+    return f"""WITH {CELLS}, {_selection_ctes()}, {CLASSIFIED.strip()},
+req_words AS (
+  SELECT alertness AS persona, doc_id, clause_no, unnest({token_list('clause')}) AS word FROM req_clauses
+),
+req_distinct AS (SELECT DISTINCT persona, word FROM req_words),
+req_terms AS (
+  SELECT w.persona, w.word, s.term FROM req_distinct w JOIN selected s ON s.persona = w.persona AND contains(w.word, s.term)
+),
+clause_margins AS (
+  SELECT w.doc_id, w.clause_no, sum({_md5_weight("t.persona", "t.term")}) AS margin
+  FROM req_words w JOIN req_terms t ON t.persona = w.persona AND t.word = w.word GROUP BY w.doc_id, w.clause_no
+),
+{_margin_report('bow', '-m', 'm')}"""
+
+
+def _analyse_requests_sequence() -> str:
+    grams = "list_transform(range(1, len(ids)), lambda i: ids[i] || ' ' || ids[i + 1])"
+    return f"""WITH {_seq(False)}, {CLASSIFIED.strip()},
+known AS (SELECT DISTINCT unnest({grams.replace('ids', 'input_ids')}) AS g FROM ids),
+req_tokens AS (
+  SELECT doc_id, alertness, clause_no, generate_subscripts(t, 1) AS pos, unnest(t) AS word
+  FROM (SELECT doc_id, alertness, clause_no, {token_list('clause')} AS t FROM req_clauses)
+),
+req_ids AS (
+  SELECT r.doc_id, r.alertness, r.clause_no,
+         list(CASE WHEN r.word = '[CLS]' THEN 2 WHEN r.word = '[SEP]' THEN 3 ELSE coalesce(d.id, 1) END ORDER BY r.pos) AS ids
+  FROM req_tokens r LEFT JOIN dict d ON lower(r.word) = d.term GROUP BY ALL
+),
+req_grams AS (SELECT doc_id, alertness, clause_no, unnest(list_distinct({grams})) AS g FROM req_ids),
+clause_margins AS (
+  SELECT r.doc_id, r.clause_no, sum({_md5_weight("r.alertness", "r.g")}) AS margin
+  FROM req_grams r JOIN known k USING (g) GROUP BY r.doc_id, r.clause_no
+),
+{_margin_report('bert', '(1 / (1 + exp(least(greatest(-m, -700), 700))))', 'm')}"""
+
+
+def _labelled_csv() -> str:
+    return f"WITH {LABELLED} SELECT persona, clause, class FROM labelled"
+
+
+def _bow_by_persona() -> str:
+    return f"""WITH own AS (
+  SELECT d.doc_id, {PERSONA_SQL.replace('doc_id', 'd.doc_id')} AS persona, {clause_list('d.text')} AS arr
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+c AS (SELECT persona, doc_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS clause_no, unnest(arr) AS clause FROM own),
+w AS (SELECT persona, doc_id, clause_no, unnest({token_list('clause')}) AS word FROM c),
+t AS (SELECT DISTINCT persona, word FROM w),
+m AS (SELECT a.persona, a.word, b.word AS term FROM t a JOIN t b ON a.persona = b.persona AND contains(a.word, b.word))
+SELECT w.persona, w.doc_id, w.clause_no, m.term, CAST(count(*) AS BIGINT) AS n
+FROM w JOIN m ON w.persona = m.persona AND w.word = m.word GROUP BY ALL"""
+
+
+def _best_run_table() -> str:
+    return f"""WITH {EVAL},
+runs AS (
+  SELECT persona, label, prediction, reg_param,
+         CASE WHEN p1 > 0 THEN 1 / (1 + exp(ln((1 - p1) / p1) * reg_param)) ELSE 0.0 END AS p1
+  FROM eval_rows, (SELECT unnest([0.125, 0.25, 0.5, 1.0])::DOUBLE AS reg_param)
+),
+metrics AS (
+  SELECT persona, reg_param,
+         round(avg(-ln(CASE WHEN label = 1 THEN least(greatest(p1, 1e-7), 1.0 - 1e-7)
+                            ELSE 1.0 - least(greatest(p1, 1e-7), 1.0 - 1e-7) END)), 9) AS loss
+  FROM runs GROUP BY persona, reg_param
+)
+SELECT persona, arg_min(reg_param, {{'l': loss, 'r': reg_param}}) AS best_reg_param, min(loss) AS best_loss
+FROM metrics GROUP BY persona"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "labelled_csv": _labelled_csv(),
+        "analyse_requests_bow": _analyse_requests_bow(),
+        "analyse_requests_sequence": _analyse_requests_sequence(),
+        "bow_by_persona": _bow_by_persona(),
+        "best_run_table": _best_run_table(),
         "persona_source_ratios": _persona_source_ratios(),
         "segment_clauses": _segment_clauses(),
         "doc_clauses": _doc_clauses(),

@@ -72,4 +72,10 @@ def queries() -> dict[str, Query]:
         "score_sequence": models.score_sequence,
         "score_external": models.score_external,
         "best_run": models.best_run,
+        "analyse_requests_bow": models.analyse_requests_bow,
+        "analyse_requests_sequence": models.analyse_requests_sequence,
+        "analyse_requests_fitted": models.analyse_requests_fitted,
+        "best_run_table": models.best_run_table,
+        "labelled_csv": corpus_reports.labelled_csv,
+        "bow_by_persona": bow.bow_by_persona,
     }
