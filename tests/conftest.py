@@ -12,9 +12,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from clausewise.session import build_session, checkpoint_dir
-    s = build_session("local[4]", shuffle_partitions=8, driver_memory="4g")
-    checkpoint_dir(s)  # tests have no cluster setting: use a scratch folder
+    from clausewise.session import build_session
+    s = build_session("local[4]", shuffle_partitions=8, driver_memory="4g",
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="clausewise-tests-", dir="/tmp")})
     yield s
     s.stop()
 

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from clausewise.functions.text import token_array
-from clausewise.operators.vocab import containment_vectors, existence_vectors, vocabulary
+from clausewise.operators.vocab import containment_vectors, counted_words, existence_vectors, vocabulary
 
 CLAUSES = [
     "the banana and an ana",
@@ -34,9 +34,7 @@ def _brute(spark, df):
     for scope in {d[0] for d in data}:
         cols = []
         for _, _, toks in sorted((d for d in data if d[0] == scope), key=lambda d: d[1]):
-            seen = []
-            [seen.append(t) for t in toks if t not in seen]
-            cols.extend(seen)
+            cols.extend(dict.fromkeys(toks))
         vocab[scope] = cols
     contain, exist = Counter(), set()
     for scope, cno, toks in data:
@@ -60,9 +58,7 @@ def test_vocabulary_multiplicity_and_first_position(spark):
     for scope, cols in vocab.items():
         firsts = sorted((r for r in got if r.scope == scope),
                         key=lambda r: (r.first_doc_id, r.first_clause_no, r.first_pos))
-        dedup = []
-        [dedup.append(t) for t in cols if t not in dedup]
-        assert [r.term for r in firsts] == dedup
+        assert [r.term for r in firsts] == list(dict.fromkeys(cols))
 
 
 def test_containment_equals_triple_loop(spark):
@@ -110,3 +106,28 @@ def test_position_packing_round_trip_and_order(spark):
     for r in out:
         assert (r.x, r.y, r.z) == (r.a, r.b, r.c)
     assert [(r.a, r.b, r.c) for r in sorted(out, key=lambda r: r.v)] == sorted(vals)
+
+
+def test_containment_of_a_very_long_token(spark):
+    import random
+
+    rng = random.Random(6)
+    giant = "".join(rng.choice("abcde") for _ in range(20_000))
+    words = [giant, "abc", "bcd", giant[100:120], "a", "de", "zz", giant[-7:], "abcde"]
+    df = spark.createDataFrame([(1, 0, [*words, "abc"]), (1, 1, ["abc", "zz"])],
+                               "doc_id long, clause_no long, tokens array<string>")
+    vocab = vocabulary(df, [], ["doc_id", "clause_no"])
+    got = {(r.clause_no, r.term): r.n for r in containment_vectors(
+        counted_words(df, ["doc_id", "clause_no"]), vocab, [], ["doc_id", "clause_no"], vocab_from_same_tokens=True).collect()}
+    want = {}
+    for c, toks in ((0, [*words, "abc"]), (1, ["abc", "zz"])):
+        for t in set(words):
+            if n := sum(t in w for w in toks):
+                want[c, t] = n
+    assert got == want
+
+
+def test_words_are_counted_inside_the_row(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (3, ["x"])], "k long, tokens array<string>")
+    got = {(r.k, r.word): r["k2"] for r in counted_words(df, ["k"]).toDF("k", "word", "k2").collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 3, (3, "x"): 1}
