@@ -41,9 +41,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .common import fresh, row_slices
 
 LONG = 256  # bytes
-CHUNK = 20_000  # words in one recursive query
-CACHED_WORDS = 250_000  # per Python worker; emptied when full
-SLICE_CHARS = 2_000_000
+CHUNK = 8_000  # words in one recursive query
+CACHED_WORDS = 120_000  # per Python worker; emptied when full
+SLICE_CHARS = 500_000
 MEMORY = "500MB"
 
 _ENCODE = """
@@ -218,18 +218,26 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the array column ``ids`` instead of ``text``."""
-    keep = [c for c in docs.columns if c not in (text, ids)]
-    schema = StructType([docs.schema[c] for c in keep] + [StructField(ids, ArrayType(IntegerType(), False), False)])
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids",
+           decoded: str | None = None) -> DataFrame:
+    """``docs`` with the array column ``ids`` instead of ``text``; with ``decoded`` also
+    the bytes the ids decode to, in the same worker (one set of tables, not two)."""
+    out = [ids, *([decoded] if decoded else [])]
+    keep = [c for c in docs.columns if c not in (text, *out)]
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(ids, ArrayType(IntegerType(), False), False)]
+                        + [StructField(c, BinaryType(), False) for c in out[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             for part in row_slices(batch, batch.column(0), SLICE_CHARS):
-                flat, ends = own.encode(part.column(0).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], lists], [*keep, ids])
+                lists = _lists(*own.encode(part.column(0).to_pylist()))
+                more = [own.decode(lists)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], lists, *more], [*keep, *out])
 
     raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(fresh(keep, "_text")[0])
     return docs.select(raw, *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
@@ -244,7 +252,6 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
         own = codec(path, pattern)
         for batch in batches:
             for part in row_slices(batch, batch.column(ids), SLICE_CHARS // 2):
-                got = own.decode(part.column(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns, got], [*keep, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, own.decode(part.column(ids))], [*keep, out])
 
     return encoded.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

@@ -26,6 +26,8 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, encoding):
              "".join(chr(rng.randrange(32, 0x2FF)) for _ in range(800))]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, _text string")
     got = bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()
+    both = bpe.encode(df, PATH, P.PATTERN, decoded="decoded").collect()
+    assert sorted((r.doc_id, r.ids, r.decoded) for r in both) == sorted((r.doc_id, r.ids, r.decoded) for r in got)
     assert len(got) == len(texts)
     for r in got:
         t = texts[r.doc_id] or ""
@@ -126,3 +128,19 @@ def test_ordinal_gradient_matches_differences():
             t[k] += d
             v[k] += d
             assert loss(t, w) > best - 1e-5 and loss(theta, v) > best - 1e-5
+
+
+def test_mixing_query_equals_its_sql_on_skewed_sources(spark, scratch):
+    import duckdb
+
+    from clausewise.llm import queries_corpus
+
+    df, _ = sources(spark, (9000, 700, 300, 40, 11))
+    df.write.parquet(f"{scratch}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{scratch}/documents.parquet/*.parquet')")
+    got = queries_corpus.op1_mixing(spark, scratch)
+    rel = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries_corpus.OP1_SQL})")
+    mine, theirs = Counter(tuple(r) for r in got.collect()), Counter(rel.fetchall())
+    assert mine == theirs
+    assert sum(mine.values()) > df.count()
