@@ -54,14 +54,19 @@ def hash_fraction(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
 
 
-def first_by_hash(df: DataFrame, scope: Sequence[str], keys: Sequence[str], n_take,
-                  seed: int = SEED) -> DataFrame:
+def first_by_hash(df: DataFrame, scope: Sequence[str], keys: Sequence[str], n_take=None,
+                  seed: int = SEED, fraction: float | None = None) -> DataFrame:
     """Adds ``in_head``: true for the first ``n_take`` rows of each scope in
     md5(keys:seed) order. ``n_take`` is a table ``scope..., n_take``, or with
-    an empty scope a scalar column."""
+    an empty scope a scalar column; without it, ceil(``fraction`` * rows), the
+    rows being counted from the histogram."""
     h = order_hash(keys, seed)
     tagged = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     hist = tagged.groupBy(*scope, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    if n_take is None:
+        n = hist.groupBy(*scope).agg(F.sum("_cnt").alias("_n"))
+        n_take = n.select(*scope, F.ceil(F.lit(float(fraction)) * F.col("_n")).cast("long").alias("n_take"))
+        n_take = n_take if scope else n_take.scalar()
     # without a scope the window runs over at most 65,536 histogram rows
     w = Window.partitionBy(*scope).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     info = hist.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt"))
@@ -89,11 +94,7 @@ def first_by_hash(df: DataFrame, scope: Sequence[str], keys: Sequence[str], n_ta
 def train_test_split(df: DataFrame, scope: Sequence[str], keys: Sequence[str],
                      test_fraction: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
     """Adds ``split`` ('test' / 'train'); n_test = ceil(fraction * n) in DOUBLE."""
-    n = df.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
-    n_take = n.select(*scope, F.ceil(F.lit(float(test_fraction)) * F.col("_n")).cast("long").alias("n_take"))
-    if not scope:
-        n_take = n_take.scalar()
-    out = first_by_hash(df, scope, keys, n_take, seed)
+    out = first_by_hash(df, scope, keys, seed=seed, fraction=test_fraction)
     return (out.withColumn("split", F.when(F.col("in_head"), F.lit("test")).otherwise(F.lit("train")))
                .drop("in_head"))
 

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from clausewise.plans.registry import queries
 
 from conftest import SF_SMALL
 
@@ -41,3 +41,10 @@ def test_reports_need_no_exchange(spark, name):
 def test_rejects_have_every_reason(spark):
     got = {r.reason for r in queries()["rejected_requests"](spark, SF_SMALL).collect()}
     assert got == {"invalid_json", "missing_alertness", "invalid_alertness", "missing_text", "empty_text", "missing_title"}
+
+
+@pytest.mark.parametrize(("name", "most"), [("model_input", 2), ("train_test_split", 3)])
+def test_documents_are_scanned_no_more_than_needed(spark, name, most):
+    """model_input: clauses and dictionary; the split: histogram, boundary cell, tagging."""
+    plan = _executed(queries()[name](spark, SF_SMALL))
+    assert plan.count("documents.parquet") <= most, plan
