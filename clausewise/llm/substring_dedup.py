@@ -11,10 +11,12 @@ Units of two kinds are compared across all documents:
   of a longer paragraph is found too.
 
 Equal units are one class from the start (a hash of their words); only one
-representative of each paragraph class is banded. Edges of verified pairs give
+representative of each paragraph class is banded, and shingle sets are made for
+colliding paragraphs only. Edges of verified pairs give
 components; all members of a component are repeats of its first occurrence
 (smallest document id, then position), which stays. Runs of repeated sentences
-count once they reach ``MIN_PASSAGE`` words; spans are code points, end exclusive.
+count once they reach ``MIN_PASSAGE`` words; spans are word numbers in the
+document, end exclusive.
 
 Hot keys: equal units meet in aggregates only; large buckets are cut into blocks
 (``blocked``) and tasks report forest edges, not pairs.
@@ -27,6 +29,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -36,19 +39,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (WordHasher, blocked, components, forest, fresh, group_pairs, mix64, shingle_hashes, stored,
+from .common import (SHINGLE, WordHasher, blocked, components, forest, fresh, group_pairs, mix64, shingle_hashes, stored,
                      whole_groups)
 from .ngram_join import minhash
 
 THRESHOLD = 0.8
-RECALL = 0.999
-ROWS = 3
+RECALL = 0.995
+ROWS = 2
 MIN_UNIT = 16
-MIN_SENTENCE = 6
+MIN_SENTENCE = 8
 MIN_PASSAGE = 16
 BLOCK = 512
 
-_UNIT = "doc_id long, kind int, pos int, start int, end int, n_words int, unit long"
+_UNIT = "doc_id long, kind int, pos int, start int, end int, n_words int, unit long, bands array<long>"
 
 
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -56,94 +59,95 @@ def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = R
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold ** rows))
 
 
-_SENTENCE = re.compile(r"(?<=[.!?])[ \t\r\f\v]+")
+_ENDS = frozenset(b".!?")
 
 
-def _mix(h: np.ndarray) -> int:
-    """One hash for a sequence of word hashes (order counts)."""
+def range_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each range of word hashes (order counts)."""
+    size = ends - starts
+    if not len(size):
+        return np.empty(0, np.int64)
+    first = np.cumsum(size) - size
+    at = np.arange(size.sum()) - np.repeat(first, size)
     with np.errstate(over="ignore"):
-        at = mix64(np.arange(1, len(h) + 1, dtype=np.uint64))
-        return int(np.add.reduce(mix64(h ^ at)).astype(np.int64))
+        mixed = mix64(h[np.repeat(starts, size) + at] ^ mix64((at + 1).astype(np.uint64)))
+        return np.add.reduceat(mixed, first).astype(np.int64)
 
 
-def units(text: str, hasher: WordHasher) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(kind, start, end, words, word hashes): kind 0 paragraph, 1 sentence."""
+def unit_ranges(lines: list[list[bytes]]) -> Iterator[tuple[int, int, int]]:
+    """(kind, first word, end word) of a text's units, lines given as words: kind 0
+    paragraph, 1 sentence."""
     at = 0
-    for line in text.split("\n"):
-        begin, count, held = at, 0, None
-        h = hasher(line.encode().split())
-        if len(h) >= MIN_UNIT:
-            yield 0, at, at + len(line), len(h), h
-        used = 0
-        cuts = [m.start() for m in _SENTENCE.finditer(line)] + [len(line)]
-        low = 0
-        for cut in cuts:
-            n = len(line[low:cut].encode().split())
-            held = low if held is None else held
-            count += n
-            if count >= MIN_SENTENCE or cut == len(line):
-                if count >= MIN_SENTENCE:
-                    piece = line[held:cut]
-                    lead = len(piece) - len(piece.lstrip())
-                    yield 1, begin + held + lead, begin + cut, count, h[used:used + count]
-                used, count, held = used + count, 0, None
-            low = cut
-        at += len(line) + 1
-
-
-def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hasher = WordHasher()
-    for pdf in batches:
-        out: list[tuple] = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            for pos, (kind, start, end, n, h) in enumerate(units(text, hasher)):
-                out.append((doc, kind, pos, start, end, n, _mix(h)))
-            if len(out) > 200_000:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in _UNIT.split(", ")])
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _UNIT.split(", ")])
-
-
-def _band_rows(bands: int):
-    """Paragraph sketches: (unit, band keys, packed shingle set), each class once per task."""
+    for words in lines:
+        n = len(words)
+        if n >= MIN_UNIT:
+            yield 0, at, at + n
+        begin = 0
+        if n >= MIN_SENTENCE:
+            for i, w in enumerate(words):
+                if w[-1] in _ENDS and i + 1 - begin >= MIN_SENTENCE:
+                    yield 1, at + begin, at + i + 1
+                    begin = i + 1
+            if n - begin >= MIN_SENTENCE:
+                yield 1, at + begin, at + n
+        at += n
+
+
+def _bands(sets: list[np.ndarray], bands: int) -> list[np.ndarray]:
+    sig = minhash(sets, bands * ROWS)
+    key = np.zeros((len(sets), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            key = mix64(key + sig[:, r::ROWS] + np.uint64(r + 1))
+        key = mix64(key + np.arange(bands, dtype=np.uint64))
+    return list(key.astype(np.int64))
+
+
+def _slices(pdf: pd.DataFrame, chars: int = 3_000_000) -> Iterator[pd.DataFrame]:
+    size = (pdf["text"].str.len().cumsum() // chars).astype(int)
+    for _, part in pdf.groupby(size, sort=True):
+        yield part
+
+
+def _unit_rows(bands: int):
+    """Units of each text; paragraphs with their band keys, sentences without."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
-        seen: set[int] = set()
-        for pdf in batches:
-            names, sets = [], []
-
-            def flush() -> pd.DataFrame:
-                sig = minhash(sets, bands * ROWS)
-                key = np.zeros((len(sets), bands), np.uint64)
-                with np.errstate(over="ignore"):
-                    for r in range(ROWS):
-                        key = mix64(key + sig[:, r::ROWS] + np.uint64(r + 1))
-                    key = mix64(key + np.arange(bands, dtype=np.uint64))
-                return pd.DataFrame({"unit": names, "bands": list(key.astype(np.int64)),
-                                     "shingles": [s.tobytes() for s in sets]})
-
-            for text in pdf["text"]:
-                for line in text.split("\n"):
-                    h = hasher(line.encode().split())
-                    if len(h) < MIN_UNIT:
-                        continue
-                    unit = _mix(h)
-                    if unit in seen:
-                        continue
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(unit)
-                    names.append(unit)
-                    sets.append(np.unique(shingle_hashes(h)))
-                if len(sets) > 20_000:
-                    yield flush()
-                    names, sets = [], []
-            if sets:
-                yield flush()
+        for batch in batches:
+            for pdf in _slices(batch):
+                found, base, every = [], 0, []
+                for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                    lines = [x.split() for x in text.encode().split(b"\n")]
+                    found += [(doc, k, i, s, e, base) for i, (k, s, e) in enumerate(unit_ranges(lines))]
+                    for words in lines:
+                        every += words
+                        base += len(words)
+                if not found:
+                    continue
+                h = hasher(every)
+                doc, kind, pos, start, end, offset = (np.array(x) for x in zip(*found, strict=True))
+                line = np.flatnonzero(kind == 0)
+                keys = [None] * len(found)
+                if len(line):
+                    windows = shingle_hashes(h)  # windows inside a paragraph are those of the whole text
+                    low, high = start[line] + offset[line], end[line] + offset[line] - SHINGLE + 1
+                    for i, k in zip(line, _bands([windows[a:b] for a, b in zip(low, high, strict=True)], bands), strict=True):
+                        keys[i] = k
+                yield pd.DataFrame({"doc_id": doc, "kind": kind, "pos": pos, "start": start, "end": end,
+                                    "n_words": end - start, "unit": range_hashes(h, start + offset, end + offset), "bands": keys})
     return run
 
 
+def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shingle sets of the wanted paragraphs of each text."""
+    hasher = WordHasher()
+    for pdf in batches:
+        for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
+            words = text.encode().split()
+            sets = [np.unique(shingle_hashes(hasher(words[w["start"]:w["end"]]))) for w in wanted]
+            yield pd.DataFrame({"unit": [w["unit"] for w in wanted], "shingles": [x.tobytes() for x in sets]})
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in whole_groups(batches, "task_key"):
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
@@ -168,20 +172,28 @@ def repeated_units(docs: DataFrame, text: str = "text", ident: str = "doc_id", b
     """Every unit that repeats: doc_id, kind, pos, start, end, n_words, class_id, first_doc, n_docs, keep."""
     src = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"),
                       F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
-    rows = stored(src.mapInPandas(_unit_rows, _UNIT), "dedup-units")
-    bands = band_count()
-    sketches = stored(src.mapInPandas(_band_rows(bands), "unit long, bands array<long>, shingles binary")
-                      .dropDuplicates(["unit"]), "dedup-bands")
-    keyed = sketches.select("unit", F.explode("bands").alias("band"))
-    tasks = blocked(keyed, "band", "unit", block).join(sketches.select("unit", "shingles"), "unit")
-    pairs = tasks.repartition("task_key").sortWithinPartitions("task_key").mapInPandas(_verify, "a long, b long")
+    rows = stored(src.mapInPandas(_unit_rows(band_count()), _UNIT), "dedup-units")
+    # Equal paragraphs first: one row per class, with one place where it stands.
+    lines = stored(rows.where("kind = 0").groupBy("unit").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "end")).alias("at"), F.first("bands").alias("bands")),
+        "dedup-lines")
+    held = stored(blocked(lines.select("unit", F.explode("bands").alias("band")), "band", "unit", block), "dedup-buckets")
+    # Shingle sets are made for colliding paragraphs only, from the texts that hold them.
+    wanted = held.select("unit").distinct().join(lines, "unit").groupBy("at.doc_id").agg(
+        F.collect_list(F.struct("unit", "at.start", "at.end")).alias("wanted"))
+    sets = stored(src.join(wanted, "doc_id").mapInPandas(_shingle_rows, "unit long, shingles binary")
+                  .dropDuplicates(["unit"]), "dedup-sets")
+    pairs = held.join(sets, "unit").repartition("task_key").sortWithinPartitions("task_key") \
+        .mapInPandas(_verify, "a long, b long")
     near = components(pairs).select(F.col("node").alias("unit"), F.col("root").alias("class_id"))
 
     # Paragraphs take the class of their component; sentences are their own class.
-    per_unit = rows.groupBy("kind", "unit").agg(F.count("*").alias("n"))
-    named = per_unit.join(near.withColumn("kind", F.lit(0)), ["kind", "unit"], "left")
-    repeated = stored(named.where("n > 1 or class_id is not null")
-                      .select("kind", "unit", F.coalesce("class_id", "unit").alias("class_id")), "dedup-classes")
+    named = lines.join(near, "unit", "left").where("n > 1 or class_id is not null") \
+        .select(F.lit(0).alias("kind"), "unit", F.coalesce("class_id", "unit").alias("class_id"))
+    sentences = rows.where("kind = 1").groupBy("unit").agg(F.count("*").alias("n")).where("n > 1") \
+        .select(F.lit(1).alias("kind"), "unit", F.col("unit").alias("class_id"))
+    repeated = stored(named.unionByName(sentences), "dedup-classes")
+    rows = rows.drop("bands")
     members = stored(rows.join(repeated, ["kind", "unit"]).drop("unit").distinct(), "dedup-members")
     facts = members.groupBy("kind", "class_id").agg(
         F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n_units"),
@@ -224,16 +236,29 @@ def passages(found: DataFrame, min_words: int = MIN_PASSAGE) -> DataFrame:
 def remove(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """``docs`` without the repeated passages that are not first occurrences."""
     gone = passages(repeated_units(docs, text, ident)).where("not keep")
-    spans = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    spans = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     key, found = fresh(docs.columns, "_id", "_spans")
-    spans = spans.select(F.col("doc_id").alias(key), F.col("_spans").alias(found))
-    t = F.col(f"`{text}`")
-    # Merge sorted spans on the way: keep the gaps between the furthest end so far and the next start.
-    gaps = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
-                       lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(
-                           s["start"] > a["at"], F.concat(a["kept"], F.array(F.substring(t, a["at"] + 1, s["start"] - a["at"]))))
-                           .otherwise(a["kept"]).alias("kept")))
-    rest = F.concat(F.array_join(gaps["kept"], ""), F.substring(t, gaps["at"] + 1, F.length(t)))
-    held = docs.withColumn(key, F.col(f"`{ident}`").cast("long")).join(spans, key, "left")
-    return held.withColumn(text, F.when(F.col(found).isNull(), t).otherwise(rest)) \
+    held = docs.withColumn(key, F.col(f"`{ident}`").cast("long")).join(
+        spans.select(F.col("doc_id").alias(key), F.col("spans").alias(found)), key, "left")
+    cut = F.pandas_udf(_without, "string")(F.col(f"`{text}`"), F.to_json(F.col(found)))
+    return held.withColumn(text, F.when(F.col(found).isNull(), F.col(f"`{text}`")).otherwise(cut)) \
         .select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the words of their spans; what stands between words stays,
+    but for one run of it after each removed span."""
+    def one(t: str, found: str) -> str:
+        if t is None or not found:
+            return t
+        words = [m.span() for m in _WORD.finditer(t)] + [(len(t), len(t))]
+        kept, at = [], 0
+        for x in sorted(json.loads(found), key=lambda x: (x["start"], x["end"])):
+            if words[x["start"]][0] > at:
+                kept.append(t[at:words[x["start"]][0]])
+            at = max(at, words[x["end"]][0])
+        return "".join(kept) + t[at:]
+    return pd.Series([one(t, f) for t, f in zip(text, spans, strict=True)])
