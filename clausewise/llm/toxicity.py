@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE = 20_000
+SAMPLE = 8_000
 MAX_FEATURES = 5_000
 MIN_Z = 4.0
 GRADES = 4
@@ -138,17 +138,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     chosen = labels.where("doc_id is not null and toxic is not null") \
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = stored(chosen, "tox-sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
-        .join(stored(chosen, "tox-sample"), "doc_id")
+        .join(chosen, "doc_id")
     counts = stored(texts.mapInPandas(_word_rows, "doc_id long, toxic int, word string, n int"), "tox-words")
-    n_toxic, n_all = stored(chosen, "tox-chosen").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    n_toxic, n_all = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n_clean = n_all - n_toxic
     if not n_toxic or not n_clean:
         mean = 1.0 if n_all and n_toxic else 0.0
         return Ordinal({}, np.full(GRADES - 1, np.inf) if not mean else np.r_[-np.inf, np.full(GRADES - 2, np.inf)], np.zeros(0))
-    odds = lambda c, n: F.log((F.col(c) + 0.5) / (F.lit(n) - F.col(c) + 0.5))
-    by_word = counts.groupBy("word").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("t"),
-                                         F.count_distinct(F.when(F.col("toxic") == 0, F.col("doc_id"))).alias("c"))
+    odds = lambda c, n: F.log((F.col(c) + 0.5) / (F.greatest(F.lit(n) - F.col(c), F.lit(0)) + 0.5))
+    # a row is one word of one document, so plain sums (combined before the shuffle) count documents
+    by_word = counts.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     z = (odds("t", n_toxic) - odds("c", n_clean)) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     picked = by_word.withColumn("z", z).where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "word") \
         .limit(MAX_FEATURES).select("word", "z").collect()  # at most MAX_FEATURES rows
