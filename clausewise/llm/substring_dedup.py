@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import (SHINGLE, WordHasher, blocked, components, forest, fresh, group_pairs, mix64, shingle_hashes, stored,
                      whole_groups)
-from .ngram_join import minhash
+from .ngram_join import link_counts, minhash
 
 THRESHOLD = 0.8
 RECALL = 0.995
@@ -50,6 +50,7 @@ MIN_UNIT = 16
 MIN_SENTENCE = 8
 MIN_PASSAGE = 16
 BLOCK = 512
+SMALL = 8
 
 _UNIT = "doc_id long, kind int, pos int, start int, end int, n_words int, unit long, bands array<long>"
 
@@ -149,12 +150,20 @@ def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forest edges of the pairs with exact Jaccard >= THRESHOLD. Pairs of small
+    groups are intersected one by one, groups beyond ``SMALL`` a row at a time
+    against the whole group (``link_counts``)."""
     for pdf in whole_groups(batches, "task_key"):
+        key = pdf["task_key"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         size, unit = np.array([len(s) for s in sets]), pdf["unit"].to_numpy()
         blk, cross = pdf["blk"].to_numpy(), pdf["cross"].to_numpy()
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[first, len(key)])
+        small = np.flatnonzero(np.repeat(count, count) <= SMALL)
         found = []
-        for i, j in group_pairs(pdf["task_key"].to_numpy()):
+        for i, j in group_pairs(key[small]):
+            i, j = small[i], small[j]
             ok = (~cross[i] | (blk[i] != blk[j])) & (unit[i] != unit[j])
             ok &= np.minimum(size[i], size[j]) >= THRESHOLD * np.maximum(size[i], size[j])
             i, j = i[ok], j[ok]
@@ -163,8 +172,15 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hit = both >= THRESHOLD * (size[i] + size[j] - both) - 1e-9
             if hit.any():
                 found.append((i[hit], j[hit]))
+        for at, n in zip(first[count > SMALL], count[count > SMALL], strict=True):
+            rows = np.arange(at, at + n)
+            low = rows[blk[rows] == blk[rows].min()] if cross[at] else rows
+            high = rows[blk[rows] != blk[rows].min()] if cross[at] else rows
+            if len(high):
+                links = np.array(list(link_counts(sets, low, high, not cross[at])), np.int64).reshape(-1, 2)
+                found.append((links[:, 0], links[:, 1]))
         root = forest(len(pdf), found)
-        moved = np.flatnonzero(root != np.arange(len(pdf)))
+        moved = np.flatnonzero(unit[root] != unit)
         yield pd.DataFrame({"a": unit[moved], "b": unit[root[moved]]})
 
 

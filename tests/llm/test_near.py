@@ -137,7 +137,7 @@ def test_repeated_passages_are_found_and_clean_text_is_left(spark):
     hit = found.collect()
     assert {r.doc_id for r in hit} == {0, 1, 3, 4}
     assert all(r.first_doc in (0, 3) and r.across for r in hit)
-    inner = [texts[r.doc_id][r.start:r.end] for r in hit if r.doc_id == 1]
+    inner = [" ".join(texts[r.doc_id].split()[r.start:r.end]) for r in hit if r.doc_id == 1]
     assert sum(len(x.split()) for x in inner) >= 30 and all(x.rstrip(".") in shared for x in inner)
     clean = {r.doc_id: r.text for r in sd.remove(df).collect()}
     assert clean[0] == texts[0] and clean[2] == texts[2] and clean[3] == texts[3] and clean[5] is None
@@ -145,6 +145,16 @@ def test_repeated_passages_are_found_and_clean_text_is_left(spark):
     assert sd.passages(sd.repeated_units(df.limit(0))).count() == 0
 
 
+def test_large_groups_of_near_paragraphs_are_one_class(spark):
+    rng = random.Random(3)
+    base = prose(rng, 60).split()
+    rows = [(i, edits(rng, base, 1)) for i in range(60)] + [(100 + i, prose(rng, 60)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (7, 512):
+        hit = sd.repeated_units(df, block=block).where("kind = 0").collect()
+        assert {r.doc_id for r in hit} == set(range(60)) and len({r.class_id for r in hit}) == 1
+
+
 def test_bands_reach_the_recall():
     n = sd.band_count(0.8, 3, 0.999)
     assert 1 - (1 - 0.8 ** 3) ** n >= 0.999 > 1 - (1 - 0.8 ** 3) ** (n - 1)
