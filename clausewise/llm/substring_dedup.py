@@ -44,10 +44,10 @@ from .common import (SHINGLE, WordHasher, blocked, components, forest, fresh, gr
 from .ngram_join import link_counts, minhash
 
 THRESHOLD = 0.8
-RECALL = 0.995
-ROWS = 2
+RECALL = 0.999
+ROWS = 3
 MIN_UNIT = 16
-MIN_SENTENCE = 8
+MIN_SENTENCE = 6
 MIN_PASSAGE = 16
 BLOCK = 512
 SMALL = 8

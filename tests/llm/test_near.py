@@ -158,3 +158,14 @@ def test_large_groups_of_near_paragraphs_are_one_class(spark):
 def test_bands_reach_the_recall():
     n = sd.band_count(0.8, 3, 0.999)
     assert 1 - (1 - 0.8 ** 3) ** n >= 0.999 > 1 - (1 - 0.8 ** 3) ** (n - 1)
+
+
+def test_production_constants_reach_the_recall(spark):
+    assert (sd.THRESHOLD, sd.ROWS, sd.RECALL, sd.MIN_SENTENCE) == (0.8, 3, 0.999, 6)
+    assert 1 - (1 - sd.THRESHOLD ** sd.ROWS) ** sd.band_count() >= 0.999
+    rng = random.Random(4)
+    six = "one two three four five six.", "seven eight nine ten eleven twelve.", "a b c d e f."
+    rows = [(k, prose(rng, 30) + " " + " ".join(six) + " " + prose(rng, 30)) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sd.repeated_units(df).where("kind = 1 and n_words = 6").collect()
+    assert len(found) == 6 and {r.doc_id for r in found} == {0, 1}
