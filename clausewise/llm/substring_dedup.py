@@ -1,6 +1,6 @@
 """Repeated passages: MinHash banding of paragraphs, exact verification, components.
 
-Units of two kinds are compared across all documents:
+Units of three kinds are compared across all documents:
 
 * paragraphs (lines) of at least ``MIN_UNIT`` words, by MinHash: ``band_count``
   tunes the number of bands so that a pair at the threshold collides with
@@ -8,15 +8,21 @@ Units of two kinds are compared across all documents:
   similarity of their word 5-grams;
 * sentences (cut after ``. ! ?``; a shorter one joins the next) of at least
   ``MIN_SENTENCE`` words, by their words, so that a passage set into the middle
-  of a longer paragraph is found too.
+  of a longer paragraph is found too;
+* chunks, whose borders come from the words alone: a word 5-gram is an anchor if
+  its hash is the least of some ``WINDOW`` consecutive ones in the document
+  (across lines), and a chunk runs from one anchor to the end of the next. Two
+  places that share 2 * ``WINDOW`` + 4 words share a chunk, whatever stands
+  around them; equal chunks are then extended word by word, to where the places
+  differ (``reach``), so every shared run of that many words is found in full.
 
 Equal units are one class from the start (a hash of their words); only one
 representative of each paragraph class is banded, and shingle sets are made for
 colliding paragraphs only. Edges of verified pairs give
 components; all members of a component are repeats of its first occurrence
 (smallest document id, then position), which stays. Runs of repeated sentences
-count once they reach ``MIN_PASSAGE`` words; spans are word numbers in the
-document, end exclusive.
+and chunks count once they reach ``MIN_PASSAGE`` words; spans are word numbers in
+the document, end exclusive.
 
 Hot keys: equal units meet in aggregates only; large buckets are cut into blocks
 (``blocked``) and tasks report forest edges, not pairs.
@@ -49,10 +55,12 @@ ROWS = 3
 MIN_UNIT = 16
 MIN_SENTENCE = 6
 MIN_PASSAGE = 16
+WINDOW = 16  # a power of two
 BLOCK = 512
 SMALL = 8
 
-_UNIT = "doc_id long, kind int, pos int, start int, end int, n_words int, unit long, bands array<long>"
+_UNIT = "doc_id long, kind int, pos int, start int, end int, n_words int, unit long, bands array<long>, " \
+        "before long, after long"
 
 
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -94,6 +102,28 @@ def unit_ranges(lines: list[list[bytes]]) -> Iterator[tuple[int, int, int]]:
         at += n
 
 
+def _slide(x: np.ndarray, least) -> np.ndarray:
+    """``least`` (minimum or maximum) of every ``WINDOW`` consecutive values."""
+    step = 1
+    while step < WINDOW:
+        x = least(x[:-step], x[step:])
+        step *= 2
+    return x
+
+
+def chunk_ranges(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end words of the chunks of texts that follow each other: ``sizes``
+    are their numbers of words, ``grams`` the hashes of the word 5-grams of all."""
+    end = np.repeat(np.cumsum(sizes), sizes)[:len(grams)]
+    least = _slide(grams, np.minimum)
+    inside = np.arange(len(least)) + WINDOW + SHINGLE - 1 <= end[:len(least)]
+    pad = np.zeros(WINDOW - 1, np.uint64)
+    top = _slide(np.concatenate([pad, np.where(inside, least, np.uint64(0)), pad]), np.maximum)[:len(grams)]
+    at = np.flatnonzero((top == grams[:len(top)]) & (top > 0))
+    same = end[at[:-1]] == end[at[1:]]
+    return at[:-1][same], at[1:][same] + SHINGLE
+
+
 def _bands(sets: list[np.ndarray], bands: int) -> list[np.ndarray]:
     sig = minhash(sets, bands * ROWS)
     key = np.zeros((len(sets), bands), np.uint64)
@@ -111,31 +141,44 @@ def _slices(pdf: pd.DataFrame, chars: int = 3_000_000) -> Iterator[pd.DataFrame]
 
 
 def _unit_rows(bands: int):
-    """Units of each text; paragraphs with their band keys, sentences without."""
+    """Units of each text; paragraphs with their band keys, chunks with the chunks
+    before and after them (null at the ends of a text)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for batch in batches:
             for pdf in _slices(batch):
-                found, base, every = [], 0, []
+                found, base, every, sizes = [], 0, [], []
                 for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     lines = [x.split() for x in text.encode().split(b"\n")]
                     found += [(doc, k, i, s, e, base) for i, (k, s, e) in enumerate(unit_ranges(lines))]
                     for words in lines:
                         every += words
                         base += len(words)
+                    sizes.append(sum(map(len, lines)))
+                h = hasher(every)
+                windows = shingle_hashes(h)  # windows inside a paragraph are those of the whole text
+                low, high = chunk_ranges(windows, np.array(sizes))
+                if len(low):
+                    owner = np.repeat(np.arange(len(sizes)), sizes)[low]
+                    first = (np.cumsum(sizes) - sizes)[owner]
+                    unit, cut = range_hashes(h, low, high), owner[1:] != owner[:-1]
+                    yield pd.DataFrame({
+                        "doc_id": pdf["doc_id"].to_numpy()[owner], "kind": 2, "pos": low - first, "start": low - first,
+                        "end": high - first, "n_words": high - low, "unit": unit, "bands": None,
+                        "before": pd.arrays.IntegerArray(np.r_[0, unit[:-1]], np.r_[True, cut]),
+                        "after": pd.arrays.IntegerArray(np.r_[unit[1:], 0], np.r_[cut, True])})
                 if not found:
                     continue
-                h = hasher(every)
                 doc, kind, pos, start, end, offset = (np.array(x) for x in zip(*found, strict=True))
                 line = np.flatnonzero(kind == 0)
                 keys = [None] * len(found)
                 if len(line):
-                    windows = shingle_hashes(h)  # windows inside a paragraph are those of the whole text
                     low, high = start[line] + offset[line], end[line] + offset[line] - SHINGLE + 1
                     for i, k in zip(line, _bands([windows[a:b] for a, b in zip(low, high, strict=True)], bands), strict=True):
                         keys[i] = k
                 yield pd.DataFrame({"doc_id": doc, "kind": kind, "pos": pos, "start": start, "end": end,
-                                    "n_words": end - start, "unit": range_hashes(h, start + offset, end + offset), "bands": keys})
+                                    "n_words": end - start, "unit": range_hashes(h, start + offset, end + offset), "bands": keys,
+                                    "before": None, "after": None})
     return run
 
 
@@ -184,6 +227,58 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": unit[moved], "b": unit[root[moved]]})
 
 
+def _edge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each wanted chunk border the hashes of the next 1, 2, .. ``WINDOW`` - 1
+    words outside, each with the chunk's class and side."""
+    hasher = WordHasher()
+    for pdf in batches:
+        out = []
+        for doc, text, wanted in zip(pdf["doc_id"], pdf["text"], pdf["wanted"], strict=True):
+            h = hasher(text.encode().split())
+            at, side = (np.array([w[c] for w in wanted], np.int64) for c in ("at", "side"))
+            room = np.clip(np.where(side == 0, at, len(h) - at), 0, WINDOW - 1)
+            name = np.array([w["class_id"] for w in wanted], np.int64)
+            keys = np.zeros((len(at), WINDOW - 1), np.int64)
+            with np.errstate(over="ignore"):
+                key = mix64(name.astype(np.uint64) + side.astype(np.uint64) + np.uint64(1))
+                for j in range(room.max(initial=0)):
+                    word = np.where(side == 0, at - 1 - j, at + j)
+                    key = mix64(key + h[np.clip(word, 0, len(h) - 1)] + np.uint64(j + 1))
+                    keys[:, j] = key.astype(np.int64)
+            out += [(doc, a, s, c, k[:n]) for a, s, c, k, n in zip(at, side, name, keys, room, strict=True) if n]
+        yield pd.DataFrame(out, columns=["doc_id", "at", "side", "class_id", "keys"])
+
+
+def reach(src: DataFrame, members: DataFrame) -> DataFrame:
+    """The words beside repeated chunks that repeat with them: rows like those of
+    ``repeated_units``, words with an earlier copy apart from first ones. A border
+    is ``open`` if the class's chunks do not all continue with the same chunk."""
+    edges = members.where("kind = 2").select("doc_id", "class_id", F.explode(F.array(
+        F.struct(F.col("start").alias("at"), F.lit(0).alias("side"), F.col("left").alias("open")),
+        F.struct(F.col("end").alias("at"), F.lit(1).alias("side"), F.col("right").alias("open")))).alias("e")).where("e.open")
+    wanted = edges.groupBy("doc_id").agg(F.collect_list(F.struct("e.at", "e.side", "class_id")).alias("wanted"))
+    keys = stored(src.join(wanted, "doc_id").mapInPandas(
+        _edge_rows, "doc_id long, at int, side int, class_id long, keys array<long>"), "dedup-edges") \
+        .select("doc_id", "at", "side", "class_id", F.posexplode("keys").alias("j", "key"))
+    place = F.struct("doc_id", "at")
+    shared = keys.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
+    later = (F.col("lo.doc_id") != F.col("doc_id")) | (F.col("lo.at") != F.col("at"))
+    far = keys.join(shared, "key").groupBy("doc_id", "at", "side", "class_id").agg(
+        (F.max("j") + 1).alias("n_all"), F.coalesce(F.max(F.when(later, F.col("j") + 1)), F.lit(0)).alias("n_later"),
+        F.min("lo.doc_id").alias("lo_doc"), F.max(F.col("lo.doc_id") < F.col("hi.doc_id")).alias("across"))
+    turn = F.when(F.col("side") == 0, -1).otherwise(1)
+
+    def piece(a, b, doc: str, first: bool):
+        a, b = F.col("at") + turn * a, F.col("at") + turn * b
+        return F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end"), F.col(doc).alias("first_doc"),
+                        F.lit(first).alias("first"))
+    pieces = far.select("doc_id", "class_id", "across", F.explode(F.array(
+        piece(F.lit(0), F.col("n_later"), "lo_doc", False), piece(F.col("n_later"), F.col("n_all"), "doc_id", True))).alias("p"))
+    return pieces.where("p.start < p.end").select(
+        "doc_id", F.lit(2).alias("kind"), F.col("p.start").alias("pos"), "p.start", "p.end",
+        (F.col("p.end") - F.col("p.start")).alias("n_words"), "class_id", "p.first_doc", "across", "p.first")
+
+
 def repeated_units(docs: DataFrame, text: str = "text", ident: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """Every unit that repeats: doc_id, kind, pos, start, end, n_words, class_id, first_doc, n_docs, keep."""
     src = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"),
@@ -208,43 +303,53 @@ def repeated_units(docs: DataFrame, text: str = "text", ident: str = "doc_id", b
         .select(F.lit(0).alias("kind"), "unit", F.coalesce("class_id", "unit").alias("class_id"))
     sentences = rows.where("kind = 1").groupBy("unit").agg(F.count("*").alias("n")).where("n > 1") \
         .select(F.lit(1).alias("kind"), "unit", F.col("unit").alias("class_id"))
-    repeated = stored(named.unionByName(sentences), "dedup-classes")
-    rows = rows.drop("bands")
+    ends = lambda c: (F.count(c) < F.count("*")) | (F.min(c) != F.max(c))
+    chunks = rows.where("kind = 2").groupBy("unit").agg(
+        F.count("*").alias("n"), ends("before").alias("left"), ends("after").alias("right")).where("n > 1") \
+        .select(F.lit(2).alias("kind"), "unit", F.col("unit").alias("class_id"), "left", "right")
+    repeated = stored(named.unionByName(sentences).unionByName(chunks, allowMissingColumns=True), "dedup-classes")
+    rows = rows.drop("bands", "before", "after")
     members = stored(rows.join(repeated, ["kind", "unit"]).drop("unit").distinct(), "dedup-members")
     facts = members.groupBy("kind", "class_id").agg(
         F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n_units"),
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    return members.join(facts.where("n_units > 1"), ["kind", "class_id"]).select(
+    units = members.join(facts.where("n_units > 1"), ["kind", "class_id"]).select(
         "doc_id", "kind", "pos", "start", "end", "n_words", "class_id", F.col("first.doc_id").alias("first_doc"),
         (F.col("lo") < F.col("hi")).alias("across"),
         ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))).alias("first"))
+    return units.unionByName(reach(src, members))
 
 
 def passages(found: DataFrame, min_words: int = MIN_PASSAGE) -> DataFrame:
     """Repeated passages: doc_id, kind, start, end, n_words, class_id, first_doc, across, keep.
 
-    Paragraphs are passages; consecutive repeated sentences are joined, and the
-    runs of at least ``min_words`` words that no repeated paragraph covers remain.
-    ``keep`` marks first occurrences. Windows span one document's units."""
+    Paragraphs are passages; repeated sentences and chunks that no run of repeated
+    paragraphs covers are merged, first occurrences and later ones apart. Merged
+    spans with less than a sentence's words between them count together for
+    ``min_words``. ``keep`` marks first occurrences. Windows span one document's units."""
     lines = found.where("kind = 0")
     out = ["doc_id", "kind", "start", "end", "n_words", "class_id", "first_doc", "across", "keep"]
-    covered = lines.select("doc_id", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    one = Window.partitionBy("doc_id").orderBy("start", F.desc("end"))
-    events = found.where("kind = 1").withColumn("p_end", F.lit(None).cast("int")).unionByName(
-        covered.select("doc_id", F.lit(2).alias("kind"), F.lit(-1).alias("pos"), F.col("p_start").alias("start"),
-                       F.col("p_end").alias("end"), F.lit(0).alias("n_words"), F.lit(0).cast("long").alias("class_id"),
-                       F.lit(0).cast("long").alias("first_doc"), F.lit(False).alias("across"),
-                       F.lit(False).alias("first"), "p_end"))
+    place = Window.partitionBy("doc_id").orderBy("start", "end")
+    so_far = lambda w: F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    gap = lambda w, n: F.coalesce(F.col("start") - so_far(w) > n, F.lit(True)).cast("int")
+    covered = lines.select("doc_id", "start", "end", gap(place, 0).alias("new")) \
+        .withColumn("run", F.sum("new").over(place)).groupBy("doc_id", "run") \
+        .agg(F.min("start").alias("start"), F.max("end").alias("p_end"))
+    events = found.where("kind > 0").withColumn("p_end", F.lit(None).cast("int")).unionByName(
+        covered.select("doc_id", "start", F.col("p_end").alias("end"), "p_end", F.lit(0).alias("kind")), allowMissingColumns=True)
+    one = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "kind")
     free = events.withColumn("inside", F.coalesce(F.max("p_end").over(one) >= F.col("end"), F.lit(False))) \
-        .where("kind = 1 and not inside")
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    # A paragraph's row sits between the sentences of two lines, so allow a gap of one in pos.
-    breaks = (F.col("pos") - F.lag("pos").over(order) > 2) | (F.col("first") != F.lag("first").over(order))
-    runs = free.withColumn("run", F.sum(F.when(F.coalesce(breaks, F.lit(True)), 1).otherwise(0)).over(order))
-    joined = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"),
-        F.min_by("class_id", "pos").alias("class_id"), F.min("first_doc").alias("first_doc"),
-        F.max("across").alias("across"), F.min("first").alias("keep")).where(F.col("n_words") >= min_words)
+        .where("kind > 0 and not inside")
+    order = Window.partitionBy("doc_id", "first").orderBy("start", "end", "kind", "class_id")
+    near = free.withColumn("new", gap(order, 0)).withColumn("far", gap(order, MIN_SENTENCE - 1)) \
+        .withColumn("run", F.sum("new").over(order)).withColumn("group", F.sum("far").over(order))
+    runs = near.groupBy("doc_id", "first", "group", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        F.min_by("class_id", F.struct("start", "kind", "class_id")).alias("class_id"),
+        F.min("first_doc").alias("first_doc"), F.max("across").alias("across")) \
+        .withColumn("n_words", F.col("end") - F.col("start")).withColumnRenamed("first", "keep")
+    joined = runs.withColumn("total", F.sum("n_words").over(Window.partitionBy("doc_id", "keep", "group"))) \
+        .where(F.col("total") >= min_words)
     return lines.withColumnRenamed("first", "keep").select(*out).unionByName(
         joined.withColumn("kind", F.lit(1)).select(*out))
 

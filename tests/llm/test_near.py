@@ -169,3 +169,39 @@ def test_production_constants_reach_the_recall(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = sd.repeated_units(df).where("kind = 1 and n_words = 6").collect()
     assert len(found) == 6 and {r.doc_id for r in found} == {0, 1}
+
+
+def brute_windows(rows, size=51):
+    """Words of each document inside a window of ``size`` words that stands at another place too."""
+    places = defaultdict(list)
+    for i, t in rows:
+        w = (t or "").split()
+        for p in range(len(w) - size + 1):
+            places[tuple(w[p:p + size])].append((i, p))
+    return {(i, x) for at in places.values() if len(at) > 1 for i, p in at for x in range(p, p + size)}
+
+
+def test_long_repeats_are_found_wherever_they_stand(spark):
+    rng = random.Random(12)
+    verse = "\n".join(" ".join(f"v{rng.randrange(10**6)}" for _ in range(5)) for _ in range(12))
+    tight, code = prose(rng, 55), [f"c{rng.randrange(10**6)}" for _ in range(70)]
+    wrapped = ["\n".join(" ".join(code[i:i + n]) for i in range(0, 70, n)) for n in (7, 6)]
+    rows = [(1, prose(rng, 30) + "\n" + verse + "\n" + prose(rng, 30)), (2, "Go on. " + verse),
+            (3, prose(rng, 40) + " " + tight + " " + prose(rng, 40)), (4, "No. It is so and " + tight + " yes " + prose(rng, 20)),
+            (5, wrapped[0]), (6, prose(rng, 25) + "\n" + wrapped[1]), (7, prose(rng, 200)),
+            (8, " ".join(code[:60]) + " " + prose(rng, 30) + " " + tight.replace("\n", " "))]
+    for k in range(12):  # hosts that cut one text at random places
+        at = rng.randrange(60)
+        rows.append((20 + k, prose(rng, rng.randrange(8, 40)) + " z " + " ".join((code + tight.split())[at:at + 51 + rng.randrange(14)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hit = sd.passages(sd.repeated_units(df)).collect()
+    got = {(r.doc_id, x) for r in hit for x in range(r.start, r.end)}
+    want = brute_windows(rows)
+    assert {2, 4, 6, 8} <= {i for i, _ in want} and not want - got
+    assert not {r.doc_id for r in hit} & {7}
+    short = brute_windows(rows, 2)  # nothing but repeated words is taken
+    assert not got - short
+    clean = {r.doc_id: r.text for r in sd.remove(df).collect()}
+    assert clean[1] == dict(rows)[1] and clean[2].split() == ["Go", "on."] and clean[5] == wrapped[0]
+    left = brute_windows(list(clean.items()))
+    assert not left
