@@ -10,7 +10,8 @@ Kinds: ``email``, ``ip`` (parts up to 255), ``card`` (16 to 19 digits, Luhn),
 ``phone`` (8 to 15 digits), which are always kept; ``iban`` (length by country,
 mod 97) and ``ssn`` (issued ranges), which the score must carry over
 ``MIN_SCORE``. Score: 60 for the pattern (30 for ``ssn``), 20 more for a
-checksum or range proof, 20 more for a context word up to 40 code points before.
+checksum or range proof, 20 more for a context word in the 40 code points before
+(other matches included, so one label serves a list).
 
 Defined cases: null text is empty text and has no spans; an empty table gives
 an empty table; repeated rows stay; extra columns pass through.
@@ -58,6 +59,8 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax", "iban": "iban|account|bank|konto", "ssn": "ssn|social security|tax",
 }
 CONTEXT_CHARS = 40
+# Code points that a match has at least.
+SHORTEST = {"email": 4, "ip": 7, "card": 2, "phone": 3, "iban": 15, "ssn": 11}
 PROVEN = ("ip", "card", "iban", "ssn")
 PATTERN_SCORE = {"ssn": 30}
 MIN_SCORE = 60
@@ -121,6 +124,23 @@ def _score(kind: str, before: Column) -> Column:
     return F.lit(base) + F.when(F.lower(before).rlike(CONTEXT[kind]), 20).otherwise(0)
 
 
+def _contexts(kind: str, m: Column, pieces: Column, body) -> Column:
+    """``body`` with a function from a match's number to the ``CONTEXT_CHARS`` code
+    points before it: the end of its piece and, where that is shorter, of the
+    matches and pieces before, of which so many reach far enough."""
+    n = -(-CONTEXT_CHARS // SHORTEST[kind])
+    end = lambda x: F.substring(x, -CONTEXT_CHARS, CONTEXT_CHARS)
+
+    def before(ends: Column, i: Column) -> Column:
+        first = F.greatest(i - n, F.lit(0))
+        return F.when(F.length(F.get(ends, i)) >= CONTEXT_CHARS, end(F.get(ends, i))) \
+            .otherwise(end(F.array_join(F.slice(ends, first + 1, i - first + 1), "")))
+
+    # A match's end stands in front of the piece that follows it.
+    ends = F.transform(pieces, lambda p, i: F.concat(F.coalesce(end(F.get(m, i - 1)), F.lit("")), end(p)))
+    return let(ends, lambda e: body(lambda i: before(e, i)))
+
+
 SPAN = "array<struct<kind:string,start:int,end:int,score:int>>"
 
 
@@ -131,10 +151,10 @@ def find(text: Column, kind: str) -> Column:
     def located(m: Column, pieces: Column) -> Column:
         steps = F.transform(m, lambda x, i: F.length(F.get(pieces, i))
                             + F.coalesce(F.length(F.get(m, i - 1)), F.lit(0)))
-        spans = let(running_sums(steps), lambda s: F.transform(m, lambda x, i: F.struct(
-            F.lit(kind).alias("kind"), F.get(s, i).alias("start"), (F.get(s, i) + F.length(x)).alias("end"),
-            _score(kind, F.substring(F.get(pieces, i), -CONTEXT_CHARS, CONTEXT_CHARS)).alias("score"),
-            x.alias("text"))))
+        spans = let(running_sums(steps), lambda s: _contexts(kind, m, pieces, lambda before: F.transform(
+            m, lambda x, i: F.struct(
+                F.lit(kind).alias("kind"), F.get(s, i).alias("start"), (F.get(s, i) + F.length(x)).alias("end"),
+                _score(kind, before(i)).alias("score"), x.alias("text")))))
         good = F.filter(spans, lambda x: _valid(kind, x["text"]) & (F.lit(kind in BASE) | (x["score"] >= MIN_SCORE)))
         return F.transform(good, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "end", "score")]))
 
@@ -163,12 +183,11 @@ def _mask_kind(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
 
     def rebuilt(m: Column, pieces: Column) -> Column:
-        def put(p: Column, i: Column) -> Column:
+        def put(p: Column, i: Column, before) -> Column:
             x = F.get(m, i)
-            before = F.substring(p, -CONTEXT_CHARS, CONTEXT_CHARS)
-            sure = _valid(kind, x) & (F.lit(kind in BASE) | (_score(kind, before) >= MIN_SCORE))
+            sure = _valid(kind, x) & (F.lit(kind in BASE) | (_score(kind, before(i)) >= MIN_SCORE))
             return F.concat(p, F.when(x.isNull(), F.lit("")).when(sure, F.lit(f"<{kind.upper()}>")).otherwise(x))
-        return F.array_join(F.transform(pieces, put), "")
+        return _contexts(kind, m, pieces, lambda before: F.array_join(F.transform(pieces, lambda p, i: put(p, i, before)), ""))
 
     def one(t: Column) -> Column:
         hint = t.contains(HINTS[kind]) if kind in HINTS else t.rlike("[A-Z]{2}[0-9]{2}" if kind == "iban" else "[0-9]")

@@ -105,6 +105,27 @@ def test_pii_masking(spark):
     assert got[2].text is None and got[3].text == "pay <CARD>!"
 
 
+def test_pii_context_reaches_over_other_matches(spark):
+    far = "ssn " + "x" * 29 + " 123-45-6789 " + "y" * 20 + " 345-67-8901"  # the label is 47 code points before the second
+    texts = ["ssn 123-45-6789, 234-56-7890, 345-67-8901", "ssn 123-45-6789 but 123-45-6789", "ssn 000-45-6789 or 234-56-7890",
+             far, "é ssn 123-45-6789, " + "z" * 41 + " 234-56-7890", "123-45-6789", "ssn 1 22 333 123-45-6789 234-56-7890"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pattern = re.compile(pii.PATTERNS["ssn"])
+    for r in pii.detect(df).collect():
+        want = [m.span() for m in pattern.finditer(r.text) if not m[0].startswith("000")
+                and re.search(pii.CONTEXT["ssn"], r.text[max(0, m.start() - 40):m.start()])]
+        assert [(s.start, s.end) for s in r.spans if s.kind == "ssn"] == want, r.text
+        masked = r.text
+        for a, b in reversed(want):
+            masked = masked[:a] + "<SSN>" + masked[b:]
+        assert df.where(F.col("doc_id") == r.doc_id).select(pii.mask(F.col("text"), ("ssn",)).alias("t")).first().t == masked
+    short = " ".join(f"{k:02}" for k in range(10, 40))
+    for kind, text in (("card", f"card {short[:30]}\n4111 1111 1111 1111"), ("ip", "server 1.2.3.4, 5.6.7.8, 9.1.2.3")):
+        spans = spark.createDataFrame([(text,)], "text string").select(pii.find(F.col("text"), kind).alias("s")).first().s
+        assert spans and all(x.score == (100 if re.search(pii.CONTEXT[kind], text[max(0, x.start - 40):x.start]) else 80)
+                             for x in spans)
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 200])
 def test_running_sums(spark, n):
     values = [(i * 7) % 5 for i in range(n)]
