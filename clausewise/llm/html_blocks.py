@@ -2,8 +2,8 @@
 
 A page is cut into its leaf blocks in page order: runs of text between
 block-level tags, with the path of open elements. A block's vector sums random
-vectors of its path's last elements (tag, and tag with each class, id or role),
-the mean of the random vectors of its hashed words, and a few numbers (length,
+vectors of its whole path (tag, and tag with each class, id or role; elements more
+than ``NEAR`` levels up and names in lists of more than ``FEW`` weigh less), the mean of the random vectors of its hashed words, and a few numbers (length,
 share of link text, punctuation). The LSTM reads a page's blocks in both
 directions, so a block is judged with the whole document as context; its
 probability decides, no rule follows.
@@ -40,7 +40,7 @@ SAMPLE_CHARS = 100_000  # longer pages do not train
 VARIANTS = 4
 HIDDEN, EPOCHS, SEED = 24, 14, 5
 PATH_DIM, WORD_DIM, BUCKETS = 32, 16, 4096
-PATH_DEPTH = 6
+NEAR, FEW = 6, 4
 SLICE_CHARS = 3_000_000
 BATCH_CELLS = 60_000  # padded blocks in one pass
 
@@ -72,7 +72,7 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(t for t, _ in held)).split())
             if text:
-                path = tuple(m for t, m in stack if t not in INLINE)[-PATH_DEPTH:]
+                path = tuple(m for t, m in stack if t not in INLINE)
                 out.append((path, text, sum(len(t) for t, linked in held if linked)))
             held.clear()
 
@@ -109,7 +109,7 @@ def blocks(page: str) -> list[Block]:
         if tag not in VOID and not raw.endswith("/>"):
             names = [tag]
             for _, a, b, c in _MARK.findall(m.group(4)):
-                names += [f"{tag}.{x.lower()}" for x in (a or b or c).split()[:4]]
+                names += [f"{tag}.{x.lower()}" for x in (a or b or c).split()]
             stack.append((tag, " ".join(names)))
             links += tag == "a"
     end_block()
@@ -140,11 +140,13 @@ class Features:
         if v is None:
             v = np.zeros(PATH_DIM, np.float32)
             for up, names in enumerate(reversed(path)):
-                for name in names.split():
+                tags, weight = names.split(), min(1.0, NEAR / (up + 1))
+                for name in tags:
                     tag, _, mark = name.partition(".")
                     keys = {name, *(f".{h}" for h in _HINTS.findall(mark))}
+                    share = np.float32(weight * min(1.0, FEW / (len(tags) - 1)) if mark else weight)
                     for key in keys:
-                        v += _PATHS[zlib.crc32(key.encode()) % BUCKETS]
+                        v += share * _PATHS[zlib.crc32(key.encode()) % BUCKETS]
                     if up == 0:
                         v += _PATHS[zlib.crc32(f"leaf {tag}".encode()) % BUCKETS]
             self.paths[path] = v
@@ -285,7 +287,8 @@ def weak_labels(found: list[Block]) -> np.ndarray | None:
     main = [any(_MAIN.search(e) for e in path) for path, _, _ in found]
     if not any(main):
         return None
-    rest = [any(_REST.search(e) for e in path) for path, _, _ in found]
+    # Classes of the page itself (body.has-sidebar) do not tell its blocks apart.
+    rest = [any(_REST.search(e) for e in path if e.split()[0] not in ("html", "body")) for path, _, _ in found]
     return np.array([a and not b for a, b in zip(main, rest, strict=True)], np.int64)
 
 
@@ -315,10 +318,10 @@ def variant(rng: np.random.Generator, body: list[Block], words: list[str]) -> tu
             at, size = int(rng.integers(len(words))), max(1, int(n * rng.uniform(0.5, 2)))
             text = " ".join(words[at:at + size]) or words[0]
             inside = where if rng.random() < 0.3 else ()
-            got.append(((top + inside + path)[-PATH_DEPTH:], text, len(text) if link else 0))
+            got.append((top + inside + path, text, len(text) if link else 0))
         return got
 
-    main = [((top + where + (p[-1:] if p and p[-1].split()[0] not in ("article", "body", "html") else ()))[-PATH_DEPTH:], t, n)
+    main = [(top + where + (p[-1:] if p and p[-1].split()[0] not in ("article", "body", "html") else ()), t, n)
             for p, t, n in body]
     before = [b for _ in range(int(rng.integers(1, 5))) for b in extra()]
     after = [b for _ in range(int(rng.integers(1, 5))) for b in extra()]

@@ -115,3 +115,21 @@ def test_lstm_gradient_matches_differences():
                 diff.append((hb._forward(p, d, x, live, False)[0] * weight).sum())
             p[f"w{d}"][i, j] = old
             assert abs((diff[0] - diff[1]) / 2e-4 - grad[i, j]) < 1e-2
+
+
+def test_deep_pages_with_long_class_lists_keep_their_marks():
+    util = " ".join(f"u{k}" for k in range(20))
+    deep = "".join(f"<div class='{util} d{k}'>" for k in range(12))
+    page = (f"<html><body class='has-sidebar'><nav>Home</nav><div class='{util} article-body'>{deep}<table><tr><td><p>True text.</p></td></tr>"
+            f"</table>{'</div>' * 12}<section class='{util} comments'><ol><li>{deep}<p>A reader says.</p>{'</div>' * 12}</li></ol>"
+            "</section></div></body></html>")
+    found = hb.blocks(page)
+    assert [t for _, t, _ in found] == ["Home", "True text.", "A reader says."]
+    assert all(len(p) >= 15 for p, _, _ in found[1:])
+    assert list(hb.weak_labels(found)) == [0, 1, 0]
+    features = hb.Features()
+    with_article = ("html", "body", "article") + ("div",) * 10 + ("p",)
+    without = ("html", "body", "section") + ("div",) * 10 + ("p",)
+    assert np.abs(features._path(with_article) - features._path(without)).max() > 0.1
+    late = ("html", f"div {' '.join('div.' + x for x in util.split())} div.comments")
+    assert np.abs(features._path(late) - features._path((late[0], late[1].replace("div.comments", "div.u99")))).max() > 0.1
