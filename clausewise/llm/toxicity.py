@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE = 8_000
+SAMPLE = 20_000
 MAX_FEATURES = 5_000
 MIN_Z = 4.0
 GRADES = 4

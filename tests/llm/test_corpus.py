@@ -144,3 +144,7 @@ def test_mixing_query_equals_its_sql_on_skewed_sources(spark, scratch):
     mine, theirs = Counter(tuple(r) for r in got.collect()), Counter(rel.fetchall())
     assert mine == theirs
     assert sum(mine.values()) > df.count()
+
+
+def test_toxicity_trains_on_twenty_thousand():
+    assert toxicity.SAMPLE == 20_000 and toxicity.fit.__defaults__ == (20_000,)
