@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_corpus, queries_pages, queries_rows
+from . import queries_corpus, queries_mining, queries_pages, queries_rows
 
-MODULES = (queries_rows, queries_corpus, queries_pages)
+MODULES = (queries_rows, queries_corpus, queries_pages, queries_mining)
 
 
 def queries() -> dict:
