@@ -4,16 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids
+from . import centroids, collocations
 from .common import table
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 def queries() -> dict:
-    return {"op12_centroids": op12_centroids}
+    return {"op11_collocations": op11_collocations, "op12_centroids": op12_centroids}
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
+      FROM w, (SELECT CAST(unnest(range(1, 5)) AS INT) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (SELECT cut.lang, cut.phrase, cut.k, cut.a, cut.j, l.a AS l, r.a AS r, (2000000::HUGEINT * cut.a) // (l.a + r.a) AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(list_slice(w, 1, j), ' ')
+               JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(list_slice(w, j + 1, cut.k), ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+covered AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN c o ON o.lang = b.lang AND o.k > b.k
+            AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ') AND 100::HUGEINT * o.a >= 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+           FROM b ANTI JOIN covered USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN tot USING (lang) WHERE rank <= 2000"""
 
 
 def _op12_sql() -> str:
@@ -46,4 +73,4 @@ OP12_SQL = _op12_sql()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_centroids": OP12_SQL}
+    return {"op11_collocations": OP11_SQL, "op12_centroids": OP12_SQL}
