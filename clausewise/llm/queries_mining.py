@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import centroids, collocations
+from . import centroids, collocations, suffix_dedup
 from .common import table
 
 
@@ -16,8 +17,14 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {"op11_collocations": op11_collocations, "op12_centroids": op12_centroids}
+    return {"op11_collocations": op11_collocations, "op12_centroids": op12_centroids, "op13_suffix_dedup": op13_suffix_dedup}
 
 
 OP11_SQL = r"""
