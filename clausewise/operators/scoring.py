@@ -1,11 +1,10 @@
-"""O-33, O-41..O-43: fitting and scoring with distributed estimators.
+"""O-33: features of the sequence model, and external batch scorers.
 
-The reference trains Keras networks whose weights are not in its checkout
-(and whose bag-of-words network would hold ~0.43e9 weights). We re-aim to
-``pyspark.ml``: logistic regression on the selected sparse containment
-counts (O-41), on n-gram presence over id sequences (O-42, the CNN's
-"window of 2/3/4 anywhere in the clause" signal), and a caller-supplied batch
-function through ``predict_batch_udf`` (O-33c) for any external model.
+Models of our own are weight tables (``operators.descent`` fits, ``operators.linear``
+applies them): bag-of-words on standardised containment counts (O-41), sequences
+on the presence of id n-grams (O-42, the CNN's "window of 2/3/4 anywhere in the
+clause" signal). A caller's model is a batch function through
+``predict_batch_udf`` (O-33c).
 """
 
 from __future__ import annotations
@@ -13,60 +12,28 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, SQLTransformer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Default iterations of the solvers (our choice); every pipeline takes ``max_iter``.
-MAX_ITER = 30
-# Above any real vocabulary: the index holds every term or n-gram of the training rows.
-EVERY_TERM = 2 ** 31 - 1
+# The window widths of the sequence model.
+WINDOWS = (2, 3, 4)
 
 
-def term_bags(units: DataFrame, cells: DataFrame, selected: DataFrame, scope: Sequence[str],
-              keys: Sequence[str]) -> DataFrame:
-    """``units`` + ``terms ARRAY<STRING>``: each selected term repeated n times,
-    so a CountVectorizer reproduces the containment counts as a sparse vector.
+def gram_cells(ids: DataFrame, keys: Sequence[str], ids_col: str = "input_ids", windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """``keys..., feature, n = 1``: each id n-gram that stands anywhere in the sequence,
+    written as its ids with spaces."""
+    # a generator keeps the strings from being made again for every n-gram
+    rows = ids.select(*keys, F.explode(F.array(F.transform(ids_col, lambda x: x.cast("string")))).alias("_s"))
+    size = F.size("_s")
 
-    """
-    kept = cells.join(selected.select(*scope, "term"), [*scope, "term"], "left_semi")
-    bags = (kept.groupBy(*scope, *keys)
-                .agg(F.flatten(F.collect_list(F.array_repeat(F.col("term"), F.col("n").cast("int")))).alias("terms")))
-    return (units.join(bags, [*scope, *keys], "left")
-                 .withColumn("terms", F.coalesce(F.col("terms"), F.array().cast("array<string>"))))
-
-
-def bow_pipeline(reg_param: float = 0.0, max_iter: int = MAX_ITER) -> Pipeline:
-    """Selected containment counts, standardised inside the solver (O-41)."""
-    cv = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=EVERY_TERM, minDF=1.0)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
-                            regParam=reg_param, standardization=True)
-    return Pipeline(stages=[cv, lr])
-
-
-def id_ngrams(ids: Column) -> Column:
-    return F.transform(ids, lambda x: x.cast("string"))
-
-
-def sequence_pipeline(reg_param: float = 0.0, max_iter: int = MAX_ITER) -> Pipeline:
-    """Presence of the id n-grams of the training rows, each with its own column."""
-    grams = [NGram(n=n, inputCol="id_tokens", outputCol=f"g{n}") for n in (2, 3, 4)]
-    tf = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=EVERY_TERM, minDF=1.0, binary=True)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg_param)
-    concat = SQLTransformer(statement="SELECT *, concat(g2, g3, g4) AS grams FROM __THIS__")
-    return Pipeline(stages=[*grams, concat, tf, lr])
-
-
-def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Adds ``score`` = [P(label 0), P(label 1)] as ARRAY<DOUBLE> and ``p1``."""
-    out = model.transform(rows)
-    return (out.withColumn("score", vector_to_array(F.col("probability")))
-               .withColumn("p1", F.element_at("score", 2))
-               .withColumn("prediction", F.col("prediction").cast("int")))
+    def grams(width: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(size - (width - 1), F.lit(1)))
+        return F.when(size >= width, F.transform(starts, lambda i: F.array_join(F.slice("_s", i, F.lit(width)), " "))) \
+            .otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(*[grams(w) for w in windows]))
+    return rows.select(*keys, F.explode(every).alias("feature")).withColumn("n", F.lit(1).cast("long"))
 
 
 def batch_scorer(fn: Callable[..., np.ndarray], n_inputs: int, batch_size: int = 4096) -> Callable[..., Column]:

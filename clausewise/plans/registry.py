@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.plans import analyse, bow, corpus_reports, evaluate, features, models, resample, scores, sequence
+from clausewise.plans import analyse, bow, corpus_reports, evaluate, features, models, resample, scores, sequence, training
 from clausewise.sources import corpus, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,14 +67,15 @@ def queries() -> dict[str, Query]:
         "confusion_matrix": evaluate.confusion,
         "sens_spec": evaluate.sens_spec,
         "holdout_metrics": evaluate.holdout,
-        # model fitting/scoring: rows-only checks (no SQL oracle)
-        "score_bow": models.score_bow,
-        "score_sequence": models.score_sequence,
+        "score_bow": training.score_bow,
+        "score_sequence": training.score_sequence,
+        "training_metrics": training.training_metrics,
+        "best_run": training.best_run,
+        "analyse_requests_fitted": training.analyse_requests_fitted,
+        "analyse_requests_refit": training.analyse_requests_refit,
         "score_external": models.score_external,
-        "best_run": models.best_run,
         "analyse_requests_bow": models.analyse_requests_bow,
         "analyse_requests_sequence": models.analyse_requests_sequence,
-        "analyse_requests_fitted": models.analyse_requests_fitted,
         "best_run_table": models.best_run_table,
         "labelled_csv": corpus_reports.labelled_csv,
         "bow_by_persona": bow.bow_by_persona,
