@@ -152,3 +152,44 @@ def select_top_k(scored: DataFrame, scope: Sequence[str], k: int = TOP_K,
                            F.least(F.col("multiplicity"), F.lit(k) - F.col("_before")).cast("long"))
                .withColumn("rank", F.col("rank").cast("long"))
                .drop("_before"))
+
+
+POSITION_BUCKETS = 4096
+
+
+def select_columns(scored: DataFrame, columns: DataFrame, scope: Sequence[str], k: int = TOP_K) -> DataFrame:
+    """O-29 column by column: the k columns of largest F, of equal ones the later column first.
+
+    ``scored``: ``scope..., term, f, multiplicity`` (one row for a term's equal columns);
+    ``columns``: ``term`` and the position of each of its columns (``o1, o2, o3``, shared by
+    the scopes). Where the k-th column lies among several terms of one F, their columns
+    interleave by position, so a term may be cut anywhere. Returns ``scope..., term,
+    f, multiplicity, selected_multiplicity``.
+
+    Terms above the tie need no columns. Inside it a histogram of the positions finds
+    the cell with the last column that gets in, and only that cell is ranked.
+    """
+    s = scored.withColumn("_fk", F.coalesce(F.col("f"), F.lit(-1.0)))  # F is never negative: undefined ranks last
+    s = _above_threshold(s, scope, k)
+    groups = s.groupBy(*scope, "_fk").agg(F.sum("multiplicity").alias("_m"))
+    cum = F.sum("_m").over(Window.partitionBy(*scope).orderBy(F.col("_fk").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.withColumn("_before", F.coalesce(cum, F.lit(0))).where(F.col("_before") < k) \
+        .withColumn("_room", F.least(F.col("_m"), F.lit(k) - F.col("_before")))
+    s = s.join(groups, [*scope, "_fk"])
+    whole = s.where("_room = _m").withColumn("selected_multiplicity", F.col("multiplicity").cast("long"))
+    tied = s.where("_room < _m").select(*scope, "term", "_room")
+
+    pos = columns.select("term", "o1", "o2", "o3").join(tied, "term")
+    ends = pos.groupBy(*scope).agg(F.min("o1").alias("_lo"), F.max("o1").alias("_hi"))
+    cell = F.floor((F.col("o1") - F.col("_lo")).cast("double") * POSITION_BUCKETS / (F.col("_hi") - F.col("_lo") + 1).cast("double"))
+    pos = pos.join(ends, list(scope)).withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
+    hist = pos.groupBy(*scope, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.first("_room").alias("_room"))
+    later = F.sum("_n").over(Window.partitionBy(*scope).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    hist = hist.withColumn("_left", F.col("_room") - F.coalesce(later, F.lit(0))).where("_left > 0").select(*scope, "_cell", "_left", "_n")
+    pos = pos.join(hist, [*scope, "_cell"])
+    rank = F.row_number().over(Window.partitionBy(*scope, "_cell").orderBy(F.desc("o1"), F.desc("o2"), F.desc("o3")))
+    last = pos.where("_left < _n").withColumn("_rank", rank).where("_rank <= _left").select(*scope, "term")
+    took = pos.where("_left >= _n").select(*scope, "term").unionByName(last).groupBy(*scope, "term").agg(
+        F.count(F.lit(1)).cast("long").alias("selected_multiplicity"))
+    out = [*scope, "term", "f", "multiplicity", "selected_multiplicity"]
+    return whole.select(*out).unionByName(s.where("_room < _m").join(took, [*scope, "term"]).select(*out))

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.plans import analyse, bow, corpus_reports, evaluate, features, models, resample, scores, sequence, training
+from clausewise.plans import analyse, bow, corpus_reports, evaluate, features, models, rebalance, resample, scores, sequence, training
 from clausewise.sources import corpus, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def queries() -> dict[str, Query]:
         "train_test_split": resample.split_labelled,
         "smote_neighbours": resample.smote_neighbours,
         "smote_samples": resample.smote_samples,
+        "smote_bow_neighbours": rebalance.smote_bow_neighbours,
+        "smote_bow_samples": rebalance.smote_bow_samples,
+        "anova_after_smote": rebalance.anova_after_smote,
+        "select_after_smote": rebalance.select_after_smote,
+        "select_columns": rebalance.selected_columns,
         "confusion_matrix": evaluate.confusion,
         "sens_spec": evaluate.sens_spec,
         "holdout_metrics": evaluate.holdout,

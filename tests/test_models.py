@@ -4,7 +4,7 @@ external batch scorer equals the built-in expression version."""
 import math
 
 
-from clausewise.plans import analyse, models
+from clausewise.plans import analyse, models, training
 from clausewise.sources import corpus
 
 from conftest import SF_SMALL
@@ -19,7 +19,7 @@ def test_external_scorer_equals_expression(spark):
 
 
 def test_bow_model_scores_the_test_split(spark):
-    out = models.score_bow(spark, SF_SMALL).collect()
+    out = training.score_bow(spark, SF_SMALL).collect()
     lab = corpus.labelled_clauses(spark, SF_SMALL).groupBy("persona").count().collect()
     expected = sum(math.ceil(0.2 * r["count"]) for r in lab)
     assert len(out) == expected
@@ -30,6 +30,6 @@ def test_bow_model_scores_the_test_split(spark):
 
 
 def test_best_run_picks_a_grid_value(spark):
-    rows = models.best_run(spark, SF_SMALL).collect()
+    rows = training.best_run(spark, SF_SMALL).collect()
     assert {r.persona for r in rows} == {"alice", "bob", "charlie"}
-    assert all(r.best_reg_param in models.REG_GRID for r in rows)
+    assert all(r.best_reg_param in training.L2_GRID for r in rows)

@@ -10,12 +10,7 @@ from clausewise.plans.registry import queries
 
 from conftest import SF_SMALL
 
-# queries whose plan builds a model (fitting runs jobs at plan time); their
-# feature plans are covered through the other queries
-SKIP = {"score_bow", "score_sequence", "best_run"}
-
-
-@pytest.mark.parametrize("name", sorted(set(queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_plan_has_no_pairwise_join_and_prunes_columns(spark, name):
     df = queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
