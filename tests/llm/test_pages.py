@@ -45,17 +45,16 @@ def test_warc_rolls_by_compressed_size_and_detects_damage(spark, scratch):
         warc.read(spark, folder).collect()
 
 
-def brute_topk(rows, k):
-    ints = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            ints[i] = [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]
+def brute_topk(rows, k, kind=np.float32):
+    ints = [(i, [a * 1024 // b for a, b in (float(kind(x)).as_integer_ratio() for x in v)]) for i, v in rows
+            if v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in sorted(ints):
-        if q % 100 == 0:
-            s = sorted(((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q])))
-            out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s[:k])]
-    return out
+    for at, (q, x) in enumerate(ints):
+        if q is not None and q % 100 == 0:
+            s = sorted((-sum(a * b for a, b in zip(x, v)), i is None, i or 0) for n, (i, v) in enumerate(ints)
+                       if n != at and len(v) == len(x))
+            out += [(q, n + 1, None if no else i, -d if -2 ** 63 <= -d < 2 ** 63 else None) for n, (d, no, i) in enumerate(s[:k])]
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("k", [3, 10])
@@ -68,11 +67,23 @@ def test_topk_matches_brute_force(spark, monkeypatch, k):
     rows += [(800, None), (801, [None] * 8), (900, [float("nan")] * 8), (901, [float("inf")] * 8), (1100, []), (None, [1.0] * 8)]
     rows += [(300, rows[300][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, k).collect())
+    got = sorted((tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, k).collect()), key=str)
     assert got == brute_topk(rows, k)
     assert topk.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_is_exact_for_every_finite_vector_and_row(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 10)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 64)]) for i in range(40)]
+    rows += [(100, [1.5e6] * 64), (200, [3e6] * 64), (201, [-3e6] * 64), (300, [1e300] * 64), (301, [-1e300] * 64), (302, [1.7e308] * 64)]
+    rows += [(100, [1.5e6] * 64), (0, rows[7][1]), (None, rows[3][1]), (None, [2.9e6] * 64), (5, rows[5][1])]
+    df = spark.createDataFrame([(i, v, 1, b"") for i, v in rows], "vec_id long, embedding array<double>, rid int, wide binary")
+    got = sorted((tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, 12).collect()), key=str)
+    assert got == brute_topk(rows, 12, float)
+    assert (200, 1, 302, None) in got and any(s is not None and s > 2 ** 40 for *_, s in got)
+
+
 ARTICLE = ("<article><h1>Title &amp; more</h1><p>The first   paragraph is long enough to be one, it says.<p><b>Second has a bold "
            "start. And goes on<br>after a break.</article>")
 SHELL = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>"
