@@ -23,11 +23,16 @@ Probability to lose a pair of similarity exactly 0.8: below 1e-5 (bands), plus
 ``tolerance`` per pruning round; pairs in one cluster are verified whatever
 the pruning said.
 
-Defined cases: a null id links to nothing and has no class; null and empty texts have no shingle, are a class of their own
-and link to nothing; a text of one to four words is one shingle of all its
-words; repeated rows (same id twice) count as copies of themselves and keep
-their own output rows; different texts under one id count as one document;
-extra columns are ignored.
+Rows are told apart by an internal key, two hashes of id and text; rows equal in
+both are copies of each other. Nodes of the joins are classes, numbered once in a
+stored table, so neither repeated ids nor rows without an id are mixed up.
+
+Defined cases: null and empty texts have no shingle, are a class of their own and
+link to nothing; a text of one to four words is one shingle of all its words; repeated
+rows (same id twice) are copies of themselves and keep their own output rows; different
+texts under one id are different documents; a row without an id links like any other,
+is never the smallest id, and a class of such rows alone has a null id; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (WordHasher, blocked, components, forest, fresh, group_pairs, mix64, shingle_hashes, stored,
@@ -49,7 +54,7 @@ ROUND = 16
 TOLERANCE = 1e-6
 BLOCK = 512
 
-_SKETCH = "doc_id long, set_a long, set_b long, n_shingles int, bands array<long>, sketch binary"
+_SKETCH = "doc_id string, key_a long, key_b long, set_a long, set_b long, n_shingles int, bands array<long>, sketch binary"
 
 
 def minimum_matches(threshold: float, tolerance: float, total: int, step: int) -> dict[int, int]:
@@ -98,7 +103,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets = text_shingles(pdf["text"], hasher)
             has = np.array([len(s) > 0 for s in sets])
             full = [s for s in sets if len(s)]
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()})
+            out = pdf[["doc_id", "key_a", "key_b"]].astype({"doc_id": object})
             a, b = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
             bands, sketch = [None] * len(sets), [None] * len(sets)
             if full:
@@ -147,8 +152,10 @@ def _prune(tolerance: float):
 
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hasher = WordHasher()
+    hasher, seen = WordHasher(), set()
     for batch in batches:
+        batch = batch[~(batch["rep"].isin(seen) | batch["rep"].duplicated())]  # repeated rows have one text
+        seen.update(batch["rep"])
         for pdf in _slices(batch):
             out = pdf[["rep", "weight", "root"]].copy()
             out["shingles"] = [s.tobytes() for s in text_shingles(pdf["text"], hasher)]
@@ -180,6 +187,7 @@ def link_counts(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, s
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for big in whole_groups(batches, "task_key"):
         for _, pdf in big.groupby("task_key", sort=False):
+            pdf = pdf.drop_duplicates("rep")
             sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
             rep, weight, blk = pdf["rep"].to_numpy(), pdf["weight"].to_numpy(), pdf["blk"].to_numpy()
             links = np.zeros(len(pdf), np.int64)
@@ -198,28 +206,41 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"rep": rep[some], "links": links[some], "to": rep[root[some]]})
 
 
-def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", tolerance: float = TOLERANCE,
-         block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``class_id`` (smallest id of the
-    documents connected by links of similarity >= 0.8), ``copy_id`` (smallest id
-    with the same shingle set), ``n_links`` (other documents linked to it)."""
-    every = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    src = every.where("doc_id is not null")
+_KEY = ["key_a", "key_b"]
+_SET = ["set_a", "set_b", "n_shingles"]
+
+
+def _row_key(ident: str, text: str) -> list[Column]:
+    i, t = F.col(f"`{ident}`").cast("long"), F.col(f"`{text}`")
+    parts = [i.isNull(), i, t.isNull(), t]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(17), *parts)]
+
+
+def _rows(docs: DataFrame, text: str, ident: str) -> DataFrame:
+    # ids travel as text: pandas would turn a column with nulls into doubles
+    return docs.select(F.col(f"`{ident}`").cast("long").cast("string").alias("doc_id"),
+                       *[k.alias(n) for k, n in zip(_row_key(ident, text), _KEY, strict=True)], F.col(f"`{text}`").alias("text"))
+
+
+def _first(id_col: str = "doc_id"):
+    """The row that stands for a group: smallest id, rows without one last."""
+    return F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), *_KEY))
+
+
+def _linked(docs: DataFrame, text: str, ident: str, tolerance: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(row sketches, classes): classes ``set_a, set_b, n_shingles, cid, first, weight,
+    links, root, top``; ``first`` is the row standing for the class, ``top`` that of its component."""
+    src = _rows(docs, text, ident)
     sketches = stored(src.mapInPandas(_sketch, _SKETCH), "ngram-sketch")
+    sketches = sketches.withColumn("doc_id", F.col("doc_id").cast("long"))
     some = sketches.where("n_shingles > 0")
-    classes = some.groupBy("set_a", "set_b", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    classes = stored(classes, "ngram-class")
-
-    copied = classes.where("weight > 1")
-    member = some.select("doc_id", "set_a", "set_b", "n_shingles").join(
-        copied, ["set_a", "set_b", "n_shingles"], "left").select(
-        "doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"))
-
-    # The sketch of each class's representative, fetched by id: no hot key here.
-    rep_sketch = some.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"),
-                           ["doc_id", "set_a", "set_b"], "left_semi") \
-        .dropDuplicates(["doc_id", "set_a", "set_b"]).withColumnRenamed("doc_id", "rep")
+    classes = some.groupBy(*_SET).agg(_first().alias("first"), F.count("*").alias("weight"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-class")
+
+    # The sketch of each class's first row, fetched by that row's key: no hot key here.
+    firsts = classes.select("cid", *[F.col(f"first.{k}").alias(k) for k in _KEY], "set_a", "set_b")
+    rep_sketch = some.join(firsts, [*_KEY, "set_a", "set_b"]).dropDuplicates(["cid"]) \
+        .select(F.col("cid").alias("rep"), "n_shingles", "bands", "sketch")
     keyed = rep_sketch.select("rep", F.explode("bands").alias("band"))
     held = blocked(keyed, "band", "rep", block)
     tasks = held.join(rep_sketch.select("rep", "n_shingles", "sketch"), "rep")
@@ -227,32 +248,55 @@ def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", tolerance:
         _prune(tolerance), "a long, b long")
     clusters = components(survivors)
 
-    chosen = clusters.select(F.col("node").alias("rep"), "root").join(classes.select("rep", "weight"), "rep")
-    texts = src.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
+    chosen = clusters.select(F.col("node").alias("cid"), "root").join(classes.select("cid", "weight", "first"), "cid") \
+        .select(F.col("cid").alias("rep"), "root", "weight", *[F.col(f"first.{k}").alias(k) for k in _KEY])
+    texts = src.select(*_KEY, "text").join(chosen, _KEY).select("rep", "weight", "root", "text")
     sets = texts.mapInPandas(_expand, "rep long, weight long, root long, shingles binary")
     checked = stored(blocked(sets, "root", "rep", block).repartition("task_key").sortWithinPartitions("task_key")
                      .mapInPandas(_verify, "rep long, links long, to long"), "ngram-links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    linked = links.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    tied = roots.withColumnRenamed("node", "cid").join(links.withColumnRenamed("rep", "cid"), "cid")
+    tops = tied.join(classes.select("cid", "first"), "cid").groupBy("root").agg(F.min("first").alias("top"))
+    return sketches, classes.join(tied.join(tops, "root"), "cid", "left")
+
 
-    full = member.join(linked, "rep", "left").select(
-        "doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_id"),
-        (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", tolerance: float = TOLERANCE,
+         block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``class_id`` (smallest id of the
+    documents connected by links of similarity >= 0.8), ``copy_id`` (smallest id
+    with the same shingle set), ``n_links`` (other rows linked to it)."""
+    sketches, classes = _linked(docs, text, ident, tolerance, block)
+    # Classes of one row without links need no join back: most rows of a corpus.
+    several = classes.where("weight > 1 or links is not null").select(
+        *_SET, F.coalesce("top.id", "first.id").alias("class_id"), F.col("first.id").alias("copy_id"),
+        (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.lit(True).alias("found"))
+    full = sketches.where("n_shingles > 0").select("doc_id", *_SET).join(several, _SET, "left").select(
+        "doc_id", F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("found"), F.col("copy_id")).otherwise(F.col("doc_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     empty = sketches.where("n_shingles = 0").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"),
         F.lit(0).cast("long").alias("n_links"))
-    nameless = every.where("doc_id is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionByName(empty).unionByName(nameless)
-
-
-def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each class, the one of the smallest id
-    (with its repeated rows once); documents without a word all stay."""
-    found = join(docs, text, ident)
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    cols = docs.columns
-    key, = fresh(cols, "_id")
-    held = docs.withColumn(key, F.col(f"`{ident}`").cast("long"))
-    return held.join(gone.withColumnRenamed("doc_id", key), key, "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    return full.unionByName(empty)
+
+
+def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", tolerance: float = TOLERANCE,
+                block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each class, one of the smallest id (of rows equal in id
+    and text any one); documents without a word all stay."""
+    sketches, classes = _linked(docs, text, ident, tolerance, block)
+    several = classes.where("weight > 1 or links is not null").select(*_SET, F.coalesce("top", "first").alias("top"))
+    # Decisions by row key, for the rows of classes that have others; few keys stand for several rows.
+    rows = sketches.select("doc_id", *_KEY, *_SET).join(several, _SET)
+    stands = F.first((F.col("top.key_a") == F.col("key_a")) & (F.col("top.key_b") == F.col("key_b")))
+    fate = stored(rows.groupBy(*_KEY).agg(F.count("*").alias("rows"), stands.alias("stands")), "ngram-fate")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    names = fresh(docs.columns, "_a", "_b", "_stands", "_rows")
+    fate = fate.select(*[F.col(c).alias(n) for c, n in zip([*_KEY, "stands", "rows"], names, strict=True)])
+    keyed = docs.select(*cols, *[k.alias(n) for k, n in zip(_row_key(ident, text), names[:2], strict=True)])
+    one = f"`{names[2]}` is null or (`{names[2]}` and `{names[3]}` = 1)"
+    kept = keyed.join(fate, names[:2], "left").where(one).select(*cols)
+    repeated = fate.where(f"`{names[2]}` and `{names[3]}` > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, names[:2]).dropDuplicates(names[:2]).select(*cols))
+    return kept

@@ -57,14 +57,33 @@ def test_join_matches_brute_force_with_blocks(spark):
     assert kept == {i for i, (c, _) in brute_join(rows).items() if c == i}
 
 
-def test_join_empty_null_ids_and_clashing_columns(spark):
-    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
-    got = sorted(tuple(r) for r in nj.join(df).where("doc_id is not null").collect())
-    assert got == [(1, 1, 1, 1)] * 2
-    assert nj.join(df).where("doc_id is null").select("class_id", "n_links").collect()[0] == (None, 0)
-    assert nj.join(df.limit(0)).count() == 0
-    odd = df.selectExpr("doc_id", "text", "1 as _id", "2 as rep", "'x' as root")
-    assert nj.deduplicate(odd).columns == odd.columns
+BASE = " ".join(f"w{i}" for i in range(60))
+NEAR = BASE.replace("w30", "x30")
+SCHEMA = "doc_id long, text string"
+
+
+def test_join_counts_rows_with_repeated_ids_and_without_ids(spark):
+    run = lambda rows: sorted((tuple(r) for r in nj.join(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert run([(1, BASE), (1, BASE), (2, NEAR)]) == [(1, 1, 1, 2), (1, 1, 1, 2), (2, 1, 2, 2)]
+    # one id, two texts: two documents, linked to each other
+    assert run([(1, BASE), (1, NEAR), (3, "a b c d e f")]) == [(1, 1, 1, 1), (1, 1, 1, 1), (3, 3, 3, 0)]
+    assert run([(None, BASE), (None, BASE), (7, NEAR), (None, "a b c d e f"), (None, "a b c d e f")]) == sorted(
+        [(None, 7, None, 2), (None, 7, None, 2), (7, 7, 7, 2), (None, None, None, 1), (None, None, None, 1)], key=str)
+
+
+def test_deduplicate_keeps_one_row_of_a_class(spark):
+    rows = [(1, BASE), (1, BASE), (2, NEAR), (None, BASE), (None, "a b c d e f"), (None, "a b c d e f"), (5, ""), (5, ""), (6, None),
+            (8, "quite another text of some words"), (9, "p q r s t u v"), (9, "p q r s t u v")]
+    kept = sorted((tuple(r) for r in nj.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert kept == sorted([(1, BASE), (None, "a b c d e f"), (5, ""), (5, ""), (6, None), (8, "quite another text of some words"),
+                           (9, "p q r s t u v")], key=str)
+
+
+def test_join_empty_and_clashing_columns(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], SCHEMA)
+    assert nj.join(df.limit(0)).count() == 0 and nj.deduplicate(df.limit(0)).count() == 0
+    odd = df.selectExpr("doc_id", "text", "1 as _a", "2 as rep", "'x' as root", "3 as _KEY", "4 as stands", "5 as key_a")
+    assert nj.deduplicate(odd).columns == odd.columns and nj.deduplicate(odd).count() == 1
 
 
 def test_minimum_matches_is_the_posterior_bound():
