@@ -5,8 +5,8 @@ suffixes of r bytes of all texts of a collection enter its Burrows-Wheeler
 transform at once, one symbol a text. Their places follow from the ranks of the
 last round's symbols, and the common prefix with either neighbour is one more than
 the least common prefix between the two places of the round before. Transform and
-common prefixes lie in two sequential files that a round reads and writes anew. A
-string occurs twice where a common prefix reaches ``LENGTH``.
+common prefixes lie in sequential files, of which a round reads one and writes the
+other. A string occurs twice where a common prefix reaches ``LENGTH``.
 
 What makes collections of bounded size: all windows of ``LENGTH`` bytes that share
 the smallest hash of their substrings (the *anchor*) form a *piece*, a stretch of
@@ -15,7 +15,9 @@ text; equal windows have equal anchors. So
 1. anchors are counted; those of one piece are done;
 2. pieces with a repeated anchor are counted by digest; equal pieces are one text with a
    number, and an anchor with a single text needs no suffix array;
-3. the distinct texts of the other anchors are dealt to collections by anchor;
+3. the distinct texts of the other anchors are dealt to collections by anchor, where
+   the anchor itself, which all windows of its texts hold, becomes a short number;
+   anchors whose texts all occur twice as a whole are done;
 4. an anchor with more than ``GROUP`` distinct texts (a passage in very many hosts) is
    cut again: its texts are treated as documents with longer substrings as anchors,
    at last with whole windows, whose groups are single texts;
@@ -47,15 +49,17 @@ from pyspark.sql import functions as F
 from .common import mix64, stored
 
 LENGTH = 200
-SPANS = (128, 32, 1)  # substrings a window is anchored among, level by level
+SPANS = (96, 24, 1)  # substrings a window is anchored among, level by level
 GROUP = 4096  # distinct texts of an anchor in one collection
-COLLECTION = 500_000  # bytes of a collection, about
+COLLECTION = 130_000  # bytes of a collection, about
 CHUNK = 8_000_000  # bytes of documents that meet their marks in one task
-STRIP = 500_000  # bytes cut into pieces at a time
+STRIP = 100_000  # bytes cut into pieces at a time
 FILTER_BITS = 2 ** 26
 SEEN = 200_000  # pieces a task remembers having emitted
 
-_TERM = 0xFF  # never a byte of UTF-8
+# Bytes that never stand in UTF-8: one before the start of a text, twelve as digits.
+_TERM = 0xFF
+_DIGITS = bytes([0xC0, 0xC1, *range(0xF5, 0xFF)])
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _BASE, _LOW = 0x9E3779B97F4A7C15 | 5, np.uint64(0xFF)
 
@@ -92,7 +96,7 @@ class Cutter:
 
     def pieces(self, base: np.ndarray, offset: np.ndarray, buffer: bytes):
         """(strip, first window, number of windows, anchor, whether the anchor stands
-        in it twice) of the pieces, in order. Of equal hashes the place in the document
+        in it twice, the anchor's offset in it) of the pieces, in order. Of equal hashes the place in the document
         decides, so that a document is cut alike in whatever buffer it lies."""
         x, n = np.frombuffer(buffer, np.uint8), len(buffer)
         if len(self.up) < n + 1:
@@ -106,10 +110,11 @@ class Cutter:
         low = (np.arange(n) + np.repeat(base - offset[:-1], np.diff(offset)))[:m].astype(np.uint64) & _LOW
         h &= ~_LOW
         first, last = h | low, h | (_LOW - low)
-        step = 1
-        while step < self.span:  # span is a power of two, at most 256
+        wide = 1
+        while wide < self.span:  # the smallest of ``wide`` in a row
+            step = min(wide, self.span - wide)
             first, last = np.minimum(first[:-step], first[step:]), np.minimum(last[:-step], last[step:])
-            step *= 2
+            wide += step
         inside = np.zeros(len(first) + 1, bool)
         for a, b in zip(offset[:-1], offset[1:], strict=True):
             inside[a:b - self.length + 1] = True
@@ -125,7 +130,9 @@ class Cutter:
         tie = (first.view(np.uint8)[::8] + last.view(np.uint8)[::8]) != 255
         ties = np.concatenate([[0], np.cumsum(tie)])
         twice = ties[start + count] > ties[start]
-        return np.searchsorted(offset, start, "right") - 1, start, count, (first[start] >> np.uint64(8)).view(np.int64), twice
+        strip = np.searchsorted(offset, start, "right") - 1
+        at = ((first[start] & _LOW).astype(np.int64) - (start - offset[strip] + base[strip])) & 255
+        return strip, start, count, (first[start] >> np.uint64(8)).view(np.int64), twice, at
 
 
 def _digest(buffer: bytes, start: int, end: int) -> bytes:
@@ -149,7 +156,7 @@ def _slices(batches) -> Iterator[pa.RecordBatch]:
         ends = np.frombuffer(lens.buffers()[1], np.int32, count=len(lens) + 1, offset=4 * lens.offset)
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + 4 * STRIP, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + 40 * STRIP, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
 
@@ -158,7 +165,7 @@ def _anchors(cutter: Cutter):
     def run(batches):
         for batch in _slices(batches):
             for _, base, offset, buffer in cutter.strips(_texts(batch)):
-                _, _, _, anchor, twice = cutter.pieces(base, offset, buffer)
+                _, _, _, anchor, twice, _ = cutter.pieces(base, offset, buffer)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(twice + 1, pa.int64())], ["anchor", "n"])
     return run
 
@@ -168,7 +175,7 @@ def _occurrences(cutter: Cutter, table: np.ndarray):
         for batch in _slices(batches):
             chunk = batch.column("chunk").to_numpy()
             for doc, base, offset, buffer in cutter.strips(_texts(batch)):
-                strip, start, count, anchor, twice = cutter.pieces(base, offset, buffer)
+                strip, start, count, anchor, twice, _ = cutter.pieces(base, offset, buffer)
                 use = np.flatnonzero(_has_bit(table, anchor))
                 ends = start[use] + count[use] + cutter.length - 1
                 digests = [_digest(buffer, a, b) for a, b in zip(start[use].tolist(), ends.tolist(), strict=True)]
@@ -183,21 +190,21 @@ def _piece_texts(cutter: Cutter, table: np.ndarray):
         seen: set[bytes] = set()
         for batch in _slices(batches):
             for _, base, offset, buffer in cutter.strips(_texts(batch)):
-                _, start, count, anchor, twice = cutter.pieces(base, offset, buffer)
-                use = np.flatnonzero(_has_bit(table, anchor))
+                _, *found = cutter.pieces(base, offset, buffer)
+                use = np.flatnonzero(_has_bit(table, found[2]))
                 out = []
-                for a, n, key, two in zip(*(v[use].tolist() for v in (start, count, anchor, twice)), strict=True):
+                for a, n, key, two, at in zip(*(v[use].tolist() for v in found), strict=True):
                     text = buffer[a:a + n + cutter.length - 1]
                     piece = xxhash.xxh3_128_digest(text)
                     if piece not in seen:
                         seen.add(piece)
-                        out.append((key, piece, two, text))
+                        out.append((key, piece, two, at, text))
                 if len(seen) > SEEN:
                     seen.clear()
                 if out:
-                    keys, digests, two, texts = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(two),
-                                                      pa.array(texts, pa.binary())], ["anchor", "piece", "twice", "text"])
+                    kinds = pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.binary()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                                                     ["anchor", "piece", "twice", "at", "text"])
     return run
 
 
@@ -213,19 +220,26 @@ def bit_table(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 # --- one collection -----------------------------------------------------------
 
-class _Column:
-    """One byte array in a sequential file."""
+class _Records:
+    """One 16-bit record a suffix (symbol before it, common prefix) in sequential
+    files: a round reads one from its start to its end and writes the other."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, folder: str):
+        self.now, self.next = (open(f"{folder}/{name}", "w+b", buffering=0) for name in ("now", "next"))
+        self.size = 0
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, np.uint8)
+        self.now.seek(0)
+        return np.fromfile(self.now, np.uint16, self.size)
+
+    def write(self, records: np.ndarray) -> None:
+        self.next.seek(0)
+        self.next.write(records.data)
+        self.now, self.next, self.size = self.next, self.now, len(records)
 
-    def write(self, values: np.ndarray) -> None:
-        with open(self.path + ".new", "wb") as f:
-            f.write(values.data)
-        os.replace(self.path + ".new", self.path)
+    def close(self) -> None:
+        self.now.close()
+        self.next.close()
 
 
 def transform(texts: list[bytes], cap: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
@@ -236,52 +250,48 @@ def transform(texts: list[bytes], cap: int, folder: str) -> tuple[np.ndarray, np
     size = np.array([len(t) for t in texts], np.int64)
     whole, begin = np.frombuffer(b"".join(texts) + b"\0", np.uint8), np.cumsum(size) - size
     before = lambda who, r: np.where(size[who] > r, whole[np.maximum(begin[who] + size[who] - r - 1, 0)], _TERM)
-    bwt_file, lcp_file = _Column(f"{folder}/bwt"), _Column(f"{folder}/lcp")
+    records = _Records(folder)
     who = pos = np.arange(m)
-    bwt_file.write(before(who, 0).astype(np.uint8))
-    lcp_file.write(np.zeros(m, np.uint8))
+    count = np.zeros(256, np.int64)
+    entered = before(who, 0).astype(np.uint16)
+    records.write(entered)
     for r in range(1, int(size.max(initial=0)) + 1):
-        bwt, lcp = bwt_file.read(), lcp_file.read()
+        rows = records.read()
+        n = len(rows)
+        bwt, lcp = rows.astype(np.uint8), np.empty(n + 3, np.uint8)
+        lcp[:n], lcp[n:] = rows >> 8, 255
         going = size[who] >= r
         who, pos = who[going], pos[going]  # in the order of pos
-        c, n = bwt[pos], len(bwt)
+        c = bwt[pos]
+        count += np.bincount(entered, minlength=256)
+        first = np.concatenate([[0], np.cumsum(count)])
         places = np.argsort(bwt, kind="stable")  # where each symbol stands, symbol by symbol
-        first = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
-        rank = np.empty(len(pos), np.int64)
-        grouped = np.argsort(c, kind="stable")
-        edge = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=256))])
-        for s in np.flatnonzero(np.diff(edge)):
-            mine = grouped[edge[s]:edge[s + 1]]
-            rank[mine] = first[s] + np.searchsorted(places[first[s]:first[s + 1]], pos[mine])
+        rank = np.searchsorted(places + np.repeat(np.arange(256) * n, count), pos + c.astype(np.int64) * n)
         has_left, has_right = rank > first[c], rank + 1 < first[c.astype(np.int64) + 1]
-        left = places[np.maximum(rank - 1, 0)]
-        right = places[np.minimum(rank + 1, n - 1)]
-        padded = np.append(lcp, np.uint8(255))
-        up = _least(padded, np.where(has_left, left + 1, pos), pos + 1)
-        down = _least(padded, pos + 1, np.where(has_right, right + 1, pos + 2))
+        up = _least(lcp, np.where(has_left, places[np.maximum(rank - 1, 0)] + 1, pos), pos + 1)
+        down = _least(lcp, pos + 1, np.where(has_right, places[np.minimum(rank + 1, n - 1)] + 1, pos + 2))
+        up, down = (np.where(has, np.minimum(x.astype(np.int64) + 1, cap), 0) << 8 for has, x in ((has_left, up), (has_right, down)))
         new = m + rank
         order = np.argsort(new, kind="stable")
-        who, new = who[order], new[order]
-        old = np.ones(n + len(new), bool)
-        old[new] = False
-        bwt_out, lcp_out = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-        bwt_out[old], lcp_out[old] = bwt, lcp
-        bwt_out[new] = before(who, r)
-        lcp_out[new] = np.where(has_left, np.minimum(up.astype(np.int64) + 1, cap), 0)[order]
-        follows = has_right[order]
-        lcp_out[new[follows] + 1] = np.minimum(down.astype(np.int64) + 1, cap)[order][follows]
-        bwt_file.write(bwt_out)
-        lcp_file.write(lcp_out)
-        pos = new
-    return bwt_file.read(), lcp_file.read()
+        who, pos, follows = who[order], new[order], has_right[order]
+        old = np.ones(n + len(pos), bool)
+        old[pos] = False
+        out = np.empty(len(old), np.uint16)
+        out[old] = rows
+        entered = before(who, r)
+        out[pos] = entered | up[order]
+        after = pos[follows] + 1
+        out[after] = out[after] & 255 | down[order][follows]
+        records.write(out)
+    rows = records.read()
+    records.close()
+    return rows.astype(np.uint8), (rows >> 8).astype(np.uint8)
 
 
 def _least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Minimum of each values[start:end], start < end <= len(values); ``end`` or ``start`` ascending."""
-    n = len(values)
-    values = np.append(values, [np.uint8(255)] * 2)
+    """Minimum of each values[start:end], start < end < len(values); ``start`` or ``end`` ascending."""
     pairs = np.empty(2 * len(start), np.int64)
-    pairs[::2], pairs[1::2] = start, np.minimum(end, n + 1)
+    pairs[::2], pairs[1::2] = start, end
     return np.minimum.reduceat(values, pairs)[::2] if len(start) else values[:0]
 
 
@@ -314,17 +324,39 @@ def _runs(starts: list[int]) -> list[int]:
     return np.stack([s[np.r_[0, cut + 1]], s[np.r_[cut, len(s) - 1]]], 1).ravel().tolist()
 
 
-def _collection(length: int):
+def numbered(anchors: list[bytes]) -> list[bytes]:
+    """A number for each distinct anchor, in digits that stand in no text."""
+    number = {a: i for i, a in enumerate(dict.fromkeys(anchors))}
+    width = 1
+    while len(_DIGITS) ** width < len(number):
+        width += 1
+    digits = {a: bytes(_DIGITS[i // len(_DIGITS) ** k % len(_DIGITS)] for k in range(width)) for a, i in number.items()}
+    return [digits[a] for a in anchors]
+
+
+def _collection(length: int, span: int):
+    width = length - span + 1
+
+    def marked(rows: pd.DataFrame, texts: list[bytes], length: int):
+        with tempfile.TemporaryDirectory(prefix="suffix-dedup-") as folder:
+            for piece, starts in zip(rows["piece"], repeated_windows(texts, length, folder), strict=True):
+                if starts:
+                    yield piece, _runs(starts)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         alone = ~pdf["anchor"].duplicated(keep=False)
         pdf = pdf[~(alone & ~pdf["twice"])].sort_values(["anchor", "piece"])  # chance hits have no partner
-        texts = pdf["text"].tolist()
+        # Where an anchor stands twice in a window, it has no place of its own: such texts stay as they are.
+        plain = pdf["anchor"].isin(pdf.loc[pdf["twice"], "anchor"])
         out = []
-        if texts:
-            with tempfile.TemporaryDirectory(prefix="suffix-dedup-") as folder:
-                for piece, starts in zip(pdf["piece"], repeated_windows(texts, length, folder), strict=True):
-                    if starts:
-                        out.append((piece, _runs(starts)))
+        if plain.any():
+            out += marked(pdf[plain], pdf.loc[plain, "text"].tolist(), length)
+        if not plain.all():
+            rows = pdf[~plain]
+            parts = [(t[:at], t[at:at + width], t[at + width:]) for t, at in zip(rows["text"], rows["at"], strict=True)]
+            numbers = numbered([anchor for _, anchor, _ in parts])
+            short = [left + n + right for (left, _, right), n in zip(parts, numbers, strict=True)]
+            out += marked(rows, short, length - width + len(numbers[0]))
         return pd.DataFrame(out, columns=["piece", "runs"])
     return run
 
@@ -336,7 +368,7 @@ def _window_runs(cutter: Cutter, texts: list[bytes], marks: dict[bytes, list[int
     ascending order. ``marks`` has the runs of marked pieces, None for all windows."""
     out: list[list[int]] = [[] for _ in texts]
     for doc, base, offset, buffer in cutter.strips(texts):
-        strip, start, count, anchor, _ = cutter.pieces(base, offset, buffer)
+        strip, start, count, anchor, _, _ = cutter.pieces(base, offset, buffer)
         use = np.flatnonzero(_has_bit(table, anchor))
         shift = base[strip] - offset[strip]
         for d, a, n, by in zip(doc[strip[use]].tolist(), start[use].tolist(), count[use].tolist(), shift[use].tolist(), strict=True):
@@ -363,12 +395,12 @@ def marked_pieces(texts: DataFrame, length: int, spans: tuple[int, ...], group:
     found = stored(texts.mapInArrow(_occurrences(cutter, table), "chunk int, anchor long, piece binary, twice boolean")
                    .groupBy("anchor", "piece", "chunk").agg(F.count("*").alias("n"), F.max("twice").alias("twice")), "suffix-found")
     pieces = stored(found.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.max("twice").alias("twice")), "suffix-pieces")
-    groups = stored(pieces.groupBy("anchor").agg(F.count("*").alias("texts"), F.max("twice").alias("twice"))
-                    .where("texts > 1 or twice"), "suffix-groups")
+    groups = stored(pieces.groupBy("anchor").agg(F.count("*").alias("texts"), F.max("twice").alias("twice"), F.min("n").alias("n"))
+                    .where("(texts > 1 or twice) and n = 1"), "suffix-groups")
     hot = F.lit(False) if len(spans) == 1 else F.col("texts") > group
     marks = pieces.where("n > 1").select("piece", F.lit(None).cast("array<int>").alias("runs"))
 
-    parts = "anchor long, piece binary, twice boolean, text binary"
+    parts = "anchor long, piece binary, twice boolean, at int, text binary"
     bodies = lambda keys: texts.mapInArrow(_piece_texts(cutter, bit_table(keys)), parts).dropDuplicates(["anchor", "piece"])
     cold = stored(bodies(groups.where(~hot)), "suffix-texts")
     size = cold.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -376,7 +408,7 @@ def marked_pieces(texts: DataFrame, length: int, spans: tuple[int, ...], group:
         n = -(-size // COLLECTION)
         tasks = min(n, 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         dealt = cold.withColumn("collection", F.pmod(F.xxhash64("anchor"), F.lit(n))).repartition(tasks, "collection")
-        marks = marks.unionByName(dealt.groupBy("collection").applyInPandas(_collection(length), "piece binary, runs array<int>"))
+        marks = marks.unionByName(dealt.groupBy("collection").applyInPandas(_collection(length, spans[0]), "piece binary, runs array<int>"))
     if not groups.where(hot).isEmpty():
         inner = stored(bodies(groups.where(hot)).select("piece", "text"), "suffix-hot")
         inner = in_chunks(inner, inner.agg(F.sum(F.octet_length("text"))).first()[0], "piece")
@@ -435,7 +467,7 @@ def remove(docs: DataFrame, length: int = LENGTH, spans: tuple[int, ...] = SPANS
            ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, spans, kept) of every document: the stretches of bytes covered by
     strings of ``length`` bytes that occur twice in the corpus, and the bytes left. ``length`` is at most
-    250, ``spans`` are powers of two below it, the last of them 1."""
+    250, ``spans`` are below it and below 256, the last of them 1."""
     rows = docs.select(F.col(f"`{ident}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
     rows = in_chunks(rows, rows.agg(F.sum(F.octet_length("text"))).first()[0], "id")
     kind = dict(rows.dtypes)["id"]

@@ -44,7 +44,7 @@ def corpus(seed, n, alphabet="abcdé "):
     return rows + [(None, rows[3][1]), (5, rows[5][1]), (None, None), (n, ""), (n + 1, "a" * 40), (n + 2, "xy" * 230)]
 
 
-@pytest.mark.parametrize("length,spans", [(200, (128, 32, 1)), (20, (8, 4, 1)), (50, (32, 1))])
+@pytest.mark.parametrize("length,spans", [(200, S.SPANS), (20, (7, 4, 1)), (50, (32, 1))])
 def test_equals_counting_every_window(spark, length, spans):
     rows = corpus(length, 60)
     want = brute(rows, length)
@@ -86,7 +86,8 @@ def test_every_window_lies_in_one_piece_and_equal_windows_share_an_anchor():
     texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(900))) for _ in range(20)] + [b"a" * 700, b"abab" * 100]
     cutter, anchors, seen = S.Cutter(40, 16), {}, Counter()
     for doc, base, offset, buffer in cutter.strips(texts):
-        for s, a, n, anchor, _ in zip(*cutter.pieces(base, offset, buffer)):
+        for s, a, n, anchor, _, at in zip(*cutter.pieces(base, offset, buffer)):
+            assert 0 <= at < 16 and n <= at + 1
             for i in range(a, a + n):
                 seen[doc[s], base[s] + i - offset[s]] += 1
                 assert anchors.setdefault(buffer[i:i + 40], anchor) == anchor
