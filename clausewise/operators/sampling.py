@@ -158,10 +158,12 @@ def exact_knn(points: DataFrame, k: int = K_NEIGHBOURS, block_rows: int = 4096,
 
 
 def smote(points: DataFrame, label_col: str = "label", k: int = K_NEIGHBOURS, seed: int = SEED,
-          block_rows: int = 4096) -> DataFrame:
+          block_rows: int = 4096, approximate_above: int | None = None, store=None) -> DataFrame:
     """Synthetic rows for every class below the largest one: ``label, base_id,
     sample_no, nb_id, lam, vec``. ``points``: ``label`` (BIGINT), ``id, vec``. A
-    class of one row has no neighbour and gets none."""
+    class of one row has no neighbour and gets none. Classes of more than
+    ``approximate_above`` rows take their neighbours from random-projection buckets
+    (``approx_knn``; needs ``store``), the others exact ones."""
     pts = points.select(F.col(label_col).cast("long").alias("label"), F.col("id").cast("long").alias("id"),
                         F.col("vec").cast("array<double>").alias("vec"))
     counts = pts.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
@@ -178,7 +180,15 @@ def smote(points: DataFrame, label_col: str = "label", k: int = K_NEIGHBOURS, se
     k_eff = F.least(F.lit(k), F.col("_n") - 1).cast("long")
     samples = (samples.withColumn("nb_rank", F.pmod(h_nb, k_eff) + 1)
                       .withColumn("lam", h_lam.cast("double") / F.lit(float(2 ** 32))))
-    nbs = exact_knn(small, k, block_rows, scope_col="label").select("label", "id", "nb_rank", "nb_id")
+    if approximate_above is None:
+        nbs = exact_knn(small, k, block_rows, scope_col="label")
+    else:
+        from clausewise.operators.approx_knn import approximate_knn
+
+        few = F.col("_n") <= approximate_above
+        nbs = exact_knn(small.where(few), k, block_rows, scope_col="label").unionByName(
+            approximate_knn(small.where(~few), store, k, scope_col="label"))
+    nbs = nbs.select("label", "id", "nb_rank", "nb_id")
     nb_vec = pts.select("label", F.col("id").alias("nb_id"), F.col("vec").alias("nb_vec"))
     joined = samples.join(nbs, ["label", "id", "nb_rank"]).join(nb_vec, ["label", "nb_id"])
     synth = F.zip_with("vec", "nb_vec", lambda a, b: a + F.col("lam") * (b - a))

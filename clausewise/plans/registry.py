@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.plans import analyse, bow, corpus_reports, evaluate, features, models, rebalance, resample, scores, sequence, training
+from clausewise.plans import analyse, bow, corpus_reports, evaluate, features, incremental, models, rebalance, resample, scores, sequence, training
 from clausewise.sources import corpus, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,7 @@ def queries() -> dict[str, Query]:
         "train_test_split": resample.split_labelled,
         "smote_neighbours": resample.smote_neighbours,
         "smote_samples": resample.smote_samples,
+        "smote_neighbours_approximate": resample.smote_neighbours_approximate,
         "smote_bow_neighbours": rebalance.smote_bow_neighbours,
         "smote_bow_samples": rebalance.smote_bow_samples,
         "anova_after_smote": rebalance.anova_after_smote,
@@ -82,6 +83,8 @@ def queries() -> dict[str, Query]:
         "analyse_requests_bow": models.analyse_requests_bow,
         "analyse_requests_sequence": models.analyse_requests_sequence,
         "best_run_table": models.best_run_table,
+        "incremental_terms": incremental.incremental_terms,
+        "incremental_dictionary": incremental.incremental_dictionary,
         "labelled_csv": corpus_reports.labelled_csv,
         "bow_by_persona": bow.bow_by_persona,
     }

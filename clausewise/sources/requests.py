@@ -8,6 +8,8 @@ NULL ``reason`` (valid) or the first check it fails: JSON, persona, text, title.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +23,8 @@ REQUEST_SCHEMA = T.ArrayType(T.StructType([
 ]))
 
 
-def parse(raw: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
-    """``request_id, alertness, title, text, reason``."""
+def parse(raw: DataFrame, body_col: str = "body", id_col: str = "request_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``request_id, keep.., alertness, title, text, reason``."""
     body = F.concat(F.lit("["), F.col(body_col), F.lit("]"))
     # The parsed array is the single input row of an inline(): the optimizer
     # would otherwise inline from_json into every later reference (each check
@@ -30,7 +32,7 @@ def parse(raw: DataFrame, body_col: str = "body", id_col: str = "request_id") ->
     # parse every document several times. A generator is not collapsed into
     # its consumers, so each body is parsed exactly once.
     parsed = F.inline(F.array(F.struct(F.from_json(body, REQUEST_SCHEMA, {"mode": "PERMISSIVE"}).alias("a"))))
-    p = raw.select(F.col(id_col).alias("request_id"), parsed)
+    p = raw.select(F.col(id_col).alias("request_id"), *keep, parsed)
     r = F.get("a", F.lit(0))
     alert, text = r["alertness"], r["text"]
     reason = (F.when(F.col("a").isNull() | (F.size("a") != 1) | r.isNull(), F.lit("invalid_json"))
@@ -39,7 +41,7 @@ def parse(raw: DataFrame, body_col: str = "body", id_col: str = "request_id") ->
               .when(text.isNull(), F.lit("missing_text"))
               .when(text == F.lit(""), F.lit("empty_text"))
               .when(r["title"].isNull(), F.lit("missing_title")))
-    return p.select("request_id", alert.alias("alertness"), r["title"].alias("title"),
+    return p.select("request_id", *keep, alert.alias("alertness"), r["title"].alias("title"),
                     text.alias("text"), reason.alias("reason"))
 
 

@@ -8,6 +8,13 @@ Each batch is written to its own ``batch_id=N`` folder in overwrite mode, so
 a batch replayed after a failure replaces its own output: exactly-once
 results from an at-least-once trigger. Rejected requests go to a quarantine
 folder the same way.
+
+``start(.., once_within="7 days")`` adds state: a request id is answered once, also
+when a producer sends it again in a later batch, and a request rejected for a
+reason is reported once with it (a corrected request of that id is still answered).
+The state is one row per id and reason, kept for that long after the *arrival* of the
+request's file; a request is never late, however old it says it is. The state commits
+with the batch, so a batch that is replayed after a failure sees the state before it.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,10 +40,17 @@ def write_request_files(raw: DataFrame, folder: str, files: int = 2) -> None:
     raw.repartition(files).write.mode("append").json(folder)
 
 
+def answered_once(raw: DataFrame, within: str) -> DataFrame:
+    """Parsed requests without those whose id came before (with the same ``reason``)."""
+    timed = raw.select("request_id", "body", F.col("_metadata.file_modification_time").alias("arrived"))
+    parsed = requests.parse(timed, keep=["arrived"]).withWatermark("arrived", within)
+    return parsed.dropDuplicatesWithinWatermark(["request_id", "reason"]).drop("arrived")
+
+
 def start(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-          mode: str = "tfm", available_now: bool = True) -> StreamingQuery:
+          mode: str = "tfm", available_now: bool = True, once_within: str | None = None) -> StreamingQuery:
     stream = spark.readStream.schema(RAW_SCHEMA).json(in_dir)
-    parsed = requests.parse(stream)
+    parsed = requests.parse(stream) if once_within is None else answered_once(stream, once_within)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()

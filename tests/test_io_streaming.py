@@ -1,6 +1,7 @@
 """O-01/O-03/O-05/O-06 sources and sinks; the streaming wrapper equals batch."""
 
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,50 @@ def test_streaming_equals_batch(spark, scratch):
     batch = analyse.analyse_requests(spark, SF_SMALL)
     cols = ["doc_id", "standard_n", "worth_n", "standard_ratio"]
     assert sorted(stream.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+
+
+def _answer(spark, scratch, checkpoint="ckpt", out="out"):
+    q = requests_stream.start(spark, os.path.join(scratch, "in"), os.path.join(scratch, out), os.path.join(scratch, checkpoint),
+                              once_within="7 days")
+    q.awaitTermination(300)
+    reports = requests_stream.read_reports(spark, os.path.join(scratch, out))
+    rejected = spark.read.parquet(os.path.join(scratch, out, "rejected"))
+    return (sorted((r.doc_id, r.standard_n, r.worth_n, r.standard_ratio) for r in reports.collect()),
+            sorted((r.request_id, r.reason) for r in rejected.collect()))
+
+
+def test_a_request_is_answered_once_across_batches(spark, scratch):
+    """Replays in later batches and inside one, late requests, and a corrected one."""
+    raw = corpus.raw_requests(spark, SF_SMALL)
+    in_dir = os.path.join(scratch, "in")
+    bad = raw.where("request_id % 50 = 7")
+    good = raw.where("request_id % 50 <> 7")
+    requests_stream.write_request_files(good.where("request_id % 3 = 0").unionByName(good.where("request_id % 9 = 0")).unionByName(bad), in_dir)
+    _answer(spark, scratch)
+    # replayed, late and new ones; the truncated bodies again, and one of them corrected
+    fixed = raw.where("request_id = 7").selectExpr("request_id", "concat(body, '}') as body")
+    requests_stream.write_request_files(good.where("request_id % 3 <> 1").unionByName(bad).unionByName(fixed), in_dir)
+    _answer(spark, scratch)
+    requests_stream.write_request_files(good, in_dir)
+    reports, rejected = _answer(spark, scratch)
+
+    cols = ["doc_id", "standard_n", "worth_n", "standard_ratio"]
+    batch = sorted(tuple(r) for r in analyse.analyse_requests(spark, SF_SMALL).select(*cols).collect())
+    assert [r for r in reports if r[0] != 7] == batch and [r[0] for r in reports].count(7) == 1
+    from clausewise.sources import requests
+    assert rejected == sorted((r.request_id, r.reason) for r in requests.rejected(requests.parse(raw)).collect())
+
+
+def test_a_batch_replayed_after_a_failure_changes_nothing(spark, scratch):
+    raw = corpus.raw_requests(spark, SF_SMALL)
+    in_dir = os.path.join(scratch, "in")
+    requests_stream.write_request_files(raw.where("request_id % 2 = 0"), in_dir)
+    _answer(spark, scratch)
+    requests_stream.write_request_files(raw, in_dir)
+    want = _answer(spark, scratch)
+    commits = os.path.join(scratch, "ckpt", "commits")
+    last = max(int(f) for f in os.listdir(commits) if f.isdigit())
+    # as if the driver had died after the output of the last batch, before its commit
+    shutil.copytree(os.path.join(scratch, "ckpt"), os.path.join(scratch, "ckpt2"),
+                    ignore=lambda d, names: [n for n in names if d.endswith("commits") and n.strip(".").split(".")[0] == str(last)])
+    assert _answer(spark, scratch, "ckpt2") == want
