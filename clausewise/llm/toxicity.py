@@ -157,20 +157,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     if not vocabulary:
         return Ordinal({}, np.r_[np.log(n_clean / n_toxic), np.full(GRADES - 2, np.inf)], np.zeros(0))
     names = counts.sparkSession.createDataFrame([(r["word"], i) for i, r in enumerate(picked)], "word string, col int")
-    cells = counts.join(names, "word").select("doc_id", "toxic", "col", "n").toPandas()  # sample x vocabulary
+    # At most sample x vocabulary cells, as Arrow columns: no row objects on the driver.
+    cells = counts.join(names, "word").select("doc_id", F.col("toxic").cast("tinyint").alias("toxic"), "col", "n").toArrow()
     ids, row = np.unique(cells["doc_id"].to_numpy(), return_inverse=True)
+    row, col, n = row.astype(np.int32), cells["col"].to_numpy(), cells["n"].to_numpy()
     toxic = np.zeros(len(ids), int)
     toxic[row] = cells["toxic"].to_numpy()
+    del cells
     bad = np.array([r["z"] > 0 for r in picked])
-    hits = np.bincount(row, np.where(bad[cells["col"]], cells["n"], 0), minlength=len(ids))
+    hits = np.bincount(row, np.where(bad[col], n, 0), minlength=len(ids))
     cuts = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3]) if toxic.any() else np.zeros(2)
     y = np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(1), 0)
     # Documents without any vocabulary word still count.
     rest_toxic = int(n_toxic - toxic.sum())
     y = np.r_[y, np.ones(rest_toxic, int), np.zeros(int(n_all - len(ids)) - rest_toxic, int)]
-    order = np.lexsort((cells["col"], row))
-    theta, w = fit_ordinal(row[order], cells["col"].to_numpy()[order], np.log1p(cells["n"].to_numpy(float))[order], y,
-                           len(vocabulary))
+    order = np.lexsort((col, row))
+    theta, w = fit_ordinal(row[order], col[order], np.log1p(n.astype(float))[order], y, len(vocabulary))
     return Ordinal(vocabulary, theta, w)
 
 
