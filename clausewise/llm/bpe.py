@@ -7,13 +7,13 @@ with the merge table, takes each word's leftmost pair of minimum rank, contracts
 it, and repeats until no pair of the word is in the table. A word that is itself
 in the vocabulary is its own token, as in the tiktoken library.
 
-Words of more than ``LONG`` bytes would need as many rounds as they have merges.
-For them a round contracts many pairs that do not disturb each other: those with
-the lowest (rank, position) of all pairs within two token lengths (a merge
-further off reaches a pair's neighbours only as part of one token, which is
-never that long), and all pairs of that lowest rank, every other one in a run of
-overlapping pairs, up to the first whose merge would make a pair of lower rank
-(not ``safe``). The result is that of one merge after the other.
+Words of more than ``LONG`` bytes are cut into pieces of ``PIECE`` bytes, which the
+same query encodes, and mended where the pieces meet. Tokens are the encoding of
+their text if and only if every two neighbours are the encoding of theirs: the first
+merge to cross a border between two tokens would be made in those two alone as well.
+Inside a piece all neighbours are; where two pieces meet and the two tokens there
+are not, some tokens on either side are encoded anew together, and more of them
+until their borders hold. So work and memory grow with the length of a word.
 
 Decoding: the token bytes of each document are aggregated in list order.
 
@@ -40,7 +40,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from .common import fresh, row_slices
 
-LONG = 256  # bytes
+LONG = 128  # bytes
+PIECE = 64
+MEND = 4  # tokens on either side of a border that does not hold; doubled until it does
 CHUNK = 8_000  # words in one recursive query
 CACHED_WORDS = 120_000  # per Python worker; emptied when full
 SLICE_CHARS = 500_000
@@ -58,31 +60,6 @@ WITH RECURSIVE step AS (
     JOIN merges m USING (pair) GROUP BY word) b USING (word))
 SELECT arg_max(ids, round) AS ids FROM step GROUP BY word ORDER BY word"""
 
-# One round over long words; a row is a token, pos the offset of its first byte.
-_ROUND = """
-CREATE OR REPLACE TEMP TABLE longer AS
-WITH pairs AS (
-  SELECT t.word, t.pos, t.id, t.before, t.after, m.rank, m.rank * 4294967296 + t.pos AS key
-  FROM (SELECT *, lag(id) OVER w AS before, lead(id) OVER w AS next, lead(id, 2) OVER w AS after FROM long
-        WINDOW w AS (PARTITION BY word ORDER BY pos)) t
-  LEFT JOIN merges m ON m.pair = t.id::BIGINT * 16777216 + t.next),
-judged AS (
-  SELECT p.word, p.pos, p.id, p.rank, p.key,
-         least(coalesce(a.rank, p.rank + 1), coalesce(b.rank, p.rank + 1), coalesce(c.rank, p.rank + 1)) > p.rank AS safe
-  FROM pairs p LEFT JOIN merges a ON a.pair = p.before::BIGINT * 16777216 + p.rank
-  LEFT JOIN merges b ON b.pair = p.rank * 16777216 + p.after LEFT JOIN merges c ON c.pair = p.rank * 16777217),
-lowest AS (
-  SELECT *, min(key) OVER near AS low, min(CASE WHEN NOT safe THEN key END) OVER near AS risk,
-         lag(rank) OVER (PARTITION BY word ORDER BY pos) IS DISTINCT FROM rank AS first
-  FROM judged WINDOW near AS (PARTITION BY word ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)),
-runs AS (SELECT *, sum(first::INT) OVER (PARTITION BY word ORDER BY pos) AS run FROM lowest),
-chosen AS (
-  SELECT *, coalesce(key = low OR (row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1
-                     AND bool_and(safe AND rank = low >> 32 AND coalesce(risk > key, true))
-                         OVER (PARTITION BY word, run)), false) AS merge FROM runs),
-marked AS (SELECT *, lag(merge, 1, false) OVER (PARTITION BY word ORDER BY pos) AS eaten FROM chosen)
-SELECT word, pos, (CASE WHEN merge THEN rank ELSE id END)::INT AS id, merge FROM marked WHERE NOT eaten"""
-
 _DECODE = """
 SELECT unhex(coalesce(list_aggregate(list_select(v.hexes, list_transform(t.ids, lambda x: x + 1)), 'string_agg', ''), ''))
        AS bytes
@@ -107,7 +84,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.reach = 2 * max(map(len, self.ranks))
+        self.bytes = sorted(self.ranks, key=self.ranks.__getitem__)
         self.loaded: set[str] = set()
         self._empty()
 
@@ -145,24 +122,20 @@ class Codec:
 
     def _learn(self, words: list[str]) -> None:
         self._need("merges")
-        short, longs, encoded, lists = [], [], [], []
-        for w in words:
-            b = w.encode()
-            if b in self.ranks:
-                encoded.append(w)
-                lists.append(np.array([self.ranks[b]], np.int32))
-            elif len(b) <= LONG:
-                short.append((w, b))
-            else:
-                longs.append((w, b))
-        if longs:
-            encoded += [w for w, _ in longs]
-            lists += self._encode_long([b for _, b in longs])
-        for at in range(0, len(short), CHUNK):
-            part = short[at:at + CHUNK]
-            encoded += [w for w, _ in part]
-            lists += self._encode_short([b for _, b in part])
-        self._add(encoded, lists)
+        texts = [w.encode() for w in words]
+        lists = self._encode_words([b for b in texts if len(b) <= LONG])
+        short = iter(lists)
+        self._add(words, [next(short) if len(b) <= LONG else self._encode_long(b) for b in texts])
+
+    def _encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of every word; a word in the vocabulary is its own token."""
+        out = [np.array([self.ranks[b]], np.int32) if b in self.ranks else None for b in words]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for k in range(0, len(rest), CHUNK):
+            part = rest[k:k + CHUNK]
+            for i, ids in zip(part, self._encode_short([words[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
 
     def _encode_short(self, words: list[bytes]) -> list[np.ndarray]:
         ends = np.concatenate([[0], np.cumsum([len(b) for b in words])]).astype(np.int32)
@@ -172,19 +145,35 @@ class Codec:
         off = got.offsets.to_numpy()
         return np.split(got.values.to_numpy(zero_copy_only=False).astype(np.int32)[off[0]:off[-1]], off[1:-1] - off[0])
 
-    def _encode_long(self, words: list[bytes]) -> list[np.ndarray]:
-        ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        sizes = [len(b) for b in words]
-        pos = np.concatenate([np.arange(n) for n in sizes])
-        self._load("start", pa.table({"word": np.repeat(np.arange(len(words)), sizes), "pos": pos, "id": ids}))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE long AS SELECT * FROM start")
+    def _text(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.bytes[i] for i in ids.tolist())
+
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        parts = self._encode_words([word[i:i + PIECE] for i in range(0, len(word), PIECE)])
+        ids, width = np.concatenate(parts), MEND
+        borders = np.cumsum([len(p) for p in parts])[:-1].tolist()  # before which token pieces meet
+        holds: dict[tuple[int, int], bool] = {}
         while True:
-            self.db.execute(_ROUND.format(reach=self.reach))
-            if not self.db.execute("SELECT coalesce(bool_or(merge), false) FROM longer").fetchone()[0]:
-                break
-            self.db.execute("CREATE OR REPLACE TEMP TABLE long AS SELECT word, pos, id FROM longer")
-        got = self.db.execute("SELECT word, id FROM long ORDER BY word, pos").fetchnumpy()
-        return np.split(got["id"].astype(np.int32), np.searchsorted(got["word"], np.arange(1, len(words))))
+            pairs = [(int(ids[e - 1]), int(ids[e])) for e in borders]
+            asked = sorted(set(pairs) - holds.keys())
+            for pair, got in zip(asked, self._encode_words([self.bytes[a] + self.bytes[b] for a, b in asked]), strict=True):
+                holds[pair] = got.tolist() == list(pair)
+            spans: list[list[int]] = []
+            for e in (e for e, pair in zip(borders, pairs, strict=True) if not holds[pair]):
+                if spans and e - width <= spans[-1][1]:
+                    spans[-1][1] = min(len(ids), e + width)
+                else:
+                    spans.append([max(0, e - width), min(len(ids), e + width)])
+            if not spans:
+                return ids
+            out, borders, size, at = [], [], 0, 0
+            for (a, b), new in zip(spans, self._encode_words([self._text(ids[a:b]) for a, b in spans]), strict=True):
+                out += [ids[at:a], new]
+                size += a - at
+                borders += [size] if size else []
+                size, at = size + len(new), b
+                borders += [size] if b < len(ids) else []
+            ids, width = np.concatenate([*out, ids[at:]]), 2 * width
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's end in it."""

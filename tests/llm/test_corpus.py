@@ -82,6 +82,30 @@ def test_mixing_budget_blocks_and_edge_cases(spark):
     assert mixing.sample(mixing.plan(odd.limit(0))).count() == 0
 
 
+def test_bpe_of_long_words_is_exact_and_bounded():
+    """Runs, periods, repeated tokens and random letters, cut at every kind of border."""
+    import resource
+    import time
+
+    path = PATH
+    ranks = bpe.read_ranks(path)
+    want = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    codec, rng = bpe.Codec(path, P.PATTERN), random.Random(7)
+    some = [t.decode() for t in ranks if t.isalpha() and t.isascii()][500:900]
+    texts = ["a" * n for n in (128, 129, 192, 1000, 4097)] + ["ab" * 500, "the" * 700, "abcabcab" * 300, "=" * 3000, "é" * 1500,
+             " " * 900 + "x", "".join(rng.choice(some) for _ in range(900)), "".join(rng.choice("漢字かな") for _ in range(700))]
+    texts += ["".join(rng.choice(a) for _ in range(rng.randrange(129, 900))) for a in ("ab", "abc", "etaoin", "aeiou", "-=_") for _ in range(30)]
+    for t in texts:
+        assert codec.encode([t])[0].tolist() == want(t), t
+    ids, ends = codec.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in want(t)]
+    huge, start, before = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2_000_000)), time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = codec.encode([huge])[0]
+    assert time.time() - start < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # kB
+    assert b"".join(codec.bytes[i] for i in got.tolist()) == huge.encode()
+    assert got[:1000].tolist() == want(huge[:20_000])[:1000]
+
+
 def test_toxicity_finds_held_out_documents(spark):
     rng = random.Random(8)
     plain = [f"word{i}" for i in range(200)]
