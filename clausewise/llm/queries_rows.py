@@ -60,23 +60,30 @@ m AS (
          CAST(length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS BIGINT) AS n_letters,
          CAST(length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_upper
   FROM d LEFT JOIN cov USING (rid)),
-b AS (SELECT *, CAST({' + '.join(f"CASE WHEN {c} THEN {quality_rules.BIT[n]} ELSE 0 END"
-                                 for n, c in quality_rules.RULES.items())} AS BIGINT) AS failure_bits FROM m)
-SELECT *, (failure_bits & 3) <> 0 AS base_failed,
-       (failure_bits & 3) = 0 AND (failure_bits & {quality_rules.POLICIES[quality_rules.CURRENT]}) = 0 AS kept
-FROM b"""
+b AS (SELECT *, CAST(
+    1 * CAST(n_words < 10 AS INT)
+  + 2 * CAST(100 * n_repeat_words > 20 * n_words AS INT)
+  + 4 * CAST(word_chars < 2 * n_words OR word_chars > 20 * n_words AS INT)
+  + 8 * CAST(10 * n_symbols > 3 * n_words AS INT)
+  + 16 * CAST(10 * n_dup_lines > 4 * n_lines AND n_dup_lines > 2 AS INT)
+  + 32 * CAST(2 * n_upper > n_letters AND n_letters > 0 AS INT)
+  + 64 * CAST(2 * n_letters < word_chars AS INT) AS BIGINT) AS failure_bits FROM m)
+SELECT *, (failure_bits & 3) <> 0 AS base_failed, failure_bits = 0 AS kept FROM b"""
+
+
+# Fixed values, stated again: kind, pattern, score of a confirmed match, context words.
+_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 60, "mail|contact|write"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 80, "ip|address|host|server"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", 80, "card|visa|credit|payment"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 60, "phone|tel|call|mobile|fax"),
+    ("iban", None, 80, "iban|account|bank|konto"),
+    # RE2 has no look-around: whole runs of digits and hyphens, of which those of the form stay
+    ("ssn", r"[0-9-]+", 50, "ssn|social security|tax"),
+)
 
 
 def _op8_sql() -> str:
-    plain = {
-        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-        "card": r"[0-9]([\x20-]?[0-9])+",
-        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": pii.iban_pattern("?:"),
-        # RE2 has no look-around: take whole runs of digits and hyphens, keep those of the form
-        "ssn": r"[0-9-]+",
-    }
     digits = "regexp_replace(x.m, '[^0-9]', '', 'g')"
     luhn = (f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN "
             f"CAST(substr(reverse({digits}), i, 1) AS INT) ELSE CAST(substr('0246813579', "
@@ -94,25 +101,26 @@ def _op8_sql() -> str:
                "AND NOT regexp_matches(x.m, '-00-') AND NOT regexp_matches(x.m, '0000$'))",
     }
     parts, cols = [], []
-    for k in pii.KINDS:
-        base = pii.PATTERN_SCORE.get(k, 60) + (20 if k in pii.PROVEN else 0)
+    for k, pattern, base, words in _KINDS:
+        pattern = pattern or pii.iban_pattern("?:")
         parts.append(f"""
-{k}_a AS (SELECT rid, regexp_extract_all(text, '{plain[k]}') AS m, string_split_regex(text, '{plain[k]}') AS p FROM d),
-{k}_s AS (SELECT rid, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+{k}_a AS (SELECT rid, text, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM d),
+{k}_s AS (SELECT rid, list_filter(list_transform(list_transform(range(1, len(m) + 1), lambda i: {{
     's': CAST(list_sum(list_transform(list_slice(p, 1, i), lambda z: length(z)))
-         + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda z: length(z))), 0) AS INT), 'm': m[i],
-    'score': {base} + CASE WHEN regexp_matches(lower(right(p[i], {pii.CONTEXT_CHARS})), '{pii.CONTEXT[k]}')
-             THEN 20 ELSE 0 END}}),
-    lambda x: {valid[k]}{'' if k in pii.BASE else f' AND x.score >= {pii.MIN_SCORE}'}) AS v FROM {k}_a),
+         + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda z: length(z))), 0) AS INT), 'm': m[i]}}),
+    lambda y: {{'s': y.s, 'm': y.m, 'score': {base} + CASE WHEN
+      regexp_matches(lower(substr(text, greatest(y.s - 39, 1), least(y.s, 40))), '{words}') THEN 20 ELSE 0 END}}),
+    lambda x: {valid[k]}{'' if k in ("email", "ip", "card", "phone") else ' AND x.score >= 60'}) AS v FROM {k}_a),
 {k} AS (SELECT rid, list_transform(v, lambda x: '{k}:' || x.s || ':' || (x.s + length(x.m))) AS v,
         list_max(list_transform(v, lambda x: x.score)) AS top FROM {k}_s)""")
         cols.append(f"CAST(len({k}.v) AS BIGINT) AS n_{k}")
-    joins = " ".join(f"JOIN {k} USING (rid)" for k in pii.KINDS)
+    kinds = [k for k, *_ in _KINDS]
+    joins = " ".join(f"JOIN {k} USING (rid)" for k in kinds)
     cat = lambda ks: "array_to_string(" + " || ".join(f"{k}.v" for k in ks) + ", ',')"
     return (r"WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),"
             + ",".join(parts) + f"""
-SELECT doc_id, {', '.join(cols)}, sha256({cat(pii.BASE)}) AS base_sha256, {cat(pii.KINDS)} AS spans,
-       CAST(coalesce(greatest({', '.join(f'{k}.top' for k in pii.KINDS)}), 0) AS INT) AS max_score
+SELECT doc_id, {', '.join(cols)}, sha256({cat(kinds[:4])}) AS base_sha256, {cat(kinds)} AS spans,
+       CAST(coalesce(greatest({', '.join(f'{k}.top' for k in kinds)}), 0) AS INT) AS max_score
 FROM d {joins}""")
 
 

@@ -132,3 +132,28 @@ def test_running_sums(spark, n):
     df = spark.createDataFrame([(values,)], "v array<int>")
     want = [sum(values[:i + 1]) for i in range(n)]
     assert df.select(F.when(F.size("v") > 0, pii.running_sums(F.col("v"))).otherwise(F.array()).alias("s")).first().s == want
+
+
+LISTS = ["ssn 123-45-6789, 234-56-7890 and 345-67-8901", "123-45-6789 ssn 234-56-7890", "ssn: 900-12-3456, 666-12-3456, 123-00-4567, 123-45-0000",
+         "call +49 (30) 1234-5678, +1 202 555 0143; +12", "card 4111 1111 1111 1111, 4012888888881881 and 4111111111111112",
+         "iban DE89 3704 0044 0532 0130 00, GB82WEST12345698765432, DE89370400440532013001", "ip 10.0.0.1, 256.1.1.1 and 1.2.3.4.5.6.7.8",
+         "write a@b.co, c.d@e-f.org; x@y", "é" * 45 + "ssn " + "ü" * 36 + "123-45-6789", "ssn " + "x" * 37 + " 123-45-6789", None, "", "12-34-5 ssn 1-2"]
+
+
+@pytest.mark.parametrize("name", ["op7_quality_rules", "op8_pii"])
+def test_sql_equals_the_query_on_lists_and_edge_cases(spark, scratch, name):
+    import duckdb
+
+    from clausewise.llm import queries_rows
+    rng = random.Random(8)
+    texts = LISTS + TEXTS + [" ".join(rng.choice(rng.choice(LISTS[:8]).split()) + " " + rng.choice(["ssn", "tel", "x", "", "card"])
+                                      for k in range(rng.randrange(12))) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{scratch}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{scratch}/documents.parquet/*.parquet')")
+    want = con.sql(queries_rows.oracle_sql()[name])
+    got = queries_rows.queries()[name](spark, scratch).select(*want.columns).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want.fetchall())
+    if name == "op8_pii":
+        by_id = {r.doc_id: r for r in got}
+        assert by_id[0].n_ssn == 3 and by_id[1].n_ssn == 1 and by_id[2].n_ssn == 0
