@@ -8,8 +8,8 @@ share of link text, punctuation). The LSTM reads a page's blocks in both
 directions, so a block is judged with the whole document as context; its
 probability decides, no rule follows.
 
-Training (``fit``) happens here, on at most ``SAMPLE`` pages by hash: pages whose
-mark-up names an article give weak labels, and each is also re-wrapped at random
+Training (``fit``) happens here, on at most ``SAMPLE`` different pages of up to
+``SAMPLE_CHARS`` characters, those of smallest hash: pages whose mark-up names an article give weak labels, and each is also re-wrapped at random
 (other containers, no container, menus, side bars, notices, forms, reader
 comments made of other pages' sentences, dropped end tags), so that the labeller
 does not depend on one site's tags. All pages are labelled in full.
@@ -43,6 +43,7 @@ PATH_DIM, WORD_DIM, BUCKETS = 32, 16, 4096
 NEAR, FEW = 6, 4
 SLICE_CHARS = 3_000_000
 BATCH_CELLS = 60_000  # padded blocks in one pass
+STEPS_AT_ONCE = 1024  # blocks of a page whose input products are held
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|textarea)\b.*?(?:</\1\s*>|\Z)"
@@ -70,7 +71,7 @@ def blocks(page: str) -> list[Block]:
 
     def end_block() -> None:
         if held:
-            text = " ".join(html.unescape("".join(t for t, _ in held)).split())
+            text = " ".join("".join(t for t, _ in held).split())
             if text:
                 path = tuple(m for t, m in stack if t not in INLINE)
                 out.append((path, text, sum(len(t) for t, linked in held if linked)))
@@ -79,7 +80,7 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         raw, tag = m.group(0), m.group(3)
         if raw[0] != "<" or raw == "<":
-            held.append((raw, links > 0))
+            held.append((html.unescape(raw), links > 0))  # a reference ends where its run of text does
             continue
         if tag is None:
             continue
@@ -106,7 +107,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] not in INLINE:
                     break
-        if tag not in VOID and not raw.endswith("/>"):
+        if tag not in VOID:  # "/>" closes nothing else, as in a browser
             names = [tag]
             for _, a, b, c in _MARK.findall(m.group(4)):
                 names += [f"{tag}.{x.lower()}" for x in (a or b or c).split()]
@@ -198,10 +199,12 @@ def _forward(p: dict, d: str, x: np.ndarray, live: np.ndarray, keep: bool):
     n, steps, _ = x.shape
     h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
     hs, memo = np.zeros((n, steps, HIDDEN), np.float32), []
-    pre = x @ p[f"w{d}"][:WIDTH] + p[f"c{d}"]
     u = p[f"w{d}"][WIDTH:]
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-        z = pre[:, t] + h @ u
+        at = t // STEPS_AT_ONCE * STEPS_AT_ONCE
+        if t == (at if d == "f" else min(at + STEPS_AT_ONCE, steps) - 1):  # input products of some steps: long pages stay small
+            pre = x[:, at:at + STEPS_AT_ONCE] @ p[f"w{d}"][:WIDTH] + p[f"c{d}"]
+        z = pre[:, t - at] + h @ u
         g = _sigmoid(z[:, :3 * HIDDEN])
         i, f, o, a = g[:, :HIDDEN], g[:, HIDDEN:2 * HIDDEN], g[:, 2 * HIDDEN:], np.tanh(z[:, 3 * HIDDEN:])
         c2 = f * c + i * a
@@ -374,8 +377,10 @@ def extract(pages: DataFrame, page: str = "html", ident: str = "page_id") -> Dat
     """``pages`` with ``text`` and ``n_chars`` instead of the html column."""
     keep = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     raw = F.coalesce(F.col(f"`{page}`"), F.lit(""))
-    sample = pages.where(F.length(raw).between(1, SAMPLE_CHARS)).select(raw.alias("html")) \
-        .orderBy(F.xxhash64(F.col("html")), "html").limit(SAMPLE).collect()
+    # Only hashes are ordered; then the few pages below the cut come to the driver.
+    small = pages.where(F.length(raw).between(1, SAMPLE_CHARS)).select(raw.alias("html"), F.xxhash64(raw).alias("hash"))
+    least = [r["hash"] for r in small.select("hash").distinct().orderBy("hash").limit(SAMPLE).collect()]
+    sample = small.where(F.col("hash") <= F.lit(least[-1])).dropDuplicates(["hash"]).orderBy("hash").collect() if least else []
     model = fit([r["html"] for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,3 +144,53 @@ def test_deep_pages_with_long_class_lists_keep_their_marks():
     assert np.abs(features._path(with_article) - features._path(without)).max() > 0.1
     late = ("html", f"div {' '.join('div.' + x for x in util.split())} div.comments")
     assert np.abs(features._path(late) - features._path((late[0], late[1].replace("div.comments", "div.u99")))).max() > 0.1
+
+
+def plain_lstm(p, x):
+    """One page, one direction after the other, number by number."""
+    def sig(v):
+        return 1 / (1 + np.exp(-v))
+    out = np.zeros(len(x)) + p["o"][0]
+    for k, d in enumerate("fb"):
+        h, c = [0.0] * hb.HIDDEN, [0.0] * hb.HIDDEN
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            z = [p[f"c{d}"][j] + sum(x[t][i] * p[f"w{d}"][i, j] for i in range(hb.WIDTH))
+                 + sum(h[i] * p[f"w{d}"][hb.WIDTH + i, j] for i in range(hb.HIDDEN)) for j in range(4 * hb.HIDDEN)]
+            n = hb.HIDDEN
+            c = [sig(z[n + j]) * c[j] + sig(z[j]) * np.tanh(z[3 * n + j]) for j in range(n)]
+            h = [sig(z[2 * n + j]) * np.tanh(c[j]) for j in range(n)]
+            out[t] += sum(h[j] * p["v"][k * n + j] for j in range(n))
+    return sig(out)
+
+
+@pytest.mark.parametrize("at_once", [1024, 2])
+def test_lstm_equals_plain_loops(monkeypatch, at_once):
+    monkeypatch.setattr(hb, "STEPS_AT_ONCE", at_once)
+    rng = np.random.default_rng(1)
+    p = hb.init(rng)
+    pages = [rng.normal(0, 1, (n, hb.WIDTH)).astype(np.float32) for n in (5, 1, 3)]
+    x, live = hb._pad(pages, hb.WIDTH)
+    got = hb.probabilities(p, x, live)
+    for row, page in zip(got, pages):
+        assert np.abs(row[:len(page)] - plain_lstm(p, page)).max() < 1e-4
+
+
+def test_slashes_references_and_blocks():
+    cut = lambda page: [(t, " ".join(e.split()[0] for e in path)) for path, t, _ in hb.blocks(page)]
+    assert cut("<div class=outer><article><p>one</p><div/>two</div><p>three</p></article></div>") == [
+        ("one", "div article p"), ("two", "div article div"), ("three", "div article p")]
+    assert cut("a<br/>b<hr/>c<img src=x/>d") == [("a b", ""), ("cd", "")]
+    assert [n for _, _, n in hb.blocks("<p>x <a href=http://x.com/>link</a> y</p>")] == [4]
+    assert cut("<p>R&am<b>p;</b>D &amp; &lt;p&gt; &#x41;&eacute;</p>") == [("R&amp;D & <p> Aé", "p")]
+    assert cut("<p>a<li>b<td>c</p>d") == [("a", "p"), ("b", "p li"), ("c", "p li td"), ("d", "")]
+
+
+def test_a_page_of_very_many_blocks(spark):
+    page = "<article>" + "<p>A sentence that stands here.</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert hb.extract(df).first().n_chars == 20_000 * 29 - 1
+
+
+def test_ties_at_one_half_are_left_out():
+    p = {k: np.zeros_like(v) for k, v in hb.init(np.random.default_rng(0)).items()}
+    assert hb.main_texts(p, hb.Features(), ["<p>x</p>", ""]) == ["", ""]
