@@ -13,8 +13,13 @@ Units of three kinds are compared across all documents:
   its hash is the least of some ``WINDOW`` consecutive ones in the document
   (across lines), and a chunk runs from one anchor to the end of the next. Two
   places that share 2 * ``WINDOW`` + 4 words share a chunk, whatever stands
-  around them; equal chunks are then extended word by word, to where the places
-  differ (``reach``), so every shared run of that many words is found in full.
+  around them. A stretch of repeated chunks is extended word by word beyond its two
+  ends, to where the places differ (``reach``), so every shared run of that many words
+  is found in full.
+
+Sentences and chunks are counted by hash first. What is repeated goes into a table of
+a fixed number of bits, and only sentences and chunks found in it become rows at
+all; a chance hit has no partner in the exact join after it.
 
 Equal units are one class from the start (a hash of their words); only one
 representative of each paragraph class is banded, and shingle sets are made for
@@ -48,6 +53,7 @@ from pyspark.sql import functions as F
 from .common import (SHINGLE, WordHasher, blocked, components, forest, fresh, group_pairs, mix64, shingle_hashes, stored,
                      whole_groups)
 from .ngram_join import link_counts, minhash
+from .suffix_dedup import _has_bit, bit_table
 
 THRESHOLD = 0.8
 RECALL = 0.999
@@ -58,9 +64,9 @@ MIN_PASSAGE = 16
 WINDOW = 16  # a power of two
 BLOCK = 512
 SMALL = 8
+SEEN = 200_000  # continuations a task remembers having given
 
-_UNIT = "doc_id long, kind int, pos int, start int, end int, n_words int, unit long, bands array<long>, " \
-        "before long, after long"
+_UNIT = "doc_id long, kind int, pos int, start int, end int, n_words int, unit long, bands array<long>"
 
 
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -140,45 +146,56 @@ def _slices(pdf: pd.DataFrame, chars: int = 3_000_000) -> Iterator[pd.DataFrame]
         yield part
 
 
-def _unit_rows(bands: int):
-    """Units of each text; paragraphs with their band keys, chunks with the chunks
-    before and after them (null at the ends of a text)."""
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    """Slices of texts with the word hashes ``h`` and 5-gram hashes ``grams`` of all, and per
+    unit ``doc`` (row of the slice), ``kind``, ``pos``, ``start``, ``end`` (in the text), ``at`` (where the
+    text begins in ``h``) and ``unit`` (hash)."""
+    hasher = WordHasher()
+    for batch in batches:
+        for pdf in _slices(batch):
+            found, base, every, sizes = [], 0, [], []
+            for d, text in enumerate(pdf["text"]):
+                lines = [x.split() for x in text.encode().split(b"\n")]
+                found += [(d, k, i, s, e, base) for i, (k, s, e) in enumerate(unit_ranges(lines))]
+                for words in lines:
+                    every += words
+                    base += len(words)
+                sizes.append(sum(map(len, lines)))
+            h = hasher(every)
+            del every
+            grams = shingle_hashes(h)  # windows inside a paragraph are those of the whole text
+            low, high = chunk_ranges(grams, np.array(sizes))
+            owner = np.repeat(np.arange(len(sizes)), sizes)[low]
+            first = (np.cumsum(sizes) - sizes)[owner]
+            doc, kind, pos, start, end, at = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 6
+            cols = {"doc": (doc, owner), "kind": (kind, np.full(len(low), 2)), "pos": (pos, low - first), "start": (start, low - first),
+                    "end": (end, high - first), "at": (at, first)}
+            out = {c: np.concatenate(v) for c, v in cols.items()}
+            out["unit"] = range_hashes(h, out["start"] + out["at"], out["end"] + out["at"])
+            yield out | {"pdf": pdf, "grams": grams}
+
+
+def _unit_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hash of every sentence and chunk, as the key ``anchor`` of a bit table."""
+    for u in _units(batches):
+        hashes, n = np.unique(u["unit"][u["kind"] > 0], return_counts=True)
+        yield pd.DataFrame({"anchor": hashes, "n": n})
+
+
+def _unit_rows(bands: int, table: np.ndarray):
+    """All paragraphs with their band keys, and the sentences and chunks that ``table`` knows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
-        for batch in batches:
-            for pdf in _slices(batch):
-                found, base, every, sizes = [], 0, [], []
-                for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    lines = [x.split() for x in text.encode().split(b"\n")]
-                    found += [(doc, k, i, s, e, base) for i, (k, s, e) in enumerate(unit_ranges(lines))]
-                    for words in lines:
-                        every += words
-                        base += len(words)
-                    sizes.append(sum(map(len, lines)))
-                h = hasher(every)
-                windows = shingle_hashes(h)  # windows inside a paragraph are those of the whole text
-                low, high = chunk_ranges(windows, np.array(sizes))
-                if len(low):
-                    owner = np.repeat(np.arange(len(sizes)), sizes)[low]
-                    first = (np.cumsum(sizes) - sizes)[owner]
-                    unit, cut = range_hashes(h, low, high), owner[1:] != owner[:-1]
-                    yield pd.DataFrame({
-                        "doc_id": pdf["doc_id"].to_numpy()[owner], "kind": 2, "pos": low - first, "start": low - first,
-                        "end": high - first, "n_words": high - low, "unit": unit, "bands": None,
-                        "before": pd.arrays.IntegerArray(np.r_[0, unit[:-1]], np.r_[True, cut]),
-                        "after": pd.arrays.IntegerArray(np.r_[unit[1:], 0], np.r_[cut, True])})
-                if not found:
-                    continue
-                doc, kind, pos, start, end, offset = (np.array(x) for x in zip(*found, strict=True))
-                line = np.flatnonzero(kind == 0)
-                keys = [None] * len(found)
-                if len(line):
-                    low, high = start[line] + offset[line], end[line] + offset[line] - SHINGLE + 1
-                    for i, k in zip(line, _bands([windows[a:b] for a, b in zip(low, high, strict=True)], bands), strict=True):
-                        keys[i] = k
-                yield pd.DataFrame({"doc_id": doc, "kind": kind, "pos": pos, "start": start, "end": end,
-                                    "n_words": end - start, "unit": range_hashes(h, start + offset, end + offset), "bands": keys,
-                                    "before": None, "after": None})
+        for u in _units(batches):
+            use = np.flatnonzero((u["kind"] == 0) | _has_bit(table, u["unit"]))
+            doc, kind, pos, start, end, at, unit = (u[c][use] for c in ("doc", "kind", "pos", "start", "end", "at", "unit"))
+            keys, line = [None] * len(use), np.flatnonzero(kind == 0)
+            if len(line):
+                low, high = (start + at)[line], (end + at)[line] - SHINGLE + 1
+                for i, k in zip(line, _bands([u["grams"][a:b] for a, b in zip(low, high, strict=True)], bands), strict=True):
+                    keys[i] = k
+            if len(use):
+                yield pd.DataFrame({"doc_id": u["pdf"]["doc_id"].to_numpy()[doc], "kind": kind, "pos": pos, "start": start, "end": end,
+                                    "n_words": end - start, "unit": unit, "bands": keys})
     return run
 
 
@@ -228,9 +245,10 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _edge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each wanted chunk border the hashes of the next 1, 2, .. ``WINDOW`` - 1
-    words outside, each with the chunk's class and side."""
-    hasher = WordHasher()
+    """For each wanted chunk border the ``n`` words beside it (up to ``WINDOW`` - 1), as the
+    hash ``last`` of all of them with the chunk's class and side, and where the task has not
+    given that one yet as ``keys``, the hashes of the first 1, 2, .. of them."""
+    hasher, seen = WordHasher(), set()
     for pdf in batches:
         out = []
         for doc, text, wanted in zip(pdf["doc_id"], pdf["text"], pdf["wanted"], strict=True):
@@ -245,27 +263,48 @@ def _edge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     word = np.where(side == 0, at - 1 - j, at + j)
                     key = mix64(key + h[np.clip(word, 0, len(h) - 1)] + np.uint64(j + 1))
                     keys[:, j] = key.astype(np.int64)
-            out += [(doc, a, s, c, k[:n]) for a, s, c, k, n in zip(at, side, name, keys, room, strict=True) if n]
-        yield pd.DataFrame(out, columns=["doc_id", "at", "side", "class_id", "keys"])
+            for a, s, c, k, n in zip(at, side, name, keys, room, strict=True):
+                if n:
+                    last = int(k[n - 1])
+                    out.append((doc, a, s, c, n, last, None if last in seen else k[:n]))
+                    seen.add(last)
+            if len(seen) > SEEN:
+                seen.clear()
+        yield pd.DataFrame(out, columns=["doc_id", "at", "side", "class_id", "n", "last", "keys"])
 
 
 def reach(src: DataFrame, members: DataFrame) -> DataFrame:
     """The words beside repeated chunks that repeat with them: rows like those of
-    ``repeated_units``, words with an earlier copy apart from first ones. A border
-    is ``open`` if the class's chunks do not all continue with the same chunk."""
-    edges = members.where("kind = 2").select("doc_id", "class_id", F.explode(F.array(
-        F.struct(F.col("start").alias("at"), F.lit(0).alias("side"), F.col("left").alias("open")),
-        F.struct(F.col("end").alias("at"), F.lit(1).alias("side"), F.col("right").alias("open")))).alias("e")).where("e.open")
-    wanted = edges.groupBy("doc_id").agg(F.collect_list(F.struct("e.at", "e.side", "class_id")).alias("wanted"))
-    keys = stored(src.join(wanted, "doc_id").mapInPandas(
-        _edge_rows, "doc_id long, at int, side int, class_id long, keys array<long>"), "dedup-edges") \
-        .select("doc_id", "at", "side", "class_id", F.posexplode("keys").alias("j", "key"))
+    ``repeated_units``, words with an earlier copy apart from first ones.
+
+    A chunk ends with the 5-gram that the next one begins with, so nothing is asked on
+    a side of a class where the chunks beyond are repeated themselves everywhere. Copies
+    mostly go on alike: equal continuations are one group, and only groups are compared
+    word by word."""
+    line = Window.partitionBy("doc_id").orderBy("start", "end")
+    chunks = members.where("kind = 2").select(
+        "doc_id", "class_id", "start", "end", F.lag("end").over(line).alias("before"), F.lead("start").over(line).alias("after"))
+    edges = chunks.select("doc_id", "class_id", F.explode(F.array(
+        F.struct(F.col("start").alias("at"), F.lit(0).alias("side"), (F.col("before") - SHINGLE).eqNullSafe(F.col("start")).alias("inner")),
+        F.struct(F.col("end").alias("at"), F.lit(1).alias("side"), (F.col("after") + SHINGLE).eqNullSafe(F.col("end")).alias("inner"))))
+        .alias("e")).select("doc_id", "class_id", "e.*")
+    edges = stored(edges, "dedup-borders")
+    ends = edges.groupBy("class_id", "side").agg(F.min("inner").alias("inner")).where("not inner").select("class_id", "side")
+    wanted = edges.join(ends, ["class_id", "side"]).groupBy("doc_id").agg(
+        F.collect_list(F.struct("at", "side", "class_id")).alias("wanted"))
+    beside = stored(src.join(wanted, "doc_id").mapInPandas(
+        _edge_rows, "doc_id long, at int, side int, class_id long, n int, last long, keys array<long>"), "dedup-edges")
     place = F.struct("doc_id", "at")
-    shared = keys.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
-    later = (F.col("lo.doc_id") != F.col("doc_id")) | (F.col("lo.at") != F.col("at"))
-    far = keys.join(shared, "key").groupBy("doc_id", "at", "side", "class_id").agg(
-        (F.max("j") + 1).alias("n_all"), F.coalesce(F.max(F.when(later, F.col("j") + 1)), F.lit(0)).alias("n_later"),
-        F.min("lo.doc_id").alias("lo_doc"), F.max(F.col("lo.doc_id") < F.col("hi.doc_id")).alias("across"))
+    groups = stored(beside.groupBy("last").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("keys", True).alias("keys")),
+                    "dedup-continuations")
+    heads = groups.select("last", "lo", "hi", F.posexplode("keys").alias("j", "key"))
+    shared = heads.groupBy("key").agg(F.min("lo").alias("k_lo"), F.max("hi").alias("k_hi")).where("k_lo <> k_hi")
+    far = heads.join(shared, "key").groupBy("last").agg(
+        (F.max("j") + 1).alias("n_all"), F.coalesce(F.max(F.when(F.col("k_lo") != F.col("lo"), F.col("j") + 1)), F.lit(0)).alias("n_first"),
+        F.first("lo").alias("lo"), F.min("k_lo.doc_id").alias("lo_doc"), F.max(F.col("k_lo.doc_id") < F.col("k_hi.doc_id")).alias("across"))
+    # the first place of a group has what earlier groups share with it, any other place all of it
+    far = beside.drop("keys").join(far, "last").withColumn("n_later", F.when(
+        (F.col("lo.doc_id") == F.col("doc_id")) & (F.col("lo.at") == F.col("at")), F.col("n_first")).otherwise(F.col("n")))
     turn = F.when(F.col("side") == 0, -1).otherwise(1)
 
     def piece(a, b, doc: str, first: bool):
@@ -283,7 +322,9 @@ def repeated_units(docs: DataFrame, text: str = "text", ident: str = "doc_id", b
     """Every unit that repeats: doc_id, kind, pos, start, end, n_words, class_id, first_doc, n_docs, keep."""
     src = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"),
                       F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
-    rows = stored(src.mapInPandas(_unit_rows(band_count()), _UNIT), "dedup-units")
+    counts = src.mapInPandas(_unit_hashes, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    table = bit_table(counts.where("n > 1"))
+    rows = stored(src.mapInPandas(_unit_rows(band_count(), table), _UNIT), "dedup-units")
     # Equal paragraphs first: one row per class, with one place where it stands.
     lines = stored(rows.where("kind = 0").groupBy("unit").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "end")).alias("at"), F.first("bands").alias("bands")),
@@ -303,12 +344,10 @@ def repeated_units(docs: DataFrame, text: str = "text", ident: str = "doc_id", b
         .select(F.lit(0).alias("kind"), "unit", F.coalesce("class_id", "unit").alias("class_id"))
     sentences = rows.where("kind = 1").groupBy("unit").agg(F.count("*").alias("n")).where("n > 1") \
         .select(F.lit(1).alias("kind"), "unit", F.col("unit").alias("class_id"))
-    ends = lambda c: (F.count(c) < F.count("*")) | (F.min(c) != F.max(c))
-    chunks = rows.where("kind = 2").groupBy("unit").agg(
-        F.count("*").alias("n"), ends("before").alias("left"), ends("after").alias("right")).where("n > 1") \
-        .select(F.lit(2).alias("kind"), "unit", F.col("unit").alias("class_id"), "left", "right")
-    repeated = stored(named.unionByName(sentences).unionByName(chunks, allowMissingColumns=True), "dedup-classes")
-    rows = rows.drop("bands", "before", "after")
+    chunks = rows.where("kind = 2").groupBy("unit").agg(F.count("*").alias("n")).where("n > 1") \
+        .select(F.lit(2).alias("kind"), "unit", F.col("unit").alias("class_id"))
+    repeated = stored(named.unionByName(sentences).unionByName(chunks), "dedup-classes")
+    rows = rows.drop("bands")
     members = stored(rows.join(repeated, ["kind", "unit"]).drop("unit").distinct(), "dedup-members")
     facts = members.groupBy("kind", "class_id").agg(
         F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n_units"),
