@@ -2,7 +2,10 @@
 
 Writing: records are dealt to shards by ranges of their key, cut where the
 running sum of payload bytes passes ``SHARD_BYTES``; the cuts come from the data
-alone (a histogram of key ranges), not from partitions or samples. Within a
+alone, not from partitions or samples: a histogram of ``RANGES`` key ranges, of which a
+heavy one is cut again between its own least and largest key, and a range that is
+heavy even then (or the records without a key) is dealt by digest. So a shard is
+bounded for every distribution of keys but that of one repeated record. Within a
 shard, records are sorted by key and appended to a gzip-per-record file, which
 is closed when its compressed size passes ``FILE_BYTES``. Names, record ids,
 dates and headers follow from the record, so a task that runs twice writes the
@@ -39,6 +42,7 @@ from .common import shared_dir, stored
 SHARD_BYTES = 32 << 20
 FILE_BYTES = 16 << 20
 RANGES = 1 << 14  # key ranges in the histogram that the shards are cut from
+MOST_TASKS = 100_000  # beyond this number of shards a task writes several, one after the other
 REVISIT_BYTES = 1000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -124,16 +128,46 @@ def _write_shards(folder: str, limit: int):
     return run
 
 
-def shard_ranges(sizes: DataFrame, shard_bytes: int, key: str = "key"):
-    """(range, shard) from (key, size), and the range of a key as a column: key
-    ranges of equal width, cut by bytes."""
-    low, high = sizes.agg(F.min(key), F.max(key)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
-    at = F.coalesce(F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)), F.lit(0)).cast("int")
-    per = sizes.withColumn("range", at).groupBy("range").agg(F.sum("size").alias("bytes"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
-    cut = per.withColumn("shard", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / shard_bytes).cast("int"))
-    return cut.select("range", "shard"), at
+class Shards:
+    """The shard of every record from ``sizes`` (key, digest, size)."""
+
+    def __init__(self, sizes: DataFrame, shard_bytes: int):
+        low, high = sizes.agg(F.min("key"), F.max("key")).first()
+        self.low, self.width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
+        cells = sizes.groupBy(self._cell().alias("cell")).agg(F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        rows, shard, held = [], 0, 0
+        for r in cells.orderBy("cell").collect():  # at most RANGES + 1 rows
+            n = -(-r["bytes"] // shard_bytes) if r["bytes"] > shard_bytes else 1
+            if held and held + r["bytes"] > shard_bytes or n > 1 and held:
+                shard, held = shard + 1, 0
+            rows.append((r["cell"], shard, n, r["lo"], r["hi"]))
+            shard, held = (shard + n, 0) if n > 1 else (shard, held + r["bytes"])
+        spark, first = sizes.sparkSession, shard + 1
+        self.cells = spark.createDataFrame(rows, "cell long, base int, n int, lo long, hi long")
+        over = self._first(sizes).groupBy("shard").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 2 * shard_bytes) \
+            .withColumn("parts", F.ceil(F.col("bytes") / shard_bytes).cast("int"))
+        before = F.sum("parts").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row per overfull shard
+        self.over = stored(over.select("shard", "parts", (F.lit(first) + F.coalesce(before, F.lit(0))).cast("int").alias("start")), "warc-over")
+        self.number = first + (self.over.agg(F.sum("parts")).first()[0] or 0)
+
+    def _cell(self):
+        """The key's range; beyond all others for records without a key."""
+        at = ((F.col("key").cast("decimal(20,0)") - F.lit(self.low).cast("decimal(20,0)")) / F.lit(self.width).cast("decimal(20,0)"))
+        return F.coalesce(F.floor(at).cast("long"), F.lit(RANGES + 1).cast("long"))
+
+    def _first(self, rows: DataFrame) -> DataFrame:
+        # doubles keep the order of keys, and equal keys together
+        inside = F.floor((F.col("key").cast("double") - F.col("lo")) / (F.col("hi").cast("double") - F.col("lo") + 1) * F.col("n")).cast("int")
+        part = F.when(F.col("lo").isNull(), F.pmod(F.xxhash64("digest"), F.col("n")).cast("int")) \
+            .otherwise(F.least(F.greatest(inside, F.lit(0)), F.col("n") - 1))
+        return rows.withColumn("cell", self._cell()).join(F.broadcast(self.cells), "cell") \
+            .withColumn("shard", F.col("base") + part).drop("cell", "base", "n", "lo", "hi")  # at most RANGES + 1 rows
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (key, digest, ..) with ``shard``; records of one key and digest stay together."""
+        dealt = self._first(rows).join(self.over, "shard", "left")
+        split = F.col("start") + F.pmod(F.xxhash64("digest", "key"), F.col("parts")).cast("int")
+        return dealt.withColumn("shard", F.coalesce(split, F.col("shard"))).drop("parts", "start")
 
 
 def write(pages: DataFrame, folder: str, ident: str = "page_id", url: str = "url", payload: str = "html",
@@ -149,16 +183,14 @@ def write(pages: DataFrame, folder: str, ident: str = "page_id", url: str = "url
     same = small.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(
         F.max("key").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     revisits = small.join(same, "digest").where("key < refers_to").select("key", "digest", "refers_to").distinct()
-    cuts, at = shard_ranges(small.select("key", F.col("size").cast("long").alias("size")), shard_bytes)
-    cuts = stored(cuts, "warc-shards")
+    shards = Shards(small.withColumn("size", F.col("size").cast("long")), shard_bytes)
 
     # Pages and the few facts about revisits meet in the one exchange that the shards need anyway.
     full = rows.select("key", "url", "payload", F.sha1("payload").alias("digest"),
                        F.octet_length("payload").alias("size"), F.lit(None).cast("long").alias("refers_to"))
     facts = revisits.select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"),
                             "digest", F.lit(0).alias("size"), "refers_to")
-    dealt = full.unionByName(facts).withColumn("range", at).join(F.broadcast(cuts), "range") \
-        .repartition("shard")  # cuts: at most RANGES rows
+    dealt = shards.of(full.unionByName(facts)).repartition(min(shards.number, MOST_TASKS), "shard")
     mine = Window.partitionBy("shard", "key", "digest")
     ready = dealt.withColumn("refers_to", F.max("refers_to").over(mine)).where("payload is not null") \
         .select("shard", F.col("key").cast("string").alias("key"), "url", "digest", "size", "refers_to",

@@ -45,6 +45,23 @@ def test_warc_rolls_by_compressed_size_and_detects_damage(spark, scratch):
         warc.read(spark, folder).collect()
 
 
+@pytest.mark.parametrize("kind", ["outlier", "null", "one range", "extremes"])
+def test_warc_shards_are_bounded_for_any_keys(spark, scratch, kind):
+    rng = random.Random(3)
+    keys = {"outlier": [*range(300), 2 ** 62], "null": [None] * 300 + [7], "one range": [5_000_000 + i for i in range(300)] + [0, 10 ** 12],
+            "extremes": [-2 ** 63, 2 ** 63 - 1, *range(300)]}[kind]
+    rows = [(k, "u", "".join(rng.choice("abcdef") for _ in range(500))) for k in keys]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    written = [warc.write(df.repartition(n), f"file://{scratch}/{n}", shard_bytes=10_000, file_bytes=10 ** 9).collect() for n in (2, 5)]
+    per = {}
+    for f in written[0]:
+        per[f.shard] = per.get(f.shard, 0) + f.records
+    assert sum(per.values()) == len(rows) and max(per.values()) <= 80 and len(per) >= 8
+    assert sorted((f.file, f.sha256) for f in written[0]) == sorted((f.file, f.sha256) for f in written[1])
+    got = warc.read(spark, f"file://{scratch}/2").collect()
+    assert sorted(((r.page_id, bytes(r.payload).decode()) for r in got), key=str) == sorted(((k, h) for k, _, h in rows), key=str)
+
+
 def brute_topk(rows, k, kind=np.float32):
     ints = [(i, [a * 1024 // b for a, b in (float(kind(x)).as_integer_ratio() for x in v)]) for i, v in rows
             if v and all(x is not None and np.isfinite(x) for x in v)]
