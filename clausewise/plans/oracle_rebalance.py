@@ -3,7 +3,7 @@ all columns written out."""
 
 from __future__ import annotations
 
-from clausewise.plans.oracle import CELLS, LABELLED, token_list
+from clausewise.plans.oracle import CELLS, LABELLED, _seq, token_list
 from clausewise.plans.oracle_models import SPLIT
 
 # training clauses, their cells, and the distances of all minority pairs
@@ -124,6 +124,36 @@ sc AS (SELECT v.persona, v.term, a.f, v.multiplicity FROM vocab v JOIN anova a O
 co AS (SELECT DISTINCT term, doc_id, clause_no, dpos AS p FROM dtp){_by_column('sc', 'co')}"""
 
 
+def _sequences() -> str:
+    """Padded id arrays: all pairs, position by position."""
+    return f"""WITH {_seq(False)},
+{SPLIT.strip()},
+tr AS (SELECT persona, doc_id || ':' || clause_no AS id, y FROM u WHERE split = 'train'),
+nd AS (
+  SELECT persona, CASE WHEN n0 < n1 THEN 0 ELSE 1 END AS minor, least(n0, n1) AS n, abs(n0 - n1) AS g FROM (
+    SELECT persona, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM tr GROUP BY persona)
+),
+ar AS MATERIALIZED (SELECT doc_id || ':' || clause_no AS id, input_ids AS v FROM ids),
+mi AS (SELECT tr.persona, tr.id, nd.n, nd.g FROM tr JOIN nd ON nd.persona = tr.persona AND nd.minor = tr.y WHERE nd.g > 0),
+mc AS MATERIALIZED (
+  SELECT id, generate_subscripts(v, 1) AS pos, CAST(unnest(v) AS BIGINT) AS x FROM ar WHERE id IN (SELECT id FROM mi)
+),
+nr AS (SELECT i.id, coalesce(sum(x * x), 0) AS norm2 FROM (SELECT DISTINCT id FROM mi) i LEFT JOIN mc USING (id) GROUP BY i.id),
+dots AS MATERIALIZED (SELECT a.id, b.id AS nb_id, sum(a.x * b.x) AS dot FROM mc a JOIN mc b USING (pos) GROUP BY ALL),
+knn AS MATERIALIZED (
+  SELECT persona, id, nb_id, nb_rank FROM (
+    SELECT a.persona, a.id, b.id AS nb_id, row_number() OVER (
+      PARTITION BY a.persona, a.id ORDER BY p.norm2 + q.norm2 - 2 * coalesce(d.dot, 0), b.id) AS nb_rank
+    FROM mi a JOIN mi b ON a.persona = b.persona AND a.id <> b.id JOIN nr p ON p.id = a.id JOIN nr q ON q.id = b.id
+    LEFT JOIN dots d ON d.id = a.id AND d.nb_id = b.id) WHERE nb_rank <= 5
+),
+{SAMPLES[:SAMPLES.index("sy AS MATERIALIZED")].strip().rstrip(",")}
+SELECT sg.persona, sg.base_id, sg.sample_no, sg.nb_id,
+       list_transform(range(1, greatest(len(a.v), len(b.v)) + 1), lambda i: CAST(
+         (coalesce(a.v[i], 0)::BIGINT * (4294967296 - sg.h) + coalesce(b.v[i], 0)::BIGINT * sg.h) // 4294967296 AS INTEGER)) AS input_ids
+FROM sg JOIN ar a ON a.id = sg.base_id JOIN ar b ON b.id = sg.nb_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "smote_bow_neighbours": _neighbours(),
@@ -131,4 +161,5 @@ def oracle_sql() -> dict[str, str]:
         "anova_after_smote": _anova(),
         "select_after_smote": _select_after(),
         "select_columns": _select_columns(),
+        "smote_sequences": _sequences(),
     }

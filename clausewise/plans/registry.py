@@ -7,7 +7,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.plans import analyse, bow, corpus_reports, evaluate, features, incremental, models, rebalance, resample, scores, sequence, training
+from clausewise.plans import (analyse, bow, corpus_reports, evaluate, features, incremental, models, rebalance, resample, scores,
+                              sequence, training)
 from clausewise.sources import corpus, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +71,7 @@ def queries() -> dict[str, Query]:
         "anova_after_smote": rebalance.anova_after_smote,
         "select_after_smote": rebalance.select_after_smote,
         "select_columns": rebalance.selected_columns,
+        "smote_sequences": rebalance.smote_sequences,
         "confusion_matrix": evaluate.confusion,
         "sens_spec": evaluate.sens_spec,
         "holdout_metrics": evaluate.holdout,

@@ -115,6 +115,19 @@ def test_segments_cells_and_moments(spark):
         assert (int(r.s), int(r.q)) == (s[r.term] * 2 ** 32, q[r.term] * 2 ** 64)
 
 
+def test_synthetic_id_arrays_are_cut_to_integers(spark):
+    arrays = {"a": [5, 9, 2], "b": [8], "c": []}
+    segs = [("p", x, 1, y, h) for x in arrays for y in arrays for h in (0, 1, 2 ** 31, 2 ** 32 - 1)]
+    got = S.arrays_of(spark.createDataFrame(segs, "scope string, base_id string, sample_no long, nb_id string, h long"),
+                      spark.createDataFrame(list(arrays.items()), "id string, input_ids array<int>")).collect()
+    want = []
+    for _, x, _, y, h in segs:
+        a, b = arrays[x], arrays[y]
+        pad = lambda v: v + [0] * (max(len(a), len(b)) - len(v))
+        want.append((x, y, [int(p + Fraction(h, 2 ** 32) * (q - p)) for p, q in zip(pad(a), pad(b))]))
+    assert sorted((r.base_id, r.nb_id, r.input_ids) for r in got) == sorted(want)
+
+
 def test_anova_after_equals_dense_anova(spark):
     rows = corpus(6, 40)
     label = {i: int(int(i[1:]) % 4 == 0) for i in rows}
