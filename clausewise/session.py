@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "clausewise", driver_memory: str = "16g",
                   extra: dict | None = None) -> SparkSession:
@@ -58,9 +59,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_STAGES: list[str] = []  # folders this process has staged and not released
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: computed once,
     prunable by column, and safe from lost executors."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _STAGES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Removes the stages written so far and returns their number. Only for a caller
+    who has finished with every DataFrame built on them (they are read lazily)."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf, done = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _STAGES:
+        path = paths.Path(_STAGES.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done

@@ -119,3 +119,12 @@ def test_a_batch_replayed_after_a_failure_changes_nothing(spark, scratch):
     shutil.copytree(os.path.join(scratch, "ckpt"), os.path.join(scratch, "ckpt2"),
                     ignore=lambda d, names: [n for n in names if d.endswith("commits") and n.strip(".").split(".")[0] == str(last)])
     assert _answer(spark, scratch, "ckpt2") == want
+
+
+def test_released_stages_are_gone(spark):
+    from clausewise.session import release_stages, stage
+    release_stages(spark)
+    one = stage(spark.range(5).toDF("x"), "one")
+    path = one.inputFiles()[0].removeprefix("file:").replace("///", "/")
+    assert os.path.exists(path) and one.count() == 5
+    assert release_stages(spark) == 1 and not os.path.exists(path) and release_stages(spark) == 0
