@@ -1,6 +1,8 @@
 """O-01/O-03/O-05/O-06 sources and sinks; the streaming wrapper equals batch."""
 
+import csv
 import os
+import random
 import shutil
 
 import pytest
@@ -50,6 +52,61 @@ def test_text_files_keep_line_ends_and_drop_blanks(spark, scratch):
     assert got == ref
 
 
+@pytest.fixture()
+def small_splits(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("end", ["", "\n", "\r\n", "\r", "\n\n"])
+def test_a_text_file_in_many_splits_is_numbered_like_the_file(spark, scratch, small_splits, end):
+    rng = random.Random(len(end))
+    folder = os.path.join(scratch, "texts")
+    os.makedirs(folder)
+    want = {}
+    for name in ("a", "b"):
+        body = "".join(rng.choice(["short", "é" * 30, "  \t", "", "word " * 20, "x\ry"]) + rng.choice(["\n", "\r\n", "\r"]) for _ in range(60))
+        path = os.path.join(folder, f"{name}.txt")
+        with open(path, "w", newline="", encoding="utf-8") as fh:
+            fh.write(body + "the last one" + end)
+        with open(path, encoding="utf-8") as fh:
+            want[name] = [ln for ln in fh if not ln.isspace()]
+    got = {}
+    df = files.read_text_clauses(spark, folder)
+    assert files._file_rows(spark, folder).rdd.getNumPartitions() > 10
+    for r in df.orderBy("source_file", "clause_no").collect():
+        got.setdefault(r.source_file[-5], []).append((r.clause_no, r.clause))
+    assert got == {n: list(enumerate(lines)) for n, lines in want.items()}
+
+
+def test_a_csv_file_in_many_splits_keeps_its_records(spark, scratch, small_splits):
+    rng = random.Random(5)
+    want = []
+    for persona in ("alice", "bob"):
+        folder = os.path.join(scratch, f"persona={persona}")
+        os.makedirs(folder)
+        rows = [("".join(rng.choice(["word ", ", ", '"', "\n", "\r\n", "é", "\n\n"]) for _ in range(rng.randrange(1, 25))) + "x",
+                 rng.choice(["worth_reading", "standard_trivial"])) for _ in range(40)]
+        with open(os.path.join(folder, "data.csv"), "w", newline="", encoding="utf-8") as fh:
+            writer = csv.writer(fh, lineterminator=rng.choice(["\n", "\r\n"]))
+            writer.writerow(["clause", "class"])
+            for k, row in enumerate(rows):
+                writer.writerow(row)
+                if k % 7 == 0:
+                    fh.write("\n")
+        want += [(persona, *r) for r in rows]
+    df = files.read_labelled_csv(spark, scratch)
+    got = [(r.persona, r.clause, r["class"]) for r in df.orderBy("persona", "row_in_file").collect()]
+    strip = lambda rows: [(p, c.strip(" "), k) for p, c, k in rows]
+    assert strip(got) == strip(want) and df.where("reason is not null").count() == 0
+    assert files._file_rows(spark, scratch).rdd.getNumPartitions() > 10
+
+
 def test_classified_sink_and_stage_tables(spark, scratch):
     c = analyse.classified_requests(spark, SF_SMALL)
     root = os.path.join(scratch, "classified")
