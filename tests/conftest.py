@@ -22,3 +22,17 @@ def spark():
 @pytest.fixture()
 def scratch():
     return tempfile.mkdtemp(prefix="clausewise-test-", dir="/tmp")
+
+
+@pytest.fixture(scope="session")
+def frame(spark):
+    """The DataFrame of a registered query on the small tables, built once: fitting and
+    staging run when a query is built, and the plan guards and the oracle check share it."""
+    import __spark_entry__ as E
+    made, queries = {}, E.queries()
+
+    def of(name):
+        if name not in made:
+            made[name] = queries[name](spark, SF_SMALL)
+        return made[name]
+    return of

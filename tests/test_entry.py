@@ -45,8 +45,8 @@ def test_every_query_has_a_check():
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
-def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
+def test_query_matches_oracle(frame, con, name):
+    df = frame(name)
     cols = sorted(df.columns)
     mine = Counter(tuple(_norm(r[c]) for c in cols) for r in df.select(*cols).collect())
     rel = con.sql(E.oracle_sql()[name])

@@ -178,9 +178,10 @@ def test_a_batch_replayed_after_a_failure_changes_nothing(spark, scratch):
     assert _answer(spark, scratch, "ckpt2") == want
 
 
-def test_released_stages_are_gone(spark):
+def test_released_stages_are_gone(spark, monkeypatch):
+    from clausewise import session
     from clausewise.session import release_stages, stage
-    release_stages(spark)
+    monkeypatch.setattr(session, "_STAGES", [])  # other tests' stages stay
     one = stage(spark.range(5).toDF("x"), "one")
     path = one.inputFiles()[0].removeprefix("file:").replace("///", "/")
     assert os.path.exists(path) and one.count() == 5

@@ -11,8 +11,8 @@ from clausewise.plans.registry import queries
 from conftest import SF_SMALL
 
 @pytest.mark.parametrize("name", sorted(queries()))
-def test_plan_has_no_pairwise_join_and_prunes_columns(spark, name):
-    df = queries()[name](spark, SF_SMALL)
+def test_plan_has_no_pairwise_join_and_prunes_columns(frame, name):
+    df = frame(name)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
