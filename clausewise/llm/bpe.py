@@ -43,9 +43,9 @@ from .common import fresh, row_slices
 LONG = 128  # bytes
 PIECE = 64
 MEND = 4  # tokens on either side of a border that does not hold; doubled until it does
-CHUNK = 8_000  # words in one recursive query
-CACHED_WORDS = 120_000  # per Python worker; emptied when full
-SLICE_CHARS = 500_000
+CHUNK = 32_000  # words in one recursive query
+CACHED_WORDS = 300_000  # per Python worker; emptied when full
+SLICE_CHARS = 1_500_000
 MEMORY = "500MB"
 
 _ENCODE = """
@@ -114,18 +114,24 @@ class Codec:
         self.flat = np.empty(0, np.int32)
         self.ends = np.zeros(1, np.int64)
 
-    def _add(self, words: list[str], lists: list[np.ndarray]) -> None:
+    def _add(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         at = len(self.known)
         self.known.update(zip(words, range(at, at + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, *lists])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in lists])])
+        self.flat = np.concatenate([self.flat, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
 
     def _learn(self, words: list[str]) -> None:
         self._need("merges")
-        texts = [w.encode() for w in words]
-        lists = self._encode_words([b for b in texts if len(b) <= LONG])
-        short = iter(lists)
-        self._add(words, [next(short) if len(b) <= LONG else self._encode_long(b) for b in texts])
+        tokens, short, long = [], [], []
+        for w in words:
+            b = w.encode()
+            (tokens if b in self.ranks else short if len(b) <= LONG else long).append((w, b))
+        self._add([w for w, _ in tokens], np.array([self.ranks[b] for _, b in tokens], np.int32), np.ones(len(tokens), np.int64))
+        for k in range(0, len(short), CHUNK):
+            self._add([w for w, _ in short[k:k + CHUNK]], *self._encode_short([b for _, b in short[k:k + CHUNK]]))
+        for w, b in long:
+            ids = self._encode_long(b)
+            self._add([w], ids, np.array([len(ids)]))
 
     def _encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of every word; a word in the vocabulary is its own token."""
@@ -133,17 +139,19 @@ class Codec:
         rest = [i for i, ids in enumerate(out) if ids is None]
         for k in range(0, len(rest), CHUNK):
             part = rest[k:k + CHUNK]
-            for i, ids in zip(part, self._encode_short([words[i] for i in part]), strict=True):
+            flat, size = self._encode_short([words[i] for i in part])
+            for i, ids in zip(part, np.split(flat, np.cumsum(size)[:-1]), strict=True):
                 out[i] = ids
         return out
 
-    def _encode_short(self, words: list[bytes]) -> list[np.ndarray]:
+    def _encode_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and each word's number of ids."""
         ends = np.concatenate([[0], np.cumsum([len(b) for b in words])]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte[np.frombuffer(b"".join(words), np.uint8)]))
         self._load("start", pa.table({"word": pa.array(np.arange(len(words), dtype=np.int32)), "ids": ids}))
         got = self.db.sql(_ENCODE).to_arrow_table()["ids"].combine_chunks()
         off = got.offsets.to_numpy()
-        return np.split(got.values.to_numpy(zero_copy_only=False).astype(np.int32)[off[0]:off[-1]], off[1:-1] - off[0])
+        return got.values.to_numpy(zero_copy_only=False).astype(np.int32)[off[0]:off[-1]], np.diff(off)
 
     def _text(self, ids: np.ndarray) -> bytes:
         return b"".join(self.bytes[i] for i in ids.tolist())
