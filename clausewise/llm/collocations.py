@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,9 +41,10 @@ FILTER_BITS = 2 ** 24
 TILE = 256
 CORNER = 16  # dense tiles lie among the first CORNER x CORNER
 DENSE = TILE * TILE // 16  # pairs that make a tile dense
+DEALT = 16  # parts of a language that are ranked apart
 BLOCK = 8_000_000  # bytes of text counted at a time
 
-_BORDER = b"\xff"  # never a byte of UTF-8
+_BORDER = b"."  # stands for every end of a piece, and in no word
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r",
                         b"abcdefghijklmnopqrstuvwxyz " + _BORDER * 10)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -116,6 +118,18 @@ def _word_hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w, start) for w in words), np.uint64, len(words))
 
 
+def _words(text: bytes) -> tuple[np.ndarray, pa.Array, int]:
+    """The words of a folded text as numbers, the distinct words, and the border's number."""
+    spaced = b"".join((b". ", text.replace(_BORDER, b" . "), b" ."))
+    found = pc.ascii_split_whitespace(pa.array([spaced], pa.string())).values.dictionary_encode()
+    words = found.dictionary
+    return found.indices.to_numpy().astype(np.int64), words, pc.index(words, "." ).as_py()
+
+
+def _joined(left: pa.Array, right: pa.Array, i: np.ndarray, j: np.ndarray) -> pa.Array:
+    return pc.binary_join_element_wise(left.take(pa.array(i)), right.take(pa.array(j)), " ")
+
+
 def _extend(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix64(h * _ODD + word)
@@ -126,24 +140,20 @@ def _passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def count_block(lang: bytes, text: bytes, tables: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+def count_block(lang: bytes, text: bytes, tables: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
     """Phrases of ``len(tables) + 1`` words of a block and their counts; ``tables``
     are the bit tables of the shorter lengths. Single words come with the number of
     all words as the count of the empty phrase."""
-    found = text.replace(_BORDER, b" " + _BORDER + b" ").split()
-    words = list(dict.fromkeys(found))
-    index = dict(zip(words, range(len(words)), strict=True))
-    seq = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
-    del found
-    border = index.get(_BORDER, -1)
+    seq, words, border = _words(text)
     count = np.bincount(seq, minlength=len(words))
     real = np.arange(len(words)) != border
     if not tables:
-        return [b"", *(w for w in words if w != _BORDER)], np.r_[count[real].sum(), count[real]]
-    hashes = _word_hashes(lang, words)
+        at = np.flatnonzero(real)
+        return pa.concat_arrays([pa.array([""]), words.take(pa.array(at))]), np.r_[count[at].sum(), count[at]]
+    hashes = _word_hashes(lang, words.cast(pa.binary()).to_pylist())
     rank, ranked = by_frequency(count, real & _passes(tables[0], hashes))
     seq = rank[seq]
-    words, hashes = [words[i] for i in ranked], hashes[ranked]
+    words, hashes = words.take(pa.array(ranked)), hashes[ranked]
     phrases, left, left_hash = words, seq, hashes
     for level in range(2, len(tables) + 2):
         # ``left[i]`` is the phrase of level - 1 words that starts at word i; its successor must be one too
@@ -151,11 +161,10 @@ def count_block(lang: bytes, text: bytes, tables: list[np.ndarray]) -> tuple[lis
         at = np.flatnonzero((left[:n] >= 0) & (left[1:n + 1] >= 0) & (seq[level - 1:level - 1 + n] >= 0))
         pair, a, b, count = tile_counts(left[at], seq[at + level - 1])
         if level == len(tables) + 1:
-            return [phrases[i] + b" " + words[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], count
+            return _joined(phrases, words, a, b), count
         pair_hash = _extend(left_hash[a], hashes[b])
         rank, ranked = by_frequency(count, _passes(tables[level - 1], pair_hash))
-        phrases = [phrases[i] + b" " + words[j] for i, j in zip(a[ranked].tolist(), b[ranked].tolist(), strict=True)]
-        left_hash = pair_hash[ranked]
+        phrases, left_hash = _joined(phrases, words, a[ranked], b[ranked]), pair_hash[ranked]
         left = np.full(len(seq), -1, np.int64)
         left[at] = rank[pair]
 
@@ -167,7 +176,7 @@ def _counter(tables: list[np.ndarray]):
             if len(phrases):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(len(phrases), np.int32))),
-                     pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count, pa.int64())], ["lang", "phrase", "n"])
+                     phrases, pa.array(count, pa.int64())], ["lang", "phrase", "n"])
     return run
 
 
@@ -242,7 +251,11 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
                  lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's ``top`` phrases."""
     counts = phrase_counts(docs, min_count, longest, lang, text)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = score(counts, covered).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    by = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # first the best of each part of a language, so that what meets for the ranks is DEALT * top rows at most
+    part = F.pmod(F.xxhash64("phrase"), F.lit(DEALT))
+    best = score(counts, covered).withColumn("part", part) \
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*by))).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= top).drop("part")
     total = counts[0].where("phrase = ''").select("lang", "n")
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
