@@ -14,7 +14,8 @@ checksum or range proof, 20 more for a context word in the 40 code points before
 (other matches included, so one label serves a list).
 
 Defined cases: null text is empty text and has no spans; an empty table gives
-an empty table; repeated rows stay; extra columns pass through.
+an empty table; repeated rows stay; extra columns pass through, but an input
+column ``spans`` is replaced by ``detect``.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, let
+from .common import SHINGLE, fresh, let
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -103,10 +103,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         _count_of(t, r"[^#*$%&|<>]+").alias("n_symbols"),
         _count_of(t, r"[^\p{L}]+").alias("n_letters"),
         _count_of(t, r"[^\p{Lu}]+").alias("n_upper"))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES and c != "_m"]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
+    held, = fresh(docs.columns, "_m")
     where = {"n_words": "w", "word_chars": "w", "n_repeat_words": "w", "n_lines": "l", "n_dup_lines": "l"}
-    got = docs.withColumn("_m", new)
-    return got.select(*keep, *[F.col(f"_m.{where[m]}.{m}" if m in where else f"_m.{m}").alias(m) for m in MEASURES])
+    got = docs.withColumn(held, new)
+    return got.select(*keep, *[F.col(f"{held}.{where[m]}.{m}" if m in where else f"{held}.{m}").alias(m) for m in MEASURES])
 
 
 def ledger(measured: DataFrame) -> DataFrame:

@@ -157,3 +157,13 @@ def test_sql_equals_the_query_on_lists_and_edge_cases(spark, scratch, name):
     if name == "op8_pii":
         by_id = {r.doc_id: r for r in got}
         assert by_id[0].n_ssn == 3 and by_id[1].n_ssn == 1 and by_id[2].n_ssn == 0
+
+
+def test_extra_columns_with_clashing_names_pass(spark):
+    df = spark.createDataFrame([(1, "some words stand here, ten of them or a few more", 7, "m", [3])],
+                               "doc_id long, text string, _m long, __m string, spans array<int>")
+    got = q.apply_policy(q.ledger(q.measure(df))).first()
+    assert (got._m, got["__m"], got.spans, got.n_words) == (7, "m", [3], 11)
+    assert q.filter_documents(df).first() == df.first()
+    assert pii.detect(df).first().spans == [] and pii.detect(df).first()._m == 7
+    assert pii.mask_documents(df).first().spans == [3]
