@@ -71,3 +71,22 @@ def test_transform_keeps_distances_and_eliminates_nothing_nearest():
     assert (cluster == d.argmin(1)).all() and (best == d.min(1)).all()
     changes = (np.diff(C.transform(np.eye(64, dtype=np.int64)).T, axis=1) != 0).sum(1)
     assert changes.tolist() == list(range(64))
+
+
+def test_slices_of_a_batch_are_all_rows(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(C, "ROWS", 7)  # in this process
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (50, 64))
+    x[13] *= 1e9
+    centroids = [[int(v) for v in np.floor(64 * r)] for r in x[:5]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(list(x), pa.list_(pa.float64()))], ["id", "v"]).slice(3, 40)
+    rows = [r for b in C._labels(centroids, 64)(iter([batch])) for r in b.to_pylist()]
+    exact = [[C.exact_floor(float(e), 64) for e in r] for r in x]
+    want = {i: min((sum((a - b) ** 2 for a, b in zip(exact[i], c)), j) for j, c in enumerate(centroids)) for i in range(3, 43)}
+    assert {r["id"]: r["cluster"] for r in rows} == {i: j for i, (_, j) in want.items()}
+    assert {r["id"]: r["distance"] for r in rows} == {i: d if d < 2 ** 63 else None for i, (d, _) in want.items()}
+    parts = [r for b in C._sums(centroids, 64)(iter([batch])) for r in b.to_pylist()]
+    assert sum(r["part"] for r in parts if r["dim"] < 0) == 40
+    total = sum(r["part"] << (32 * r["limb"]) for r in parts if r["dim"] == 5)
+    assert total == sum(exact[i][5] for i in range(3, 43))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from clausewise.llm import collocations as C
 
@@ -58,9 +59,34 @@ def test_equals_plain_loops(spark):
     assert len(got) > 100 and got == brute(rows, 8)
 
 
-def test_small_blocks_small_tables_and_top(spark, monkeypatch):
+@pytest.mark.parametrize("block", [8_000_000, 300, 5])
+def test_blocks_add_up_however_they_are_cut(monkeypatch, block):
+    import pyarrow as pa
+    monkeypatch.setattr(C, "BLOCK", block)  # in this process
+    rows = [(lang or "und", text) for lang, text in corpus(3, 80)] + [("en", "the lazy dog sat, " * 400), ("en", "")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i:i + 30]], pa.string()) for c in (0, 1)], ["lang", "text"])
+               for i in range(0, len(rows), 30)]
+    want = {}
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(A_Z)):
+            w = [x for x in re.split(r"[\x20\x09]+", piece) if x]
+            for level in range(1, 5):
+                for i in range(len(w) - level + 1):
+                    key = level, lang, " ".join(w[i:i + level])
+                    want[key] = want.get(key, 0) + 1
+    every = [np.full(8, 255, np.uint8)] * 3  # tables in which every phrase may be frequent
+    got, made = {}, 0
+    for level in range(1, 5):
+        for b in C._counter(every[:level - 1])(iter(batches)):
+            made += 1
+            for r in b.to_pylist():
+                if r["phrase"]:
+                    got[level, r["lang"], r["phrase"]] = got.get((level, r["lang"], r["phrase"]), 0) + r["n"]
+    assert got == want and (made > 40) == (block < 1000)
+
+
+def test_small_tables_and_top(spark):
     rows = corpus(2, 150) + [("en", "the lazy dog sat, " * 400)]
-    monkeypatch.setattr(C, "BLOCK", 300)
     assert run(spark, rows, min_count=5, top=7) == brute(rows, 5, top=7)
     few = spark.createDataFrame(rows, "lang string, text string")
     levels = C.phrase_counts(few, 5, 3, bits=64)  # nearly every bit is set: more rows are counted, results stay

@@ -51,8 +51,8 @@ def test_equals_counting_every_window(spark, length, spans):
     assert sum(r[2] for r in want) > 0 and run(spark, rows, length=length, spans=spans) == want
 
 
-def test_hot_anchors_small_strips_and_chunks(spark, monkeypatch):
-    for name, value in (("STRIP", 700), ("CHUNK", 3000), ("COLLECTION", 2000), ("SEEN", 10)):
+def test_hot_anchors_small_collections_and_chunks(spark, monkeypatch):
+    for name, value in (("CHUNK", 3000), ("COLLECTION", 2000)):  # read by the driver; the rest is tested in process
         monkeypatch.setattr(S, name, value)
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
@@ -81,7 +81,9 @@ def test_column_wise_transform_is_the_sorted_one(scratch):
         assert S.repeated_windows(texts, 3, scratch) == brute_windows(texts, 3)
 
 
-def test_every_window_lies_in_one_piece_and_equal_windows_share_an_anchor():
+@pytest.mark.parametrize("strip", [100_000, 150, 40])
+def test_every_window_lies_in_one_piece_and_equal_windows_share_an_anchor(monkeypatch, strip):
+    monkeypatch.setattr(S, "STRIP", strip)  # in this process: long texts are cut into overlapping strips
     rng = random.Random(4)
     texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(900))) for _ in range(20)] + [b"a" * 700, b"abab" * 100]
     cutter, anchors, seen = S.Cutter(40, 16), {}, Counter()
@@ -92,3 +94,26 @@ def test_every_window_lies_in_one_piece_and_equal_windows_share_an_anchor():
                 seen[doc[s], base[s] + i - offset[s]] += 1
                 assert anchors.setdefault(buffer[i:i + 40], anchor) == anchor
     assert set(seen.values()) == {1} and sum(seen.values()) == sum(max(0, len(t) - 39) for t in texts)
+
+
+def test_tasks_give_every_wanted_piece_whatever_they_remember(monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(6)
+    base = [bytes(rng.choice(b"abcdef ") for _ in range(rng.randrange(30, 600))) for _ in range(8)]
+    texts = [rng.choice(base) + rng.choice(base) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([0] * 20, pa.int32()), pa.array(texts[i:i + 20], pa.binary())], ["chunk", "text"])
+               for i in range(0, 60, 20)]
+    found = {}
+    for strip, seen in ((100_000, 200_000), (100_000, 3)):
+        monkeypatch.setattr(S, "SEEN", seen)
+        cutter = S.Cutter(40, 16)
+        rows = [r for b in S._piece_texts(cutter, None)(iter(batches)) for r in b.to_pylist()]
+        wanted = [r for b in S._occurrences(cutter, None)(iter(batches)) for r in b.to_pylist()]
+        assert {r["piece"] for r in rows} == {r["piece"] for r in wanted} and len(wanted) > len(rows)
+        found[seen] = {(r["anchor"], r["piece"], r["text"], r["at"]) for r in rows}
+        sliced = [b.slice(5, 9) for b in batches]
+        part = [r["piece"] for b in S._occurrences(cutter, None)(iter(sliced)) for r in b.to_pylist()]
+        own = [r["piece"] for i in range(0, 60, 20) for b in S._occurrences(cutter, None)(iter([pa.RecordBatch.from_arrays(
+            [pa.array([0] * 9, pa.int32()), pa.array(texts[i + 5:i + 14], pa.binary())], ["chunk", "text"])])) for r in b.to_pylist()]
+        assert sorted(part) == sorted(own)
+    assert len(set(map(repr, found.values()))) >= 1 and found[3] == found[200_000]
