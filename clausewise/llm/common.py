@@ -201,12 +201,28 @@ def blocked(members: DataFrame, key: str, ident: str, block: int) -> DataFrame:
 
 # --- connected components -----------------------------------------------------
 
+HUBS = 256  # a node with over 1 / HUBS of the rows, and over HUB_EDGES, is a hub: there are at most HUBS
+HUB_EDGES = 1000
+
+
+def _with_least(rows: DataFrame, all_rows: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with ``m``, the smallest v of the node u in ``all_rows``. The rows of a
+    hub are dealt to HUBS tasks, and its smallest neighbour to each of them."""
+    low = all_rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+    least = low.select(F.greatest(F.sum("d") / HUBS, F.lit(HUB_EDGES))).scalar()
+    hubs = F.broadcast(low.where(F.col("d") > least).select("u", F.lit(True).alias("hub")))  # at most HUBS rows
+    part = F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(HUBS)).cast("int")).otherwise(0)
+    parts = F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(HUBS - 1))).otherwise(F.array(F.lit(0))))
+    dealt = rows.join(hubs, "u", "left").select("u", "v", part.alias("part"))
+    return dealt.join(low.join(hubs, "u", "left").select("u", "m", parts.alias("part")), ["u", "part"]).drop("part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b longs): root is the
     smallest node of its component.
 
     Alternating large-star / small-star rounds. Every round aggregates with
-    map-side combine and joins on the node, so a hub is split by the skew join;
+    map-side combine and joins on the node, hubs apart (``_with_least``);
     each round's edges are written to the shared folder, and nothing but one
     count and checksum reaches the driver.
     """
@@ -215,12 +231,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
+        large = _with_least(sym.where("v > u"), sym) \
+            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = _with_least(large, large).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
+            .unionByName(large.groupBy("u").agg(F.min("v").alias("v")).select("u", "v")).distinct()
         e = stored(small, "cc")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
