@@ -133,18 +133,6 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
 
 
-def test_components_with_hubs_dealt_apart(spark, monkeypatch):
-    from clausewise.llm import common
-    monkeypatch.setattr(common, "HUB_EDGES", 5)  # read by the driver
-    edges = [(0, i) for i in range(1, 300)] + [(500, i) for i in range(501, 701)] + [(700 + i, 701 + i) for i in range(30)] \
-        + [(1000, 999 - i) for i in range(3)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[i] for i in range(300)} == {0} and {got[i] for i in range(500, 731)} == {500} and {got[i] for i in range(997, 1001)} == {997}
-    star = spark.createDataFrame([(0, i) for i in range(40)] + [(7, 1), (7, 2)], "u long, v long")
-    got = sorted((r.u, r.v, r.m) for r in common._with_least(star, star).collect())
-    assert got == sorted([(0, i, 0) for i in range(40)] + [(7, 1, 1), (7, 2, 1)])
-
-
 def prose(rng, n):
     out = []
     while sum(len(s.split()) for s in out) < n:
