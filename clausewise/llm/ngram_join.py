@@ -89,7 +89,7 @@ def text_shingles(texts, hasher: WordHasher) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(hasher(t.encode().split()))) if t else np.empty(0, np.uint64) for t in texts]
 
 
-def _slices(pdf: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def _slices(pdf: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Row slices of about ``chars`` characters, to bound what one step holds."""
     size = pdf["text"].str.len().fillna(0).cumsum()
     for _, part in pdf.groupby((size // chars).astype(int), sort=True):
