@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.operators.encode import FIRST_WORD_ID, dictionary
-from clausewise.operators.stats import label_sums
-from clausewise.operators.vocab import containment_vectors, counted_words, vocabulary
+from clausewise.operators.vocab import containment_sums, counted_words, vocabulary
 
 
 class Book:
@@ -97,17 +96,18 @@ class Book:
         old, new = self.version(), self.version() + 1
         units = self._write(units.select(*self.keys, "tokens", *self.labels), "clauses", new)
         vocab = self._write(vocabulary(units, [], self.keys), "vocabulary", new)
-        words = self._write(counted_words(units, [*self.keys, *self.labels]), "words", new)
+        self._write(counted_words(units, [*self.keys, *self.labels]), "words", new)
         terms = vocab.select("term")
         if old:
             known = self.vocabulary(old).select("term")
             fresh = self._write(terms.join(known, "term", "left_anti"), "new-terms", new)
-            mine = containment_vectors(words, known.unionByName(fresh), [], self.keys, carry=self.labels)
-            earlier = containment_vectors(self._parts("words", old), fresh, [], self.keys, carry=self.labels)
-            cells = mine.unionByName(earlier.select(*mine.columns))
+            mine = containment_sums(units, known.unionByName(fresh), [], self.keys, self.labels)
+            earlier = containment_sums(self._parts("words", old), fresh, [], self.keys, self.labels)
+            both = mine.unionByName(earlier.select(*mine.columns))
+            sums = both.groupBy("term").agg(*[F.sum(c).alias(c) for c in mine.columns[1:]])
         else:
-            cells = containment_vectors(words, terms, [], self.keys, carry=self.labels, vocab_from_same_tokens=True)
-        self._write(label_sums(cells, [], self.labels), "sums", new)
+            sums = containment_sums(units, terms, [], self.keys, self.labels, vocab_from_same_tokens=True)
+        self._write(sums, "sums", new)
         counts = self._write(units.agg(F.count(F.lit(1)).cast("long").alias("n_units"),
                                        *[F.sum(F.col(x).cast("long")).alias(x) for x in self.labels]), "units", new)
 
