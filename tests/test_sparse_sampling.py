@@ -177,3 +177,34 @@ def test_columns_of_equal_f_interleave_by_position(spark):
     by_term = select_top_k(scored.withColumn("o", F.lit(0)), ["p"], 9, ["o"]).where("p = 'a'").collect()
     assert {r.term: r.selected_multiplicity for r in by_term} != {r.term: r.selected_multiplicity for r in select_columns(
         scored, columns, ["p"], 9).where("p = 'a'").collect()}
+
+
+def test_blocks_meet_in_rounds_of_few_copies(spark):
+    rows, scope_of = corpus(5, 60), lambda i: "xy"[int(i[1:]) % 2]
+    cells, w, points = tables(spark, rows, scope_of)
+    stored = {}
+
+    def store(df, name):
+        stored[name] = stage(df, name)
+        return stored[name]
+    got = {}
+    for r in S.sparse_knn(points, store, 4, 3, round_copies=1).orderBy("id", "nb_rank").collect():
+        got.setdefault(r.id, []).append((r.nb_id, r.dist2))
+    assert got == brute_knn(rows, scope_of, 4)
+    turns, filled = stored["knn-turns"], stored["knn-filled"].count()
+    assert {(r.scope, r.qb, r.rb) for r in turns.collect()} == {(r.scope, r.qb, r.rb) for r in stored["knn-pairs"].collect()}
+    met = [r["count"] for r in turns.groupBy("turn").count().collect()]
+    assert len(met) > 2 and max(met) <= 2 * filled
+    assert sum(name.startswith("knn-best") for name in stored) == len(met)
+
+
+def test_shuffle_files_of_a_stage_are_gone_after_it(spark):
+    from clausewise.session import _FREE_SHUFFLES, freed_shuffles
+
+    before = spark.conf.get(_FREE_SHUFFLES)
+    with freed_shuffles(spark):
+        assert spark.conf.get(_FREE_SHUFFLES) == "true"
+    assert spark.conf.get(_FREE_SHUFFLES) == before
+    with pytest.raises(ZeroDivisionError), freed_shuffles(spark):
+        1 / 0
+    assert spark.conf.get(_FREE_SHUFFLES) == before
