@@ -91,3 +91,27 @@ def test_plans_hold_each_step_once(frame):
         assert text.count("FlatMapCoGroupsInArrow") == 1
     text = frame("pad_ids")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text.split("Subquer")[0].split("FlatMapCoGroups")[0]  # a scalar maximum, no join on the persona
+
+
+def test_margins_made_in_chunks_equal_those_of_the_cells(spark):
+    from clausewise.operators import linear
+    from clausewise.operators import vocab as V
+
+    rng = random.Random(7)
+    rows = [("ab"[d % 2], d, c, [rng.choice(["the", "then", "lathe", "a", "at", "x"]) for _ in range(rng.randrange(5))])
+            for d in range(12) for c in range(4)]
+    clauses = spark.createDataFrame(rows, "persona string, doc_id long, clause_no long, tokens array<string>")
+    for kind in ("long", "double"):
+        known = [(p, t, w if kind == "long" else w / 7) for p in "ab" for t, w in (("the", 3), ("a", -2), ("at", 5), ("he", 1))][:-1]
+        weights = spark.createDataFrame(known, f"persona string, feature string, weight {kind}")
+        terms = weights.withColumnRenamed("feature", "term")
+        cells = V.containment_vectors(clauses, terms.drop("weight"), ["persona"], ["doc_id", "clause_no"]).withColumnRenamed("term", "feature")
+        key = lambda r: (r.persona, r.doc_id, r.clause_no)
+        want = {key(r): r.margin for r in linear.margins(cells, weights, ["doc_id", "clause_no"]).collect()}
+        made = V.containment_margins(clauses, terms, ["persona"], ["doc_id", "clause_no"], chunk_tokens=9)
+        assert made.schema["margin"].dataType == weights.schema["weight"].dataType
+        assert {key(r): r.margin for r in made.collect()} == pytest.approx(want, abs=1e-12)
+    sizes = clauses.groupBy("persona", "doc_id").agg(F.count("*").alias("n_units"))
+    want = {key(r): r.margin for r in linear.refit_margins(cells, sizes, weights).collect()}
+    made = V.refit_containment_margins(clauses, terms, ["persona"], "doc_id", "clause_no", chunk_tokens=9).collect()
+    assert len(made) == len(want) and {key(r): r.margin for r in made} == pytest.approx(want, abs=1e-12)

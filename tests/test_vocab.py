@@ -131,3 +131,24 @@ def test_words_are_counted_inside_the_row(spark):
     df = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (3, ["x"])], "k long, tokens array<string>")
     got = {(r.k, r.word): r["k2"] for r in counted_words(df, ["k"]).toDF("k", "word", "k2").collect()}
     assert got == {(1, "a"): 1, (1, "b"): 3, (3, "x"): 1}
+
+
+def test_word_map_holds_long_words_and_characters_of_several_bytes(spark, monkeypatch):
+    from clausewise.operators import vocab as V
+
+    monkeypatch.setattr(V, "SLICE_BYTES", 64)  # many slices
+    words = ["straße", "aß", "ß", "日本語", "本", "a" * 300, "x😀y", "😀", "é", "none"]
+    terms = ["ß", "a", "aa", "a" * 299, "本", "本語", "😀y", "é", "aß", "zz", "straße", ""]
+    got = V.word_term_map(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    want = {w: {t for t in terms if t and t in w} for w in words}
+    assert {r.word: set(r.terms) for r in got.collect()} == {w: t for w, t in want.items() if t}
+
+
+def test_word_map_makes_few_candidates_that_are_no_terms(spark):
+    from clausewise.operators import vocab as V
+
+    words = [f"the{i:05}tion" for i in range(4000)]
+    bitmap, sizes = V._bitmap(spark.createDataFrame([(w,) for w in words], "term string"))
+    made = spark.createDataFrame([(w,) for w in words], "word string").mapInArrow(V._candidates(bitmap, sizes), "word string, term string")
+    # every word is a term of its own; by beginnings and lengths alone 12 x 11 / 2 substrings a word would be looked at
+    assert 4000 <= made.count() < 6000
