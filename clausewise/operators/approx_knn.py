@@ -61,8 +61,9 @@ def approximate_knn(points: DataFrame, store, k: int = K_NEIGHBOURS, id_col: str
     """``[scope,] id, nb_id, dist, nb_rank`` as ``sampling.exact_knn``, nearly all of them.
     ``store`` writes a table to the shared folder and reads it back."""
     scope = F.col(scope_col).cast("long") if scope_col else F.lit(0).cast("long")
-    p = store(points.select(scope.alias("scope"), F.col(id_col).cast("long").alias("id"),
-                            F.col(vec_col).cast("array<double>").alias("vec")), "lsh-points")
+    # a point goes to tables * probes buckets: vectors of floats are sent as such, and become doubles in the task
+    vec = F.col(vec_col) if points.schema[vec_col].dataType.simpleString() == "array<float>" else F.col(vec_col).cast("array<double>")
+    p = store(points.select(scope.alias("scope"), F.col(id_col).cast("long").alias("id"), vec.alias("vec")), "lsh-points")
     sample = p.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()
     schema = "scope long, id long, nb_id long, dist double"
     if not sample:
@@ -102,8 +103,12 @@ def approximate_knn(points: DataFrame, store, k: int = K_NEIGHBOURS, id_col: str
         return r.select(*[F.col(c).alias(c) for c in (*bucket, "id", "vec")])  # new columns: both sides come from one frame
 
     asked = split(coded.select("scope", "id", F.explode("probes").alias("key"), "rest"))
-    found = dealt(asked).groupBy(*bucket).cogroup(dealt(kept).groupBy(*bucket)).applyInPandas(_in_bucket(k), schema)
+    # as many tasks as configured: the rows are few bytes but much work, and AQE would join their partitions
+    width = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, r = (dealt(rows).repartition(width, *bucket).groupBy(*bucket) for rows in (asked, kept))
+    found = q.cogroup(r).applyInPandas(_in_bucket(k), schema)
     best = Window.partitionBy("scope", "id").orderBy("dist", "nb_id")
+    found = found.repartition("scope", "id")  # serves both the distinct rows and the window
     top = found.distinct().withColumn("nb_rank", F.row_number().over(best).cast("long")).where(F.col("nb_rank") <= k)
     return top.withColumnRenamed("scope", scope_col) if scope_col else top.drop("scope")
 

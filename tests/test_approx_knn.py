@@ -67,3 +67,28 @@ def test_smote_takes_either_search(spark, above):
     assert made.count() == 180
     want = {tuple(r) for r in smote(pts).select("base_id", "sample_no", "nb_id").collect()}
     assert {tuple(r) for r in made.select("base_id", "sample_no", "nb_id").collect()} == want  # a bucket holds 60 rows
+
+
+def test_a_block_measures_many_rows_at_once_and_floats_stay_floats(spark, monkeypatch):
+    import pandas as pd
+
+    from clausewise.operators import sampling
+
+    x = np.random.default_rng(3).integers(0, 2, (600, 6)).astype(float)  # many ties
+    pdf = pd.DataFrame({"scope": 0, "id": np.arange(600), "vec": list(x)})
+    calls = []
+    root = np.sqrt
+    monkeypatch.setattr(np, "sqrt", lambda v: (calls.append(len(v)), root(v))[1])
+    got = sampling._knn_block(3)(pdf, pdf)
+    assert len(calls) <= 5 and max(calls) <= sampling.PAIRS
+    monkeypatch.setattr(sampling, "PAIRS", 50)
+    pd.testing.assert_frame_equal(sampling._knn_block(3)(pdf, pdf), got)
+    d = root(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert (got["nb_id"].to_numpy().reshape(-1, 3) == want).all() and (got["dist"].to_numpy().reshape(-1, 3) == np.take_along_axis(d, want, 1)).all()
+
+    kept = {}
+    rows = points(spark, x).withColumn("vec", F.col("vec").cast("array<float>"))
+    A.approximate_knn(rows, lambda df, name: (kept.update({name: df.schema}), stage(df, name))[1])
+    assert kept["lsh-points"]["vec"].dataType.simpleString() == "array<float>"
