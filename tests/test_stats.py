@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from clausewise.operators.stats import anova_f, scope_sizes, select_top_k, standardise, term_stats
 
@@ -74,3 +75,20 @@ def test_top_k_budget_counts_multiplicity(spark):
     got = select_top_k(scored, ["scope"], k=7, tie_cols=["last"]).orderBy("rank").collect()
     # inf first, then 9, then the tie 5/5 broken by the later last column (t3 before t2)
     assert [(r.term, r.selected_multiplicity) for r in got] == [("t5", 1), ("t1", 3), ("t3", 3)]
+
+
+def test_tied_columns_are_met_once(spark):
+    from clausewise.operators.stats import select_columns
+    from clausewise.session import stage
+
+    rows = [("p", f"t{i}", 2.0 if i == 0 else 1.0, 3) for i in range(6)]  # t0 first, the others tie
+    scored = spark.createDataFrame(rows, "persona string, term string, f double, multiplicity long")
+    columns = spark.createDataFrame([(f"t{i}", [[j, i, 0] for j in range(3)]) for i in range(6)], "term string, at array<array<long>>") \
+        .select("term", F.explode("at").alias("at")).select("term", *[F.col("at")[i].alias(f"o{i + 1}") for i in range(3)])
+    names = []
+    got = select_columns(scored, columns, ["persona"], 9, lambda df, name: (names.append(name), stage(df, name))[1])
+    assert names.count("select-columns") == 1
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # the columns are read once, not at every step
+    found = {r["term"]: r["selected_multiplicity"] for r in got.collect()}
+    assert found == {"t0": 3, **{f"t{i}": 1 for i in range(1, 6)}} | {"t5": 2}
+    assert found == {r["term"]: r["selected_multiplicity"] for r in select_columns(scored, columns, ["persona"], 9).collect()}
