@@ -10,10 +10,11 @@ Every table holds partial results that merge:
 * ``vocabulary``: multiplicity (sum), first and last column (min, max) per term;
 * ``sums``: sum of n, of n^2 and of n by label per term, for the cells that a version
   adds: its own clauses with all terms, and **earlier clauses with the terms that are
-  new**, since containment looks inside words. The earlier clauses' counted words
+  new**, since containment looks inside words. The earlier clauses
   are stored and meet only the new terms;
 * ``units``: clauses and labels counted (sum);
-* ``words``: a clause's counted words, as the second point needs them;
+* ``clauses``: the clauses, as the second point needs them;
+* ``words``: a clause's counted words, which make the dictionary;
 * ``dictionary``: words the version brings, with **stable ids**: they follow the ids of
   the versions before, by frequency inside their own version. A word keeps its id,
   so models and encoded clauses of earlier versions stay valid.
@@ -96,13 +97,13 @@ class Book:
         old, new = self.version(), self.version() + 1
         units = self._write(units.select(*self.keys, "tokens", *self.labels), "clauses", new)
         vocab = self._write(vocabulary(units, [], self.keys), "vocabulary", new)
-        self._write(counted_words(units, [*self.keys, *self.labels]), "words", new)
+        words = self._write(counted_words(units, [*self.keys, *self.labels]), "words", new)
         terms = vocab.select("term")
         if old:
-            known = self.vocabulary(old).select("term")
+            known = self._write(self.vocabulary(old).select("term"), "known-terms", new)
             fresh = self._write(terms.join(known, "term", "left_anti"), "new-terms", new)
             mine = containment_sums(units, known.unionByName(fresh), [], self.keys, self.labels)
-            earlier = containment_sums(self._parts("words", old), fresh, [], self.keys, self.labels)
+            earlier = containment_sums(self._parts("clauses", old), fresh, [], self.keys, self.labels)
             both = mine.unionByName(earlier.select(*mine.columns))
             sums = both.groupBy("term").agg(*[F.sum(c).alias(c) for c in mine.columns[1:]])
         else:
@@ -111,12 +112,13 @@ class Book:
         counts = self._write(units.agg(F.count(F.lit(1)).cast("long").alias("n_units"),
                                        *[F.sum(F.col(x).cast("long")).alias(x) for x in self.labels]), "units", new)
 
-        rows = units.select(F.explode("tokens").alias("word"))
+        rows = words.groupBy(F.lower("word").alias("word")).agg(F.sum("k").alias("k"))
         before = 0
         if old:
             before = self.manifest().agg(F.sum("n_words")).first()[0]
-            rows = rows.join(self.dictionary(old).select("term"), F.lower("word") == F.col("term"), "left_anti")
-        ids = self._write(dictionary(rows).select("term", (F.col("id") + F.lit(int(before))).cast("int").alias("id")), "dictionary", new)
+            rows = rows.join(self.dictionary(old).select("term"), F.col("word") == F.col("term"), "left_anti")
+        born = dictionary(rows, count_col="k", store=lambda df, name: self._write(df, name, new))
+        ids = self._write(born.select("term", (F.col("id") + F.lit(int(before))).cast("int").alias("id")), "dictionary", new)
         # the manifest's row makes the version exist
         done = counts.select(F.lit(new).alias("version"), "n_units", F.lit(ids.count()).cast("long").alias("n_words"))
         done.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/part={new}")

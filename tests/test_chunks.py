@@ -115,3 +115,24 @@ def test_margins_made_in_chunks_equal_those_of_the_cells(spark):
     want = {key(r): r.margin for r in linear.refit_margins(cells, sizes, weights).collect()}
     made = V.refit_containment_margins(clauses, terms, ["persona"], "doc_id", "clause_no", chunk_tokens=9).collect()
     assert len(made) == len(want) and {key(r): r.margin for r in made} == pytest.approx(want, abs=1e-12)
+
+
+def test_a_chunk_fetches_its_terms_and_no_list_of_terms_per_word(spark, units):
+    vocab = stage(vocabulary(units, [], KEYS), "v")
+    for made in (containment_sums(units, vocab, [], KEYS, ["y"], vocab_from_same_tokens=True), containment_vectors(units, vocab, [], KEYS)):
+        text = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set" not in text and text.count("FlatMapGroupsInArrow") == 1
+
+
+def test_terms_of_a_chunk_are_found_in_its_words(monkeypatch):
+    import pyarrow as pa
+
+    from clausewise.operators import vocab as V
+
+    monkeypatch.setattr(V, "SLICE_BYTES", 16)
+    words = ["banana", "ana", "ßaß", "日本語", "", "an" * 40, "x"]
+    terms = ["an", "ana", "ß", "本", "本語", "banana", "", "zz", "n" * 9]
+    word, term = V._contained(pa.array(words), pa.array(terms))
+    assert list(zip(word.tolist(), term.tolist())) == [(i, j) for i, w in enumerate(words) for j, t in enumerate(terms) if t and t in w]
+    none = V._contained(pa.array([], pa.string()), pa.array(terms)), V._contained(pa.array(words), pa.array([], pa.string()))
+    assert all(not len(x) for pair in none for x in pair)

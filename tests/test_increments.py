@@ -74,3 +74,18 @@ def test_a_half_written_version_is_written_again(spark, scratch, monkeypatch):
     with pytest.raises(ValueError):
         again.sums(3)
     assert again.vocabulary().agg(F.sum("multiplicity")).first()[0] > 0
+
+
+def test_words_are_counted_once_for_their_ids(spark, scratch, monkeypatch):
+    kept = []
+    real = Book._write
+    monkeypatch.setattr(Book, "_write", lambda self, df, table, version: kept.append((table, version)) or real(self, df, table, version))
+    book = Book(spark, scratch, KEYS, LABELS)
+    book.add(units(spark, 1, [1, 2]))
+    assert kept.count(("word-counts", 1)) == 1
+    counts = {r.term: r.freq for r in spark.read.parquet(f"{scratch}/word-counts/version=1").collect()}
+    want = {}
+    for r in units(spark, 1, [1, 2]).collect():
+        for w in r.tokens:
+            want[w.lower()] = want.get(w.lower(), 0) + 1
+    assert counts == {w: n for w, n in want.items() if w != "[cls]"}
